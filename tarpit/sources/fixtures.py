@@ -80,3 +80,22 @@ def history_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw events of a previously stored run: all events of users with user_id % 3 = 0."""
     ev = raw_events(spark, sf_dir)
     return ev.where(F.substring("session", 2, 20).cast("bigint") % 3 == 0)
+
+
+def rule_clusters(df: DataFrame) -> DataFrame:
+    """Stand-in cluster assignment for SQL-checkable runs (k-means is not
+    expressible in SQL): events > 10 -> 2, duration > 60 s -> 1, else 0.
+    The labelling, weighting and risk steps downstream are the engine's."""
+    return df.withColumn(
+        "behavior_cluster",
+        F.when(F.col("event_count") > 10, 2).when(F.col("session_duration") > 60, 1).otherwise(0).cast("int"))
+
+
+def scored(df: DataFrame) -> DataFrame:
+    """Stand-in labels/scores for the metric operators: y = failed_logins > 1,
+    score = (event_count * 37 mod 101) / 100."""
+    return df.select(
+        "session", "seg",
+        (F.col("failed_logins") > 1).cast("int").alias("y"),
+        ((F.col("event_count") * 37) % 101).cast("double").alias("_s"),
+    ).withColumn("score", F.col("_s") / 100.0).drop("_s")
