@@ -25,9 +25,10 @@ RISK_WEIGHTS = (0.4, 0.3, 0.2)  # event_count_norm, unique_commands_norm, sessio
 
 
 def cluster_profile(df: DataFrame, cluster: str = "behavior_cluster", cols=CLUSTER_FEATURES) -> DataFrame:
-    """A4: mean of the clustering features per cluster, rounded half-even to 2."""
+    """A4: mean of the clustering features per cluster, rounded half-even to
+    2 decimals the way pandas does (scale by 100, round half-even, unscale)."""
     return (df.where(F.col(cluster).isNotNull()).groupBy(cluster)
-            .agg(*[F.bround(F.avg(F.col(c).cast("double")), 2).alias(c) for c in cols]))
+            .agg(*[(F.bround(F.avg(F.col(c).cast("double")) * 100, 0) / 100).alias(c) for c in cols]))
 
 
 def label_clusters(df: DataFrame, cluster: str = "behavior_cluster",
