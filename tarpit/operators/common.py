@@ -14,10 +14,17 @@ def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
             .drop("_one"))
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage before iterative / multi-pass stages: an eager reliable
-    checkpoint into the shared folder named by ``spark.checkpoint.dir`` (it
-    survives executor loss; never a local checkpoint)."""
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Cut the lineage before multi-consumer / multi-pass stages.
+
+    The rows are written once as a Parquet table below the shared folder
+    named by ``spark.checkpoint.dir`` (survives executor loss; never a local
+    checkpoint or a machine-local folder) and read back, so later stages
+    start from a short plan with real size statistics.
+    """
+    import uuid
+
+    from ..session import shared_path
+    path = shared_path(df.sparkSession, f"tables/{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

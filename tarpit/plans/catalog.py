@@ -11,6 +11,7 @@ hash equal values (their float summation orders differ in the last bits).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -25,7 +26,12 @@ from ..operators import ml as M
 from ..operators.common import with_scalars
 from ..operators.ids import with_batch_ids
 from ..operators.sessionize import emission_order, sessionize
+from ..session import shared_path
 from ..sources import fixtures
+from ..sources.events import stream_events
+from ..streaming.runner import run_incremental, stream_to_table, write_ndjson
+from ..streaming.sessionizer import dedupe_events, stateful_sessions
+from ..streaming.windows import daily_counts, gap_sessions
 from ..sources import sinks as S
 from . import dashboard as D
 from . import reports as R
@@ -538,6 +544,90 @@ def q_enriched_full(spark, sf_dir):
     return full_enriched(spark, sf_dir)
 
 
+# ---------------------------------------------------------------- windows and streaming
+
+
+@query("session_windows")
+def q_session_windows(spark, sf_dir):
+    """T4 (batch): per key, events less than 2 minutes apart form a window."""
+    w = gap_sessions(fixtures.raw_events(spark, sf_dir), "2 minutes")
+    fmt = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+    return w.select("session", F.date_format("window_start", fmt).alias("window_start"),
+                    F.date_format("window_end", fmt).alias("window_end"), "events")
+
+
+def _landed_log(spark, sf_dir, files: int = 8) -> str:
+    """The raw events of the test tables landed as NDJSON log files."""
+    path = shared_path(spark, f"logs/{uuid.uuid4().hex}")
+    write_ndjson(fixtures.raw_events(spark, sf_dir), path, files)
+    return path
+
+
+@query("stream_sessions")
+def q_stream_sessions(spark, sf_dir):
+    """T1-T3 + S2/S4/T7/T8: NDJSON log folder streamed in bounded triggers
+    through the stateful close-marker sessionizer (RocksDB state, event-time
+    timeout), run to completion with availableNow; sessions emitted so far."""
+    log = _landed_log(spark, sf_dir)
+    base = shared_path(spark, f"stream/{uuid.uuid4().hex}")
+    sdf = stateful_sessions(stream_events(spark, log, max_files_per_trigger=2), gap="1 day", watermark="10 minutes")
+    stream_to_table(sdf, f"{base}/out", f"{base}/ckpt")
+    return _text_times(spark.read.parquet(f"{base}/out"))
+
+
+@query("stream_session_window")
+def q_stream_session_window(spark, sf_dir):
+    """T4 streaming: gap windows with a watermark, append mode; windows the
+    watermark has passed are emitted."""
+    log = _landed_log(spark, sf_dir)
+    base = shared_path(spark, f"stream/{uuid.uuid4().hex}")
+    sdf = gap_sessions(stream_events(spark, log, max_files_per_trigger=1), "2 minutes", watermark="5 minutes")
+    stream_to_table(sdf, f"{base}/out", f"{base}/ckpt")
+    return spark.read.parquet(f"{base}/out")
+
+
+@query("stream_daily_counts")
+def q_stream_daily_counts(spark, sf_dir):
+    """The stored enriched sessions read as a stream; tumbling one-day
+    counts of all and high-threat sessions (complete mode: one row per day)."""
+    base = shared_path(spark, f"stream/{uuid.uuid4().hex}")
+    rule_enriched(spark, sf_dir).write.parquet(f"{base}/history")
+    src = spark.readStream.schema(spark.read.parquet(f"{base}/history").schema).parquet(f"{base}/history")
+    sdf = daily_counts(src.withColumn("high", F.col("risk_level") == "high"), high_col="high")
+    stream_to_table(sdf, f"{base}/out", f"{base}/ckpt", mode="complete")
+    return spark.read.parquet(f"{base}/out")
+
+
+@query("stream_dedupe")
+def q_stream_dedupe(spark, sf_dir):
+    """T5: a log delivered twice (two copies of every file) deduplicated
+    within the watermark; every event survives exactly once."""
+    log = _landed_log(spark, sf_dir, files=4)
+    base = shared_path(spark, f"stream/{uuid.uuid4().hex}")
+    spark.read.text(log).write.text(f"{base}/in")
+    spark.read.text(log).write.mode("append").text(f"{base}/in")
+    ev = stream_events(spark, f"{base}/in")
+    sdf = dedupe_events(ev, watermark="1 day", keys=("session", "eventid", "timestamp", "input", "username"))
+    stream_to_table(sdf, f"{base}/out", f"{base}/ckpt")
+    out = spark.read.parquet(f"{base}/out")
+    return out.groupBy("eventid").agg(F.count(F.lit(1)).alias("events"))
+
+
+@query("incremental_history")
+def q_incremental_history(spark, sf_dir):
+    """L7 + T6 + S6/S8: log folder -> stateful sessions -> per micro-batch
+    enrichment (stand-in cluster rule, no model stages) -> idempotent append
+    to the history table partitioned by batch."""
+    log = _landed_log(spark, sf_dir)
+    base = shared_path(spark, f"stream/{uuid.uuid4().hex}")
+    run_incremental(spark, log, f"{base}/history", f"{base}/ckpt", fixtures.geo_ranges(spark, sf_dir),
+                    gap="1 day", watermark="10 minutes", max_files_per_trigger=4,
+                    enrich_kwargs={"clusterer": fixtures.rule_clusters, "with_ml": False, "with_pca": False})
+    h = spark.read.parquet(f"{base}/history")
+    return h.groupBy("batch_id").agg(F.count(F.lit(1)).alias("sessions"),
+                                     F.count_if(F.col("risk_level") == "high").alias("high_risk"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Risk-level distribution (with shares) of the fully enriched sessions."""
     d = D.prepare_dashboard(full_enriched(spark, sf_dir))

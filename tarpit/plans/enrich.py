@@ -33,12 +33,13 @@ EXTRA_COLS = ("seg", "batch_id")
 def enrich(sessions: DataFrame, ranges: DataFrame, clusterer: Callable[[DataFrame], DataFrame] | None = None,
            with_ml: bool = True, with_pca: bool = True, scope_cols=None, seed: int = 42,
            batch_size: int = BATCH_SIZE, id_start: int = SESSION_COUNTER_START,
-           info: dict | None = None) -> DataFrame:
+           info: dict | None = None, materialize_output: bool = True) -> DataFrame:
     """Run the whole enrichment; ``clusterer`` replaces k-means + isolation
     forest with a given assignment (used for SQL-checkable runs).
 
     ``sessions`` must carry first_seq/last_seq/closed (``sessionize(...,
-    keep_order_cols=True)``) for the arrival-ordered ids.
+    keep_order_cols=True)``) for the arrival-ordered ids. The result is
+    checkpointed (``materialize_output``) because reports read it many times.
     """
     info = {} if info is None else info
     df = behavior_flags(sessions)
@@ -46,11 +47,12 @@ def enrich(sessions: DataFrame, ranges: DataFrame, clusterer: Callable[[DataFram
     df = df.drop("first_seq", "last_seq", "closed")
     df = zscore(df, scope_cols=scope_cols)
     df = G.with_ip_scope(df)
+    # The per-session feature table feeds every later statistic, join and
+    # model fit: write it once (reliable checkpoint) instead of letting each
+    # branch re-run the sessionizer.
+    df = materialize(df)
 
     if clusterer is None:
-        # Clustering, the forest fits and the model fits are multi-pass:
-        # give them a short lineage instead of re-running the sessionizer.
-        df = materialize(df)
         df, cinfo = C.behavioral_clustering(df, seed=seed)
         info["clustering"] = cinfo
         auth = [c for c in AUTH_FEATURES if c in df.columns]
@@ -78,4 +80,5 @@ def enrich(sessions: DataFrame, ranges: DataFrame, clusterer: Callable[[DataFram
         info["metrics"] = metrics
     if with_pca:
         df = pca2(df)
-    return conform(df, ENRICHED, keep_extra=EXTRA_COLS)
+    out = conform(df, ENRICHED, keep_extra=EXTRA_COLS)
+    return materialize(out) if materialize_output else out

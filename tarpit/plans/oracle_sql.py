@@ -545,3 +545,13 @@ SELECT round(AVG(COALESCE(CASE WHEN n_own <= 1 OR b IS NULL THEN 0.0 ELSE (b - a
 
 ORACLES["stratified_split"] = BASE_SCORED + """SELECT y, COUNT(*) AS rows,
   CAST(CEIL(CAST(COUNT(*) AS DOUBLE) * CAST(0.3 AS DOUBLE)) AS BIGINT) AS test_rows FROM sc0 GROUP BY y"""
+
+ORACLES["session_windows"] = with_ctes(RAW) + """SELECT substr(md5(skey), 1, 12) AS session,
+  strftime(make_timestamp(MIN(cus)), '%Y-%m-%d %H:%M:%S.%f') AS window_start,
+  strftime(make_timestamp(MAX(cus) + 120000000), '%Y-%m-%d %H:%M:%S.%f') AS window_end, COUNT(*) AS events
+FROM (SELECT *, SUM(CASE WHEN prev IS NULL OR cus - prev >= 120000000 THEN 1 ELSE 0 END)
+        OVER (PARTITION BY skey ORDER BY cus, event_seq ROWS UNBOUNDED PRECEDING) AS w
+      FROM (SELECT *, COALESCE(NULLIF(session, ''), src_ip, 'unknown') AS skey,
+              LAG(cus) OVER (PARTITION BY COALESCE(NULLIF(session, ''), src_ip, 'unknown') ORDER BY cus, event_seq) AS prev
+            FROM raw))
+GROUP BY skey, w"""
