@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..schemas import RAW_EVENT
 
@@ -30,13 +30,25 @@ def parse_event_lines(lines: DataFrame, value_col: str = "value") -> DataFrame:
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """Scan NDJSON event logs (file or folder) into raw events.
 
-    ``event_seq`` is the arrival order as a BIGINT: increasing in line order
-    within every input split (``monotonically_increasing_id``). Splits of one
-    file keep offset order; events of one session that straddle two rotated
-    files are ordered by split index.
+    ``event_seq`` is the arrival order as a dense BIGINT: files by
+    modification time (then path), lines in file order. Spark packs small
+    files into partitions by size, so a per-partition row id alone does not
+    follow the log; instead every input split is given the number of lines
+    in all earlier splits (a table with one row per split, so broadcasting
+    it is bounded by the split count) and its rows add their position.
     """
-    lines = spark.read.text(path).withColumn("event_seq", F.monotonically_increasing_id())
-    return parse_event_lines(lines)
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_modification_time").alias("_mt"),
+        F.col("_metadata.file_path").alias("_fp"),
+        F.col("_metadata.file_block_start").alias("_bs"),
+        F.monotonically_increasing_id().alias("_mid"))
+    splits = lines.groupBy("_mt", "_fp", "_bs").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
+    w = Window.orderBy("_mt", "_fp", "_bs").rowsBetween(Window.unboundedPreceding, -1)
+    offs = splits.select("_fp", "_bs", "_m0", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    seq = lines.join(F.broadcast(offs), ["_fp", "_bs"]).select(
+        "value", (F.col("_off") + F.col("_mid") - F.col("_m0")).alias("event_seq"))
+    return parse_event_lines(seq)
 
 
 def stream_events(spark: SparkSession, path: str, max_files_per_trigger: int | None = None,
