@@ -158,31 +158,41 @@ def canonical_ids(df: DataFrame, raw: str, out: str = "behavior_cluster",
     return df.join(F.broadcast(ids), raw, "left").drop(raw)
 
 
+def _bounded_sample(df: DataFrame, cols, sample_rows: int, seed: int) -> DataFrame:
+    """M2 sample of at most ``sample_rows`` rows in one cached partition:
+    the repeated small fits below then run one task per pass."""
+    return sample_n(df, sample_rows, seed).select(*cols).coalesce(1).cache()
+
+
 def choose_k(df: DataFrame, cols, ks=range(2, MAX_K + 1), sample_rows: int = 5000,
-             seed: int = 42) -> tuple[int, list[dict]]:
+             seed: int = 42, parallelism: int = 4) -> tuple[int, list[dict]]:
     """M3: k with the best silhouette on a bounded sample (default 2).
 
     Returns (best_k, [{k, inertia, silhouette}]). All-constant features or
-    too few rows give k = 2 without fitting.
+    too few rows give k = 2 without fitting. The candidate fits are
+    independent Spark jobs and run concurrently.
     """
-    sample = sample_n(df, sample_rows, seed).select(*cols).cache()
+    from concurrent.futures import ThreadPoolExecutor
+
+    sample = _bounded_sample(df, cols, sample_rows, seed)
     try:
         stats = sample.agg(F.count(F.lit(1)).alias("n"),
                            *[F.countDistinct(c).alias(f"d{i}") for i, c in enumerate(cols)]).first()
         n = stats["n"]
         if n == 0 or max(stats[f"d{i}"] for i in range(len(cols))) <= 1:
             return 2, [{"k": 2, "inertia": 0.0, "silhouette": 0.0}]
-        results = []
-        for k in ks:
-            if k > n:
-                break
+
+        def trial(k):
             model = fit_kmeans(sample, k, seed, cols)
             pred = model.transform(_vectors(sample, cols))
-            if pred.select("_raw_cluster").distinct().count() < 2:
-                continue
+            if len(model.summary.clusterSizes) < 2 or sum(1 for x in model.summary.clusterSizes if x > 0) < 2:
+                return None
             sil = silhouette(pred, "_raw_cluster", cols).first()["silhouette"]
-            results.append({"k": k, "inertia": round(float(model.summary.trainingCost), 4),
-                            "silhouette": round(float(sil), 4)})
+            return {"k": k, "inertia": round(float(model.summary.trainingCost), 4),
+                    "silhouette": round(float(sil), 4)}
+
+        with ThreadPoolExecutor(max_workers=parallelism) as pool:
+            results = [r for r in pool.map(trial, [k for k in ks if k <= n]) if r is not None]
         if not results:
             return 2, [{"k": 2, "inertia": 0.0, "silhouette": 0.0}]
         best = max(results, key=lambda r: (r["silhouette"], -r["k"]))
@@ -207,20 +217,28 @@ def cluster_sessions(df: DataFrame, k: int, seed: int = 42, cols=CLUSTER_FEATURE
 
 
 def cluster_stability(df: DataFrame, cols, k: int = 3, sample_rows: int = 5000,
-                      seeds=(0, 10, 20), sample_seed: int = 99) -> float:
-    """M7: mean adjusted Rand index between k-means runs with seeds s and s+1."""
-    sample = sample_n(df, sample_rows, sample_seed).select(*cols).cache()
+                      seeds=(0, 10, 20), sample_seed: int = 99, parallelism: int = 6) -> float:
+    """M7: mean adjusted Rand index between k-means runs with seeds s and s+1
+    (the six fits on the bounded sample run concurrently)."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    sample = _bounded_sample(df, cols, sample_rows, sample_seed)
     try:
         n = sample.count()
         k = min(k, n)
         if k < 2:
             return 0.0
-        vec = _vectors(sample, cols).withColumn("_row", F.monotonically_increasing_id()).cache()
+        vec = _vectors(sample, cols).withColumn("_row", F.monotonically_increasing_id()).coalesce(1).cache()
+
+        def labels(s):
+            return fit_kmeans(sample, k, s, cols).transform(vec).select("_row", F.col("_raw_cluster").alias("c"))
+
+        with ThreadPoolExecutor(max_workers=parallelism) as pool:
+            fitted = list(pool.map(labels, [x for s in seeds for x in (s, s + 1)]))
         scores = []
-        for s in seeds:
-            p1 = fit_kmeans(sample, k, s, cols).transform(vec).select("_row", F.col("_raw_cluster").alias("a"))
-            p2 = fit_kmeans(sample, k, s + 1, cols).transform(vec).select("_row", F.col("_raw_cluster").alias("b"))
-            scores.append(adjusted_rand(p1.join(p2, "_row"), "a", "b").first()["ari"])
+        for i in range(0, len(fitted), 2):
+            pair = fitted[i].join(fitted[i + 1].withColumnRenamed("c", "b"), "_row").withColumnRenamed("c", "a")
+            scores.append(adjusted_rand(pair, "a", "b").first()["ari"])
         vec.unpersist()
         return round(float(sum(scores) / len(scores)), 4)
     finally:

@@ -114,22 +114,32 @@ def zscore(df: DataFrame, cols=("event_count", "unique_commands", "session_durat
     return out.drop(*[f"_{p}_{c}" for c in cols for p in ("m", "s")])
 
 
-def standardize(df: DataFrame, cols, scope_cols=None, suffix: str = "_z") -> DataFrame:
-    """M1: (x - mean) / population sd per scope; a constant column gives 0.
-
-    NULLs count as 0 (features are filled first, as the reference does).
-    """
-    filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols}
+def scaler_stats(df: DataFrame, cols, scope_cols=None) -> DataFrame:
+    """M1 fit: per-scope mean and population sd (NULL -> 0) of ``cols``."""
     exprs = []
     for c in cols:
-        exprs += [F.avg(filled[c]).alias(f"_m_{c}"), F.stddev_pop(filled[c]).alias(f"_s_{c}")]
-    out = attach_stats(df, _agg(df, exprs, scope_cols), scope_cols)
+        x = F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+        exprs += [F.avg(x).alias(f"_m_{c}"), F.stddev_pop(x).alias(f"_s_{c}")]
+    return _agg(df, exprs, scope_cols)
+
+
+def apply_scaler(df: DataFrame, stats: DataFrame, cols, scope_cols=None, suffix: str = "_z") -> DataFrame:
+    """M1 transform with given statistics; a constant column gives 0."""
+    out = attach_stats(df, stats, scope_cols)
     for c in cols:
         sd = F.when(F.col(f"_s_{c}") > 0, F.col(f"_s_{c}")).otherwise(F.lit(1.0))
-        out = out.withColumn(f"{c}{suffix}", (filled[c] - F.col(f"_m_{c}")) / sd)
+        out = out.withColumn(f"{c}{suffix}", (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) - F.col(f"_m_{c}")) / sd)
     return out.drop(*[f"_{p}_{c}" for c in cols for p in ("m", "s")])
 
 
+def standardize(df: DataFrame, cols, scope_cols=None, suffix: str = "_z") -> DataFrame:
+    """M1: (x - mean) / population sd per scope; a constant column gives 0.
+
+    NULLs count as 0 (features are filled first, as the reference does).
+    """
+    return apply_scaler(df, scaler_stats(df, cols, scope_cols), cols, scope_cols, suffix)
+
+
 def fill_features(df: DataFrame, cols) -> DataFrame:
     """NULL -> 0 in feature columns (missing columns are created as 0)."""
     for c in cols:

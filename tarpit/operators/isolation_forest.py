@@ -1,9 +1,9 @@
 """Isolation forest (M6) — not in Spark ML, built from Spark primitives.
 
 Fit: a seeded pool of at most ``n_trees * max_samples`` rows (top-n by a
-hashed key, bounded per task); every tree draws its ``psi = min(max_samples,
-pool)`` rows from the pool by a per-tree hash rank, and the trees are grown
-in parallel, one ``applyInPandas`` group per tree (a group holds psi rows).
+hashed key, bounded per task) is broadcast; the tree ids are spread over
+tasks (``mapInPandas``) and every tree draws its ``psi = min(max_samples,
+pool)`` rows from the pool with its own seeded generator.
 The forest is at most n_trees * (2 psi - 1) nodes, so shipping it to the
 scorers is bounded by the parameters, not by the data.
 
@@ -19,9 +19,9 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import with_scalars
+from .common import materialize, with_scalars
 from .ids import with_sequence_number
 
 NODE_SCHEMA = T.StructType([
@@ -74,18 +74,26 @@ def _grow(x: np.ndarray, rng: np.random.Generator, max_depth: int) -> list[tuple
     return [tuple(n) for n in nodes]
 
 
-def _tree_builder(cols: list[str], psi: int, seed: int):
+def _forest_builder(pool_bc, psi: int, seed: int):
+    """mapInPandas body: grow the trees whose ids arrive in this task, each
+    from its own psi-row draw (without replacement) of the broadcast pool."""
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = int(pdf["_tree"].iloc[0])
-        x = pdf[cols].to_numpy(dtype=float)
-        rng = np.random.default_rng([seed, tree])
-        nodes = _grow(x, rng, max_depth)
-        out = pd.DataFrame(nodes, columns=["node", "feature", "threshold", "left", "right", "size", "depth"])
-        out.insert(0, "tree", tree)
-        return out.astype({"tree": "int32", "node": "int32", "feature": "int32", "left": "int32",
-                           "right": "int32", "size": "int64", "depth": "int32"})
+    def build(batches):
+        x = pool_bc.value
+        for pdf in batches:
+            frames = []
+            for tree in pdf["id"].astype(int):
+                rng = np.random.default_rng([seed, tree])
+                rows = rng.choice(len(x), size=psi, replace=False)
+                nodes = _grow(x[rows], rng, max_depth)
+                out = pd.DataFrame(nodes, columns=["node", "feature", "threshold", "left", "right", "size", "depth"])
+                out.insert(0, "tree", tree)
+                frames.append(out)
+            if frames:
+                yield pd.concat(frames, ignore_index=True).astype(
+                    {"tree": "int32", "node": "int32", "feature": "int32", "left": "int32", "right": "int32",
+                     "size": "int64", "depth": "int32"})
     return build
 
 
@@ -133,25 +141,27 @@ class IsolationForestModel:
 
 def fit_isolation_forest(df: DataFrame, cols: list[str], n_trees: int = 100, max_samples: int = 256,
                          seed: int = 42, key_cols=("session", "seg")) -> IsolationForestModel:
-    """Grow the forest on executors from a bounded, seeded sample."""
+    """Grow the forest on executors from a bounded, seeded sample.
+
+    The pool (top ``n_trees * max_samples`` rows by a seeded hash of the row
+    key; bounded by the parameters, not the data) is broadcast; tree ids are
+    spread over tasks and every tree draws psi rows from it.
+    """
+    spark = df.sparkSession
     h = F.xxhash64(*[F.col(c) for c in key_cols], F.lit(seed))
     pool = (df.select(*key_cols, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
-            .withColumn("_h", h).orderBy("_h", *key_cols).limit(n_trees * max_samples)).cache()
+            .withColumn("_h", h).orderBy("_h", *key_cols).limit(n_trees * max_samples))
+    x = pool.select(*cols).toPandas().to_numpy(dtype=float)
+    if len(x) == 0:
+        raise ValueError("isolation forest needs at least one row")
+    psi = min(max_samples, len(x))
+    pool_bc = spark.sparkContext.broadcast(x)
     try:
-        pool_n = pool.count()
-        if pool_n == 0:
-            raise ValueError("isolation forest needs at least one row")
-        psi = min(max_samples, pool_n)
-        # Every pool row is a candidate for every tree: pool x n_trees rows,
-        # bounded by n_trees^2 * max_samples (parameters only).
-        per_tree = (pool.withColumn("_tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
-                    .withColumn("_r", F.xxhash64(*[F.col(c) for c in key_cols], F.lit(seed), F.col("_tree"))))
-        w = Window.partitionBy("_tree").orderBy("_r", *key_cols)
-        picked = per_tree.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= psi)
-        nodes = (picked.select("_tree", *cols).groupBy("_tree")
-                 .applyInPandas(_tree_builder(list(cols), psi, seed), NODE_SCHEMA)).toPandas()
+        parts = max(1, min(n_trees, spark.sparkContext.defaultParallelism))
+        ids = spark.range(n_trees).repartition(parts)
+        nodes = ids.mapInPandas(_forest_builder(pool_bc, psi, seed), NODE_SCHEMA).toPandas()
     finally:
-        pool.unpersist()
+        pool_bc.unpersist()
     return IsolationForestModel(nodes, psi, list(cols))
 
 
@@ -188,7 +198,8 @@ def isolation_forest(df: DataFrame, cols: list[str], n_trees: int = 100, contami
     ``cols`` should already be standardised (see features.standardize).
     """
     model = fit_isolation_forest(df, cols, n_trees=n_trees, seed=seed, key_cols=key_cols)
-    scored = score_isolation_forest(df, model)
+    # Scores feed the quantile (several passes) and the flags: write once.
+    scored = materialize(score_isolation_forest(df, model), "iforest")
     offset = exact_quantile(scored, "anomaly_score", contamination, list(key_cols), "_offset")
     j = with_scalars(scored, offset)
     anom = F.coalesce(F.col("anomaly_score") < F.col("_offset"), F.lit(False))

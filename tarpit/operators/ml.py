@@ -17,8 +17,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import labels as L
-from .common import with_scalars
-from .features import CLUSTER_FEATURES, INPUT_FEATURES, prepare_features, standardize
+from .common import materialize, with_scalars
+from .features import CLUSTER_FEATURES, INPUT_FEATURES, apply_scaler, prepare_features, scaler_stats, standardize
 from .ids import with_sequence_number
 
 THRESHOLD_CLAMP = (0.20, 0.55)
@@ -154,44 +154,91 @@ def pca2(df: DataFrame, cols=CLUSTER_FEATURES, out=("pca_x", "pca_y"), scope_col
     return z.withColumn(out[0], proj[0]).withColumn(out[1], proj[1]).drop(*zc)
 
 
-def ml_risk(df: DataFrame, seed: int = 42, test_fraction: float = 0.3) -> tuple[DataFrame, dict]:
+def _evaluate(model, test: DataFrame, zcols) -> dict:
+    """Metrics at 0.5 and at the clamped F1-best threshold."""
+    scored_test = materialize(score_risk(model, test, zcols).select("y", "ml_risk_score"),
+                              "scored-test").withColumn("pred", (F.col("ml_risk_score") >= 0.5).cast("int"))
+    at50 = binary_metrics(scored_test, "y", "pred").first().asDict()
+    metrics = {"accuracy_at_50": at50["accuracy"], "precision_at_50": at50["precision"],
+               "recall_at_50": at50["recall"], "f1_at_50": at50["f1"]}
+    thr = 0.5
+    if model.numClasses >= 2:
+        thr = float(best_threshold(scored_test, "y", "ml_risk_score").first()["threshold"])
+    opt = binary_metrics(scored_test.withColumn("pred", (F.col("ml_risk_score") >= thr).cast("int")),
+                         "y", "pred").first().asDict()
+    cnt = scored_test.agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("rate")).first()
+    metrics.update({**opt, "threshold": round(thr, 4), "test_size": int(cnt["n"]),
+                    "anomaly_rate": round(float(cnt["rate"] or 0.0), 4)})
+    return metrics
+
+
+def _split(data: DataFrame, test_fraction: float, seed: int) -> tuple[DataFrame, DataFrame]:
+    classes = data.agg(F.countDistinct("y").alias("k"), F.count(F.lit(1)).alias("n")).first()
+    if classes["n"] < 2 or classes["k"] < 2:
+        return data, data  # too small or one class: train and test on everything
+    split = materialize(stratified_split(data, "y", test_fraction, seed), "split")
+    return split.where(~F.col("is_test")), split.where(F.col("is_test"))
+
+
+def cumulative_evaluation(history: DataFrame, batch_stats: DataFrame, feats: list[str], seed: int = 42,
+                          test_fraction: float = 0.3) -> dict | None:
+    """Evaluate on the whole stored history.
+
+    Needs >= 10 rows, >= 3 input features and >= 2 auth features. History
+    labels are recomputed by the isolation forest on its own standardised
+    auth features; the features are scaled with the *batch* scaler; a
+    forest is retrained on a stratified 70 % and evaluated on the 30 %.
+    Returns None (caller falls back to batch-only) when the conditions or
+    both classes are missing.
+    """
+    from .features import AUTH_FEATURES
+    from .isolation_forest import isolation_forest
+    avail = [c for c in feats if c in history.columns]
+    auth = [c for c in AUTH_FEATURES if c in history.columns]
+    if len(avail) < 3 or len(auth) < 2 or history.limit(10).count() < 10:
+        return None
+    keyed = history if "seg" in history.columns else history.withColumn("seg", F.lit(0).cast("bigint"))
+    lab = isolation_forest(standardize(keyed, auth, suffix="_ha"), [f"{c}_ha" for c in auth], seed=seed)
+    lab = lab.withColumn("y", F.col("is_anomaly").cast("int"))
+    if lab.select("y").distinct().count() < 2:
+        return None
+    stats = batch_stats.select(*[c for c in batch_stats.columns if c[3:] in avail])
+    scaled = apply_scaler(lab, stats, avail, suffix="_ms")
+    zcols = [f"{c}_ms" for c in avail]
+    train, test = _split(scaled, test_fraction, seed)
+    model = train_risk_model(train, zcols, seed=seed)
+    return {**_evaluate(model, test, zcols), "eval_mode": "cumulative"}
+
+
+def ml_risk(df: DataFrame, seed: int = 42, test_fraction: float = 0.3,
+            history: DataFrame | None = None, model_path: str | None = None) -> tuple[DataFrame, dict]:
     """Scale -> stratified split -> forest -> evaluate -> score.
 
     Label: ``is_anomaly`` if present, else behaviour label == High Risk.
     Adds ml_risk_score, ml_risk_label, ml_accuracy, ml_precision, ml_recall;
-    returns the metrics record too. Any failure gives the reference's
-    fallback values ('Unknown', zeros).
+    returns the metrics record too. With ``history`` the metrics come from
+    the cumulative evaluation (M13) when it applies; scoring always uses the
+    batch model. ``model_path`` saves the batch model (S12). Any failure
+    gives the reference's fallback values ('Unknown', zeros).
     """
     try:
         feats = prepare_features(df)
-        scaled = standardize(df, feats, suffix="_ms")
+        stats = scaler_stats(df, feats)
+        scaled = apply_scaler(df, stats, feats, suffix="_ms")
         zcols = [f"{c}_ms" for c in feats]
         if "is_anomaly" in df.columns:
             ylab = F.coalesce(F.col("is_anomaly").cast("int"), F.lit(0))
         else:
             ylab = F.coalesce((F.col("behavior_label") == "High Risk").cast("int"), F.lit(0))
-        data = scaled.withColumn("y", ylab)
-        classes = data.agg(F.countDistinct("y").alias("k"), F.count(F.lit(1)).alias("n")).first()
-        if classes["n"] < 2 or classes["k"] < 2:
-            split = data.withColumn("is_test", F.lit(True))
-            train, test = split, split
-        else:
-            split = stratified_split(data, "y", test_fraction, seed).cache()
-            train, test = split.where(~F.col("is_test")), split.where(F.col("is_test"))
+        train, test = _split(scaled.withColumn("y", ylab), test_fraction, seed)
         model = train_risk_model(train, zcols, seed=seed)
-        scored_test = score_risk(model, test, zcols).withColumn(
-            "pred", (F.col("ml_risk_score") >= 0.5).cast("int"))
-        at50 = binary_metrics(scored_test, "y", "pred").first().asDict()
-        metrics = {"accuracy_at_50": at50["accuracy"], "precision_at_50": at50["precision"],
-                   "recall_at_50": at50["recall"], "f1_at_50": at50["f1"]}
-        thr = 0.5
-        if model.numClasses >= 2:
-            thr = float(best_threshold(scored_test, "y", "ml_risk_score").first()["threshold"])
-        opt = binary_metrics(scored_test.withColumn("pred", (F.col("ml_risk_score") >= thr).cast("int")),
-                             "y", "pred").first().asDict()
-        cnt = scored_test.agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("rate")).first()
-        metrics.update({**opt, "threshold": round(thr, 4), "test_size": int(cnt["n"]),
-                        "anomaly_rate": round(float(cnt["rate"] or 0.0), 4), "eval_mode": "batch-only"})
+        if model_path:
+            model.write().overwrite().save(model_path)
+        metrics = None
+        if history is not None:
+            metrics = cumulative_evaluation(history, stats, feats, seed, test_fraction)
+        if metrics is None:
+            metrics = {**_evaluate(model, test, zcols), "eval_mode": "batch-only"}
         out = score_risk(model, scaled, zcols).drop(*zcols)
         out = (out.withColumn("ml_accuracy", F.lit(metrics["accuracy"]))
                .withColumn("ml_precision", F.lit(metrics["precision"]))

@@ -485,6 +485,57 @@ def q_stratified_split(spark, sf_dir):
     return sp.groupBy("y").agg(F.count(F.lit(1)).alias("rows"), F.count_if("is_test").alias("test_rows"))
 
 
+@query("csv_dashboard")
+def q_csv_dashboard(spark, sf_dir):
+    """S6 + S13 + L2: enriched sessions exported as CSV, loaded back with the
+    enriched schema, turned into the dashboard view."""
+    from ..schemas import ENRICHED
+    from pyspark.sql import types as T
+    path = shared_path(spark, f"csv/{uuid.uuid4().hex}")
+    S.export_csv(rule_enriched(spark, sf_dir), path)
+    schema = T.StructType(ENRICHED.fields + [T.StructField("seg", T.LongType()), T.StructField("batch_id", T.LongType())])
+    d = D.prepare_dashboard(S.load_dashboard(spark, path, schema))
+    return d.select("session_id", "ip_address", "events_count", "duration", "cluster",
+                    F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("timestamp"),
+                    "is_anomaly", "high_event_activity", "long_session", "credential_guessing", "command_heavy",
+                    r6("risk_score").alias("risk_score"), r6("risk_score_raw").alias("risk_score_raw"),
+                    "predicted_risk_level", "predicted_risk_score", "lat", "lon", "velocity_score",
+                    "bytes_transferred")
+
+
+@query("metrics_record")
+def q_metrics_record(spark, sf_dir):
+    """S9 + S11: metrics record written as JSON, read back and resolved."""
+    sc = _scored(spark, sf_dir).withColumn("pred", (F.col("score") >= 0.5).cast("int"))
+    path = shared_path(spark, f"metrics/{uuid.uuid4().hex}")
+    S.write_metrics(M.binary_metrics(sc, "y", "pred"), path)
+    return D.resolve_metrics(rule_enriched(spark, sf_dir), S.read_metrics(spark, path))
+
+
+@query("archive_batches")
+def q_archive_batches(spark, sf_dir):
+    """S6 + S7: history written per batch (idempotent partition overwrite,
+    risk-ordered), new rows appended to the archive; archive counts per batch."""
+    base = shared_path(spark, f"history/{uuid.uuid4().hex}")
+    e = rule_enriched(spark, sf_dir)
+    S.write_sessions(e, f"{base}/history", mode="overwrite_batches")
+    S.write_sessions(e, f"{base}/history", mode="overwrite_batches")  # a retried batch replaces itself
+    S.archive_batch(e, f"{base}/archive")
+    h = spark.read.parquet(f"{base}/history").groupBy("batch_id").agg(F.count(F.lit(1)).alias("history_rows"))
+    a = spark.read.parquet(f"{base}/archive").groupBy("batch_id").agg(F.count(F.lit(1)).alias("archive_rows"))
+    return h.join(a, "batch_id", "full")
+
+
+@query("scatter_points")
+def q_scatter_points(spark, sf_dir):
+    """PCA and duration/events scatter points (NULL -> 0)."""
+    d = rule_dashboard(spark, sf_dir)
+    sc = R.scatter(d).withColumnRenamed("cluster", "scatter_cluster")
+    de = R.duration_events(d)
+    return sc.join(de, "session_id").select("session_id", "pca_x", "pca_y", "is_anomaly", "duration",
+                                            "events_count", "cluster")
+
+
 # ---------------------------------------------------------------- model stages (no SQL twin)
 
 
@@ -526,7 +577,7 @@ def q_risk_forest(spark, sf_dir):
     """M9-M14 + M17: forest on the anomaly labels; scores, bands, metrics."""
     f = FE.standardize(sessions(spark, sf_dir), FE.AUTH_FEATURES, suffix="_if")
     lab = M_iforest(f, [f"{c}_if" for c in FE.AUTH_FEATURES]).drop(*[f"{c}_if" for c in FE.AUTH_FEATURES])
-    out, _ = M.ml_risk(lab)
+    out, _ = M.ml_risk(lab, model_path=shared_path(spark, f"models/{uuid.uuid4().hex}"))
     return out.select("session", "seg", "is_anomaly", "ml_risk_score", "ml_risk_label", "ml_accuracy",
                       "ml_precision", "ml_recall")
 

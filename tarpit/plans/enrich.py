@@ -42,7 +42,10 @@ def enrich(sessions: DataFrame, ranges: DataFrame, clusterer: Callable[[DataFram
     checkpointed (``materialize_output``) because reports read it many times.
     """
     info = {} if info is None else info
-    df = behavior_flags(sessions)
+    # Sessions table: written once. The range partitioning behind the ids
+    # samples its input in a separate pass, which must not re-run the
+    # sessionizer.
+    df = materialize(behavior_flags(sessions), "sessions")
     df = with_batch_ids(df, emission_order(), batch_size=batch_size, id_start=id_start)
     df = df.drop("first_seq", "last_seq", "closed")
     df = zscore(df, scope_cols=scope_cols)

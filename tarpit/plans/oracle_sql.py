@@ -555,3 +555,15 @@ FROM (SELECT *, SUM(CASE WHEN prev IS NULL OR cus - prev >= 120000000 THEN 1 ELS
               LAG(cus) OVER (PARTITION BY COALESCE(NULLIF(session, ''), src_ip, 'unknown') ORDER BY cus, event_seq) AS prev
             FROM raw))
 GROUP BY skey, w"""
+
+ORACLES["csv_dashboard"] = ORACLES["dashboard_view"]
+
+ORACLES["metrics_record"] = BASE_SCORED + "SELECT CAST(accuracy AS DOUBLE) AS accuracy, CAST(precision AS DOUBLE) AS precision, " \
+    "CAST(recall AS DOUBLE) AS recall FROM (" + _BM + ")"
+
+ORACLES["archive_batches"] = BASE_ENR + """SELECT batch_id, COUNT(*) AS history_rows, COUNT(*) AS archive_rows
+FROM enr GROUP BY batch_id"""
+
+ORACLES["scatter_points"] = BASE_DASH + """SELECT session_id, COALESCE(pca_x, 0.0) AS pca_x, COALESCE(pca_y, 0.0) AS pca_y,
+  is_anomaly, COALESCE(duration, 0.0) AS duration, COALESCE(events_count, 0) AS events_count,
+  COALESCE(cluster, 0) AS cluster FROM (SELECT *, CAST(NULL AS DOUBLE) AS pca_x, CAST(NULL AS DOUBLE) AS pca_y FROM dash)"""

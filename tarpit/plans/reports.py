@@ -243,3 +243,54 @@ def batch_summary(df: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("sessions"),
         F.count_if(F.coalesce(F.col("is_anomaly"), F.lit(False))).alias("anomalies"),
         F.count_if(F.col("risk_level") == "high").alias("high_risk"))
+
+
+# ---------------------------------------------------------------- report bundles
+
+
+def overview_report(dash: DataFrame, metrics: DataFrame) -> dict[str, DataFrame]:
+    """L3: the KPI row."""
+    return {"stats": kpis(dash, metrics)}
+
+
+def risk_report(dash: DataFrame, metrics: DataFrame) -> dict[str, DataFrame]:
+    """L4: distribution, day series, top sessions, cluster risk, histogram,
+    attack vector, archetypes, campaign severity, risk factors, metrics."""
+    return {
+        "distribution": distribution(dash, "predicted_risk_level"),
+        "time_series": daily_activity(dash),
+        "top_risk_sessions": top_risk(dash),
+        "risk_by_cluster": risk_by_cluster(dash),
+        "risk_histogram": risk_histogram(dash, remap=True),
+        "attack_vector": attack_vector(dash),
+        "threat_archetype": distribution(dash, "threat_archetype", 5),
+        "campaign_analysis": distribution(dash, "campaign_severity"),
+        "risk_factors": risk_factors(dash),
+        "metrics": metrics,
+    }
+
+
+def behavioral_report(dash: DataFrame) -> dict[str, DataFrame]:
+    """Scatters, cluster profiles, anomalies, stability, anomaly types."""
+    from .dashboard import overall_stability
+    return {
+        "scatter": scatter(dash),
+        "duration_event_scatter": duration_events(dash),
+        "profiles": cluster_profiles(dash),
+        "silhouette": overall_stability(dash),
+        "anomalies": first_anomalies(dash),
+        "stability_plot": stability_by_cluster(dash),
+        "anomaly_distribution": distribution(dash, "attacker_type", 5, where=F.col("is_anomaly")),
+    }
+
+
+def geo_report(dash: DataFrame) -> dict[str, DataFrame]:
+    """Map points, country risk, ASNs, internal hosts."""
+    return {
+        "points": geo_points(dash),
+        "country_risk": country_risk(dash),
+        "top_asns": top_asns(dash),
+        "internal_summary": internal_summary(dash),
+        "internal_top_ips": internal_top_ips(dash),
+        "internal_events_by_ip": internal_activity(dash),
+    }

@@ -24,24 +24,42 @@ def read_sessions(spark: SparkSession, path: str, fmt: str = "parquet", schema=E
     return spark.read.parquet(path)
 
 
-def load_dashboard(spark: SparkSession, path: str) -> DataFrame:
-    """A dashboard dataset delivered as CSV (all columns as text; the
-    dashboard view coerces them)."""
-    return spark.read.option("header", True).csv(path)
+def load_dashboard(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """A dashboard dataset delivered as CSV with a header. With a
+    schema the columns are typed on read; without, they stay text and the
+    dashboard view coerces them (P22, P23, P29)."""
+    r = spark.read.option("header", True)
+    return (r.schema(schema) if schema is not None else r).csv(path)
+
+
+def by_risk(df: DataFrame) -> DataFrame:
+    """O1: highest risk first, applied only at the sink (within partitions;
+    a global order is a range-partitioned sort only for single-file exports)."""
+    if "risk_score" not in df.columns:
+        return df
+    return df.sortWithinPartitions(F.col("risk_score").desc_nulls_last())
 
 
 def write_sessions(df: DataFrame, path: str, mode: str = "append", csv_path: str | None = None) -> None:
     """Write enriched sessions partitioned by batch; optional CSV export.
 
     Batches are replaced atomically per partition (dynamic overwrite), which
-    makes retries of the same batch idempotent.
+    makes retries of the same batch idempotent. Rows are written highest
+    risk first (O1).
     """
     spark = df.sparkSession
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    w = df.write.partitionBy("batch_id")
+    w = by_risk(df).write.partitionBy("batch_id")
     (w.mode("overwrite") if mode == "overwrite_batches" else w.mode(mode)).parquet(path)
     if csv_path:
-        df.write.mode("overwrite").option("header", True).csv(csv_path)
+        export_csv(df, csv_path)
+
+
+def export_csv(df: DataFrame, path: str) -> None:
+    """S6 CSV export with a header, timestamps as 'yyyy-MM-dd HH:mm:ss', highest risk first."""
+    out = df.orderBy(F.col("risk_score").desc_nulls_last()) if "risk_score" in df.columns else df
+    (out.write.mode("overwrite").option("header", True).option("timestampFormat", "yyyy-MM-dd HH:mm:ss")
+     .csv(path))
 
 
 def archive_batch(new_rows: DataFrame, path: str) -> None:
