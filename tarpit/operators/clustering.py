@@ -9,6 +9,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window, functions as F
@@ -94,7 +97,7 @@ def _vectors(df: DataFrame, cols, out: str = "features") -> DataFrame:
 
 def fit_kmeans(df: DataFrame, k: int, seed: int, cols, max_iter: int = 20):
     km = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="_raw_cluster")
-    return km.fit(_vectors(df, cols))
+    return km.fit(df if "features" in df.columns else _vectors(df, cols))
 
 
 def silhouette(df: DataFrame, label: str, cols) -> DataFrame:
@@ -158,47 +161,127 @@ def canonical_ids(df: DataFrame, raw: str, out: str = "behavior_cluster",
     return df.join(F.broadcast(ids), raw, "left").drop(raw)
 
 
-def _bounded_sample(df: DataFrame, cols, sample_rows: int, seed: int) -> DataFrame:
-    """M2 sample of at most ``sample_rows`` rows in one cached partition:
-    the repeated small fits below then run one task per pass."""
-    return sample_n(df, sample_rows, seed).select(*cols).coalesce(1).cache()
+def _bounded_sample_matrix(df: DataFrame, cols, sample_rows: int, seed: int) -> np.ndarray:
+    """M2 sample of at most ``sample_rows`` rows as a matrix (bounded by the
+    parameter, not the data)."""
+    return sample_n(df, sample_rows, seed).select(*cols).toPandas().to_numpy(dtype=float)
+
+
+def _lloyd(x: np.ndarray, k: int, seed: int, max_iter: int = 100, tol: float = 1e-4):
+    """k-means++ seeding + Lloyd iterations on a bounded sample (numpy)."""
+    rng = np.random.default_rng(seed)
+    centers = [x[rng.integers(len(x))]]
+    for _ in range(1, k):
+        d2 = np.min(((x[:, None, :] - np.asarray(centers)[None]) ** 2).sum(-1), axis=1)
+        p = d2 / d2.sum() if d2.sum() > 0 else None
+        centers.append(x[rng.choice(len(x), p=p)])
+    c = np.asarray(centers)
+    for _ in range(max_iter):
+        lab = ((x[:, None, :] - c[None]) ** 2).sum(-1).argmin(1)
+        new = np.array([x[lab == j].mean(0) if (lab == j).any() else c[j] for j in range(k)])
+        shift = ((new - c) ** 2).sum()
+        c = new
+        if shift <= tol:
+            break
+    d = ((x[:, None, :] - c[None]) ** 2).sum(-1)
+    lab = d.argmin(1)
+    return lab, float(d[np.arange(len(x)), lab].sum())
+
+
+def _silhouette_np(x: np.ndarray, lab: np.ndarray) -> float:
+    """Squared-Euclidean silhouette from cluster sums (same formula as
+    ``silhouette``)."""
+    ids = np.unique(lab)
+    sq = (x * x).sum(1)
+    n = np.array([(lab == c).sum() for c in ids], dtype=float)
+    s = np.array([x[lab == c].sum(0) for c in ids])
+    q = np.array([sq[lab == c].sum() for c in ids])
+    d = (n[None] * sq[:, None] - 2 * x @ s.T + q[None]) / n[None]
+    own = np.searchsorted(ids, lab)
+    n_own = n[own]
+    a = np.where(n_own > 1, d[np.arange(len(x)), own] * n_own / np.maximum(n_own - 1, 1), 0.0)
+    d[np.arange(len(x)), own] = np.inf
+    b = d.min(1)
+    ok = (n_own > 1) & np.isfinite(b)
+    out = np.zeros(len(x))
+    out[ok] = (b[ok] - a[ok]) / np.maximum(np.maximum(a[ok], b[ok]), 1e-300)
+    return float(out.mean())
+
+
+def _ari_np(a: np.ndarray, b: np.ndarray) -> float:
+    _, ai = np.unique(a, return_inverse=True)
+    _, bi = np.unique(b, return_inverse=True)
+    cont = np.zeros((ai.max() + 1, bi.max() + 1))
+    np.add.at(cont, (ai, bi), 1)
+    c2 = lambda v: (v * (v - 1) / 2.0).sum()
+    idx, sa, sb, n = c2(cont), c2(cont.sum(1)), c2(cont.sum(0)), len(a)
+    expected = sa * sb / (n * (n - 1) / 2.0) if n > 1 else 0.0
+    mx = (sa + sb) / 2.0
+    return 1.0 if mx == expected else float((idx - expected) / (mx - expected))
+
+
+TRIAL_SCHEMA = "trial long, k long, inertia double, silhouette double, ari double, clusters long"
+
+
+def _run_trials(spark, x: np.ndarray, trials: list[tuple[int, int, int, int]]):
+    """Run k-means trials (trial, k, seed, pair_seed or -1) as one Spark job:
+    one task per trial row, the bounded sample broadcast."""
+    bc = spark.sparkContext.broadcast(x)
+
+    def run(batches):
+        xs = bc.value
+        for pdf in batches:
+            rows = []
+            for t, k, sd, pair in pdf.itertuples(index=False):
+                lab, inertia = _lloyd(xs, int(k), int(sd))
+                nclus = len(np.unique(lab))
+                sil = _silhouette_np(xs, lab) if nclus >= 2 else float("nan")
+                ari = float("nan")
+                if pair >= 0:
+                    lab2, _ = _lloyd(xs, int(k), int(pair))
+                    ari = _ari_np(lab, lab2)
+                rows.append((t, k, inertia, sil, ari, nclus))
+            yield pd.DataFrame(rows, columns=["trial", "k", "inertia", "silhouette", "ari", "clusters"])
+    try:
+        conf = spark.createDataFrame(trials, "trial long, k long, seed long, pair long")
+        return conf.repartition(len(trials)).mapInPandas(run, TRIAL_SCHEMA).collect()
+    finally:
+        bc.unpersist()
 
 
 def choose_k(df: DataFrame, cols, ks=range(2, MAX_K + 1), sample_rows: int = 5000,
-             seed: int = 42, parallelism: int = 4) -> tuple[int, list[dict]]:
+             seed: int = 42) -> tuple[int, list[dict]]:
     """M3: k with the best silhouette on a bounded sample (default 2).
 
     Returns (best_k, [{k, inertia, silhouette}]). All-constant features or
     too few rows give k = 2 without fitting. The candidate fits are
-    independent Spark jobs and run concurrently.
+    independent trials on the bounded sample and run as parallel tasks of
+    one Spark job.
     """
-    from concurrent.futures import ThreadPoolExecutor
+    x = _bounded_sample_matrix(df, cols, sample_rows, seed)
+    n = len(x)
+    if n == 0 or (np.ptp(x, axis=0) <= 0).all():
+        return 2, [{"k": 2, "inertia": 0.0, "silhouette": 0.0}]
+    trials = [(i, k, seed, -1) for i, k in enumerate(k for k in ks if k <= n)]
+    rows = _run_trials(df.sparkSession, x, trials)
+    results = [{"k": int(r.k), "inertia": round(r.inertia, 4), "silhouette": round(r.silhouette, 4)}
+               for r in sorted(rows, key=lambda r: r.k) if r.clusters >= 2]
+    if not results:
+        return 2, [{"k": 2, "inertia": 0.0, "silhouette": 0.0}]
+    best = max(results, key=lambda r: (r["silhouette"], -r["k"]))
+    return best["k"], results
 
-    sample = _bounded_sample(df, cols, sample_rows, seed)
-    try:
-        stats = sample.agg(F.count(F.lit(1)).alias("n"),
-                           *[F.countDistinct(c).alias(f"d{i}") for i, c in enumerate(cols)]).first()
-        n = stats["n"]
-        if n == 0 or max(stats[f"d{i}"] for i in range(len(cols))) <= 1:
-            return 2, [{"k": 2, "inertia": 0.0, "silhouette": 0.0}]
-
-        def trial(k):
-            model = fit_kmeans(sample, k, seed, cols)
-            pred = model.transform(_vectors(sample, cols))
-            if len(model.summary.clusterSizes) < 2 or sum(1 for x in model.summary.clusterSizes if x > 0) < 2:
-                return None
-            sil = silhouette(pred, "_raw_cluster", cols).first()["silhouette"]
-            return {"k": k, "inertia": round(float(model.summary.trainingCost), 4),
-                    "silhouette": round(float(sil), 4)}
-
-        with ThreadPoolExecutor(max_workers=parallelism) as pool:
-            results = [r for r in pool.map(trial, [k for k in ks if k <= n]) if r is not None]
-        if not results:
-            return 2, [{"k": 2, "inertia": 0.0, "silhouette": 0.0}]
-        best = max(results, key=lambda r: (r["silhouette"], -r["k"]))
-        return best["k"], results
-    finally:
-        sample.unpersist()
+
+def cluster_stability(df: DataFrame, cols, k: int = 3, sample_rows: int = 5000,
+                      seeds=(0, 10, 20), sample_seed: int = 99) -> float:
+    """M7: mean adjusted Rand index between k-means runs with seeds s and
+    s + 1 on the bounded sample (the three pairs run as parallel tasks)."""
+    x = _bounded_sample_matrix(df, cols, sample_rows, sample_seed)
+    k = min(k, len(x))
+    if k < 2:
+        return 0.0
+    rows = _run_trials(df.sparkSession, x, [(i, k, s, s + 1) for i, s in enumerate(seeds)])
+    return round(float(np.mean([r.ari for r in rows])), 4)
 
 
 def cluster_sessions(df: DataFrame, k: int, seed: int = 42, cols=CLUSTER_FEATURES,
@@ -216,35 +299,6 @@ def cluster_sessions(df: DataFrame, k: int, seed: int = 42, cols=CLUSTER_FEATURE
     return canonical_ids(pred, "_raw_cluster")
 
 
-def cluster_stability(df: DataFrame, cols, k: int = 3, sample_rows: int = 5000,
-                      seeds=(0, 10, 20), sample_seed: int = 99, parallelism: int = 6) -> float:
-    """M7: mean adjusted Rand index between k-means runs with seeds s and s+1
-    (the six fits on the bounded sample run concurrently)."""
-    from concurrent.futures import ThreadPoolExecutor
-
-    sample = _bounded_sample(df, cols, sample_rows, sample_seed)
-    try:
-        n = sample.count()
-        k = min(k, n)
-        if k < 2:
-            return 0.0
-        vec = _vectors(sample, cols).withColumn("_row", F.monotonically_increasing_id()).coalesce(1).cache()
-
-        def labels(s):
-            return fit_kmeans(sample, k, s, cols).transform(vec).select("_row", F.col("_raw_cluster").alias("c"))
-
-        with ThreadPoolExecutor(max_workers=parallelism) as pool:
-            fitted = list(pool.map(labels, [x for s in seeds for x in (s, s + 1)]))
-        scores = []
-        for i in range(0, len(fitted), 2):
-            pair = fitted[i].join(fitted[i + 1].withColumnRenamed("c", "b"), "_row").withColumnRenamed("c", "a")
-            scores.append(adjusted_rand(pair, "a", "b").first()["ari"])
-        vec.unpersist()
-        return round(float(sum(scores) / len(scores)), 4)
-    finally:
-        sample.unpersist()
-
-
 def behavioral_clustering(df: DataFrame, seed: int = 42, sample_rows: int = 5000) -> tuple[DataFrame, dict]:
     """Standardise -> choose k -> k-means -> labels -> stability.
 

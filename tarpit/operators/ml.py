@@ -51,7 +51,9 @@ def train_risk_model(train: DataFrame, cols, label: str = "y", seed: int = 42, n
         "_w", F.when(F.col(label) == 1, F.lit(positive_weight)).otherwise(F.lit(1.0)))
     rf = RandomForestClassifier(featuresCol="features", labelCol=label, weightCol="_w", numTrees=num_trees,
                                 maxDepth=max_depth, minInstancesPerNode=min_leaf, seed=seed,
-                                probabilityCol="_prob", rawPredictionCol="_raw", predictionCol="_pred")
+                                probabilityCol="_prob", rawPredictionCol="_raw", predictionCol="_pred",
+                                # More tree nodes per pass over the data -> fewer passes.
+                                maxMemoryInMB=1024, cacheNodeIds=True)
     return rf.fit(data.withColumn(label, F.col(label).cast("double")))
 
 

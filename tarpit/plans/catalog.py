@@ -23,7 +23,7 @@ from ..operators import clustering as C
 from ..operators import features as FE
 from ..operators import geo as G
 from ..operators import ml as M
-from ..operators.common import with_scalars
+from ..operators.common import materialize, with_scalars
 from ..operators.ids import with_batch_ids
 from ..operators.sessionize import emission_order, sessionize
 from ..session import shared_path
@@ -51,12 +51,6 @@ def r6(c) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
 
-def half_even(c: str, digits: int = 2) -> Column:
-    """Round like numpy/pandas: scale, round half-even, unscale."""
-    k = 10 ** digits
-    return F.bround(F.col(c) * k, 0) / k
-
-
 # ---------------------------------------------------------------- inputs
 
 
@@ -69,6 +63,12 @@ def flagged(spark, sf_dir, **kw) -> DataFrame:
     return FE.behavior_flags(sessions(spark, sf_dir, **kw))
 
 
+def sessions_table(spark, sf_dir) -> DataFrame:
+    """Flagged sessions written once to the shared folder: the model stages
+    read them many times (fits, scoring, quantiles, joins)."""
+    return materialize(flagged(spark, sf_dir), "sessions")
+
+
 def rule_enriched(spark, sf_dir) -> DataFrame:
     """L1 with the stand-in cluster rule and without the model stages."""
     s = sessions(spark, sf_dir, keep_order_cols=True)
@@ -543,10 +543,10 @@ def q_scatter_points(spark, sf_dir):
 def q_kmeans_sessions(spark, sf_dir):
     """M3 + M5 + A4: k chosen by silhouette on a sample, final k-means with
     canonical ids; cluster sizes and profiles."""
-    f = FE.standardize(flagged(spark, sf_dir), FE.CLUSTER_FEATURES)
+    f = FE.standardize(sessions_table(spark, sf_dir), FE.CLUSTER_FEATURES)
     zc = [f"{c}_z" for c in FE.CLUSTER_FEATURES]
     k, _ = C.choose_k(f, zc)
-    cl = C.cluster_sessions(f, min(k, C.FINAL_K_CAP))
+    cl = materialize(C.cluster_sessions(f, min(k, C.FINAL_K_CAP)), "clusters")
     prof = C.cluster_profile(cl)
     sizes = cl.groupBy("behavior_cluster").agg(F.count(F.lit(1)).alias("sessions"))
     return prof.join(sizes, "behavior_cluster")
@@ -555,7 +555,7 @@ def q_kmeans_sessions(spark, sf_dir):
 @query("isolation_forest")
 def q_isolation_forest(spark, sf_dir):
     """M6: isolation forest on standardised auth features, 10 % contamination."""
-    f = FE.standardize(sessions(spark, sf_dir), FE.AUTH_FEATURES, suffix="_if")
+    f = FE.standardize(sessions_table(spark, sf_dir), FE.AUTH_FEATURES, suffix="_if")
     out = M_iforest(f, [f"{c}_if" for c in FE.AUTH_FEATURES])
     return out.select("session", "seg", "anomaly_score", "is_anomaly", "dbscan_label")
 
@@ -568,24 +568,37 @@ def M_iforest(df, cols):
 @query("anomaly_summary")
 def q_anomaly_summary(spark, sf_dir):
     """Anomaly count and rate of the isolation forest."""
-    f = FE.standardize(sessions(spark, sf_dir), FE.AUTH_FEATURES, suffix="_if")
+    f = FE.standardize(sessions_table(spark, sf_dir), FE.AUTH_FEATURES, suffix="_if")
     return R.anomaly_summary(M_iforest(f, [f"{c}_if" for c in FE.AUTH_FEATURES]))
 
 
 @query("risk_forest")
 def q_risk_forest(spark, sf_dir):
     """M9-M14 + M17: forest on the anomaly labels; scores, bands, metrics."""
-    f = FE.standardize(sessions(spark, sf_dir), FE.AUTH_FEATURES, suffix="_if")
+    f = FE.standardize(sessions_table(spark, sf_dir), FE.AUTH_FEATURES, suffix="_if")
     lab = M_iforest(f, [f"{c}_if" for c in FE.AUTH_FEATURES]).drop(*[f"{c}_if" for c in FE.AUTH_FEATURES])
     out, _ = M.ml_risk(lab, model_path=shared_path(spark, f"models/{uuid.uuid4().hex}"))
     return out.select("session", "seg", "is_anomaly", "ml_risk_score", "ml_risk_label", "ml_accuracy",
                       "ml_precision", "ml_recall")
 
 
+@query("risk_model_cumulative")
+def q_risk_model_cumulative(spark, sf_dir):
+    """M13 + M17: batch model scored on the new sessions, metrics from the
+    cumulative evaluation on the stored history (relabelled by the isolation
+    forest, scaled with the batch scaler, retrained, held-out 30 %)."""
+    f = FE.standardize(sessions_table(spark, sf_dir), FE.AUTH_FEATURES, suffix="_if")
+    lab = M_iforest(f, [f"{c}_if" for c in FE.AUTH_FEATURES]).drop(*[f"{c}_if" for c in FE.AUTH_FEATURES])
+    out, metrics = M.ml_risk(lab, history=_history_sessions(spark, sf_dir))
+    rec = S.metrics_frame(spark, {**metrics, "eval_mode": metrics.get("eval_mode", "fallback")})
+    per_label = out.groupBy("ml_risk_label").agg(F.count(F.lit(1)).alias("sessions"))
+    return with_scalars(per_label, rec.select("eval_mode", "accuracy", "test_size"))
+
+
 @query("pca2")
 def q_pca2(spark, sf_dir):
     """Two principal components of the standardised clustering features."""
-    p = M.pca2(flagged(spark, sf_dir))
+    p = M.pca2(sessions_table(spark, sf_dir))
     return p.select("session", "seg", "pca_x", "pca_y")
 
 

@@ -33,13 +33,16 @@ EXTRA_COLS = ("seg", "batch_id")
 def enrich(sessions: DataFrame, ranges: DataFrame, clusterer: Callable[[DataFrame], DataFrame] | None = None,
            with_ml: bool = True, with_pca: bool = True, scope_cols=None, seed: int = 42,
            batch_size: int = BATCH_SIZE, id_start: int = SESSION_COUNTER_START,
-           info: dict | None = None, materialize_output: bool = True) -> DataFrame:
+           info: dict | None = None, materialize_output: bool = True,
+           history: DataFrame | None = None) -> DataFrame:
     """Run the whole enrichment; ``clusterer`` replaces k-means + isolation
     forest with a given assignment (used for SQL-checkable runs).
 
     ``sessions`` must carry first_seq/last_seq/closed (``sessionize(...,
     keep_order_cols=True)``) for the arrival-ordered ids. The result is
     checkpointed (``materialize_output``) because reports read it many times.
+    ``history`` (stored sessions) switches the model metrics to the
+    cumulative evaluation (M13) when it applies.
     """
     info = {} if info is None else info
     # Sessions table: written once. The range partitioning behind the ids
@@ -79,7 +82,7 @@ def enrich(sessions: DataFrame, ranges: DataFrame, clusterer: Callable[[DataFram
     if with_ml:
         if clusterer is None:
             df = materialize(df)
-        df, metrics = ml_risk(df, seed=seed)
+        df, metrics = ml_risk(df, seed=seed, history=history)
         info["metrics"] = metrics
     if with_pca:
         df = pca2(df)

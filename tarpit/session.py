@@ -37,6 +37,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -60,3 +61,24 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A path below the shared checkpoint folder for written intermediates."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tarpit`` importable in the Python workers (pandas UDF stages):
+    zip the package on the driver once per SparkContext and register it
+    with ``addPyFile`` (Spark distributes it to every executor)."""
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_tarpit_shipped", False):
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="tarpit-pyfiles-"), "tarpit.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(out)
+    sc._tarpit_shipped = True

@@ -102,3 +102,59 @@ def test_read_events_orders_rotated_files(spark, scratch):
     exp = [f"e{i}_{j}" for i, n in enumerate((1, 50, 3)) for j in range(n)]
     assert got == exp
     assert [r.event_seq for r in read_events(spark, scratch).orderBy("event_seq").collect()] == list(range(54))
+
+
+def test_choose_k_and_stability_repeatable(spark, sess):
+    f = FE.standardize(sess, FE.CLUSTER_FEATURES)
+    zc = [f"{c}_z" for c in FE.CLUSTER_FEATURES]
+    k, trials = C.choose_k(f, zc)
+    assert 2 <= k <= 5 and [t["k"] for t in trials] == [2, 3, 4, 5]
+    assert C.choose_k(f, zc) == (k, trials)
+    st = C.cluster_stability(f, zc)
+    assert -1.0 <= st <= 1.0 and st == C.cluster_stability(f, zc)
+
+
+def test_numpy_trial_helpers_match_spark(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(80, 3))
+    lab = rng.integers(0, 3, 80)
+    other = rng.integers(0, 2, 80)
+    df = spark.createDataFrame([(int(a), int(b), *map(float, r)) for a, b, r in zip(lab, other, x)],
+                               "c int, d int, x0 double, x1 double, x2 double")
+    assert C._silhouette_np(x, lab) == pytest.approx(C.silhouette(df, "c", ["x0", "x1", "x2"]).first().silhouette)
+    assert C._ari_np(lab, other) == pytest.approx(C.adjusted_rand(df, "c", "d").first().ari)
+
+
+def test_stream_timeout_emits_idle_session(spark, scratch):
+    """A session without a close marker is emitted (closed = False)
+    once the watermark passes its last event + gap; a later event of the
+    same key opens a new record, as in the reference."""
+    import json
+    import time
+    feed, out, ck = (os.path.join(scratch, x) for x in ("feed", "out", "ck"))
+    os.makedirs(feed)
+
+    def land(i, events):
+        with open(os.path.join(feed, f"log{i}.json"), "w") as f:
+            for e in events:
+                f.write(json.dumps(e) + "\n")
+        os.utime(os.path.join(feed, f"log{i}.json"), (2000 + i, 2000 + i))
+
+    land(0, [{"session": "idle", "src_ip": "1.1.1.1", "eventid": "cowrie.session.connect",
+              "timestamp": "2024-01-01T00:00:00Z"},
+             {"session": "idle", "src_ip": "1.1.1.1", "eventid": "cowrie.login.failed", "username": "root",
+              "timestamp": "2024-01-01T00:00:30Z"}])
+    land(1, [{"session": "busy", "src_ip": "2.2.2.2", "eventid": "cowrie.session.connect",
+              "timestamp": "2024-01-01T02:00:00Z"}])
+    land(2, [{"session": "busy", "src_ip": "2.2.2.2", "eventid": "cowrie.session.closed",
+              "timestamp": "2024-01-01T02:00:10Z"}])
+    time.sleep(0.1)
+    sdf = stateful_sessions(stream_events(spark, feed, max_files_per_trigger=1), gap="10 minutes",
+                            watermark="1 minute")
+    stream_to_table(sdf, out, ck)
+    rows = {(r.session, r.closed): r for r in spark.read.parquet(out).collect()}
+    import hashlib
+    idle = hashlib.md5(b"idle").hexdigest()[:12]
+    busy = hashlib.md5(b"busy").hexdigest()[:12]
+    assert rows[(idle, False)].event_count == 2 and rows[(idle, False)].failed_logins == 1
+    assert rows[(busy, True)].event_count == 2
