@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -77,21 +78,22 @@ def _save(state, st: dict) -> None:
                   st["max_event_ms"]))
 
 
-def _merge(st: dict, seg: pd.DataFrame) -> dict:
-    """Fold one ordered run of events (no close marker inside except maybe
-    the last row) into the running state, vectorised with pandas."""
-    if st["event_count"] == 0 and len(seg):
-        st["src_ip"] = seg["src_ip"].iloc[0]
-    st["event_count"] += len(seg)
-    cmds = seg["input"].dropna()
-    cmds = cmds[cmds.astype(str).str.strip() != ""]
-    st["commands"].update(cmds.astype(str).tolist())
-    st["usernames"].update(seg["username"].dropna().astype(str).tolist())
-    st["failed"] += int((seg["eventid"] == EVENT_LOGIN_FAILED).sum())
-    st["success"] += int((seg["eventid"] == EVENT_LOGIN_SUCCESS).sum())
-    us = seg["ev_us"].dropna()
-    if len(us):
-        lo, hi = int(us.min()), int(us.max())
+def _merge(st: dict, src, eid, cmd, user, us) -> dict:
+    """Fold one ordered run of events (arrays; no close marker inside except
+    maybe the last one) into the running state."""
+    n = len(eid)
+    if n == 0:
+        return st
+    if st["event_count"] == 0:
+        st["src_ip"] = src[0] if isinstance(src[0], str) else None
+    st["event_count"] += n
+    st["commands"].update(c for c in cmd if isinstance(c, str) and c.strip() != "")
+    st["usernames"].update(u for u in user if isinstance(u, str))
+    st["failed"] += int(np.count_nonzero(eid == EVENT_LOGIN_FAILED))
+    st["success"] += int(np.count_nonzero(eid == EVENT_LOGIN_SUCCESS))
+    valid = us[~np.isnan(us)]
+    if len(valid):
+        lo, hi = int(valid.min()), int(valid.max())
         st["first_us"] = lo if st["first_us"] is None else min(st["first_us"], lo)
         st["last_us"] = hi if st["last_us"] is None else max(st["last_us"], hi)
         st["max_event_ms"] = max(st["max_event_ms"] or 0, hi // 1000)
@@ -108,17 +110,26 @@ def _make_update(gap_ms: int):
                 yield pd.DataFrame([_row(k, st, False)])
             return
         st = _load(state)
-        pdf = pd.concat(list(batches), ignore_index=True)
-        order = ["ev_us", "ev_seq"] if "ev_seq" in pdf.columns else ["ev_us"]
-        pdf = pdf.sort_values(order, kind="stable", na_position="last")
-        close = (pdf["eventid"] == EVENT_SESSION_CLOSED).fillna(False).astype(int)
-        run = close.cumsum().shift(fill_value=0)  # close markers strictly before each event
-        out = []
-        for _, seg in pdf.groupby(run.to_numpy(), sort=True):
-            st = _merge(st, seg)
-            if seg["eventid"].iloc[-1] == EVENT_SESSION_CLOSED:
+        frames = list(batches)
+        pdf = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
+        us = pdf["ev_us"].to_numpy(dtype=float, na_value=np.nan)
+        if "ev_seq" in pdf.columns:
+            order = np.lexsort((pdf["ev_seq"].to_numpy(dtype=float, na_value=np.nan), us))
+        else:
+            order = np.argsort(us, kind="stable")  # NaN (no valid time) sorts last
+        us = us[order]
+        eid = pdf["eventid"].to_numpy(dtype=object)[order]
+        src = pdf["src_ip"].to_numpy(dtype=object)[order]
+        cmd = pdf["input"].to_numpy(dtype=object)[order]
+        user = pdf["username"].to_numpy(dtype=object)[order]
+        ends = list(np.flatnonzero(eid == EVENT_SESSION_CLOSED) + 1)
+        out, start = [], 0
+        for end in ends + ([len(eid)] if not ends or ends[-1] != len(eid) else []):
+            st = _merge(st, src[start:end], eid[start:end], cmd[start:end], user[start:end], us[start:end])
+            if end in ends:
                 out.append(_row(k, st, True))
                 st = _empty(st["seg"] + 1)
+            start = end
         _save(state, st)
         # Time out `gap` after the newest event, never before the current
         # watermark (the first trigger has watermark 0).
