@@ -35,33 +35,39 @@ def cluster_profile(df: DataFrame, cluster: str = "behavior_cluster", cols=CLUST
 
 
 def label_clusters(df: DataFrame, cluster: str = "behavior_cluster",
-                   score: str = "behavioral_risk_score") -> DataFrame:
-    """A5 + A6: per cluster the mean score, behaviour label and risk weight.
+                   score: str = "behavioral_risk_score", scope_cols=None) -> DataFrame:
+    """A5 + A6: per cluster (per scope) the mean score, label and weight.
 
     Labels: lowest mean -> Low Risk, highest -> High Risk, others Medium;
     a single cluster is labelled by its mean (>= 2 High, >= 1 Medium).
     Weights by descending rank: 2.0, 1.0, 0.0, then -0.5. Ties by id.
     """
-    m = df.where(F.col(cluster).isNotNull()).groupBy(cluster).agg(
+    scope = list(scope_cols or [])
+    m = df.where(F.col(cluster).isNotNull()).groupBy(*scope, cluster).agg(
         F.avg(F.col(score).cast("double")).alias("mean_score"))
-    # At most k rows: a single-partition window is bounded here.
-    asc = Window.orderBy(F.col("mean_score").asc(), F.col(cluster).asc())
-    desc = Window.orderBy(F.col("mean_score").desc(), F.col(cluster).asc())
+    # At most k rows per scope: these windows are bounded by k.
+    part = [F.col(c) for c in scope] or [F.lit(1)]
+    asc = Window.partitionBy(*part).orderBy(F.col("mean_score").asc(), F.col(cluster).asc())
+    desc = Window.partitionBy(*part).orderBy(F.col("mean_score").desc(), F.col(cluster).asc())
     m = (m.withColumn("_ra", F.row_number().over(asc))
          .withColumn("_rd", F.row_number().over(desc))
-         .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))))
+         .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*part))))
     single = (F.when(F.col("mean_score") >= 2, "High Risk").when(F.col("mean_score") >= 1, "Medium Risk")
               .otherwise("Low Risk"))
     label = (F.when(F.col("_n") == 1, single).when(F.col("_ra") == 1, "Low Risk")
              .when(F.col("_ra") == F.col("_n"), "High Risk").otherwise("Medium Risk"))
     levels = F.array(*[F.lit(x) for x in WEIGHT_LEVELS])
     weight = F.element_at(levels, F.least(F.col("_rd"), F.lit(len(WEIGHT_LEVELS))).cast("int"))
-    return m.select(cluster, "mean_score", label.alias("behavior_label"), weight.alias("cluster_weight"))
+    return m.select(*scope, cluster, "mean_score", label.alias("behavior_label"), weight.alias("cluster_weight"))
 
 
-def apply_cluster_labels(df: DataFrame, labels: DataFrame, cluster: str = "behavior_cluster") -> DataFrame:
-    """Broadcast-join labels/weights (<= k rows) onto the sessions."""
-    return df.join(F.broadcast(labels.select(cluster, "behavior_label", "cluster_weight")), cluster, "left")
+def apply_cluster_labels(df: DataFrame, labels: DataFrame, cluster: str = "behavior_cluster",
+                         scope_cols=None) -> DataFrame:
+    """Join labels/weights onto the sessions. Whole-input labels have at
+    most k rows and are broadcast; per-scope labels have k rows per batch."""
+    keys = [*(scope_cols or []), cluster]
+    lab = labels.select(*keys, "behavior_label", "cluster_weight")
+    return df.join(lab if scope_cols else F.broadcast(lab), keys, "left")
 
 
 def risk_score(df: DataFrame, weight: str = "cluster_weight") -> DataFrame:

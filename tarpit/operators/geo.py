@@ -100,14 +100,15 @@ def geo_enrich(df: DataFrame, ranges: DataFrame, ip_col: str = "src_ip", bits: i
             .drop("_gip", "_country", "_country_iso", "_city", "_lat", "_lon", "_asn", "_asn_org", "_hit"))
 
 
-def campaigns(df: DataFrame) -> DataFrame:
-    """A7 + P18 + P19: one row per campaign key (country_iso + '_' + asn).
+def campaigns(df: DataFrame, scope_cols=None) -> DataFrame:
+    """A7 + P18 + P19: one row per campaign key (country_iso + '_' + asn),
+    per scope when given.
 
     Partial aggregation per task before the shuffle keeps a hot campaign
     key cheap.
     """
     keyed = df.withColumn("campaign_key", L.campaign_key())
-    g = keyed.groupBy("campaign_key").agg(
+    g = keyed.groupBy(*(scope_cols or []), "campaign_key").agg(
         F.count("session").alias("campaign_total_sessions"),
         F.avg(F.col("event_count").cast("double")).alias("campaign_avg_event_count"),
         F.avg(F.col("unique_commands").cast("double")).alias("campaign_avg_unique_cmds"),
@@ -117,9 +118,9 @@ def campaigns(df: DataFrame) -> DataFrame:
     return g.withColumn("campaign_severity", L.campaign_severity())
 
 
-def campaign_join(df: DataFrame, camp: DataFrame | None = None) -> DataFrame:
+def campaign_join(df: DataFrame, camp: DataFrame | None = None, scope_cols=None) -> DataFrame:
     """Attach campaign_key, campaign_total_sessions, campaign_severity."""
-    camp = campaigns(df) if camp is None else camp
+    camp = campaigns(df, scope_cols) if camp is None else camp
+    keys = [*(scope_cols or []), "campaign_key"]
     keyed = df.withColumn("campaign_key", L.campaign_key())
-    return keyed.join(camp.select("campaign_key", "campaign_total_sessions", "campaign_severity"),
-                      "campaign_key", "left")
+    return keyed.join(camp.select(*keys, "campaign_total_sessions", "campaign_severity"), keys, "left")

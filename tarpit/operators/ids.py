@@ -18,18 +18,34 @@ SESSION_COUNTER_START = 9786
 BATCH_SIZE = 9865
 
 
-def with_sequence_number(df: DataFrame, order: list[str | Column], out: str = "row_idx",
-                         start: int = 0, num_partitions: int | None = None) -> DataFrame:
-    """Add a dense 0-based (plus ``start``) position in ``order``.
+def range_frozen(df: DataFrame, order: list[str | Column], num_partitions: int | None = None) -> DataFrame:
+    """Range-partition on ``order``, sort inside partitions and record each
+    row's partition (``_pid``) and position (``_mid``) -- written once.
 
-    ``order`` must be a total order (end it with a unique key) so the result
-    is deterministic and survives task retries.
+    Spark's range partitioner samples its input with a seed derived from the
+    RDD id, so two evaluations of the same plan may cut different ranges;
+    counting rows per partition in one evaluation and numbering them in
+    another would then disagree. Freezing the assignment (a written table in
+    the shared folder) makes every later use consistent and survives
+    executor loss.
     """
+    from .common import materialize
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id()))
+    return materialize(ranged, "ranged")
+
+
+def with_sequence_number(df: DataFrame, order: list[str | Column], out: str = "row_idx",
+                         start: int = 0, num_partitions: int | None = None) -> DataFrame:
+    """Add a dense 0-based (plus ``start``) position in ``order``.
+
+    ``order`` must be a total order (end it with a unique key) so the result
+    is deterministic and survives task retries.
+    """
+    ranged = range_frozen(df, order, num_partitions)
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.select("_pid", F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions import labels as L
 from .common import materialize, with_scalars
 from .features import CLUSTER_FEATURES, INPUT_FEATURES, apply_scaler, prepare_features, scaler_stats, standardize
-from .ids import with_sequence_number
+from .ids import range_frozen, with_sequence_number
 
 THRESHOLD_CLAMP = (0.20, 0.55)
 
@@ -87,11 +87,10 @@ def binary_metrics(df: DataFrame, y: str = "y", pred: str = "pred", digits: int
 
 def prefix_sums(df: DataFrame, order: list, cols: list[str], num_partitions: int | None = None) -> DataFrame:
     """Running sums of ``cols`` in ``order`` (inclusive), without a single-task
-    window: range-partition, sum inside each partition (partition-bounded
-    window), add the totals of earlier partitions (one row per partition)."""
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id())
+    window: range-partition (assignment frozen, see ``range_frozen``), sum
+    inside each partition (partition-bounded window), add the totals of
+    earlier partitions (one row per partition)."""
+    ranged = range_frozen(df, order, num_partitions).drop("_mid")
     w_in = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.select("*", *[F.sum(c).over(w_in).alias(f"_cum_{c}") for c in cols])
     tot = ranged.groupBy("_pid").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])

@@ -258,6 +258,19 @@ def q_enriched_rule(spark, sf_dir):
     return e.select(*[r6(c).alias(c) if c in dbl else F.col(c) for c in e.columns])
 
 
+@query("enriched_rule_batched")
+def q_enriched_rule_batched(spark, sf_dir):
+    """L1 with per-upload-batch statistics (9,865 sessions per batch, as the
+    reference): z-scores, cluster labels / weights and campaigns per batch;
+    rule cluster assignment, no model stages."""
+    s = sessions(spark, sf_dir, keep_order_cols=True)
+    e = enrich(s, fixtures.geo_ranges(spark, sf_dir), clusterer=fixtures.rule_clusters, with_ml=False,
+               with_pca=False, scope_cols=["batch_id"])
+    dbl = [f.name for f in e.schema.fields if f.dataType.typeName() == "double"]
+    e = _text_times(e)
+    return e.select(*[r6(c).alias(c) if c in dbl else F.col(c) for c in e.columns])
+
+
 @query("dashboard_view")
 def q_dashboard_view(spark, sf_dir):
     """L2: renames, coercions, 0-100 risk, predicted level/score, fallbacks."""

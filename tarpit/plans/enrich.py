@@ -7,7 +7,9 @@ threat level (P15) -> campaigns (A7, J2) -> threat map (P16, P17) ->
 supervised risk model (M17) -> PCA (M15) -> conform (S14).
 
 ``scope_cols=["batch_id"]`` reproduces the reference's per-upload-batch
-statistics; the default computes them over the whole input.
+statistics (z-scores, auth-feature scaling, cluster labels and weights,
+campaigns); the default computes them over the whole input. Model fits
+(k-means, forests, PCA) are always whole-input.
 """
 
 from __future__ import annotations
@@ -69,14 +71,14 @@ def enrich(sessions: DataFrame, ranges: DataFrame, clusterer: Callable[[DataFram
             *[f"{c}_if" for c in auth], "anomaly_score")
     else:
         df = clusterer(df)
-        labels = C.label_clusters(df)
-        df = C.apply_cluster_labels(df, labels)
+        labels = C.label_clusters(df, scope_cols=scope_cols)
+        df = C.apply_cluster_labels(df, labels, scope_cols=scope_cols)
 
     df = C.risk_score(df).drop("cluster_weight")
     df = G.geo_enrich(df, ranges)
     anomaly = "is_anomaly" if "is_anomaly" in df.columns else None
     df = df.withColumn("risk_level", L.threat_level(behavior_label="behavior_label", is_anomaly=anomaly))
-    df = G.campaign_join(df)
+    df = G.campaign_join(df, scope_cols=scope_cols)
     df = C.cluster_threat_map(df)
 
     if with_ml:

@@ -567,3 +567,49 @@ FROM enr GROUP BY batch_id"""
 ORACLES["scatter_points"] = BASE_DASH + """SELECT session_id, COALESCE(pca_x, 0.0) AS pca_x, COALESCE(pca_y, 0.0) AS pca_y,
   is_anomaly, COALESCE(duration, 0.0) AS duration, COALESCE(events_count, 0) AS events_count,
   COALESCE(cluster, 0) AS cluster FROM (SELECT *, CAST(NULL AS DOUBLE) AS pca_x, CAST(NULL AS DOUBLE) AS pca_y FROM dash)"""
+
+
+# Per-upload-batch statistics (the reference's behaviour): ids first, then
+# z-scores, cluster labels / weights and campaigns within each batch.
+def _zb(c: str) -> str:
+    x = f"CAST({c} AS DOUBLE)"
+    w = "OVER (PARTITION BY batch_id)"
+    return (f"({x} - AVG({x}) {w}) / CASE WHEN STDDEV_SAMP({x}) {w} > 0 THEN STDDEV_SAMP({x}) {w} "
+            f"ELSE 1.0 END AS {c}_norm")
+
+
+_B_IDS = f"""bids AS (SELECT *, CAST((idx // 9865) AS BIGINT) AS batch_id, printf('SESS-%05d', 9786 + idx) AS session_id
+  FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY {EMIT_ORDER}) - 1 AS idx FROM flg))"""
+_B_ZS = f"bzs AS (SELECT *, {_zb('event_count')}, {_zb('unique_commands')}, {_zb('session_duration')} FROM bids)"
+_B_RC = f"brc AS (SELECT *, {RULE_CLUSTER} FROM bzs)"
+_B_LAB = """blab AS (
+  SELECT batch_id, behavior_cluster,
+    CASE WHEN n = 1 THEN (CASE WHEN mean_score >= 2 THEN 'High Risk' WHEN mean_score >= 1 THEN 'Medium Risk'
+                               ELSE 'Low Risk' END)
+         WHEN ra = 1 THEN 'Low Risk' WHEN ra = n THEN 'High Risk' ELSE 'Medium Risk' END AS behavior_label,
+    CAST(CASE WHEN rd = 1 THEN 2.0 WHEN rd = 2 THEN 1.0 WHEN rd = 3 THEN 0.0 ELSE -0.5 END AS DOUBLE) AS cluster_weight
+  FROM (SELECT batch_id, behavior_cluster, mean_score, COUNT(*) OVER (PARTITION BY batch_id) AS n,
+          ROW_NUMBER() OVER (PARTITION BY batch_id ORDER BY mean_score ASC, behavior_cluster ASC) AS ra,
+          ROW_NUMBER() OVER (PARTITION BY batch_id ORDER BY mean_score DESC, behavior_cluster ASC) AS rd
+        FROM (SELECT batch_id, behavior_cluster, AVG(CAST(behavioral_risk_score AS DOUBLE)) AS mean_score
+              FROM brc GROUP BY batch_id, behavior_cluster) m) r)"""
+_B_RL = """rl AS (
+  SELECT brc.*, blab.behavior_label, blab.cluster_weight,
+    event_count_norm * CAST(0.4 AS DOUBLE) + unique_commands_norm * CAST(0.3 AS DOUBLE)
+      + session_duration_norm * CAST(0.2 AS DOUBLE) + COALESCE(blab.cluster_weight, CAST(0.0 AS DOUBLE)) AS risk_score
+  FROM brc LEFT JOIN blab USING (batch_id, behavior_cluster))"""
+
+
+def _campaign_ctes_batched(src: str) -> str:
+    return (campaign_ctes(src)
+            .replace("FROM ck GROUP BY campaign_key)", "FROM ck GROUP BY batch_id, campaign_key)")
+            .replace("SELECT campaign_key, COUNT(session)", "SELECT batch_id, campaign_key, COUNT(session)")
+            .replace("FROM ck LEFT JOIN campsev USING (campaign_key))",
+                     "FROM ck LEFT JOIN campsev USING (batch_id, campaign_key))"))
+
+
+_B_TM = f"btm AS (SELECT *, {threat_map_cols()} FROM cj)"
+_B_ENR = ENR.replace("FROM ids)", "FROM btm)")
+BASE_ENR_BATCHED = with_ctes(RAW, SEGMENTED, SESSIONS, FLAGS, _B_IDS, _B_ZS, _B_RC, _B_LAB, _B_RL, SC, GEO,
+                             geo_join_cte("sc"), TL, _campaign_ctes_batched("tl"), _B_TM, _B_ENR)
+ORACLES["enriched_rule_batched"] = BASE_ENR_BATCHED + f"SELECT {_enr_select()} FROM enr"
