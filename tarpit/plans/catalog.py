@@ -536,7 +536,8 @@ def q_archive_batches(spark, sf_dir):
     S.archive_batch(e, f"{base}/archive")
     h = spark.read.parquet(f"{base}/history").groupBy("batch_id").agg(F.count(F.lit(1)).alias("history_rows"))
     a = spark.read.parquet(f"{base}/archive").groupBy("batch_id").agg(F.count(F.lit(1)).alias("archive_rows"))
-    return h.join(a, "batch_id", "full")
+    # Partition discovery infers the batch column's type; keep it BIGINT.
+    return h.join(a, "batch_id", "full").withColumn("batch_id", F.col("batch_id").cast("bigint"))
 
 
 @query("scatter_points")
@@ -700,7 +701,7 @@ def q_incremental_history(spark, sf_dir):
     run_incremental(spark, log, f"{base}/history", f"{base}/ckpt", fixtures.geo_ranges(spark, sf_dir),
                     gap="1 day", watermark="10 minutes", max_files_per_trigger=4,
                     enrich_kwargs={"clusterer": fixtures.rule_clusters, "with_ml": False, "with_pca": False})
-    h = spark.read.parquet(f"{base}/history")
+    h = spark.read.parquet(f"{base}/history").withColumn("batch_id", F.col("batch_id").cast("bigint"))
     return h.groupBy("batch_id").agg(F.count(F.lit(1)).alias("sessions"),
                                      F.count_if(F.col("risk_level") == "high").alias("high_risk"))
 
