@@ -25,6 +25,7 @@ from ..operators import geo as G
 from ..operators import ml as M
 from ..operators.common import materialize, with_scalars
 from ..operators.ids import with_batch_ids
+from ..operators.isolation_forest import isolation_forest
 from ..operators.sessionize import emission_order, sessionize
 from ..session import shared_path
 from ..sources import fixtures
@@ -570,12 +571,11 @@ def q_kmeans_sessions(spark, sf_dir):
 def q_isolation_forest(spark, sf_dir):
     """M6: isolation forest on standardised auth features, 10 % contamination."""
     f = FE.standardize(sessions_table(spark, sf_dir), FE.AUTH_FEATURES, suffix="_if")
-    out = M_iforest(f, [f"{c}_if" for c in FE.AUTH_FEATURES])
+    out = _iforest(f, [f"{c}_if" for c in FE.AUTH_FEATURES])
     return out.select("session", "seg", "anomaly_score", "is_anomaly", "dbscan_label")
 
 
-def M_iforest(df, cols):
-    from ..operators.isolation_forest import isolation_forest
+def _iforest(df, cols):
     return isolation_forest(df, cols)
 
 
@@ -583,14 +583,14 @@ def M_iforest(df, cols):
 def q_anomaly_summary(spark, sf_dir):
     """Anomaly count and rate of the isolation forest."""
     f = FE.standardize(sessions_table(spark, sf_dir), FE.AUTH_FEATURES, suffix="_if")
-    return R.anomaly_summary(M_iforest(f, [f"{c}_if" for c in FE.AUTH_FEATURES]))
+    return R.anomaly_summary(_iforest(f, [f"{c}_if" for c in FE.AUTH_FEATURES]))
 
 
 @query("risk_forest")
 def q_risk_forest(spark, sf_dir):
     """M9-M14 + M17: forest on the anomaly labels; scores, bands, metrics."""
     f = FE.standardize(sessions_table(spark, sf_dir), FE.AUTH_FEATURES, suffix="_if")
-    lab = M_iforest(f, [f"{c}_if" for c in FE.AUTH_FEATURES]).drop(*[f"{c}_if" for c in FE.AUTH_FEATURES])
+    lab = _iforest(f, [f"{c}_if" for c in FE.AUTH_FEATURES]).drop(*[f"{c}_if" for c in FE.AUTH_FEATURES])
     out, _ = M.ml_risk(lab, model_path=shared_path(spark, f"models/{uuid.uuid4().hex}"))
     return out.select("session", "seg", "is_anomaly", "ml_risk_score", "ml_risk_label", "ml_accuracy",
                       "ml_precision", "ml_recall")
@@ -602,7 +602,7 @@ def q_risk_model_cumulative(spark, sf_dir):
     cumulative evaluation on the stored history (relabelled by the isolation
     forest, scaled with the batch scaler, retrained, held-out 30 %)."""
     f = FE.standardize(sessions_table(spark, sf_dir), FE.AUTH_FEATURES, suffix="_if")
-    lab = M_iforest(f, [f"{c}_if" for c in FE.AUTH_FEATURES]).drop(*[f"{c}_if" for c in FE.AUTH_FEATURES])
+    lab = _iforest(f, [f"{c}_if" for c in FE.AUTH_FEATURES]).drop(*[f"{c}_if" for c in FE.AUTH_FEATURES])
     out, metrics = M.ml_risk(lab, history=_history_sessions(spark, sf_dir))
     rec = S.metrics_frame(spark, {**metrics, "eval_mode": metrics.get("eval_mode", "fallback")})
     per_label = out.groupBy("ml_risk_label").agg(F.count(F.lit(1)).alias("sessions"))

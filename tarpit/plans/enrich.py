@@ -55,12 +55,12 @@ def enrich(sessions: DataFrame, ranges: DataFrame, clusterer: Callable[[DataFram
     df = df.drop("first_seq", "last_seq", "closed")
     df = zscore(df, scope_cols=scope_cols)
     df = G.with_ip_scope(df)
-    # The per-session feature table feeds every later statistic, join and
-    # model fit: write it once (reliable checkpoint) instead of letting each
-    # branch re-run the sessionizer.
-    df = materialize(df)
 
     if clusterer is None:
+        # The model fits pass over the feature table many times: write it
+        # once. (Without them, everything above is a written table plus
+        # broadcast joins of one-row / one-row-per-partition tables.)
+        df = materialize(df, "features")
         df, cinfo = C.behavioral_clustering(df, seed=seed)
         info["clustering"] = cinfo
         auth = [c for c in AUTH_FEATURES if c in df.columns]
