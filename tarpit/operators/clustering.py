@@ -326,5 +326,6 @@ def behavioral_clustering(df: DataFrame, seed: int = 42, sample_rows: int = 5000
         return out, {"k": final_k, "trials": trials, "stability": stability}
     except Exception as e:  # noqa: BLE001 - reference falls back on any error
         out = (df.withColumn("behavior_cluster", F.lit(0)).withColumn("behavior_label", F.lit("Unknown"))
-               .withColumn("cluster_weight", F.lit(2.0)).withColumn("cluster_stability", F.lit(0.0)))
+               .withColumn("cluster_weight", F.lit(2.0)).withColumn("cluster_stability", F.lit(0.0))
+               .withColumn("is_anomaly", F.lit(False)).withColumn("dbscan_label", F.lit(0)))
         return out, {"k": 1, "error": str(e), "stability": 0.0}

@@ -61,14 +61,25 @@ def enrich(sessions: DataFrame, ranges: DataFrame, clusterer: Callable[[DataFram
         # once. (Without them, everything above is a written table plus
         # broadcast joins of one-row / one-row-per-partition tables.)
         df = materialize(df, "features")
-        df, cinfo = C.behavioral_clustering(df, seed=seed)
+        clustered, cinfo = C.behavioral_clustering(df, seed=seed)
         info["clustering"] = cinfo
         auth = [c for c in AUTH_FEATURES if c in df.columns]
         if len(auth) < 2:
             auth = [c for c in ("session_duration", "failed_logins") if c in df.columns]
-        z = standardize(df, auth, scope_cols=scope_cols, suffix="_if")
-        df = isolation_forest(z, [f"{c}_if" for c in auth], seed=seed).drop(
-            *[f"{c}_if" for c in auth], "anomaly_score")
+        failed = "error" in cinfo
+        if not failed:
+            try:
+                z = standardize(clustered, auth, scope_cols=scope_cols, suffix="_if")
+                df = isolation_forest(z, [f"{c}_if" for c in auth], seed=seed).drop(
+                    *[f"{c}_if" for c in auth], "anomaly_score")
+            except Exception as e:  # noqa: BLE001 - the reference falls back on any error
+                info["clustering"] = {**cinfo, "error": str(e)}
+                failed = True
+        if failed:
+            # The reference's fallback for the whole clustering block.
+            df = (df.withColumn("behavior_cluster", F.lit(0)).withColumn("behavior_label", F.lit("Unknown"))
+                  .withColumn("cluster_weight", F.lit(2.0)).withColumn("cluster_stability", F.lit(0.0))
+                  .withColumn("is_anomaly", F.lit(False)).withColumn("dbscan_label", F.lit(0)))
     else:
         df = clusterer(df)
         labels = C.label_clusters(df, scope_cols=scope_cols)
@@ -80,6 +91,9 @@ def enrich(sessions: DataFrame, ranges: DataFrame, clusterer: Callable[[DataFram
     df = df.withColumn("risk_level", L.threat_level(behavior_label="behavior_label", is_anomaly=anomaly))
     df = G.campaign_join(df, scope_cols=scope_cols)
     df = C.cluster_threat_map(df)
+    if clusterer is None and "error" in info.get("clustering", {}):
+        df = (df.withColumn("attacker_type", F.lit("Unclassified")).withColumn("threat_archetype", F.lit("Unknown"))
+              .withColumn("confidence_level", F.lit("Low")).withColumn("geo_visualization", F.lit("disabled")))
 
     if with_ml:
         if clusterer is None:

@@ -128,7 +128,7 @@ def risk_factors(dash: DataFrame) -> DataFrame:
     tot = s.agg(F.sum("value").alias("_t"))
     j = with_scalars(s, tot)
     share = F.when(F.col("_t") > 0, F.col("value") / F.col("_t") * 100).otherwise(F.col("value"))
-    return j.select("factor", share.alias("share"))
+    return j.select("factor", share.alias("share")).orderBy(F.col("share").desc(), F.col("factor"))
 
 
 def scatter(dash: DataFrame) -> DataFrame:

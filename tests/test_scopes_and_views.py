@@ -90,3 +90,24 @@ def test_batch_scoped_enrichment_equals_separate_batches(spark):
             for c in cols:
                 a, e = getattr(g, c), getattr(r, c)
                 assert (a == pytest.approx(e)) if isinstance(e, float) else a == e, (c, a, e)
+
+
+def test_enrich_falls_back_like_reference(spark, monkeypatch):
+    """A failing clustering stage gives the reference's fallback values for
+    the whole clustering block; later stages still run."""
+    from tarpit.operators import clustering as C
+    from tarpit.operators.sessionize import sessionize
+    from tarpit.plans.enrich import enrich
+    from tarpit.sources import fixtures
+
+    def boom(*a, **k):
+        raise RuntimeError("forced")
+    monkeypatch.setattr(C, "choose_k", boom)
+    sf = "/root/testdata/sf0.001"
+    s = sessionize(fixtures.raw_events(spark, sf), keep_order_cols=True)
+    info = {}
+    e = enrich(s, fixtures.geo_ranges(spark, sf), with_ml=False, with_pca=False, info=info)
+    assert "error" in info["clustering"]
+    rows = e.select("behavior_cluster", "behavior_label", "is_anomaly", "dbscan_label", "cluster_stability",
+                    "attacker_type", "threat_archetype", "confidence_level", "geo_visualization").distinct().collect()
+    assert [tuple(r) for r in rows] == [(0, "Unknown", False, 0, 0.0, "Unclassified", "Unknown", "Low", "disabled")]
