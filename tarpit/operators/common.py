@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row DataFrame (global statistics) to every
-    row: a broadcast hash join on a constant key, so the build side is
-    exactly one row whatever the data size."""
-    return (df.withColumn("_one", F.lit(1))
-            .join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one")
-            .drop("_one"))
+    """Attach the columns of a one-row DataFrame (global statistics, a
+    metrics record) to every row as a scalar subquery: computed once, no
+    join, and an error if it ever returns more than one row."""
+    cols = one_row.columns
+    packed = one_row.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_scalars")).scalar()
+    out = df.withColumn("_scalars", packed)
+    return out.select(*[F.col(f"`{c}`") for c in df.columns],
+                      *[F.col("_scalars").getField(c).alias(c) for c in cols])
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
