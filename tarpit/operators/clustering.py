@@ -112,8 +112,8 @@ def silhouette(df: DataFrame, label: str, cols) -> DataFrame:
     For a point x and cluster C with n_C points, sum S_C and sum of squared
     norms Q_C, the mean squared distance is (n_C |x|^2 - 2 x.S_C + Q_C) / n_C;
     the own cluster excludes the point itself (factor n_C / (n_C - 1)).
-    The <= k cluster sums travel as one broadcast row and every point is
-    scored against them with array functions: O(rows x k), no pairs, no
+    The <= k cluster sums travel as one scalar (an array of structs) and
+    every point is scored against them with array functions: O(rows x k), no pairs, no
     shuffle of the points. Returns one row ``silhouette``.
     """
     xs = [F.col(f"_x{i}") for i in range(len(cols))]

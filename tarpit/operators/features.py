@@ -3,8 +3,8 @@
 
 Statistical operators take ``scope_cols``: ``None`` computes over the whole
 DataFrame, ``["batch_id"]`` per upload batch (the reference's behaviour).
-Whole-table statistics are one aggregate row cross-joined back (a one-row
-broadcast), never a ``Window.partitionBy()`` over everything.
+Whole-table statistics are one aggregate row attached as a scalar subquery,
+never a ``Window.partitionBy()`` over everything.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ LEAKAGE_COLUMNS = frozenset({
 
 
 def attach_stats(df: DataFrame, stats: DataFrame, scope_cols=None) -> DataFrame:
-    """Join per-scope statistics back; the whole-table case is a 1-row broadcast."""
+    """Join per-scope statistics back; the whole-table case is a scalar subquery."""
     if not scope_cols:
         return with_scalars(df, stats)
     return df.join(stats, list(scope_cols), "left")

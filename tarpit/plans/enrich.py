@@ -59,7 +59,7 @@ def enrich(sessions: DataFrame, ranges: DataFrame, clusterer: Callable[[DataFram
     if clusterer is None:
         # The model fits pass over the feature table many times: write it
         # once. (Without them, everything above is a written table plus
-        # broadcast joins of one-row / one-row-per-partition tables.)
+        # scalar statistics and a one-row-per-partition offset broadcast.)
         df = materialize(df, "features")
         clustered, cinfo = C.behavioral_clustering(df, seed=seed)
         info["clustering"] = cinfo

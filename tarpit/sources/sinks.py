@@ -101,7 +101,7 @@ def metrics_frame(spark: SparkSession, metrics: dict) -> DataFrame:
 
 def stamp_metrics(df: DataFrame, metrics: DataFrame) -> DataFrame:
     """Newest accuracy / precision / recall on every stored row (a
-    one-row broadcast)."""
+    scalar subquery over the one-row metrics record)."""
     m = metrics.select(*[F.col(k).cast("double").alias(v) for k, v in METRIC_COLUMNS.items()])
     return with_scalars(df.drop(*METRIC_COLUMNS.values()), m)
 
