@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, simhash
+import corpus_pipeline
+
+from . import bpe, mixing, pii, quality, simhash
 from .rows import table
 
 
@@ -13,11 +15,34 @@ def op1_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op4_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target of every document's source and the words the mix takes of it."""
+    return mixing.mix_report(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's byte-level BPE ids and of their decoding."""
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_ball_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprint and near-duplicate class of every document."""
     found = simhash.simhash_classes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_compression_bands, op8_simhash_ball_hashing)}
-ORACLES: dict[str, str] = {}
+def op10_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strict spans of personal data in every document, and those the span classifier adds."""
+    return pii.pii_report(table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline over ``documents``."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_compression_bands, op4_hash_threshold_mix, op7_segment_tree_bpe,
+                                   op8_simhash_ball_hashing, op10_weak_supervision_pii, pipeline)}
+ORACLES = {"op4_hash_threshold_mix": mixing.MIX_SQL}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
