@@ -34,7 +34,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators.common import materialize
 from .components import components
@@ -219,9 +219,8 @@ def shared_variants(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
 def fingerprint_links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """``prints`` (fp, distinct) -> links (a, b): each fingerprint of a ball to the
     least of it, verified by the bits that differ."""
-    owners = materialize(shared_variants(prints, distance), "variants")
-    least = owners.groupBy("variant").agg(F.min("fp").alias("a"), F.count("*").alias("n")).filter("n > 1")
-    return (owners.join(least, "variant").filter("fp <> a")
+    least = F.min("fp").over(Window.partitionBy("variant"))  # a ball has 2,081 fingerprints at most
+    return (shared_variants(prints, distance).withColumn("a", least).filter("fp <> a")
             .filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("a"))) <= distance)
             .select("a", F.col("fp").alias("b")).distinct())
 
