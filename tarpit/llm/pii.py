@@ -14,12 +14,11 @@ spans.
 No pattern matches a line break, none backtracks over a run twice (runs are
 possessive and start where the run starts), so the time is linear in the text.
 Patterns, labelers and the span classifier run per row in one pass; only vote
-pattern counts, at most 4 * 3^5 * 9 rows whatever the input, are shuffled.
+pattern counts, at most 4 * 3 * 3^5 * 6 rows whatever the input, are shuffled.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 from functools import reduce
 
@@ -180,17 +179,17 @@ def votes(kind: str, s: Column) -> dict[str, Column]:
         gazetteer = F.when(last.isin(*TOP_LEVEL.split()), yes).otherwise(no)
     elif kind == "ip":
         parts = F.split(F.trim(F.regexp_replace(found, "[^0-9]+", " ")), " ")
-        shape = F.when(found.rlike(r"\[|\("), yes).otherwise(none)
+        shape = F.when(found.contains(" "), no).otherwise(yes)
         checksum = F.when(F.forall(parts, lambda p: p.rlike("^(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})$")), yes).otherwise(no)
         gazetteer = F.when(F.element_at(parts, 1).isin("0", "127", "255"), no).otherwise(none)
     elif kind == "card":
-        shape = F.when(found.rlike(r"^([0-9]{4})(\D+)[0-9]{4}\2[0-9]{4}\2[0-9]{4}$"), yes).otherwise(no)
+        shape = F.when(found.rlike(r"^[0-9]+$|^([0-9]{4})(\D+)[0-9]{4}\2[0-9]{4}\2[0-9]{4}$"), yes).otherwise(no)
         checksum = F.when(luhn(d), yes).otherwise(no)
         gazetteer = F.when(d.rlike("^(?:4|5[1-5]|2[2-7]|3[47]|6011|65|62)"), yes).otherwise(no)
     else:
-        shape = F.when(found.rlike(r"^00|\("), yes).when(found.rlike(r"^[0-9]{3}([ .-])[0-9]{3}\1[0-9]{4}$"), yes).otherwise(no)
-        checksum = F.when(~n.between(9, 15) | found.rlike(r"^(?:19|20)[0-9]{2}[ .-]|^97[89]"), no).otherwise(none)
-        gazetteer = F.when(found.rlike(r"^\(?0?[2-9]|^00[1-9]"), none).otherwise(no)
+        shape = F.when(found.rlike(r"^\+|^00|\(|^[0-9]{3}([ .-])[0-9]{3}\1[0-9]{4}$"), yes).otherwise(no)
+        checksum = F.when(~n.between(9, 15) | found.rlike(r"^(?:19|20)[0-9]{2}[ .-]|^97[89]"), no).otherwise(yes)
+        gazetteer = F.when(found.rlike(r"^(?:\+|00)[1-9]"), yes).when(found.rlike(r"^\(?0?[2-9]"), none).otherwise(no)
     left = F.when(_words(s["left"], CUES[kind]), yes).when(_words(s["left"], AGAINST[kind]), no).otherwise(none)
     right = F.when(F.lower(s["right"]).rlike(r"^\s?(?:%|px\b|kg\b|km\b|cm\b|mm\b|eur\b|usd\b|=|\()"), no).otherwise(none)
     return dict(zip(LABELERS, (shape, checksum, gazetteer, left, right)))
@@ -207,7 +206,8 @@ def found_spans(text: Column) -> Column:
         return F.transform(of(kind, BASE, MAY), lambda s: s.withField("valid", valid(kind, s["found"])))
 
     def split(every: Column) -> Column:
-        return F.struct(F.filter(every, lambda s: s["valid"]).alias("base"), F.filter(every, lambda s: ~s["valid"]).alias("failed"))
+        near = lambda s: (s["kind"] != KINDS.index("card")) | (F.length(digits(s["found"])) >= 13)  # noqa: E731  not just a number
+        return F.struct(F.filter(every, lambda s: s["valid"]).alias("base"), F.filter(every, lambda s: ~s["valid"] & near(s)).alias("failed"))
 
     return F.struct(let(F.flatten(F.array(*map(strict, KINDS))), split).alias("strict"),
                     F.flatten(F.array(*[of(k, LOOSE, MAY_LOOSE) for k in KINDS])).alias("loose"))
@@ -237,39 +237,64 @@ def candidates(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def vote_counts(found: DataFrame) -> DataFrame:
-    """Candidates by kind, votes and features: a bounded table, summed before the shuffle."""
-    return (found.select(F.explode(F.concat("_base", "_failed", "_loose")).alias("s"))
-            .groupBy("s.kind", *[F.col(f"s.votes.{k}").alias(k) for k in LABELERS], F.col("s.long").alias("long"), F.col("s.glued").alias("glued"))
+    """Candidates by kind, origin (1 strict and valid, -1 strict and failed, 0 loose),
+    votes and features: a bounded table, summed before the shuffle."""
+    def of(name: str, origin: int) -> Column:
+        return F.transform(name, lambda s: s.withField("origin", F.lit(origin)))
+
+    return (found.select(F.explode(F.concat(of("_base", 1), of("_failed", -1), of("_loose", 0))).alias("s"))
+            .groupBy("s.kind", "s.origin", *[F.col(f"s.votes.{k}").alias(k) for k in LABELERS], F.col("s.long").alias("long"), F.col("s.glued").alias("glued"))
             .agg(F.count("*").alias("n")))
 
 
-def reliabilities(counts: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, dict]:
-    """Expectation maximisation over vote pattern counts.
+def reliabilities(counts: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """Expectation maximisation over vote pattern counts, per kind.
 
-    Returns the counts with ``truth``, the probability that such a span is true, and
-    the estimates: per kind the share of true spans, and per labeler the probability
-    of each vote given a true and a false span. The first guess is the majority of
-    the votes; the prior keeps rare kinds sensible and every chance between 0 and 1.
+    Strict spans are known, true if valid and false if failed, and show how
+    reliable each labeler is; the truth of loose spans is estimated. Returns the counts with ``truth``, the probability that such a span is true, and
+    per kind ``share``, that of loose spans, and ``weight``: by labeler and vote (no,
+    nothing, yes) the logarithm of how much likelier a true span gets that vote than
+    a false one. The first guess is the majority of the votes; the prior keeps rare
+    kinds sensible and every chance between 0 and 1. One array holds the patterns of
+    a kind (a bounded number), and the rounds are an aggregate over it.
     """
-    majority = reduce(lambda a, b: a + b, [F.col(k) for k in LABELERS])
-    current = counts.withColumn("truth", 1 / (1 + F.exp(-F.lit(1.5) * majority)))
-    estimates: dict = {}
-    for _ in range(rounds):
-        sums = [F.sum(F.col("n") * p).alias(name) for name, p in (("yes", F.col("truth")), ("no", 1 - F.col("truth")))]
-        sums += [F.sum(F.when(F.col(k) == v, F.col("n") * p).otherwise(0.0)).alias(f"{k}_{v + 1}_{c}")
-                 for k in LABELERS for v in (-1, 0, 1) for c, p in (("yes", F.col("truth")), ("no", 1 - F.col("truth")))]
-        estimates = {}
-        for r in current.groupBy("kind").agg(*sums).collect():  # four rows at most
-            rate = {(k, v, c): (r[f"{k}_{v + 1}_{c}"] + PRIOR_SPANS * PRIOR_VOTES[v if c == "yes" else -v]) / (r[c] + PRIOR_SPANS)
-                    for k in LABELERS for v in (-1, 0, 1) for c in ("yes", "no")}
-            estimates[r["kind"]] = (r["yes"] + 1) / (r["yes"] + r["no"] + 2), rate
-        odds = F.lit(0.0)
-        for kind, (share, rate) in estimates.items():
-            terms = [F.when(F.col(k) == v, math.log(rate[k, v, "yes"] / rate[k, v, "no"])).otherwise(0.0)
-                     for k in LABELERS for v in (-1, 0, 1)]
-            odds = F.when(F.col("kind") == kind, reduce(lambda a, b: a + b, terms, F.lit(math.log(share / (1 - share))))).otherwise(odds)
-        current = counts.withColumn("truth", 1 / (1 + F.exp(-odds)))
-    return current, estimates
+    cells = F.array(*[F.lit(3 * k + 2) + F.col(name) for k, name in enumerate(LABELERS)])  # of 1 to 15, as votes are -1 to 1
+    by_kind = counts.groupBy("kind").agg(F.collect_list(F.struct(
+        F.col("n").cast("double").alias("n"), "origin", cells.alias("cells"), *LABELERS, "long", "glued")).alias("patterns"))
+    size = 3 * len(LABELERS)
+
+    def chance(p: Column, state: Column) -> Column:
+        odds = F.aggregate(p["cells"], state["bias"], lambda a, c: a + F.element_at(state["weight"], c))
+        return F.when(p["origin"] == 0, 1 / (1 + F.exp(-odds))).otherwise((p["origin"] + 1) / 2)
+
+    def maximise(parts: Column) -> Column:
+        """parts: (yes, no, cells, loose) of each pattern."""
+        def total(of: Column, field: str) -> Column:
+            return F.aggregate(of, F.lit(0.0), lambda a, p: a + p[field])
+
+        def weight(c: Column, yes: Column, no: Column) -> Column:
+            own = F.filter(parts, lambda p: F.array_contains(p["cells"], c))
+            prior = F.array(*[F.lit(PRIOR_SPANS * PRIOR_VOTES[v]) for v in (-1, 0, 1)])
+            at = (c - 1) % 3
+            return (F.log((total(own, "yes") + F.element_at(prior, at + 1)) / (yes + PRIOR_SPANS))
+                    - F.log((total(own, "no") + F.element_at(prior, 3 - at)) / (no + PRIOR_SPANS)))
+
+        loose = F.filter(parts, lambda p: p["loose"])
+        return let(F.struct(total(parts, "yes").alias("yes"), total(parts, "no").alias("no")), lambda t: F.struct(
+            F.log((total(loose, "yes") + 1) / (total(loose, "no") + 1)).alias("bias"),
+            F.transform(F.sequence(F.lit(1), F.lit(size)), lambda c: weight(c, t["yes"], t["no"])).alias("weight")))
+
+    def step(state: Column, _: Column) -> Column:
+        parts = F.transform("patterns", lambda p: let(chance(p, state), lambda c: F.struct(
+            (p["n"] * c).alias("yes"), (p["n"] * (1 - c)).alias("no"), p["cells"].alias("cells"), (p["origin"] == 0).alias("loose"))))
+        return let(parts, maximise)
+
+    guess = F.struct(F.lit(0.0).alias("bias"), F.array(*[F.lit(1.5 * v) for _ in LABELERS for v in (-1, 0, 1)]).alias("weight"))
+    fitted = by_kind.withColumn("state", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), guess, step))
+    known = F.transform("patterns", lambda p: p.withField("truth", chance(p, F.col("state"))))
+    return fitted.select("kind", (1 / (1 + F.exp(-F.col("state.bias")))).alias("share"), F.col("state.weight").alias("weight"),
+                         F.explode(known).alias("p")).select(
+        "kind", "share", "weight", "p.origin", *[F.col(f"p.{k}").alias(k) for k in LABELERS], "p.long", "p.glued", F.col("p.n").cast("long").alias("n"), "p.truth")
 
 
 def _features(kind: Column, votes_of: Callable[[str], Column], long: Column, glued: Column) -> list[Column]:
@@ -285,17 +310,18 @@ def span_classifier(labeled: DataFrame) -> list[float] | None:
     A vote pattern counts with its probability, and with the square root of its
     count, so that the strict spans, nearly all of the data, don't drown the rest.
     Imagined spans of each kind on which all labelers agree anchor both ends."""
-    agreed = labeled.sparkSession.createDataFrame(
-        [(kind, *[v] * len(LABELERS), 0, 0, PRIOR_SPANS, float(v > 0)) for kind in range(len(KINDS)) for v in (-1, 1)],
-        "kind int, " + ", ".join(f"{k} int" for k in LABELERS) + ", long int, glued int, n long, truth double")
     if labeled.isEmpty():
         return None
+    agreed = labeled.sparkSession.range(len(KINDS)).select(
+        F.col("id").cast("int").alias("kind"), F.explode(F.array(F.lit(-1), F.lit(1))).alias("v")).select(
+        "kind", *[F.col("v").alias(k) for k in LABELERS], F.lit(0).alias("long"), F.lit(0).alias("glued"),
+        F.lit(PRIOR_SPANS).cast("long").alias("n"), (F.col("v") > 0).cast("double").alias("truth"))
     cols = _features(F.col("kind"), F.col, F.col("long"), F.col("glued"))
     flat = labeled.select(*agreed.columns).union(agreed).select(*[c.alias(f"f{i}") for i, c in enumerate(cols)], "n", "truth")
     rows = flat.withColumn("label", F.explode(F.array(F.lit(0.0), F.lit(1.0)))).withColumn(
         "weight", F.sqrt("n") * F.when(F.col("label") == 1, F.col("truth")).otherwise(1 - F.col("truth"))).filter("weight > 0").coalesce(1)
     ready = VectorAssembler(inputCols=[f"f{i}" for i in range(len(cols))], outputCol="features").transform(rows)
-    model = LogisticRegression(weightCol="weight", regParam=1e-3, maxIter=60, standardization=False).fit(ready)
+    model = LogisticRegression(weightCol="weight", regParam=1e-3, maxIter=30, standardization=False).fit(ready)
     return [float(model.intercept), *map(float, model.coefficients)]
 
 
@@ -303,7 +329,7 @@ def fit(found: DataFrame) -> list[float] | None:
     """Reliabilities and span classifier of a table with ``_base`` and ``_loose``."""
     from ..operators.common import materialize
     counts = materialize(vote_counts(found), "votes").coalesce(1)  # bounded: see the module's docstring
-    return span_classifier(reliabilities(counts)[0])
+    return span_classifier(materialize(reliabilities(counts), "votes"))
 
 
 def accepted(weights: list[float] | None) -> Column:
