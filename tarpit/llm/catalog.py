@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import bpe, mixing, pii, quality, simhash
+from . import bpe, mixing, nn_descent, pii, quality, simhash, token_files, toxicity
 from .rows import table
 
 
@@ -20,6 +20,16 @@ def op4_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_nn_descent_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links at cosine 0.9 and their components over all vectors, found by NN-descent."""
+    return nn_descent.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op6_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document after noisy-channel restoring of its words."""
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's byte-level BPE ids and of their decoding."""
     return bpe.round_trip(table(spark, sf_dir, "documents"))
@@ -31,6 +41,11 @@ def op8_simhash_ball_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op9_simple8b_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents in Simple-8b blocks, and a report read from them."""
+    return token_files.write_and_report(table(spark, sf_dir, "documents"))
+
+
 def op10_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strict spans of personal data in every document, and those the span classifier adds."""
     return pii.pii_report(table(spark, sf_dir, "documents"))
@@ -41,8 +56,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_compression_bands, op4_hash_threshold_mix, op7_segment_tree_bpe,
-                                   op8_simhash_ball_hashing, op10_weak_supervision_pii, pipeline)}
+QUERIES = {f.__name__: f for f in (
+    op1_compression_bands, op4_hash_threshold_mix, op5_nn_descent_links, op6_noisy_channel_toxicity, op7_segment_tree_bpe,
+    op8_simhash_ball_hashing, op9_simple8b_files, op10_weak_supervision_pii, pipeline)}
 ORACLES = {"op4_hash_threshold_mix": mixing.MIX_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
