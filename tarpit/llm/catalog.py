@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import bpe, mixing, nn_descent, pii, quality, simhash, token_files, toxicity
+from . import bpe, licenses, mixing, nn_descent, pii, quality, sharding, simhash, token_files, toxicity
 from .rows import table
 
 
@@ -15,6 +15,16 @@ def op1_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op2_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known licence sentences and the licences of every document."""
+    return licenses.license_report(table(spark, sf_dir, "documents"))
+
+
+def op3_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard of every document, by extendible hashing to at most 1 MiB of text."""
+    return sharding.shard_report(table(spark, sf_dir, "documents"))
+
+
 def op4_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target of every document's source and the words the mix takes of it."""
     return mixing.mix_report(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -57,8 +67,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_compression_bands, op4_hash_threshold_mix, op5_nn_descent_links, op6_noisy_channel_toxicity, op7_segment_tree_bpe,
+    op1_compression_bands, op2_license_sentences, op3_extendible_shards, op4_hash_threshold_mix, op5_nn_descent_links, op6_noisy_channel_toxicity, op7_segment_tree_bpe,
     op8_simhash_ball_hashing, op9_simple8b_files, op10_weak_supervision_pii, pipeline)}
-ORACLES = {"op4_hash_threshold_mix": mixing.MIX_SQL}
+ORACLES = {"op2_license_sentences": licenses.LICENSE_SQL, "op3_extendible_shards": sharding.SHARD_SQL, "op4_hash_threshold_mix": mixing.MIX_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
