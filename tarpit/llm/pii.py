@@ -206,7 +206,10 @@ def found_spans(text: Column) -> Column:
         return F.transform(of(kind, BASE, MAY), lambda s: s.withField("valid", valid(kind, s["found"])))
 
     def split(every: Column) -> Column:
-        near = lambda s: (s["kind"] != KINDS.index("card")) | (F.length(digits(s["found"])) >= 13)  # noqa: E731  not just a number
+        def near(s: Column) -> Column:  # not just a number, nor groups of four digits
+            return (F.when(s["kind"] == KINDS.index("card"), F.length(digits(s["found"])) >= 13)
+                    .when(s["kind"] == KINDS.index("ip"), s["found"].rlike(r"^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$")).otherwise(True))
+
         return F.struct(F.filter(every, lambda s: s["valid"]).alias("base"), F.filter(every, lambda s: ~s["valid"] & near(s)).alias("failed"))
 
     return F.struct(let(F.flatten(F.array(*map(strict, KINDS))), split).alias("strict"),
