@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ipaddress
+from functools import reduce
+
 from pyspark.sql import Column, functions as F
 
 
@@ -43,34 +46,17 @@ def ipv4_to_long(ip="src_ip") -> Column:
     return F.when(_c(ip).rlike(IPV4_STRICT), val)
 
 
-def _in_cidr(v: Column, base: int, bits: int) -> Column:
-    size = 1 << (32 - bits)
-    return (v >= F.lit(base)) & (v < F.lit(base + size))
-
-
-def _dotted(a: int, b: int, c: int, d: int) -> int:
-    return (a << 24) | (b << 16) | (c << 8) | d
+def _in_net(v: Column, net: str) -> Column:
+    n = ipaddress.ip_network(net)
+    base = int(n.network_address)
+    return (v >= F.lit(base)) & (v < F.lit(base + n.num_addresses))
 
 
 # IPv4 networks the standard library (Python 3.13 `ipaddress`)
 # treats as private, and the two exceptions inside 192.0.0.0/24.
-IPV4_PRIVATE_NETS = [
-    ((0, 0, 0, 0), 8),
-    ((10, 0, 0, 0), 8),
-    ((127, 0, 0, 0), 8),
-    ((169, 254, 0, 0), 16),
-    ((172, 16, 0, 0), 12),
-    ((192, 0, 0, 0), 24),
-    ((192, 0, 0, 170), 31),
-    ((192, 0, 2, 0), 24),
-    ((192, 168, 0, 0), 16),
-    ((198, 18, 0, 0), 15),
-    ((198, 51, 100, 0), 24),
-    ((203, 0, 113, 0), 24),
-    ((240, 0, 0, 0), 4),
-    ((255, 255, 255, 255), 32),
-]
-IPV4_PRIVATE_EXCEPTIONS = [((192, 0, 0, 9), 32), ((192, 0, 0, 10), 32)]
+IPV4_PRIVATE_NETS = ("0.0.0.0/8 10.0.0.0/8 127.0.0.0/8 169.254.0.0/16 172.16.0.0/12 192.0.0.0/24 192.0.0.170/31 192.0.2.0/24 "
+                     "192.168.0.0/16 198.18.0.0/15 198.51.100.0/24 203.0.113.0/24 240.0.0.0/4 255.255.255.255/32").split()
+IPV4_PRIVATE_EXCEPTIONS = "192.0.0.9/32 192.0.0.10/32".split()
 
 
 def _ipv6_private(ip: Column) -> Column:
@@ -88,12 +74,9 @@ def _ipv6_private(ip: Column) -> Column:
 def is_private_ip(ip="ip_address") -> Column:
     """Standards-based private test; invalid text counts as not private."""
     v = ipv4_to_long(ip)
-    inside = None
-    for octets, bits in IPV4_PRIVATE_NETS:
-        t = _in_cidr(v, _dotted(*octets), bits)
-        inside = t if inside is None else (inside | t)
-    for octets, bits in IPV4_PRIVATE_EXCEPTIONS:
-        inside = inside & ~_in_cidr(v, _dotted(*octets), bits)
+    inside = reduce(lambda x, y: x | y, [_in_net(v, n) for n in IPV4_PRIVATE_NETS])
+    for net in IPV4_PRIVATE_EXCEPTIONS:
+        inside = inside & ~_in_net(v, net)
     v6 = _c(ip).contains(":") & _ipv6_private(_c(ip))
     return F.coalesce(F.when(v.isNotNull(), inside).otherwise(v6), F.lit(False))
 

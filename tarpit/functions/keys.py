@@ -48,3 +48,8 @@ def has_command(c="input") -> Column:
 def session_id_text(n) -> Column:
     """P20 text form: SESS-%05d, never truncated above five digits."""
     return F.format_string("SESS-%05d", _c(n))
+
+
+def session_number(c="session_id") -> Column:
+    """The number in a SESS-%05d id, to order by: as text, 100000 would come before 99999."""
+    return F.regexp_extract(F.col(c) if isinstance(c, str) else c, r"(\d+)$", 1).try_cast("bigint")

@@ -125,12 +125,15 @@ def coerce_bool(c) -> Column:
     return F.coalesce(F.upper(_c(c).cast("string")) == "TRUE", F.lit(False))
 
 
+# Day-first forms, after ISO text.
+DAY_FIRST = ("dd-MM-yyyy HH:mm", "dd-MM-yyyy HH:mm:ss", "dd-MM-yyyy", "dd/MM/yyyy HH:mm", "dd/MM/yyyy HH:mm:ss",
+             "dd/MM/yyyy", "dd.MM.yyyy HH:mm", "dd.MM.yyyy HH:mm:ss", "dd.MM.yyyy")
+
+
 def dashboard_ts(c="timestamp") -> Column:
-    """ISO text first, then day-first 'dd-MM-yyyy HH:mm'; invalid -> NULL."""
+    """ISO text first, then the day-first forms; invalid -> NULL."""
     s = _c(c).cast("string")
-    return F.coalesce(F.try_to_timestamp(s), F.try_to_timestamp(s, F.lit("dd-MM-yyyy HH:mm")),
-                      F.try_to_timestamp(s, F.lit("dd-MM-yyyy HH:mm:ss")),
-                      F.try_to_timestamp(s, F.lit("dd/MM/yyyy HH:mm")))
+    return F.coalesce(F.try_to_timestamp(s), *[F.try_to_timestamp(s, F.lit(f)) for f in DAY_FIRST])
 
 
 def risk_to_100(c="risk_score") -> Column:

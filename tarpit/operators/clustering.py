@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pandas as pd
+from multiprocessing.pool import ThreadPool
 
-from pyspark.ml.clustering import KMeans
+from pyspark import StorageLevel
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -22,6 +22,9 @@ from .features import CLUSTER_FEATURES, standardize
 
 MAX_K = 5
 FINAL_K_CAP = 4
+# Starts per k; the fit of the lowest cost is kept.
+START_SEEDS = (0, 1, 2)
+PARALLEL_FITS = 4
 # Risk weight by descending cluster rank (last one repeats).
 WEIGHT_LEVELS = (2.0, 1.0, 0.0, -0.5)
 RISK_WEIGHTS = (0.4, 0.3, 0.2)  # event_count_norm, unique_commands_norm, session_duration_norm
@@ -134,7 +137,7 @@ def silhouette(df: DataFrame, label: str, cols) -> DataFrame:
     a = F.when(n_own > 1, dist(own) * n_own / (n_own - 1)).otherwise(F.lit(0.0))
     b = F.array_min(F.transform(F.filter("_cl", lambda x: x["c"] != F.col("_own")), dist))
     s = (F.when((n_own <= 1) | b.isNull(), F.lit(0.0))
-         .otherwise((b - a) / F.greatest(a, b)))
+         .otherwise(F.try_divide(b - a, F.greatest(a, b))))  # coinciding clusters: 0
     return j.select(F.coalesce(s, F.lit(0.0)).alias("_s")).agg(F.avg("_s").alias("silhouette"))
 
 
@@ -150,7 +153,7 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     cols = cont.groupBy(b).agg(F.sum("_nij").alias("_bj")).agg(F.sum(c2(F.col("_bj"))).alias("_sb"))
     tot = cont.agg(F.sum(c2(F.col("_nij"))).alias("_idx"), F.sum("_nij").alias("_n"))
     j = with_scalars(with_scalars(tot, rows), cols)
-    expected = F.col("_sa") * F.col("_sb") / c2(F.col("_n"))
+    expected = F.coalesce(F.try_divide(F.col("_sa") * F.col("_sb"), c2(F.col("_n"))), F.lit(0.0))  # one row: no pairs
     mx = (F.col("_sa") + F.col("_sb")) / 2.0
     ari = F.when((mx - expected) == 0, F.lit(1.0)).otherwise((F.col("_idx") - expected) / (mx - expected))
     return j.select(ari.alias("ari"))
@@ -167,127 +170,70 @@ def canonical_ids(df: DataFrame, raw: str, out: str = "behavior_cluster",
     return df.join(F.broadcast(ids), raw, "left").drop(raw)
 
 
-def _bounded_sample_matrix(df: DataFrame, cols, sample_rows: int, seed: int) -> np.ndarray:
-    """M2 sample of at most ``sample_rows`` rows as a matrix (bounded by the
-    parameter, not the data)."""
-    return sample_n(df, sample_rows, seed).select(*cols).toPandas().to_numpy(dtype=float)
-
-
-def _lloyd(x: np.ndarray, k: int, seed: int, max_iter: int = 100, tol: float = 1e-4):
-    """k-means++ seeding + Lloyd iterations on a bounded sample (numpy)."""
-    rng = np.random.default_rng(seed)
-    centers = [x[rng.integers(len(x))]]
-    for _ in range(1, k):
-        d2 = np.min(((x[:, None, :] - np.asarray(centers)[None]) ** 2).sum(-1), axis=1)
-        p = d2 / d2.sum() if d2.sum() > 0 else None
-        centers.append(x[rng.choice(len(x), p=p)])
-    c = np.asarray(centers)
-    for _ in range(max_iter):
-        lab = ((x[:, None, :] - c[None]) ** 2).sum(-1).argmin(1)
-        new = np.array([x[lab == j].mean(0) if (lab == j).any() else c[j] for j in range(k)])
-        shift = ((new - c) ** 2).sum()
-        c = new
-        if shift <= tol:
-            break
-    d = ((x[:, None, :] - c[None]) ** 2).sum(-1)
-    lab = d.argmin(1)
-    return lab, float(d[np.arange(len(x)), lab].sum())
-
-
-def _silhouette_np(x: np.ndarray, lab: np.ndarray) -> float:
-    """Squared-Euclidean silhouette from cluster sums (same formula as
-    ``silhouette``)."""
-    ids = np.unique(lab)
-    sq = (x * x).sum(1)
-    n = np.array([(lab == c).sum() for c in ids], dtype=float)
-    s = np.array([x[lab == c].sum(0) for c in ids])
-    q = np.array([sq[lab == c].sum() for c in ids])
-    d = (n[None] * sq[:, None] - 2 * x @ s.T + q[None]) / n[None]
-    own = np.searchsorted(ids, lab)
-    n_own = n[own]
-    a = np.where(n_own > 1, d[np.arange(len(x)), own] * n_own / np.maximum(n_own - 1, 1), 0.0)
-    d[np.arange(len(x)), own] = np.inf
-    b = d.min(1)
-    ok = (n_own > 1) & np.isfinite(b)
-    out = np.zeros(len(x))
-    out[ok] = (b[ok] - a[ok]) / np.maximum(np.maximum(a[ok], b[ok]), 1e-300)
-    return float(out.mean())
-
-
-def _ari_np(a: np.ndarray, b: np.ndarray) -> float:
-    _, ai = np.unique(a, return_inverse=True)
-    _, bi = np.unique(b, return_inverse=True)
-    cont = np.zeros((ai.max() + 1, bi.max() + 1))
-    np.add.at(cont, (ai, bi), 1)
-    c2 = lambda v: (v * (v - 1) / 2.0).sum()
-    idx, sa, sb, n = c2(cont), c2(cont.sum(1)), c2(cont.sum(0)), len(a)
-    expected = sa * sb / (n * (n - 1) / 2.0) if n > 1 else 0.0
-    mx = (sa + sb) / 2.0
-    return 1.0 if mx == expected else float((idx - expected) / (mx - expected))
-
-
-TRIAL_SCHEMA = "trial long, k long, inertia double, silhouette double, ari double, clusters long"
-
-
-def _run_trials(spark, x: np.ndarray, trials: list[tuple[int, int, int, int]]):
-    """Run k-means trials (trial, k, seed, pair_seed or -1) as one Spark job:
-    one task per trial row, the bounded sample broadcast."""
-    bc = spark.sparkContext.broadcast(x)
-
-    def run(batches):
-        xs = bc.value
-        for pdf in batches:
-            rows = []
-            for t, k, sd, pair in pdf.itertuples(index=False):
-                lab, inertia = _lloyd(xs, int(k), int(sd))
-                nclus = len(np.unique(lab))
-                sil = _silhouette_np(xs, lab) if nclus >= 2 else float("nan")
-                ari = float("nan")
-                if pair >= 0:
-                    lab2, _ = _lloyd(xs, int(k), int(pair))
-                    ari = _ari_np(lab, lab2)
-                rows.append((t, k, inertia, sil, ari, nclus))
-            yield pd.DataFrame(rows, columns=["trial", "k", "inertia", "silhouette", "ari", "clusters"])
-    try:
-        conf = spark.createDataFrame(trials, "trial long, k long, seed long, pair long")
-        return conf.repartition(len(trials)).mapInPandas(run, TRIAL_SCHEMA).collect()
-    finally:
-        bc.unpersist()
+def best_kmeans(vectors: DataFrame, k: int, seed: int, starts=START_SEEDS) -> KMeansModel:
+    """The k-means fit of lowest cost over all rows of ``vectors`` (column ``features``)."""
+    fits = [fit_kmeans(vectors, k, seed + s, None) for s in starts]
+    return min(fits, key=lambda m: m.summary.trainingCost)
+
+
+def enough_to_cluster(df: DataFrame, cols) -> bool:
+    """Whether there are two rows at least and a feature that varies."""
+    spread = [F.max(c) > F.min(c) for c in cols]
+    r = df.agg(F.count(F.lit(1)).alias("n"), *[x.alias(f"v{i}") for i, x in enumerate(spread)]).first()
+    return r["n"] > 1 and any(r[f"v{i}"] for i in range(len(cols)))
 
 
-def choose_k(df: DataFrame, cols, ks=range(2, MAX_K + 1), sample_rows: int = 5000,
-             seed: int = 42) -> tuple[int, list[dict]]:
-    """M3: k with the best silhouette on a bounded sample (default 2).
+def choose_k(df: DataFrame, cols, ks=range(2, MAX_K + 1), seed: int = 42) -> tuple[int, list[dict]]:
+    """M3: k with the best silhouette over all rows (default 2).
 
     Returns (best_k, [{k, inertia, silhouette}]). All-constant features or
-    too few rows give k = 2 without fitting. The candidate fits are
-    independent trials on the bounded sample and run as parallel tasks of
-    one Spark job.
+    too few rows give k = 2 without fitting. The fits of the candidates run
+    side by side as Spark jobs over one cached table.
     """
-    x = _bounded_sample_matrix(df, cols, sample_rows, seed)
-    n = len(x)
-    if n == 0 or (np.ptp(x, axis=0) <= 0).all():
+    cols = list(cols)
+    n = df.count()
+    if not enough_to_cluster(df, cols):
         return 2, [{"k": 2, "inertia": 0.0, "silhouette": 0.0}]
-    trials = [(i, k, seed, -1) for i, k in enumerate(k for k in ks if k <= n)]
-    rows = _run_trials(df.sparkSession, x, trials)
-    results = [{"k": int(r.k), "inertia": round(r.inertia, 4), "silhouette": round(r.silhouette, 4)}
-               for r in sorted(rows, key=lambda r: r.k) if r.clusters >= 2]
+    vectors = _vectors(df.select(*cols), cols).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def trial(k: int) -> dict | None:
+        model = best_kmeans(vectors, k, seed)
+        labelled = model.transform(vectors)
+        if labelled.select("_raw_cluster").distinct().count() < 2:
+            return None
+        s = silhouette(labelled, "_raw_cluster", cols).first()["silhouette"]
+        return {"k": k, "inertia": round(model.summary.trainingCost, 4), "silhouette": round(s, 4)}
+
+    try:
+        with ThreadPool(PARALLEL_FITS) as pool:
+            results = [r for r in pool.map(trial, [k for k in ks if k <= n]) if r]
+    finally:
+        vectors.unpersist()
     if not results:
         return 2, [{"k": 2, "inertia": 0.0, "silhouette": 0.0}]
     best = max(results, key=lambda r: (r["silhouette"], -r["k"]))
     return best["k"], results
 
 
-def cluster_stability(df: DataFrame, cols, k: int = 3, sample_rows: int = 5000,
-                      seeds=(0, 10, 20), sample_seed: int = 99) -> float:
+def cluster_stability(df: DataFrame, cols, k: int = 3, seeds=(0, 10, 20)) -> float:
     """M7: mean adjusted Rand index between k-means runs with seeds s and
-    s + 1 on the bounded sample (the three pairs run as parallel tasks)."""
-    x = _bounded_sample_matrix(df, cols, sample_rows, sample_seed)
-    k = min(k, len(x))
-    if k < 2:
+    s + 1 over all rows (the pairs run side by side); 0 if nothing can be clustered."""
+    cols = list(cols)
+    if not enough_to_cluster(df, cols):
         return 0.0
-    rows = _run_trials(df.sparkSession, x, [(i, k, s, s + 1) for i, s in enumerate(seeds)])
-    return round(float(np.mean([r.ari for r in rows])), 4)
+    vectors = _vectors(df.select(*cols), cols).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def pair(s: int) -> float:
+        one, two = (fit_kmeans(vectors, k, x, None) for x in (s, s + 1))
+        both = two.transform(one.transform(vectors).withColumnRenamed("_raw_cluster", "_first"))
+        return adjusted_rand(both, "_first", "_raw_cluster").first()["ari"]
+
+    try:
+        with ThreadPool(len(seeds)) as pool:
+            found = pool.map(pair, seeds)
+    finally:
+        vectors.unpersist()
+    return round(sum(found) / len(found), 4)
 
 
 def cluster_sessions(df: DataFrame, k: int, seed: int = 42, cols=CLUSTER_FEATURES,
@@ -298,34 +244,36 @@ def cluster_sessions(df: DataFrame, k: int, seed: int = 42, cols=CLUSTER_FEATURE
     Expects ``<col><scaled_suffix>`` columns (see ``standardize``).
     """
     zcols = [f"{c}{scaled_suffix}" for c in cols]
+    k = min(k, df.count())
     if k < 2:
         return df.withColumn("behavior_cluster", F.lit(0))
-    model = fit_kmeans(df, k, seed, zcols)
-    pred = model.transform(_vectors(df, zcols)).drop("features")
+    vectors = _vectors(df, zcols)
+    pred = best_kmeans(vectors, k, seed).transform(vectors).drop("features")
     return canonical_ids(pred, "_raw_cluster")
 
 
-def behavioral_clustering(df: DataFrame, seed: int = 42, sample_rows: int = 5000) -> tuple[DataFrame, dict]:
+def behavioral_clustering(df: DataFrame, seed: int = 42) -> tuple[DataFrame, dict]:
     """Standardise -> choose k -> k-means -> labels -> stability.
 
     Returns the sessions with behavior_cluster, behavior_label, cluster_weight,
-    cluster_stability and run info. On failure every row gets the reference's
-    fallback values (cluster 0, 'Unknown', stability 0).
+    cluster_stability and run info. If there is nothing to cluster (fewer than
+    two rows, or no feature that varies) every row gets the reference's fallback
+    values (cluster 0, 'Unknown', stability 0) and the info says why; any failure
+    of a job is raised.
     """
     cols = list(CLUSTER_FEATURES)
     zcols = [f"{c}_z" for c in cols]
-    try:
-        scaled = standardize(df, cols)
-        best_k, trials = choose_k(scaled, zcols, sample_rows=sample_rows, seed=seed)
-        final_k = min(best_k, FINAL_K_CAP)
-        clustered = cluster_sessions(scaled, final_k, seed)
-        labels = label_clusters(clustered)
-        out = apply_cluster_labels(clustered, labels)
-        stability = cluster_stability(scaled, zcols, sample_rows=sample_rows)
-        out = out.withColumn("cluster_stability", F.lit(stability)).drop(*zcols)
-        return out, {"k": final_k, "trials": trials, "stability": stability}
-    except Exception as e:  # noqa: BLE001 - reference falls back on any error
+    if not enough_to_cluster(df, [F.col(c).cast("double") for c in cols]):
         out = (df.withColumn("behavior_cluster", F.lit(0)).withColumn("behavior_label", F.lit("Unknown"))
                .withColumn("cluster_weight", F.lit(2.0)).withColumn("cluster_stability", F.lit(0.0))
                .withColumn("is_anomaly", F.lit(False)).withColumn("dbscan_label", F.lit(0)))
-        return out, {"k": 1, "error": str(e), "stability": 0.0}
+        return out, {"k": 1, "error": "fewer than two rows or no feature that varies", "stability": 0.0}
+    scaled = standardize(df, cols)
+    best_k, trials = choose_k(scaled, zcols, seed=seed)
+    final_k = min(best_k, FINAL_K_CAP)
+    clustered = cluster_sessions(scaled, final_k, seed)
+    labels = label_clusters(clustered)
+    out = apply_cluster_labels(clustered, labels)
+    stability = cluster_stability(scaled, zcols)
+    out = out.withColumn("cluster_stability", F.lit(stability)).drop(*zcols)
+    return out, {"k": final_k, "trials": trials, "stability": stability}

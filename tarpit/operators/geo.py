@@ -50,28 +50,23 @@ def lookup_ips(ips: DataFrame, ranges: DataFrame, ip_col: str = "ip", bits: int
 
 
 def first_public_ips(df: DataFrame, n: int, ip_col: str = "src_ip", order_col: str = "first_seq") -> DataFrame:
-    """The first ``n`` distinct public IPs by appearance (optional cap)."""
+    """The first ``n`` distinct public IPs by appearance (a top-n report)."""
     pub = df.where(I.ip_scope(ip_col) == "public")
     return (pub.groupBy(ip_col).agg(F.min(order_col).alias("_first"))
             .orderBy("_first", ip_col).limit(n).select(ip_col))
 
 
-def geo_enrich(df: DataFrame, ranges: DataFrame, ip_col: str = "src_ip", bits: int = 16,
-               max_ips: int | None = None, order_col: str = "first_seq") -> DataFrame:
+def geo_enrich(df: DataFrame, ranges: DataFrame, ip_col: str = "src_ip", bits: int = 16) -> DataFrame:
     """J4 + P8 + P9: attach country, country_iso, city, latitude, longitude,
     asn, asn_org.
 
     Private scope -> Internal/INT/Internal with NULL coordinates; public IPs
     with a covering range -> its attributes (asn/org split from the AS text);
-    all others -> 'unknown' with NULL coordinates. ``max_ips`` restricts the
-    lookup to the first n public IPs (the reference's rate limit; off by
-    default).
+    all others -> 'unknown' with NULL coordinates. Every distinct public IP is
+    looked up.
     """
     scope = I.ip_scope(ip_col)
-    if max_ips is not None:
-        ips = first_public_ips(df, max_ips, ip_col, order_col)
-    else:
-        ips = df.where(scope == "public").select(ip_col).distinct()
+    ips = df.where(scope == "public").select(ip_col).distinct()
     found = lookup_ips(ips.withColumnRenamed(ip_col, "_gip"), ranges, "_gip", bits)
     found = found.select(
         "_gip",

@@ -11,7 +11,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
@@ -158,7 +158,7 @@ def pca2(df: DataFrame, cols=CLUSTER_FEATURES, out=("pca_x", "pca_y"), scope_col
 def _evaluate(model, test: DataFrame, zcols) -> dict:
     """Metrics at 0.5 and at the clamped F1-best threshold."""
     scored_test = materialize(score_risk(model, test, zcols).select("y", "ml_risk_score"),
-                              "scored-test").withColumn("pred", (F.col("ml_risk_score") >= 0.5).cast("int"))
+                              "scored-test").withColumn("pred", (F.col("ml_risk_score") > 0.5).cast("int"))  # a tied vote is the negative class
     at50 = binary_metrics(scored_test, "y", "pred").first().asDict()
     metrics = {"accuracy_at_50": at50["accuracy"], "precision_at_50": at50["precision"],
                "recall_at_50": at50["recall"], "f1_at_50": at50["f1"]}
@@ -211,6 +211,13 @@ def cumulative_evaluation(history: DataFrame, batch_stats: DataFrame, feats: lis
     return {**_evaluate(model, test, zcols), "eval_mode": "cumulative"}
 
 
+def _without_model(df: DataFrame, why: str) -> tuple[DataFrame, dict]:
+    out = (df.withColumn("ml_risk_score", F.lit(0.0)).withColumn("ml_risk_label", F.lit("Unknown"))
+           .withColumn("ml_accuracy", F.lit(0.0)).withColumn("ml_precision", F.lit(0.0))
+           .withColumn("ml_recall", F.lit(0.0)))
+    return out, {"error": why, "accuracy": 0.0, "precision": 0.0, "recall": 0.0}
+
+
 def ml_risk(df: DataFrame, seed: int = 42, test_fraction: float = 0.3,
             history: DataFrame | None = None, model_path: str | None = None) -> tuple[DataFrame, dict]:
     """Scale -> stratified split -> forest -> evaluate -> score.
@@ -219,38 +226,53 @@ def ml_risk(df: DataFrame, seed: int = 42, test_fraction: float = 0.3,
     Adds ml_risk_score, ml_risk_label, ml_accuracy, ml_precision, ml_recall;
     returns the metrics record too. With ``history`` the metrics come from
     the cumulative evaluation (M13) when it applies; scoring always uses the
-    batch model. ``model_path`` saves the batch model (S12). Any failure
-    gives the reference's fallback values ('Unknown', zeros).
+    batch model. ``model_path`` saves the batch model and its scaler (S12).
+    Without rows or without input features the rows get the reference's
+    fallback values ('Unknown', zeros); any failure of a job is raised.
     """
-    try:
-        feats = prepare_features(df)
-        stats = scaler_stats(df, feats)
-        scaled = apply_scaler(df, stats, feats, suffix="_ms")
-        zcols = [f"{c}_ms" for c in feats]
-        if "is_anomaly" in df.columns:
-            ylab = F.coalesce(F.col("is_anomaly").cast("int"), F.lit(0))
-        else:
-            ylab = F.coalesce((F.col("behavior_label") == "High Risk").cast("int"), F.lit(0))
-        train, test = _split(scaled.withColumn("y", ylab), test_fraction, seed)
-        model = train_risk_model(train, zcols, seed=seed)
-        if model_path:
-            model.write().overwrite().save(model_path)
-        metrics = None
-        if history is not None:
-            metrics = cumulative_evaluation(history, stats, feats, seed, test_fraction)
-        if metrics is None:
-            metrics = {**_evaluate(model, test, zcols), "eval_mode": "batch-only"}
-        out = score_risk(model, scaled, zcols).drop(*zcols)
-        out = (out.withColumn("ml_accuracy", F.lit(metrics["accuracy"]))
-               .withColumn("ml_precision", F.lit(metrics["precision"]))
-               .withColumn("ml_recall", F.lit(metrics["recall"])))
-        return out, metrics
-    except Exception as e:  # noqa: BLE001 - reference falls back on any error
-        out = (df.withColumn("ml_risk_score", F.lit(0.0)).withColumn("ml_risk_label", F.lit("Unknown"))
-               .withColumn("ml_accuracy", F.lit(0.0)).withColumn("ml_precision", F.lit(0.0))
-               .withColumn("ml_recall", F.lit(0.0)))
-        return out, {"error": str(e), "accuracy": 0.0, "precision": 0.0, "recall": 0.0}
+    feats = prepare_features(df)
+    if not feats:
+        return _without_model(df, "no input feature")
+    if df.isEmpty():
+        return _without_model(df, "no rows")
+    stats = scaler_stats(df, feats)
+    scaled = apply_scaler(df, stats, feats, suffix="_ms")
+    zcols = [f"{c}_ms" for c in feats]
+    if "is_anomaly" in df.columns:
+        ylab = F.coalesce(F.col("is_anomaly").cast("int"), F.lit(0))
+    else:
+        ylab = F.coalesce((F.col("behavior_label") == "High Risk").cast("int"), F.lit(0))
+    train, test = _split(scaled.withColumn("y", ylab), test_fraction, seed)
+    model = train_risk_model(train, zcols, seed=seed)
+    if model_path:
+        save_risk_model(model, stats, model_path)
+    metrics = None
+    if history is not None:
+        metrics = cumulative_evaluation(history, stats, feats, seed, test_fraction)
+    if metrics is None:
+        metrics = {**_evaluate(model, test, zcols), "eval_mode": "batch-only"}
+    out = score_risk(model, scaled, zcols).drop(*zcols)
+    out = (out.withColumn("ml_accuracy", F.lit(metrics["accuracy"]))
+           .withColumn("ml_precision", F.lit(metrics["precision"]))
+           .withColumn("ml_recall", F.lit(metrics["recall"])))
+    return out, metrics
+
+
+def save_risk_model(model, stats: DataFrame, path: str) -> None:
+    """A fitted forest and the scaler statistics it needs (one row)."""
+    model.write().overwrite().save(f"{path}/model")
+    stats.write.mode("overwrite").parquet(f"{path}/scaler")
+
+
+def score_with_saved(df: DataFrame, path: str) -> DataFrame:
+    """Rows scored by a saved forest, scaled with its own scaler."""
+    model = RandomForestClassificationModel.load(f"{path}/model")
+    stats = df.sparkSession.read.parquet(f"{path}/scaler")
+    feats = prepare_features(df)
+    scaled = apply_scaler(df, stats, feats, suffix="_ms")
+    zcols = [f"{c}_ms" for c in feats]
+    return score_risk(model, scaled, zcols).drop(*zcols)
 
 
 __all__ = ["stratified_split", "train_risk_model", "score_risk", "binary_metrics", "prefix_sums",
-           "best_threshold", "pca2", "ml_risk", "INPUT_FEATURES"]
+           "best_threshold", "pca2", "ml_risk", "save_risk_model", "score_with_saved", "INPUT_FEATURES"]

@@ -29,15 +29,18 @@ from ..operators.isolation_forest import isolation_forest
 from ..operators.sessionize import emission_order, sessionize
 from ..session import shared_path
 from ..sources import fixtures
-from ..sources.events import stream_events
+from ..sources.events import read_events, stream_events
 from ..streaming.runner import run_incremental, stream_to_table, write_ndjson
-from ..streaming.sessionizer import dedupe_events, stateful_sessions
+from ..streaming.sessionizer import dedupe_events, stream_sessions
 from ..streaming.windows import daily_counts, gap_sessions
 from ..sources import sinks as S
 from . import dashboard as D
 from . import reports as R
 from .enrich import enrich
 
+#: Sessions per upload batch in the queries, so that the test tables fill several.
+QUERY_BATCH = 200
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -70,11 +73,11 @@ def sessions_table(spark, sf_dir) -> DataFrame:
     return materialize(flagged(spark, sf_dir), "sessions")
 
 
-def rule_enriched(spark, sf_dir) -> DataFrame:
-    """L1 with the stand-in cluster rule and without the model stages."""
+def rule_enriched(spark, sf_dir, materialize_output: bool = False) -> DataFrame:
+    """L1 with stand-in model columns instead of the model stages, batches of 200."""
     s = sessions(spark, sf_dir, keep_order_cols=True)
-    return enrich(s, fixtures.geo_ranges(spark, sf_dir), clusterer=fixtures.rule_clusters,
-                  with_ml=False, with_pca=False)
+    return enrich(s, fixtures.geo_ranges(spark, sf_dir), clusterer=fixtures.rule_models,
+                  with_ml=False, with_pca=False, batch_size=QUERY_BATCH, materialize_output=materialize_output)
 
 
 def rule_dashboard(spark, sf_dir) -> DataFrame:
@@ -159,7 +162,7 @@ def q_standardize(spark, sf_dir):
 def q_batch_ids(spark, sf_dir):
     """S4 + P20 + W3: upload batch and SESS-%05d id in emission order."""
     s = sessions(spark, sf_dir, keep_order_cols=True)
-    return with_batch_ids(s, emission_order()).select("session", "seg", "batch_id", "session_id")
+    return with_batch_ids(s, emission_order(), batch_size=QUERY_BATCH).select("session", "seg", "batch_id", "session_id")
 
 
 # ---------------------------------------------------------------- clusters, risk, threat
@@ -252,7 +255,7 @@ def q_first_public_ips(spark, sf_dir):
 
 @query("enriched_rule")
 def q_enriched_rule(spark, sf_dir):
-    """L1 + S14 with a rule cluster assignment, no model stages: all 49 columns."""
+    """L1 + S14 with stand-in model columns instead of the model stages: all 49 columns."""
     e = rule_enriched(spark, sf_dir)
     dbl = [f.name for f in e.schema.fields if f.dataType.typeName() == "double"]
     e = _text_times(e)
@@ -261,12 +264,11 @@ def q_enriched_rule(spark, sf_dir):
 
 @query("enriched_rule_batched")
 def q_enriched_rule_batched(spark, sf_dir):
-    """L1 with per-upload-batch statistics (9,865 sessions per batch, as the
-    reference): z-scores, cluster labels / weights and campaigns per batch;
-    rule cluster assignment, no model stages."""
+    """L1 with per-upload-batch statistics (batches of 200): z-scores, cluster
+    labels / weights and campaigns per batch; stand-in model columns."""
     s = sessions(spark, sf_dir, keep_order_cols=True)
-    e = enrich(s, fixtures.geo_ranges(spark, sf_dir), clusterer=fixtures.rule_clusters, with_ml=False,
-               with_pca=False, scope_cols=["batch_id"])
+    e = enrich(s, fixtures.geo_ranges(spark, sf_dir), clusterer=fixtures.rule_models, with_ml=False,
+               with_pca=False, scope_cols=["batch_id"], batch_size=QUERY_BATCH, materialize_output=False)
     dbl = [f.name for f in e.schema.fields if f.dataType.typeName() == "double"]
     e = _text_times(e)
     return e.select(*[r6(c).alias(c) if c in dbl else F.col(c) for c in e.columns])
@@ -333,6 +335,12 @@ def q_top_risk(spark, sf_dir):
     return t.withColumn("risk_score", r6("risk_score"))
 
 
+@query("first_anomalies")
+def q_first_anomalies(spark, sf_dir):
+    """O3: the first 20 anomalous sessions in stored order."""
+    return R.first_anomalies(rule_dashboard(spark, sf_dir)).select("session_id", r6("risk_score").alias("risk_score"), "predicted_risk_level")
+
+
 @query("risk_by_cluster")
 def q_risk_by_cluster(spark, sf_dir):
     """Mean 0-100 risk per cluster."""
@@ -529,9 +537,9 @@ def q_metrics_record(spark, sf_dir):
 @query("archive_batches")
 def q_archive_batches(spark, sf_dir):
     """S6 + S7: history written per batch (idempotent partition overwrite,
-    risk-ordered), new rows appended to the archive; archive counts per batch."""
+    risk-ordered), the rows of each batch archived; counts per batch."""
     base = shared_path(spark, f"history/{uuid.uuid4().hex}")
-    e = rule_enriched(spark, sf_dir)
+    e = rule_enriched(spark, sf_dir, materialize_output=True)
     S.write_sessions(e, f"{base}/history", mode="overwrite_batches")
     S.write_sessions(e, f"{base}/history", mode="overwrite_batches")  # a retried batch replaces itself
     S.archive_batch(e, f"{base}/archive")
@@ -641,27 +649,41 @@ def _landed_log(spark, sf_dir, files: int = 8) -> str:
     return path
 
 
+@query("ndjson_sessions")
+def q_ndjson_sessions(spark, sf_dir):
+    """S1 + S3 + P3 + A1: the raw events landed as NDJSON logs, read back by the batch
+    reader in arrival order and sessionized."""
+    ev = read_events(spark, _landed_log(spark, sf_dir))
+    return _text_times(sessionize(ev, seq="arrival", chunk="split"))
+
+
 @query("stream_sessions")
 def q_stream_sessions(spark, sf_dir):
-    """T1-T3 + S2/S4/T7/T8: NDJSON log folder streamed in bounded triggers
-    through the stateful close-marker sessionizer (RocksDB state, event-time
-    timeout), run to completion with availableNow; sessions emitted so far."""
+    """T1-T3 + S2/S4/T7/T8: NDJSON log folder streamed in bounded triggers through
+    the sessionizer, run to completion with availableNow; the sessions that
+    closed and, flushed at the end, those still open."""
     log = _landed_log(spark, sf_dir)
     base = shared_path(spark, f"stream/{uuid.uuid4().hex}")
-    sdf = stateful_sessions(stream_events(spark, log, max_files_per_trigger=2), gap="1 day", watermark="10 minutes")
-    stream_to_table(sdf, f"{base}/out", f"{base}/ckpt")
-    return _text_times(spark.read.parquet(f"{base}/out"))
+
+    def sink(found: DataFrame, batch: int) -> None:
+        found.write.mode("overwrite").parquet(f"{base}/out/batch={batch}")
+
+    stream_sessions(stream_events(spark, log, max_files_per_trigger=4), f"{base}/ckpt", sink)
+    return _text_times(spark.read.parquet(f"{base}/out").drop("batch", "first_seq", "last_seq", "closed"))
 
 
 @query("stream_session_window")
 def q_stream_session_window(spark, sf_dir):
-    """T4 streaming: gap windows with a watermark, append mode; windows the
-    watermark has passed are emitted."""
+    """T4 streaming: gap windows over the log in bounded triggers; complete mode, so
+    windows that are still open at the end of the log are there too."""
     log = _landed_log(spark, sf_dir)
     base = shared_path(spark, f"stream/{uuid.uuid4().hex}")
-    sdf = gap_sessions(stream_events(spark, log, max_files_per_trigger=1), "2 minutes", watermark="5 minutes")
-    stream_to_table(sdf, f"{base}/out", f"{base}/ckpt")
-    return spark.read.parquet(f"{base}/out")
+    sdf = gap_sessions(stream_events(spark, log, max_files_per_trigger=4), "2 minutes")
+    stream_to_table(sdf, f"{base}/out", f"{base}/ckpt", mode="complete")
+    fmt = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+    w = spark.read.parquet(f"{base}/out")
+    return w.select("session", F.date_format("window_start", fmt).alias("window_start"),
+                    F.date_format("window_end", fmt).alias("window_end"), "events")
 
 
 @query("stream_daily_counts")
@@ -685,7 +707,7 @@ def q_stream_dedupe(spark, sf_dir):
     spark.read.text(log).write.text(f"{base}/in")
     spark.read.text(log).write.mode("append").text(f"{base}/in")
     ev = stream_events(spark, f"{base}/in")
-    sdf = dedupe_events(ev, watermark="1 day", keys=("session", "eventid", "timestamp", "input", "username"))
+    sdf = dedupe_events(ev, watermark="1 day").drop("split")
     stream_to_table(sdf, f"{base}/out", f"{base}/ckpt")
     out = spark.read.parquet(f"{base}/out")
     return out.groupBy("eventid").agg(F.count(F.lit(1)).alias("events"))
@@ -693,17 +715,17 @@ def q_stream_dedupe(spark, sf_dir):
 
 @query("incremental_history")
 def q_incremental_history(spark, sf_dir):
-    """L7 + T6 + S6/S8: log folder -> stateful sessions -> per micro-batch
-    enrichment (stand-in cluster rule, no model stages) -> idempotent append
-    to the history table partitioned by batch."""
+    """L7 + T6 + S6/S8 + P20: log folder -> sessions -> per-batch enrichment (stand-in
+    cluster rule, no model stages) -> history table; the stored sessions with
+    their flags, and whether their ids are unique."""
     log = _landed_log(spark, sf_dir)
     base = shared_path(spark, f"stream/{uuid.uuid4().hex}")
-    run_incremental(spark, log, f"{base}/history", f"{base}/ckpt", fixtures.geo_ranges(spark, sf_dir),
-                    gap="1 day", watermark="10 minutes", max_files_per_trigger=4,
-                    enrich_kwargs={"clusterer": fixtures.rule_clusters, "with_ml": False, "with_pca": False})
-    h = spark.read.parquet(f"{base}/history").withColumn("batch_id", F.col("batch_id").cast("bigint"))
-    return h.groupBy("batch_id").agg(F.count(F.lit(1)).alias("sessions"),
-                                     F.count_if(F.col("risk_level") == "high").alias("high_risk"))
+    h = run_incremental(spark, log, f"{base}/history", f"{base}/ckpt", fixtures.geo_ranges(spark, sf_dir),
+                        max_files_per_trigger=4, archive_path=f"{base}/archive",
+                        enrich_kwargs={"clusterer": fixtures.rule_clusters, "with_ml": False, "with_pca": False})
+    ids = h.agg(F.count_distinct("session_id").alias("distinct_ids"))
+    return with_scalars(h.select("session", "seg", "src_ip", "event_count", "unique_commands", "failed_logins",
+                                 "behavioral_risk_score", "country"), ids)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

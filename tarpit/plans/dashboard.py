@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import labels as L
+from ..functions.keys import session_number
 from ..operators.common import with_scalars
 from ..operators.ids import with_sequence_number
 
@@ -44,7 +45,7 @@ def prepare_dashboard(df: DataFrame) -> DataFrame:
             df = df.withColumn("timestamp", L.dashboard_ts("timestamp"))
     else:
         # No time column -> hourly from 2024-01-01 in stored order.
-        order = ["session_id"] if "session_id" in cols else df.columns[:1]
+        order = [session_number(), "session_id"] if "session_id" in cols else df.columns[:1]
         df = with_sequence_number(df, order, "_rn")
         df = df.withColumn("timestamp", F.timestamp_add("HOUR", F.col("_rn"),
                                                         F.lit(SYNTHETIC_TS_START).cast("timestamp"))).drop("_rn")
@@ -74,11 +75,11 @@ def prepare_dashboard(df: DataFrame) -> DataFrame:
 
 
 def pca_fallback_y(df: DataFrame) -> DataFrame:
-    """pca_y = z-score of events_count with the sample sd."""
+    """pca_y = z-score of events_count with the sample sd (constant or single: NULL, as 0 / 0)."""
     st = df.agg(F.avg(F.col("events_count").cast("double")).alias("_m"),
                 F.stddev_samp(F.col("events_count").cast("double")).alias("_s"))
     j = with_scalars(df, st)
-    return j.withColumn("pca_y", (F.col("events_count") - F.col("_m")) / F.col("_s")).drop("_m", "_s")
+    return j.withColumn("pca_y", F.try_divide(F.col("events_count") - F.col("_m"), F.col("_s"))).drop("_m", "_s")
 
 
 def resolve_metrics(df: DataFrame, metrics: DataFrame | None = None) -> DataFrame:
@@ -89,7 +90,7 @@ def resolve_metrics(df: DataFrame, metrics: DataFrame | None = None) -> DataFram
         return metrics.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
                                 for c in ("accuracy", "precision", "recall")]).limit(1)
     if "ml_accuracy" in df.columns:
-        first = df.orderBy("session_id").limit(1)
+        first = df.orderBy(session_number(), "session_id").limit(1)
         return first.select(
             F.coalesce(F.col("ml_accuracy").cast("double"), F.lit(0.0)).alias("accuracy"),
             F.coalesce(F.col("ml_precision").cast("double"), F.lit(0.0)).alias("precision")

@@ -68,15 +68,11 @@ def enrich(sessions: DataFrame, ranges: DataFrame, clusterer: Callable[[DataFram
             auth = [c for c in ("session_duration", "failed_logins") if c in df.columns]
         failed = "error" in cinfo
         if not failed:
-            try:
-                z = standardize(clustered, auth, scope_cols=scope_cols, suffix="_if")
-                df = isolation_forest(z, [f"{c}_if" for c in auth], seed=seed).drop(
-                    *[f"{c}_if" for c in auth], "anomaly_score")
-            except Exception as e:  # noqa: BLE001 - the reference falls back on any error
-                info["clustering"] = {**cinfo, "error": str(e)}
-                failed = True
+            z = standardize(clustered, auth, scope_cols=scope_cols, suffix="_if")
+            df = isolation_forest(z, [f"{c}_if" for c in auth], seed=seed).drop(
+                *[f"{c}_if" for c in auth], "anomaly_score")
         if failed:
-            # The reference's fallback for the whole clustering block.
+            # The reference's fallback for the whole clustering block: nothing to cluster.
             df = (df.withColumn("behavior_cluster", F.lit(0)).withColumn("behavior_label", F.lit("Unknown"))
                   .withColumn("cluster_weight", F.lit(2.0)).withColumn("cluster_stability", F.lit(0.0))
                   .withColumn("is_anomaly", F.lit(False)).withColumn("dbscan_label", F.lit(0)))

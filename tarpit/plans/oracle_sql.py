@@ -3,14 +3,24 @@
 Every oracle starts from the same driver tables as the Spark query and
 recomputes the whole chain in plain SQL: the stand-in raw events, the
 close-marker segmentation with a window, the session aggregate and then the
-operator under test. Shared steps are CTE fragments below. The IP rules are
-rendered from the same fixed network list the engine uses.
+operator under test. Shared steps are CTE fragments below. Lists of
+networks and threat names are written out here, apart from the engine's.
 """
 
 from __future__ import annotations
 
-from ..functions.ip import IPV4_PRIVATE_EXCEPTIONS, IPV4_PRIVATE_NETS, IPV4_STRICT
-from ..functions.labels import CLUSTER_THREAT_DEFAULT, CLUSTER_THREAT_MAP
+# Written out here on purpose: a wrong entry of the engine's tables must show.
+PRIVATE_NETS = """0.0.0.0/8 10.0.0.0/8 127.0.0.0/8 169.254.0.0/16 172.16.0.0/12 192.0.0.0/24 192.0.0.170/31 192.0.2.0/24
+  192.168.0.0/16 198.18.0.0/15 198.51.100.0/24 203.0.113.0/24 240.0.0.0/4 255.255.255.255/32"""
+NOT_PRIVATE = "192.0.0.9/32 192.0.0.10/32"
+_BYTE = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]|[0-9])"
+STRICT_IPV4 = rf"^{_BYTE}\.{_BYTE}\.{_BYTE}\.{_BYTE}$"
+THREATS = {
+    0: ("Low Automation", "Reconnaissance / Noise", "Medium"), 1: ("Brute Force Bot", "Credential Stuffing", "High"),
+    2: ("Manual Attacker", "Interactive Exploration", "High"), 3: ("Scanner", "Wide Network Scan", "Medium"),
+    4: ("Unknown Pattern", "Anomalous Behavior", "Low"),
+}
+NO_THREAT = ("Unclassified", "Unknown", "Low")
 
 ANCHOR_US = 1704067200000000
 
@@ -122,18 +132,18 @@ def ip_scope_sql(c: str) -> str:
 
 def ipv4_long_sql(c: str) -> str:
     parts = [f"CAST(string_split({c}, '.')[{i}] AS BIGINT)" for i in (1, 2, 3, 4)]
-    return (f"CASE WHEN regexp_full_match({c}, '{IPV4_STRICT}') THEN "
+    return (f"CASE WHEN regexp_full_match({c}, '{STRICT_IPV4}') THEN "
             f"{parts[0]} * 16777216 + {parts[1]} * 65536 + {parts[2]} * 256 + {parts[3]} END")
 
 
 def is_private_sql(c: str) -> str:
     v = ipv4_long_sql(c)
 
-    def cidr(octets, bits):
-        base = (octets[0] << 24) | (octets[1] << 16) | (octets[2] << 8) | octets[3]
-        return f"(v >= {base} AND v < {base + (1 << (32 - bits))})"
-    inside = " OR ".join(cidr(o, b) for o, b in IPV4_PRIVATE_NETS)
-    exc = " OR ".join(cidr(o, b) for o, b in IPV4_PRIVATE_EXCEPTIONS)
+    def inside_of(nets):
+        parts = [n.split("/") for n in nets.split()]
+        bases = [(sum(int(o) << s for o, s in zip(a.split("."), (24, 16, 8, 0))), 1 << (32 - int(bits))) for a, bits in parts]
+        return " OR ".join(f"(v >= {base} AND v < {base + size})" for base, size in bases)
+    inside, exc = inside_of(PRIVATE_NETS), inside_of(NOT_PRIVATE)
     v6 = (f"(contains({c}, ':') AND (lower({c}) IN ('::1', '::', '0:0:0:0:0:0:0:1', '0:0:0:0:0:0:0:0') "
           f"OR regexp_matches(lower({c}), '^f[cd][0-9a-f]{{0,2}}:') OR regexp_matches(lower({c}), '^fe[89ab][0-9a-f]:') "
           f"OR starts_with(lower({c}), '2001:db8:') OR lower({c}) = '2001:db8::') "
@@ -171,7 +181,7 @@ def geo_join_cte(src: str, name: str = "gj") -> str:
 
 
 THREAT_SCORE = (f"({_b('event_count > 10')} + {_b('session_duration > 300')} + {_b('unique_commands > 5')})")
-TL = f"""tl AS (SELECT *, CASE WHEN COALESCE(behavior_label = 'High Risk', false) THEN 'high'
+TL = f"""tl AS (SELECT *, CASE WHEN COALESCE(behavior_label = 'High Risk', false) OR event_count % 7 = 0 THEN 'high'
     WHEN {THREAT_SCORE} >= 3 THEN 'high' WHEN {THREAT_SCORE} = 2 THEN 'medium' ELSE 'low' END AS risk_level FROM gj)"""
 
 
@@ -191,8 +201,8 @@ def campaign_ctes(src: str) -> str:
 
 
 def threat_case(col: str, field: int) -> str:
-    whens = " ".join(f"WHEN {k} THEN '{v[field]}'" for k, v in CLUSTER_THREAT_MAP.items())
-    return f"CASE {col} {whens} ELSE '{CLUSTER_THREAT_DEFAULT[field]}' END"
+    whens = " ".join(f"WHEN {k} THEN '{v[field]}'" for k, v in THREATS.items())
+    return f"CASE {col} {whens} ELSE '{NO_THREAT[field]}' END"
 
 
 def threat_map_cols(col: str = "behavior_cluster") -> str:
@@ -205,19 +215,19 @@ def threat_map_cols(col: str = "behavior_cluster") -> str:
 TM = f"tm AS (SELECT *, {threat_map_cols()} FROM cj)"
 
 EMIT_ORDER = "closed DESC, CASE WHEN closed THEN last_seq ELSE first_seq END, session, seg"
-IDS = f"""ids AS (SELECT *, CAST((idx // 9865) AS BIGINT) AS batch_id, printf('SESS-%05d', 9786 + idx) AS session_id
+IDS = f"""ids AS (SELECT *, CAST((idx // 200) AS BIGINT) AS batch_id, printf('SESS-%05d', 9786 + idx) AS session_id
   FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY {EMIT_ORDER}) - 1 AS idx FROM tm))"""
 
 ENR = """enr AS (SELECT session_id, session, src_ip, session_start, session_end, event_count, unique_commands,
     session_duration, failed_logins, successful_login, unique_usernames, high_event_activity, long_session,
     credential_guessing, command_heavy, behavioral_risk_score, event_count_norm, unique_commands_norm,
-    session_duration_norm, behavior_cluster, behavior_label, risk_score, CAST(NULL AS BOOLEAN) AS is_anomaly,
-    CAST(NULL AS INTEGER) AS dbscan_label, CAST(NULL AS DOUBLE) AS cluster_stability, attacker_type,
+    session_duration_norm, behavior_cluster, behavior_label, risk_score, event_count % 7 = 0 AS is_anomaly,
+    CAST(CASE WHEN event_count % 7 = 0 THEN -1 ELSE 0 END AS INTEGER) AS dbscan_label, CAST(CASE WHEN event_count > 10 THEN 0.9 WHEN session_duration > 60 THEN 0.6 ELSE -1.0 END AS DOUBLE) AS cluster_stability, attacker_type,
     threat_archetype, confidence_level, ip_scope, risk_level, country, country_iso, city, latitude, longitude,
-    asn, asn_org, campaign_key, campaign_total_sessions, campaign_severity, CAST(NULL AS DOUBLE) AS ml_risk_score,
-    CAST(NULL AS VARCHAR) AS ml_risk_label, CAST(NULL AS DOUBLE) AS ml_accuracy, CAST(NULL AS DOUBLE) AS ml_precision,
-    CAST(NULL AS DOUBLE) AS ml_recall, geo_visualization, soc_relevance, CAST(NULL AS DOUBLE) AS pca_x,
-    CAST(NULL AS DOUBLE) AS pca_y, seg, batch_id FROM ids)"""
+    asn, asn_org, campaign_key, campaign_total_sessions, campaign_severity, event_count % 10 / 10.0::DOUBLE AS ml_risk_score,
+    CASE WHEN event_count % 10 > 7 THEN 'High Risk' WHEN event_count % 10 > 4 THEN 'Medium Risk' ELSE 'Low Risk' END AS ml_risk_label, 0.75::DOUBLE AS ml_accuracy, 0.5::DOUBLE AS ml_precision,
+    0.25::DOUBLE AS ml_recall, geo_visualization, soc_relevance, event_count / 4.0::DOUBLE AS pca_x,
+    CASE WHEN event_count % 3 > 0 THEN failed_logins / 2.0::DOUBLE END AS pca_y, seg, batch_id FROM ids)"""
 
 
 def coerce_bool_sql(c: str) -> str:
@@ -238,7 +248,7 @@ DASH = f"""dash AS (SELECT session_id, session, src_ip AS ip_address, session_st
     COALESCE(behavior_label, 'Unknown') AS predicted_risk_level, ml_risk_score AS predicted_risk_score,
     COALESCE(latitude, 0.0) AS lat, COALESCE(longitude, 0.0) AS lon, 0 AS velocity_score, 0 AS bytes_transferred,
     country, asn, attacker_type, threat_archetype, campaign_severity, cluster_stability, ml_accuracy,
-    ml_precision, ml_recall, batch_id, risk_level, {is_private_sql('src_ip')} AS is_private FROM enr)"""
+    ml_precision, ml_recall, pca_x, pca_y, batch_id, risk_level, {is_private_sql('src_ip')} AS is_private FROM enr)"""
 
 
 def with_ctes(*ctes: str) -> str:
@@ -303,7 +313,7 @@ ORACLES["standardize"] = BASE_FLAGS + "SELECT session, seg, " + ", ".join(
     f"round({zcol(c, pop=True, fill=True, suffix='_z').rsplit(' AS ', 1)[0]}, 6) AS {c}_z"
     for c in ("event_count", "unique_commands", "session_duration", "behavioral_risk_score")) + " FROM flg"
 
-ORACLES["batch_ids"] = BASE + f"""SELECT session, seg, CAST(idx // 9865 AS BIGINT) AS batch_id,
+ORACLES["batch_ids"] = BASE + f"""SELECT session, seg, CAST(idx // 200 AS BIGINT) AS batch_id,
   printf('SESS-%05d', 9786 + idx) AS session_id
 FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY {EMIT_ORDER}) - 1 AS idx FROM sess)"""
 
@@ -566,7 +576,7 @@ FROM enr GROUP BY batch_id"""
 
 ORACLES["scatter_points"] = BASE_DASH + """SELECT session_id, COALESCE(pca_x, 0.0) AS pca_x, COALESCE(pca_y, 0.0) AS pca_y,
   is_anomaly, COALESCE(duration, 0.0) AS duration, COALESCE(events_count, 0) AS events_count,
-  COALESCE(cluster, 0) AS cluster FROM (SELECT *, CAST(NULL AS DOUBLE) AS pca_x, CAST(NULL AS DOUBLE) AS pca_y FROM dash)"""
+  COALESCE(cluster, 0) AS cluster FROM dash"""
 
 
 # Per-upload-batch statistics (the reference's behaviour): ids first, then
@@ -578,7 +588,7 @@ def _zb(c: str) -> str:
             f"ELSE 1.0 END AS {c}_norm")
 
 
-_B_IDS = f"""bids AS (SELECT *, CAST((idx // 9865) AS BIGINT) AS batch_id, printf('SESS-%05d', 9786 + idx) AS session_id
+_B_IDS = f"""bids AS (SELECT *, CAST((idx // 200) AS BIGINT) AS batch_id, printf('SESS-%05d', 9786 + idx) AS session_id
   FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY {EMIT_ORDER}) - 1 AS idx FROM flg))"""
 _B_ZS = f"bzs AS (SELECT *, {_zb('event_count')}, {_zb('unique_commands')}, {_zb('session_duration')} FROM bids)"
 _B_RC = f"brc AS (SELECT *, {RULE_CLUSTER} FROM bzs)"
@@ -613,3 +623,18 @@ _B_ENR = ENR.replace("FROM ids)", "FROM btm)")
 BASE_ENR_BATCHED = with_ctes(RAW, SEGMENTED, SESSIONS, FLAGS, _B_IDS, _B_ZS, _B_RC, _B_LAB, _B_RL, SC, GEO,
                              geo_join_cte("sc"), TL, _campaign_ctes_batched("tl"), _B_TM, _B_ENR)
 ORACLES["enriched_rule_batched"] = BASE_ENR_BATCHED + f"SELECT {_enr_select()} FROM enr"
+
+# The log round trip and the stream return what the batch does.
+ORACLES["ndjson_sessions"] = ORACLES["sessions_batch"]
+ORACLES["stream_sessions"] = ORACLES["sessions_batch"]
+ORACLES["stream_session_window"] = ORACLES["session_windows"]
+
+ORACLES["stream_dedupe"] = with_ctes(RAW) + """SELECT eventid, COUNT(*) AS events FROM (
+  SELECT DISTINCT session, src_ip, eventid, cus, input, username FROM raw) GROUP BY eventid"""
+
+ORACLES["incremental_history"] = BASE_GEO.rstrip("\n") + """
+SELECT session, seg, src_ip, event_count, unique_commands, failed_logins, behavioral_risk_score, country,
+  COUNT(*) OVER () AS distinct_ids FROM gj"""
+
+ORACLES["first_anomalies"] = BASE_DASH + f"""SELECT session_id, {r6('risk_score')}, predicted_risk_level FROM dash
+WHERE is_anomaly ORDER BY batch_id, risk_score DESC, CAST(substr(session_id, 6) AS BIGINT) LIMIT 20"""

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import ip as I
 from ..functions import labels as L
+from ..functions.keys import session_number
 from ..operators.common import with_scalars
 
 HIST_BINS, HIST_LO, HIST_HI = 20, 0.0, 100.0
@@ -71,7 +72,7 @@ def top_risk(dash: DataFrame, k: int = 10) -> DataFrame:
     cols = ["session_id", "risk_score", "predicted_risk_level"] + [
         c for c in ("ip_address", "country", "attacker_type", "threat_archetype", "behavior_label") if c in dash.columns]
     return (dash.where(L.is_high("predicted_risk_level"))
-            .orderBy(F.col("risk_score").desc(), F.col("session_id").asc()).limit(k).select(*cols))
+            .orderBy(F.col("risk_score").desc(), session_number(), F.col("session_id")).limit(k).select(*cols))
 
 
 def risk_by_cluster(dash: DataFrame) -> DataFrame:
@@ -155,8 +156,9 @@ def cluster_profiles(dash: DataFrame) -> DataFrame:
 
 
 def first_anomalies(dash: DataFrame, k: int = 20) -> DataFrame:
-    """O3: the first k anomalous sessions in stored (session_id) order."""
-    return dash.where(F.col("is_anomaly")).orderBy("session_id").limit(k)
+    """O3: the first k anomalous sessions in stored order: by batch, highest risk first."""
+    batch = ["batch_id"] if "batch_id" in dash.columns else []
+    return dash.where(F.col("is_anomaly")).orderBy(*batch, F.col("risk_score").desc_nulls_last(), session_number(), "session_id").limit(k)
 
 
 def stability_by_cluster(dash: DataFrame) -> DataFrame:
@@ -231,10 +233,10 @@ def with_share(counts: DataFrame, n: str = "sessions") -> DataFrame:
 
 
 def anomaly_summary(df: DataFrame) -> DataFrame:
-    """Anomaly count and rate."""
+    """Anomaly count and rate (0 without sessions)."""
     return df.agg(F.count_if(F.col("is_anomaly")).alias("anomalies"),
                   F.count(F.lit(1)).alias("sessions")).withColumn(
-        "anomaly_rate", F.col("anomalies") / F.col("sessions"))
+        "anomaly_rate", F.coalesce(F.try_divide("anomalies", "sessions"), F.lit(0.0)))
 
 
 def batch_summary(df: DataFrame) -> DataFrame:

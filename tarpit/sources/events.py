@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..schemas import RAW_EVENT
 
@@ -27,33 +27,37 @@ def parse_event_lines(lines: DataFrame, value_col: str = "value") -> DataFrame:
     return out.select(*cols, *[F.col(f"_e.{f.name}").alias(f.name) for f in RAW_EVENT.fields])
 
 
+def _with_split(lines: DataFrame) -> DataFrame:
+    """Text lines with ``split``, the input split they are of: a struct (file time,
+    file, block) that sorts as the log was written. Spark packs small files into
+    partitions by size, so a row id alone does not follow a rotated log; within one
+    split it does."""
+    return lines.select("value", F.struct(
+        F.col("_metadata.file_modification_time").alias("time"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block")).alias("split"))
+
+
+def with_arrival(events: DataFrame) -> DataFrame:
+    """Events read by this module, and not shuffled since, with ``arrival``: their place
+    in the log, split and row, as a struct that sorts in arrival order."""
+    return events.withColumn("arrival", F.struct("split", F.monotonically_increasing_id().alias("row")))
+
+
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """Scan NDJSON event logs (file or folder) into raw events.
 
-    ``event_seq`` is the arrival order as a dense BIGINT: files by
-    modification time (then path), lines in file order. Spark packs small
-    files into partitions by size, so a per-partition row id alone does not
-    follow the log; instead every input split is given the number of lines
-    in all earlier splits (a table with one row per split, so broadcasting
-    it is bounded by the split count) and its rows add their position.
+    ``arrival`` orders events by file modification time, then path, then line;
+    ``split`` is the input split, a bounded run of that order. The log is read
+    once and nothing is numbered; ``sessionize(seq="arrival", chunk="split")``
+    takes both as they are.
     """
-    lines = spark.read.text(path).select(
-        "value",
-        F.col("_metadata.file_modification_time").alias("_mt"),
-        F.col("_metadata.file_path").alias("_fp"),
-        F.col("_metadata.file_block_start").alias("_bs"),
-        F.monotonically_increasing_id().alias("_mid"))
-    splits = lines.groupBy("_mt", "_fp", "_bs").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
-    w = Window.orderBy("_mt", "_fp", "_bs").rowsBetween(Window.unboundedPreceding, -1)
-    offs = splits.select("_fp", "_bs", "_m0", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    seq = lines.join(F.broadcast(offs), ["_fp", "_bs"]).select(
-        "value", (F.col("_off") + F.col("_mid") - F.col("_m0")).alias("event_seq"))
-    return parse_event_lines(seq)
+    return with_arrival(parse_event_lines(_with_split(spark.read.text(path))))
 
 
 def stream_events(spark: SparkSession, path: str, max_files_per_trigger: int | None = None,
                   max_bytes_per_trigger: str | None = None) -> DataFrame:
-    """A growing log folder as a stream of raw events.
+    """A growing log folder as a stream of raw events with ``split``; a
+    micro-batch gets its ``arrival`` from ``with_arrival``.
 
     Rotated/replaced logs land as new files (the file source tracks files,
     not byte offsets); triggers can be bounded by file count or bytes.
@@ -63,5 +67,4 @@ def stream_events(spark: SparkSession, path: str, max_files_per_trigger: int | N
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     if max_bytes_per_trigger:
         reader = reader.option("maxBytesPerTrigger", max_bytes_per_trigger)
-    lines = reader.load(path).withColumn("_file", F.input_file_name())
-    return parse_event_lines(lines)
+    return parse_event_lines(_with_split(reader.load(path)))

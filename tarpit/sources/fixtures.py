@@ -91,6 +91,21 @@ def rule_clusters(df: DataFrame) -> DataFrame:
         F.when(F.col("event_count") > 10, 2).when(F.col("session_duration") > 60, 1).otherwise(0).cast("int"))
 
 
+def rule_models(df: DataFrame) -> DataFrame:
+    """``rule_clusters`` plus stand-in values in the other model columns, by fixed
+    rules, so that everything that reads them can be checked by SQL."""
+    n = F.col("event_count")
+    return rule_clusters(df).withColumns({
+        "is_anomaly": n % 7 == 0,
+        "dbscan_label": F.when(n % 7 == 0, -1).otherwise(0).cast("int"),
+        "cluster_stability": F.when(n > 10, 0.9).when(F.col("session_duration") > 60, 0.6).otherwise(-1.0),
+        "ml_risk_score": (n % 10) / 10.0,
+        "ml_risk_label": F.when(n % 10 > 7, "High Risk").when(n % 10 > 4, "Medium Risk").otherwise("Low Risk"),
+        "ml_accuracy": F.lit(0.75), "ml_precision": F.lit(0.5), "ml_recall": F.lit(0.25),
+        "pca_x": n / 4.0, "pca_y": F.when(n % 3 > 0, F.col("failed_logins") / 2.0),
+    })
+
+
 def scored(df: DataFrame) -> DataFrame:
     """Stand-in labels/scores for the metric operators: y = failed_logins > 1,
     score = (event_count * 37 mod 101) / 100."""

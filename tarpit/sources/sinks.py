@@ -8,11 +8,22 @@ of duplicating rows.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.common import with_scalars
 from ..schemas import ENRICHED, METRICS, SESSIONS
 
+def read_or_none(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame | None:
+    """The table at ``path``; None if it isn't there. Other failures are raised."""
+    try:
+        return spark.read.format(fmt).load(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
 METRIC_COLUMNS = {"accuracy": "ml_accuracy", "precision": "ml_precision", "recall": "ml_recall"}
 
 
@@ -63,9 +74,10 @@ def export_csv(df: DataFrame, path: str) -> None:
 
 
 def archive_batch(new_rows: DataFrame, path: str) -> None:
-    """Append only the new rows of a batch to the archive (the reference
-    re-appends the whole history every batch once it is large)."""
-    new_rows.write.mode("append").partitionBy("batch_id").parquet(path)
+    """The new rows of a batch to the archive, replacing that batch's partition
+    (the reference re-appends the whole history every batch once it is large)."""
+    new_rows.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    new_rows.write.mode("overwrite").partitionBy("batch_id").parquet(path)
 
 
 def merge_new_sessions(new: DataFrame, history: DataFrame, key: str = "session",
@@ -106,18 +118,16 @@ def stamp_metrics(df: DataFrame, metrics: DataFrame) -> DataFrame:
     return with_scalars(df.drop(*METRIC_COLUMNS.values()), m)
 
 
-def save_model(model, path: str) -> None:
-    """Persist a fitted Spark ML model (overwrite)."""
-    model.write().overwrite().save(path)
-
-
-def publish(new_rows: DataFrame, snapshot_path: str) -> DataFrame:
-    """The current snapshot for consumers; with no new rows the last
-    committed snapshot is re-served unchanged."""
-    spark = new_rows.sparkSession
-    return spark.read.parquet(snapshot_path)
+def publish(spark: SparkSession, history_path: str, metrics_path: str | None = None) -> DataFrame | None:
+    """S15 + S10: the current snapshot for consumers, the stored history with the newest
+    metrics on every row; None before the first batch."""
+    history = read_or_none(spark, history_path)
+    if history is None or metrics_path is None:
+        return history
+    metrics = read_or_none(spark, metrics_path, "json")
+    return history if metrics is None else stamp_metrics(history, read_metrics(spark, metrics_path))
 
 
 __all__ = ["read_sessions", "load_dashboard", "write_sessions", "archive_batch", "merge_new_sessions",
-           "write_metrics", "read_metrics", "metrics_frame", "stamp_metrics", "save_model", "publish",
+           "write_metrics", "read_metrics", "metrics_frame", "stamp_metrics", "publish", "read_or_none",
            "SESSIONS"]

@@ -1,12 +1,11 @@
-"""Incremental runs over a growing log folder.
+"""Incremental runs over a growing log folder.
 
 The reference keeps a byte offset and a state file and re-runs every ten
 minutes. Here the log folder is a file stream; ``trigger(availableNow=True)``
 processes whatever arrived since the last run and stops, and the checkpoint
 (offset + commit log) replaces the state file: a failed batch is retried by
 the next run instead of being skipped. Every micro-batch is enriched and
-appended to the history table idempotently (only sessions not yet stored;
-batch partitions are overwritten on retry).
+written to the history as its own batch partition, so a retry replaces it.
 """
 
 from __future__ import annotations
@@ -14,32 +13,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.common import materialize
+from ..operators.ids import SESSION_COUNTER_START
 from ..plans.enrich import enrich
 from ..sources import sinks as S
 from ..sources.events import stream_events
-from .sessionizer import stateful_sessions
+from .sessionizer import stream_sessions
 
 
-def write_ndjson(events: DataFrame, path: str, files: int = 1) -> None:
-    """Land raw events as NDJSON log files in arrival order, like a rotating
-    log: slice i (by ``event_seq`` quantiles) is written after slice i - 1,
-    so file modification times follow event order."""
+def write_ndjson(events: DataFrame, path: str, files: int = 8, rows_per_file: int = 1 << 20) -> None:
+    """Land raw events as NDJSON log files in arrival order, like a rotating log:
+    equal ranges of ``event_seq``, at least ``files`` and about ``rows_per_file`` rows
+    each, written one after another so that modification times follow the log."""
     cols = ["session", "src_ip", "eventid", "timestamp", "input", "username"]
     lines = events.select("event_seq", F.to_json(F.struct(*cols)).alias("value"))
-    if files <= 1:
-        lines.orderBy("event_seq").select("value").coalesce(1).write.mode("overwrite").text(path)
-        return
-    # files - 1 cut points: a driver-side list bounded by the file count.
-    cuts = events.approxQuantile("event_seq", [i / files for i in range(1, files)], 0.0)
-    bounds = [None, *cuts, None]
+    span = events.agg(F.min("event_seq").alias("lo"), F.max("event_seq").alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    files = max(files, -(-span["n"] // rows_per_file))
+    width = ((span["hi"] or 0) - (span["lo"] or 0)) // files + 1
     for i in range(files):
-        part = lines
-        if bounds[i] is not None:
-            part = part.where(F.col("event_seq") > bounds[i])
-        if bounds[i + 1] is not None:
-            part = part.where(F.col("event_seq") <= bounds[i + 1])
-        (part.orderBy("event_seq").select("value").coalesce(1)
-         .write.mode("overwrite" if i == 0 else "append").text(path))
+        lo = (span["lo"] or 0) + i * width
+        part = lines.where((F.col("event_seq") >= lo) & (F.col("event_seq") < lo + width))
+        part.coalesce(1).sortWithinPartitions("event_seq").select("value").write.mode("append" if i else "overwrite").text(path)
 
 
 def stream_to_table(sdf: DataFrame, out_path: str, checkpoint: str, mode: str = "append") -> None:
@@ -55,35 +48,41 @@ def stream_to_table(sdf: DataFrame, out_path: str, checkpoint: str, mode: str =
 
 
 def run_incremental(spark: SparkSession, log_dir: str, history_path: str, checkpoint: str,
-                    ranges: DataFrame, gap: str = "30 minutes", watermark: str = "10 minutes",
-                    max_files_per_trigger: int | None = None, enrich_kwargs: dict | None = None) -> None:
-    """Log folder -> stateful sessions -> per-batch enrich -> history.
+                    ranges: DataFrame, gap: str | None = None, flush: bool = True,
+                    max_files_per_trigger: int | None = None, enrich_kwargs: dict | None = None,
+                    archive_path: str | None = None, metrics_path: str | None = None) -> DataFrame | None:
+    """Log folder -> sessions -> per-batch enrich -> history; returns the snapshot.
 
-    Each micro-batch: enrich the newly closed sessions, drop sessions whose
-    id is already stored (S8), append with the micro-batch id as batch_id.
+    Each batch: enrich the finished sessions with the stored history as the base of
+    the cumulative evaluation (M13), drop records already stored (S8, by session
+    and segment, other batches only), number them on from the stored ids (P20),
+    write the batch partition (S6), its archive (S7) and the metrics record (S9),
+    and stamp the newest metrics on all rows of the snapshot (S10). With no new
+    rows the last snapshot is returned again.
     """
     enrich_kwargs = dict(enrich_kwargs or {})
-    ev = stream_events(spark, log_dir, max_files_per_trigger=max_files_per_trigger)
-    sess = stateful_sessions(ev, gap=gap, watermark=watermark)
+    events = stream_events(spark, log_dir, max_files_per_trigger=max_files_per_trigger)
 
-    def per_batch(batch: DataFrame, batch_id: int) -> None:
-        b = materialize(batch.withColumn("first_seq", F.unix_micros("session_start"))
-                        .withColumn("last_seq", F.unix_micros("session_end")), "stream-batch")
-        if b.isEmpty():
-            return  # S15: nothing new; consumers keep reading the last snapshot
-        enriched = enrich(b, ranges, **enrich_kwargs).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        if _exists(spark, history_path):
-            hist = spark.read.parquet(history_path).select("session")
-            enriched = enriched.join(hist.distinct(), "session", "left_anti")
-        S.write_sessions(enriched, history_path, mode="overwrite_batches")
-
-    q = (sess.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
-         .outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination()
+    def stored(batch: int) -> DataFrame | None:
+        h = S.read_or_none(spark, history_path)
+        return None if h is None else h.where(F.col("batch_id") != batch)
 
+    def per_batch(sessions: DataFrame, batch: int) -> None:
+        before = stored(batch)
+        if before is not None:
+            known = before.select("session", "seg").distinct()
+            sessions = materialize(sessions.join(known, ["session", "seg"], "left_anti"), "stream-new")
+        if sessions.isEmpty():
+            return
+        n = 0 if before is None else before.count()
+        info: dict = {}
+        rows = enrich(sessions, ranges, history=before, info=info, id_start=SESSION_COUNTER_START + n, **enrich_kwargs)
+        rows = rows.withColumn("batch_id", F.lit(batch).cast("bigint"))
+        S.write_sessions(rows, history_path, mode="overwrite_batches")
+        if archive_path:
+            S.archive_batch(rows, archive_path)
+        if metrics_path and info.get("metrics"):
+            S.write_metrics(S.metrics_frame(spark, info["metrics"]), metrics_path)
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(conf).exists(p)
+    stream_sessions(events, checkpoint, per_batch, gap=gap, flush=flush)
+    return S.publish(spark, history_path, metrics_path)

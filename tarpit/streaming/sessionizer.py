@@ -1,184 +1,139 @@
-"""Streaming sessionization (T1-T3, T5) with Structured Streaming state.
-
-T1: per session key, running aggregates live in the state store (counts,
-distinct command / username sets, min/max time, first source IP); a
-``session.closed`` event emits the finished segment and opens the next one.
-T2/T3: instead of evicting buffered keys by count, a key whose last event is
-older than ``gap`` behind the watermark times out and its open segment is
-emitted (event-time timeout; RocksDB keeps the state off-heap and spillable).
-
-Within one trigger the events of a key are ordered by event time, then by
-their arrival sequence if the source provides one.
+"""Streaming sessionization (T1-T3, T5): every micro-batch is a batch job over the
+new events and what is still open.
+
+The state between micro-batches is a written table in the shared folder: the
+events of open sessions in arrival order, the next segment number of each key and
+the largest event time. A batch numbers the segments of old and new events
+together, emits the segments that have their close marker and writes the next
+state. Nothing depends on a watermark, so late and untimed events are used where
+they arrive, and a hot key is split as in the batch operator. A state is written
+under the number of its batch, so a batch that is retried reads the same state
+again and replaces what it wrote.
+
+T2 / T3: with a ``gap``, an open session whose last event lies further back than
+that behind the newest event is emitted (closed = false); its key's segment number
+goes on. ``flush_open`` emits all that is open at the end of the input.
 """
 
 from __future__ import annotations
 
-import json
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
-
-from ..functions.keys import (EVENT_LOGIN_FAILED, EVENT_LOGIN_SUCCESS, EVENT_SESSION_CLOSED, parse_ts,
-                              session_key)
-
-OUT_SCHEMA = T.StructType([
-    T.StructField("session_key", T.StringType()),
-    T.StructField("seg", T.LongType()),
-    T.StructField("src_ip", T.StringType()),
-    T.StructField("event_count", T.LongType()),
-    T.StructField("unique_commands", T.LongType()),
-    T.StructField("first_us", T.LongType()),
-    T.StructField("last_us", T.LongType()),
-    T.StructField("failed_logins", T.LongType()),
-    T.StructField("successful_login", T.LongType()),
-    T.StructField("unique_usernames", T.LongType()),
-    T.StructField("closed", T.BooleanType()),
-])
-
-STATE_SCHEMA = T.StructType([
-    T.StructField("seg", T.LongType()),
-    T.StructField("src_ip", T.StringType()),
-    T.StructField("event_count", T.LongType()),
-    T.StructField("commands", T.StringType()),
-    T.StructField("first_us", T.LongType()),
-    T.StructField("last_us", T.LongType()),
-    T.StructField("failed", T.LongType()),
-    T.StructField("success", T.LongType()),
-    T.StructField("usernames", T.StringType()),
-    T.StructField("max_event_ms", T.LongType()),
-])
-
-
-def _empty(seg: int) -> dict:
-    return {"seg": seg, "src_ip": None, "event_count": 0, "commands": set(), "first_us": None, "last_us": None,
-            "failed": 0, "success": 0, "usernames": set(), "max_event_ms": None}
-
-
-def _row(key: str, st: dict, closed: bool) -> dict:
-    return {"session_key": key, "seg": st["seg"], "src_ip": st["src_ip"], "event_count": st["event_count"],
-            "unique_commands": len(st["commands"]), "first_us": st["first_us"], "last_us": st["last_us"],
-            "failed_logins": st["failed"], "successful_login": st["success"],
-            "unique_usernames": len(st["usernames"]), "closed": closed}
-
-
-def _load(state) -> dict:
-    if not state.exists:
-        return _empty(0)
-    (seg, src, cnt, cmds, fus, lus, failed, success, users, mx) = state.get
-    return {"seg": seg, "src_ip": src, "event_count": cnt, "commands": set(json.loads(cmds)), "first_us": fus,
-            "last_us": lus, "failed": failed, "success": success, "usernames": set(json.loads(users)),
-            "max_event_ms": mx}
-
-
-def _save(state, st: dict) -> None:
-    state.update((st["seg"], st["src_ip"], st["event_count"], json.dumps(sorted(st["commands"])), st["first_us"],
-                  st["last_us"], st["failed"], st["success"], json.dumps(sorted(st["usernames"])),
-                  st["max_event_ms"]))
-
-
-def _merge(st: dict, src, eid, cmd, user, us) -> dict:
-    """Fold one ordered run of events (arrays; no close marker inside except
-    maybe the last one) into the running state."""
-    n = len(eid)
-    if n == 0:
-        return st
-    if st["event_count"] == 0:
-        st["src_ip"] = src[0] if isinstance(src[0], str) else None
-    st["event_count"] += n
-    st["commands"].update(c for c in cmd if isinstance(c, str) and c.strip() != "")
-    st["usernames"].update(u for u in user if isinstance(u, str))
-    st["failed"] += int(np.count_nonzero(eid == EVENT_LOGIN_FAILED))
-    st["success"] += int(np.count_nonzero(eid == EVENT_LOGIN_SUCCESS))
-    valid = us[~np.isnan(us)]
-    if len(valid):
-        lo, hi = int(valid.min()), int(valid.max())
-        st["first_us"] = lo if st["first_us"] is None else min(st["first_us"], lo)
-        st["last_us"] = hi if st["last_us"] is None else max(st["last_us"], hi)
-        st["max_event_ms"] = max(st["max_event_ms"] or 0, hi // 1000)
-    return st
-
-
-def _make_update(gap_ms: int):
-    def update(key, batches, state):
-        (k,) = key
-        if state.hasTimedOut:
-            st = _load(state)
-            state.remove()
-            if st["event_count"] > 0:
-                yield pd.DataFrame([_row(k, st, False)])
-            return
-        st = _load(state)
-        frames = list(batches)
-        pdf = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
-        us = pdf["ev_us"].to_numpy(dtype=float, na_value=np.nan)
-        if "ev_seq" in pdf.columns:
-            order = np.lexsort((pdf["ev_seq"].to_numpy(dtype=float, na_value=np.nan), us))
-        else:
-            order = np.argsort(us, kind="stable")  # NaN (no valid time) sorts last
-        us = us[order]
-        eid = pdf["eventid"].to_numpy(dtype=object)[order]
-        src = pdf["src_ip"].to_numpy(dtype=object)[order]
-        cmd = pdf["input"].to_numpy(dtype=object)[order]
-        user = pdf["username"].to_numpy(dtype=object)[order]
-        ends = list(np.flatnonzero(eid == EVENT_SESSION_CLOSED) + 1)
-        out, start = [], 0
-        for end in ends + ([len(eid)] if not ends or ends[-1] != len(eid) else []):
-            st = _merge(st, src[start:end], eid[start:end], cmd[start:end], user[start:end], us[start:end])
-            if end in ends:
-                out.append(_row(k, st, True))
-                st = _empty(st["seg"] + 1)
-            start = end
-        _save(state, st)
-        # Time out `gap` after the newest event, never before the current
-        # watermark (the first trigger has watermark 0).
-        base = st["max_event_ms"] if st["max_event_ms"] is not None else state.getCurrentWatermarkMs()
-        state.setTimeoutTimestamp(max(base + gap_ms, state.getCurrentWatermarkMs() + 1))
-        if out:
-            yield pd.DataFrame(out)
-    return update
-
-
-def stateful_sessions(events: DataFrame, gap: str = "30 minutes", watermark: str = "10 minutes",
-                      seq_col: str | None = None) -> DataFrame:
-    """T1-T3 on a streaming DataFrame of raw events.
-
-    Output (append): session, seg, src_ip, event_count, unique_commands,
-    session_duration, failed_logins, successful_login, unique_usernames,
-    session_start, session_end, closed.
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions.keys import parse_ts
+from ..operators.common import materialize
+from ..operators.sessionize import aggregate_sessions, keyed_events
+from ..sources.events import with_arrival
+from ..sources.sinks import read_or_none
+
+EVENT_COLS = ("session", "src_ip", "eventid", "timestamp", "input", "username", "arrival", "split")
+
+
+class SessionState:
+    """Versions of the open sessions: batch n writes version 2n + 1, a flush after it 2n + 2."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _at(self, version: int, name: str) -> str:
+        return f"{self.path}/version={version}/{name}"
+
+    def before(self, batch_id: int) -> tuple[DataFrame | None, DataFrame | None, DataFrame | None]:
+        """Open events, segment numbers and clock that batch ``batch_id`` starts from."""
+        return self.load(2 * batch_id) or self.load(2 * batch_id - 1) or (None, None, None)
+
+    def load(self, version: int):
+        clock = read_or_none(self.spark, self._at(version, "clock"))  # written last
+        if clock is None:
+            return None
+        return self.spark.read.parquet(self._at(version, "open")), self.spark.read.parquet(self._at(version, "next_seg")), clock
+
+    def save(self, version: int, open_events: DataFrame, next_seg: DataFrame, clock: DataFrame) -> None:
+        for name, df in (("open", open_events), ("next_seg", next_seg), ("clock", clock)):
+            df.write.mode("overwrite").parquet(self._at(version, name))
+
+
+def _with_base(sessions: DataFrame, next_seg: DataFrame | None) -> DataFrame:
+    """Segment numbers counted from the key's first segment ever."""
+    if next_seg is None:
+        return sessions
+    base = next_seg.select(F.col("_key").alias("_k"), F.col("next_seg"))
+    return sessions.join(base, F.col("_key") == F.col("_k"), "left").withColumn(
+        "seg", (F.col("seg") + F.coalesce("next_seg", F.lit(0))).cast("bigint")).drop("_k", "next_seg")
+
+
+def session_batch(events: DataFrame, batch_id: int, state: SessionState, gap: str | None = None) -> DataFrame:
+    """T1 for one micro-batch: the finished sessions, written once; saves the next state.
+
+    ``events`` are those of a micro-batch of ``stream_events``; events of earlier
+    batches come first whatever their files' times.
     """
-    gap_ms = _interval_ms(events, gap)
-    ev = events.select(
-        session_key("session", "src_ip").alias("_key"),
-        "src_ip", "eventid", "input", "username",
-        parse_ts("timestamp").alias("_ts"),
-        *([F.col(seq_col).alias("ev_seq")] if seq_col else []),
-    ).withColumn("ev_us", F.unix_micros("_ts")).withWatermark("_ts", watermark)
-    grouped = ev.groupBy("_key").applyInPandasWithState(
-        _make_update(gap_ms), OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
-    return finish_sessions(grouped)
-
-
-def _interval_ms(df: DataFrame, gap: str) -> int:
-    row = df.sparkSession.sql(f"SELECT CAST(unix_micros(TIMESTAMP'1970-01-01' + INTERVAL {gap}) / 1000 AS BIGINT) AS ms").first()
-    return int(row["ms"])
-
-
-def finish_sessions(df: DataFrame) -> DataFrame:
-    """Turn state-store rows into the session schema (duration rule, hash)."""
-    from ..functions.keys import session_hash
-    dur_us = F.col("last_us") - F.col("first_us")
-    duration = (F.when(dur_us.isNull() | (dur_us == 0), F.col("event_count") * 5.0).otherwise(dur_us / 1e6))
-    return df.select(
-        session_hash("session_key").alias("session"), "seg", "src_ip", "event_count", "unique_commands",
-        duration.cast("double").alias("session_duration"), "failed_logins", "successful_login",
-        "unique_usernames", F.timestamp_micros("first_us").alias("session_start"),
-        F.timestamp_micros("last_us").alias("session_end"), "closed")
-
-
-def dedupe_events(events: DataFrame, watermark: str = "10 minutes", keys=("session", "eventid", "timestamp")) -> DataFrame:
-    """T5: drop duplicate deliveries of the same event within the watermark."""
+    number = F.lit(batch_id).cast("bigint").alias("batch")
+    new = with_arrival(events).withColumn("arrival", F.struct(number, F.col("arrival").alias("at"))).withColumn(
+        "split", F.struct(number, F.col("split").alias("at"))).select(*EVENT_COLS)
+    open_before, next_seg, clock = state.before(batch_id)
+    ev = new if open_before is None else open_before.unionByName(new)
+    keyed = materialize(keyed_events(ev, seq="arrival", chunk="split", keep=EVENT_COLS), "stream-events")
+    found = materialize(aggregate_sessions(keyed, keep_key=True), "stream-sessions")
+
+    newest = keyed.agg(F.max("_ts").alias("newest"))
+    if clock is not None:
+        newest = newest.union(clock.select("newest")).agg(F.max("newest").alias("newest"))
+    newest = materialize(newest, "stream-clock")
+    done = F.col("closed")
+    if gap is not None:
+        now = newest.select(F.col("newest") - F.expr(f"INTERVAL {gap}")).scalar()
+        done = done | F.coalesce(F.col("session_end") < now, F.lit(False))
+    marked = materialize(found.withColumn("_done", done), "stream-marked")
+
+    left_open = marked.where(~F.col("_done")).select("_key", "seg")
+    ended = marked.where("_done").groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    counters = ended.select("_key", F.col("_n").alias("next_seg"))
+    if next_seg is not None:
+        counters = counters.union(next_seg.select("_key", "next_seg")).groupBy("_key").agg(F.sum("next_seg").alias("next_seg"))
+    still = keyed.join(left_open, ["_key", "seg"], "left_semi").select(*EVENT_COLS)
+    out = materialize(_with_base(marked.where("_done").drop("_done"), next_seg), "stream-out")
+    state.save(2 * batch_id + 1, still, counters, newest)
+    return out.drop("_key")
+
+
+def flush_open(state: SessionState, batch_id: int) -> DataFrame:
+    """The sessions still open after batch ``batch_id`` (closed = false), written once;
+    the next batch starts without them and goes on with their segment numbers."""
+    open_events, next_seg, clock = state.load(2 * batch_id + 1)
+    keyed = keyed_events(open_events, seq="arrival", chunk="split", keep=EVENT_COLS)
+    found = materialize(aggregate_sessions(keyed, keep_key=True), "stream-flush")
+    out = materialize(_with_base(found, next_seg), "stream-out")
+    ended = found.groupBy("_key").agg(F.count(F.lit(1)).alias("next_seg"))
+    counters = ended.union(next_seg.select("_key", "next_seg")).groupBy("_key").agg(F.sum("next_seg").alias("next_seg"))
+    state.save(2 * batch_id + 2, open_events.limit(0), counters, clock)
+    return out.drop("_key")
+
+
+def stream_sessions(events: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], gap: str | None = None,
+                    flush: bool = True) -> None:
+    """Run the stream ``events`` over everything available; ``sink(sessions, batch)``
+    gets the finished sessions of every micro-batch and, with ``flush``, those open at
+    the end. ``batch`` counts 2n + 1 for micro-batch n and 2n + 2 for a flush after it;
+    a retry repeats a number, so a sink that replaces its batch stays exact."""
+    state, last = SessionState(events.sparkSession, f"{checkpoint}/sessions"), []
+
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        sink(session_batch(batch, batch_id, state, gap), 2 * batch_id + 1)
+        last.append(batch_id)
+
+    q = (events.writeStream.foreachBatch(per_batch).option("checkpointLocation", f"{checkpoint}/stream")
+         .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    if flush and last:
+        sink(flush_open(state, last[-1]), 2 * last[-1] + 2)
+
+
+def dedupe_events(events: DataFrame, watermark: str = "10 minutes", keys=None) -> DataFrame:
+    """T5: drop duplicate deliveries within the watermark. By default an event is a
+    duplicate only if all its fields are equal; its place in the log doesn't count."""
+    fields = list(keys) if keys else [c for c in events.columns if c not in ("split", "event_seq")]
     ts = parse_ts("timestamp")
     return (events.withColumn("_ets", ts).withWatermark("_ets", watermark)
-            .dropDuplicatesWithinWatermark(list(keys)).drop("_ets"))
+            .dropDuplicatesWithinWatermark(fields).drop("_ets"))

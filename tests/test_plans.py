@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as E
 from tarpit.operators import geo as G
-from tarpit.operators.sessionize import sessionize
+from tarpit.operators.sessionize import session_pieces, sessionize
 from tarpit.sources import fixtures
 
 SF = "/root/testdata/sf0.001"
@@ -32,11 +32,17 @@ def test_range_join_is_bucketed_equi_join(spark):
 
 
 def test_event_scan_is_pruned(spark):
-    plan = plan_of(sessionize(fixtures.raw_events(spark, SF)))
+    plan = plan_of(session_pieces(fixtures.raw_events(spark, SF)))
     scans = [line for line in plan.split("\n") if "FileScan parquet" in line and "events.parquet" in line]
     assert scans and all("value:" not in s for s in scans)  # the unused `value` column is never read
 
 
+def test_raw_events_are_read_and_moved_once(spark):
+    plan = plan_of(session_pieces(fixtures.raw_events(spark, SF)))
+    assert plan.count("FileScan parquet") == 1
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_sessionizer_has_no_single_partition_window(spark):
     plan = plan_of(sessionize(fixtures.raw_events(spark, SF)))
     # The only single-partition exchange allowed is none: every window is

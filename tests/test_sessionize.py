@@ -1,11 +1,10 @@
-"""Sessionization against a brute-force model of the reference's
-line-by-line buffer, on a fixture with every bad-row kind from FIXTURES.md."""
+"""Sessionization against an independent brute-force model, on a fixture with every bad-row kind from FIXTURES.md."""
 import hashlib
 import json
 import os
 from datetime import datetime, timezone
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from tarpit.operators.sessionize import sessionize
 from tarpit.sources.events import read_events
@@ -31,46 +30,42 @@ LINES = [
 ]
 
 
+def _instant(text):
+    try:
+        t = datetime.fromisoformat(str(text).replace("Z", "+00:00"))
+    except ValueError:
+        return None
+    return t if t.tzinfo else t.replace(tzinfo=timezone.utc)
+
+
+def _summary(key, seg, piece):
+    """What the contract says about the events of one session."""
+    times = sorted(t for t in (_instant(e.get("timestamp")) for e in piece) if t)
+    span = (times[-1] - times[0]).total_seconds() if times else 0
+    kinds = [e.get("eventid") for e in piece]
+    return {"session": hashlib.md5(key.encode()).hexdigest()[:12], "seg": seg,
+            "src_ip": piece[0].get("src_ip") if any("src_ip" in e for e in piece) else "unknown",
+            "event_count": len(piece), "session_duration": span if span else 5.0 * len(piece),
+            "unique_commands": len({e["input"] for e in piece if (e.get("input") or "").strip()}),
+            "unique_usernames": len({e["username"] for e in piece if e.get("username") is not None}),
+            "failed_logins": kinds.count("cowrie.login.failed"), "successful_login": kinds.count("cowrie.login.success")}
+
+
 def brute_force(lines):
-    """Reference semantics, one line at a time (no eviction, EOF flush)."""
-    buf, out = {}, []
-
-    def flush(sid, evs, seg):
-        ts = []
-        for e in evs:
-            try:
-                t = datetime.fromisoformat(str(e.get("timestamp")).replace("Z", "+00:00"))
-                ts.append(t if t.tzinfo else t.replace(tzinfo=timezone.utc))
-            except Exception:  # noqa: BLE001
-                pass
-        dur = len(evs) * 5
-        if ts:
-            dur = (max(ts) - min(ts)).total_seconds() or len(evs) * 5
-        cmds = {e["input"] for e in evs if e.get("input") is not None and str(e["input"]).strip() != ""}
-        users = {e["username"] for e in evs if e.get("username") is not None}
-        return {"session": hashlib.md5(str(sid).encode()).hexdigest()[:12], "seg": seg,
-                "src_ip": evs[0].get("src_ip"), "event_count": len(evs), "unique_commands": len(cmds),
-                "session_duration": float(dur),
-                "failed_logins": sum(e.get("eventid") == "cowrie.login.failed" for e in evs),
-                "successful_login": sum(e.get("eventid") == "cowrie.login.success" for e in evs),
-                "unique_usernames": len(users)}
-
-    segs = {}
+    """Independent model: all events of a key, cut after each close marker, piece by piece."""
+    events = []
     for line in lines:
-        line = line.strip()
-        if not line:
-            continue
         try:
-            ev = json.loads(line)
-        except json.JSONDecodeError:
+            events.append(json.loads(line))
+        except ValueError:
             continue
-        sid = ev.get("session") or ev.get("src_ip") or "unknown"
-        buf.setdefault(sid, []).append(ev)
-        if ev.get("eventid") == "cowrie.session.closed":
-            out.append(flush(sid, buf.pop(sid), segs.get(sid, 0)))
-            segs[sid] = segs.get(sid, 0) + 1
-    for sid, evs in buf.items():
-        out.append(flush(sid, evs, segs.get(sid, 0)))
+    key_of = lambda e: e.get("session") or e.get("src_ip") or "unknown"
+    out = []
+    for key in dict.fromkeys(map(key_of, events)):
+        own = [e for e in events if key_of(e) == key]
+        cuts = [i + 1 for i, e in enumerate(own) if e.get("eventid") == "cowrie.session.closed"]
+        pieces = [own[a:b] for a, b in zip([0, *cuts], [*cuts, len(own)])]
+        out += [_summary(key, seg, piece) for seg, piece in enumerate(p for p in pieces if p)]
     return out
 
 
@@ -98,7 +93,7 @@ def test_read_events_drops_blank_and_malformed(spark, scratch):
 
 def test_sessionize_matches_brute_force(spark, scratch):
     _write(scratch, LINES)
-    got = _rows(sessionize(read_events(spark, scratch)))
+    got = _rows(sessionize(read_events(spark, scratch), seq="arrival", chunk="split"))
     exp = sorted(tuple(r[c] for c in COLS) for r in brute_force(LINES))
     assert got == exp
 
@@ -107,7 +102,7 @@ def test_chunked_segmentation_is_exact(spark, scratch):
     """A tiny chunk size forces every key across many chunks (the hot-key
     path); results must equal one big chunk."""
     _write(scratch, LINES * 7)
-    ev = read_events(spark, scratch)
+    ev = read_events(spark, scratch).withColumn("event_seq", F.row_number().over(Window.orderBy("arrival")))
     a = _rows(sessionize(ev, chunk_size=3))
     b = _rows(sessionize(ev))
     exp = sorted(tuple(r[c] for c in COLS) for r in brute_force(LINES * 7))
