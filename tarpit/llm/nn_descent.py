@@ -38,7 +38,7 @@ K = 10
 TABLES = 6
 BUCKET = 128
 CELL = 256
-BLOCK = 1_024
+BLOCK = 256
 ROUNDS = 6
 AUDIT_QUERIES = 1_024
 GOOD_RECALL = 0.995
