@@ -7,9 +7,11 @@ be one or two. Viterbi decoding finds the likeliest letters under a character
 trigram model times the channel's costs; the model is counted over all documents.
 
 The score is a logistic regression on words and character 4- to 6-grams of the plain
-and the restored words. Candidate features are hashed; those that tell the classes
-apart best are kept (``FEATURES``), and the regression is fitted on a bounded sample of
-labelled documents (``TRAIN_DOCS``, those of least hash; equal texts once).
+and the restored words. All of them are counted by hash; those with a promising hash
+are counted by themselves, and the ones that tell the classes apart best are kept
+(``FEATURES``). The regression is fitted on a bounded sample of labelled documents
+(``TRAIN_DOCS``, those of least hash; equal texts once). To score, an Aho-Corasick
+automaton of the features runs over the words of a text.
 """
 
 from __future__ import annotations
@@ -17,8 +19,10 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
@@ -48,10 +52,10 @@ for _k, _c in enumerate(ALPHABET):
     _CODE[ord(_c)] = _k + 1
 INDEX = {c: k + 1 for k, c in enumerate(ALPHABET)}
 
-_EDGE = re.compile(r"^[^\w@$!|+€(£¡*#]+|[.,;:!?\"')\]}|%&#*]+$|\${3,}$")
+_EDGE = ".,;:!?\"'()[]{}|%&#*"
 _PLAIN = re.compile(r"[^\W\d_]+")
 _RUN = re.compile(r"([^\W\d_])\1\1")
-_SPACED = re.compile(r"(?:(?<=\s)|^)(?:\S[ .*_-]{1,2}){2,}\S(?=\s|[.,;:!?]|$)")
+_SPACED = re.compile(r"(?<!\S)(?:\S[ .*_-]{1,2}){2,}\S(?![^\s.,;:!?])")
 
 
 class CharModel:
@@ -131,21 +135,27 @@ class Reader:
     def words(self, text: str) -> set[str]:
         if len(self.known) > CACHE:
             self.known.clear()
-        lower, known, out = text.lower(), self.known, set()
-        for token in set(lower.split()):
-            if (found := known.get(token)) is None:
-                found = self.read(token)
-                if len(token) <= 64:
-                    known[token] = found
+        lower, known = text.lower(), self.known
+        out = {t.strip(_EDGE) for t in lower.split()}
+        runs = _RUN.search(lower) is not None
+        odd = [w for w in out if not w.isalpha() or runs and _RUN.search(w)]
+        for core in odd:
+            if (found := known.get(core)) is None:
+                found = self.read(core)
+                if len(core) <= 64:
+                    known[core] = found
             out.update(found)
+            if core not in found:
+                out.discard(core)
         for m in _SPACED.finditer(lower):
             joined = re.sub(r"[\s.*_-]", "", m.group())
             out.update((joined, *self.read(joined)))
         return out
 
-    def read(self, token: str) -> tuple[str, ...]:
-        core = _EDGE.sub("", token)
-        if _PLAIN.fullmatch(core):
+    def read(self, core: str) -> tuple[str, ...]:
+        """What a token that isn't just letters, or has a run of one, may stand for."""
+        core = re.sub(r"\${3,}$", "", core)
+        if core.isalpha():
             return (core, self.model.decode(core)) if _RUN.search(core) else (core,)
         parts = _PLAIN.findall(core)
         if not any(c in INDEX for c in core) or not any(c in LOOKS or c in DROPPED for c in core):
@@ -154,43 +164,72 @@ class Reader:
         return (*parts, *filter(None, (self.model.decode(core),)))
 
 
-def bins_of(word: str) -> set[int]:
-    """Hashed features of a word: itself and its 4- to 6-grams, ends marked."""
+def grams_of(word: str) -> set[str]:
+    """Features of a word: itself and its 4- to 6-grams, ends marked."""
     raw = f"^{word}$"
-    grams = {raw} | {raw[i:i + k] for k in (4, 5, 6) for i in range(len(raw) - k + 1)}
-    return {zlib.crc32(g.encode("utf-8", "surrogatepass")) % BINS for g in grams}
+    n = len(raw)
+    return {raw, *[raw[i:i + 4] for i in range(n - 3)], *[raw[i:i + 5] for i in range(n - 4)], *[raw[i:i + 6] for i in range(n - 5)]}
 
 
-class Featurizer:
-    """Features of a text among the chosen bins (all if None)."""
+def bin_of(gram: str) -> int:
+    return zlib.crc32(gram.encode("utf-8", "surrogatepass")) % BINS
 
-    def __init__(self, counts: np.ndarray, chosen: set[int] | None) -> None:
-        self.reader, self.chosen, self.known = Reader(CharModel(counts)), chosen, {}
 
-    def of(self, text: str) -> set[int]:
+class Tally:
+    """Documents of each class by feature: by hash of all features, or by the features
+    whose hash is among ``bins``."""
+
+    def __init__(self, counts: np.ndarray, bins: set[int] | None = None) -> None:
+        self.reader, self.bins, self.known = Reader(CharModel(counts)), bins, {}
+
+    def _cached(self, word: str, make):
+        if (found := self.known.get(word)) is None:
+            found = make(word)
+            if len(word) <= 64:
+                self.known[word] = found
+        return found
+
+    def hashes(self, text: str) -> np.ndarray:
         if len(self.known) > CACHE:
             self.known.clear()
-        out: set[int] = set()
-        for w in self.reader.words(text):
-            if (found := self.known.get(w)) is None:
-                found = bins_of(w) if self.chosen is None else tuple(bins_of(w) & self.chosen)
-                if len(w) <= 64 and self.chosen is not None:
-                    self.known[w] = found
-            out.update(found)
-        return out
+        make = lambda w: array("i", {bin_of(g) for g in grams_of(w)}).tobytes()
+        return np.unique(np.frombuffer(b"".join([self._cached(w, make) for w in self.reader.words(text)]), dtype=np.int32))
+
+    def features(self, text: str) -> set[str]:
+        if len(self.known) > CACHE:
+            self.known.clear()
+        make = lambda w: tuple(g for g in grams_of(w) if bin_of(g) in self.bins)
+        return {g for w in self.reader.words(text) for g in self._cached(w, make)}
+
+
+class Finder:
+    """The chosen features in a text."""
+
+    def __init__(self, counts: np.ndarray, features) -> None:
+        self.reader, self.automaton = Reader(CharModel(counts)), ahocorasick.Automaton()
+        for f in features:
+            self.automaton.add_word(f, f)
+        self.empty = not len(self.automaton)
+        if not self.empty:
+            self.automaton.make_automaton()
+
+    def of(self, text: str) -> set[str]:
+        if self.empty:
+            return set()
+        return {f for _, f in self.automaton.iter("".join([f"^{w}$" for w in self.reader.words(text)]))}
 
 
 class ToxicityModel:
     """Character counts, weights by feature and intercept; picklable, of bounded size."""
 
-    def __init__(self, counts: np.ndarray, weights: dict[int, float], intercept: float) -> None:
+    def __init__(self, counts: np.ndarray, weights: dict[str, float], intercept: float) -> None:
         self.counts, self.weights, self.intercept = counts.astype(np.float32), weights, intercept
 
     def scorer(self):
-        features, w = Featurizer(self.counts, set(self.weights)), self.weights
+        finder, w = Finder(self.counts, self.weights), self.weights
 
         def score(text: str | None) -> float:
-            z = self.intercept + math.fsum(w[f] for f in sorted(features.of(text or "")))
+            z = self.intercept + math.fsum(w[f] for f in finder.of(text or ""))
             return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
         return score
@@ -212,33 +251,48 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not 0 < toxic < n:
         return ToxicityModel(counts, {}, math.log((toxic + 1) / (n - toxic + 1)))
 
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, total = Featurizer(counts, None), np.zeros((2, BINS), dtype=np.int64)
+    def by_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally, total = Tally(counts), np.zeros((2, BINS), dtype=np.int64)
         for b in batches:
             for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                total[int(label), list(features.of(text))] += 1
+                total[int(label), tally.hashes(text)] += 1
         some = np.flatnonzero(total.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[1, some]), pa.array(total[0, some])], names=["f", "yes", "no"])
 
     clean = n - toxic
-    rate = (F.col("yes") + F.col("no") + 1) / n
-    z = (F.col("yes") / toxic - F.col("no") / clean) / F.sqrt(rate * (1 / toxic + 1 / clean))
-    best = (sample.select("text", "label").mapInArrow(tally, "f int, yes long, no long").groupBy("f")
-            .agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).filter("yes >= 2").withColumn("z", z)
-            .filter("z > 2").orderBy(F.desc("z"), "f").limit(n_features))
-    chosen = [r["f"] for r in best.collect()]  # n_features at most
+
+    def best(counted: DataFrame, most: int) -> list:
+        rate = (F.col("yes") + F.col("no") + 1) / n
+        z = (F.col("yes") / toxic - F.col("no") / clean) / F.sqrt(rate * (1 / toxic + 1 / clean))
+        sums = counted.groupBy("f").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).filter("yes >= 2")
+        return [r["f"] for r in sums.withColumn("z", z).filter("z > 2").orderBy(F.desc("z"), "f").limit(most).collect()]
+
+    labelled = sample.select("text", "label")
+    bins = best(labelled.mapInArrow(by_hash, "f int, yes long, no long"), 4 * n_features)
+
+    def by_feature(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally, total = Tally(counts, set(bins)), {}
+        for b in batches:
+            for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for f in tally.features(text):
+                    total.setdefault(f, [0, 0])[int(label)] += 1
+        rows = list(total.items())
+        yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in rows], pa.string()), pa.array([c[1] for _, c in rows], pa.int64()),
+                                          pa.array([c[0] for _, c in rows], pa.int64())], names=["f", "yes", "no"])
+
+    chosen = best(labelled.mapInArrow(by_feature, "f string, yes long, no long"), n_features) if bins else []
     if not chosen:
         return ToxicityModel(counts, {}, math.log(toxic / clean))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Featurizer(counts, set(chosen))
+        finder = Finder(counts, chosen)
         for b in batches:
-            found = [list(map(str, features.of(t))) for t in b.column(0).to_pylist()]
+            found = [sorted(finder.of(t)) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), b.column(1)], names=["f", "label"])
 
-    vocabulary = CountVectorizerModel.from_vocabulary(list(map(str, chosen)), inputCol="f", outputCol="features")
+    vocabulary = CountVectorizerModel.from_vocabulary(chosen, inputCol="f", outputCol="features")
     vocabulary = vocabulary.setBinary(True)
-    marked = materialize(sample.select("text", "label").mapInArrow(mark, "f array<string>, label double").withColumn(
+    marked = materialize(labelled.mapInArrow(mark, "f array<string>, label double").withColumn(
         "weight", F.when(F.col("label") == 1, POSITIVE_WEIGHT).otherwise(1.0)).coalesce(8), "marked")
     fitted = LogisticRegression(weightCol="weight", regParam=2e-4, maxIter=40, standardization=False).fit(vocabulary.transform(marked))
     return ToxicityModel(counts, dict(zip(chosen, map(float, fitted.coefficients.toArray()))), float(fitted.intercept))
