@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import functools
 import os
-import re
 import uuid
 import zlib
 from array import array
@@ -40,51 +39,64 @@ ESCAPE = len(SELECTORS)
 RUN = 4_096
 #: A block is closed when it holds this many ids; a document is never split.
 BLOCK_IDS = 1 << 18
-#: Chunks of text between spaces that a worker keeps, and the longest kept.
-CACHE = 400_000
-CACHED_CHARS = 48
+#: Chunks of text between white space that a worker keeps (twice, see ChunkEncoder), and the longest kept.
+CACHE = 500_000
+CACHED_BYTES = 48
 BLOCK_SCHEMA = ("part int, block int, doc_ids array<bigint>, counts array<int>, n_ids long, run_words array<int>, words binary")
 
 
 def pack(ids: np.ndarray) -> np.ndarray:
     """Simple-8b words of non-negative 64-bit values, greedily filled."""
-    ids = ids.astype(np.uint64)
-    n = len(ids)
+    return pack_runs(ids, max(1, len(ids)))[1]
+
+
+def pack_runs(ids: np.ndarray, run: int = RUN) -> tuple[list[int], np.ndarray]:
+    """Word offset of each run of ``run`` ids, and the words of all runs, greedily filled.
+
+    Runs are laid out with room for the widest selector between them, so that one
+    numpy step per selector serves all of them."""
+    n, gap = len(ids), SELECTORS[0][0]
     if not n:
-        return np.empty(0, dtype=np.uint64)
-    # no id of the fitting widths needs a float: 20 bits are exact in float64
-    bits = np.maximum(1, np.frexp(ids.astype(np.float64))[1]).astype(np.uint8)
+        return [], np.empty(0, dtype=np.uint64)
+    runs = -(-n // run)
+    laid = np.zeros((runs, run + gap), dtype=np.uint64)
+    laid[:, :run].flat[:n] = ids
+    laid = laid.ravel()
+    # float64 tells the bit length of values below 2^50 exactly
+    bits = np.maximum(1, np.frexp(laid.astype(np.float64))[1]).astype(np.uint8)
     exact = bits > 50
     if exact.any():
-        bits[exact] = [int(x).bit_length() for x in ids[exact]]
-    reach = {1: np.concatenate((bits, np.zeros(60, dtype=np.uint8)))}  # most bits of the next k ids
-    last = 1
-    for k in sorted(c for c, _ in SELECTORS if c > 1):  # each at most twice the one before: two windows cover it
-        reach[k] = np.maximum(reach[last][:last - k], reach[last][k - last:])
-        last = k
-    step = np.zeros(n, dtype=np.uint8)  # 0: escape
-    kind = np.full(n, ESCAPE, dtype=np.uint8)
-    for selector in range(len(SELECTORS) - 1, -1, -1):  # fewest first, so that the fullest wins
+        bits[exact] = [int(x).bit_length() for x in laid[exact]]
+    ends = [k * (run + gap) + min(run, n - k * run) for k in range(runs)]
+    step = np.zeros(len(laid), dtype=np.uint8)  # 0: escape
+    kind = np.full(len(laid), ESCAPE, dtype=np.uint8)
+    reach, last, fits = bits, 1, {}
+    for selector in range(len(SELECTORS) - 1, -1, -1):  # fewest ids first, so that the fullest wins
         count, width = SELECTORS[selector]
-        fits = reach[count][:n] <= width
+        if count > last:  # most bits of the next ``count`` ids: at most twice as many, two windows cover them
+            reach = np.maximum(reach[:last - count], reach[count - last:])
+            last = count
+        fits = np.flatnonzero(reach <= width)
         step[fits], kind[fits] = count, selector
-    jump, at, i = step.tobytes(), [], 0
-    while i < n:
-        at.append(i)
-        i += jump[i] or 1
+    jump, at, firsts = step.tobytes(), [], []
+    for k, end in enumerate(ends):
+        i = k * (run + gap)
+        firsts.append(len(at))
+        while i < end:
+            at.append(i)
+            i += jump[i] or 1
     at = np.array(at)
     chosen = kind[at]
     place = np.concatenate(([0], np.cumsum(1 + (chosen == ESCAPE))))
     words = np.zeros(place[-1], dtype=np.uint64)
     words[place[:-1]] = chosen.astype(np.uint64) << np.uint64(60)
-    padded = np.concatenate((ids, np.zeros(60, dtype=np.uint64)))
     for selector, (count, width) in enumerate(SELECTORS):
         own = np.flatnonzero(chosen == selector)
         for k in range(count if len(own) else 0):
-            words[place[own]] |= padded[at[own] + k] << np.uint64(k * width)
+            words[place[own]] |= laid[at[own] + k] << np.uint64(k * width)
     own = np.flatnonzero(chosen == ESCAPE)
-    words[place[own] + 1] = ids[at[own]]
-    return words
+    words[place[own] + 1] = laid[at[own]]
+    return place[firsts].tolist(), words
 
 
 def unpack(words: np.ndarray, n: int) -> np.ndarray:
@@ -107,12 +119,6 @@ def unpack(words: np.ndarray, n: int) -> np.ndarray:
     return out[:n]
 
 
-def pack_runs(ids: np.ndarray) -> tuple[list[int], np.ndarray]:
-    """Word offset of each run of ``RUN`` ids, and all words."""
-    parts = [pack(ids[a:a + RUN]) for a in range(0, len(ids), RUN)]
-    return np.cumsum([0] + [len(p) for p in parts])[:-1].tolist(), np.concatenate(parts or [np.empty(0, dtype=np.uint64)])
-
-
 def unpack_runs(offsets: list[int], words: np.ndarray, n: int) -> np.ndarray:
     ends = [*offsets[1:], len(words)]
     parts = [unpack(words[a:b], min(RUN, n - k * RUN)) for k, (a, b) in enumerate(zip(offsets, ends))]
@@ -123,43 +129,63 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 
 
 class ChunkEncoder:
-    """The tokenizers library over chunks between spaces, with a bounded cache.
+    """The tokenizers library over chunks between white space, with a bounded cache.
 
     The vocabulary's rules lower-case, drop white space and never look across it, so
     a text's ids are those of its chunks in order, ASCII letters in lower case."""
 
-    split = re.compile("[ \n]+").split
-
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task per core already
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}  # the cache before; what is used of it moves over
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        texts = [t.encode("utf-8", "surrogatepass").translate(_LOWER).decode("utf-8", "surrogatepass") for t in texts]
         if len(self.known) > CACHE:
-            self.known.clear()
-        split = [self.split(t) for t in texts]
-        known, extra = self.known, {}
-        new = {c for s in split for c in s if c not in known}
+            self.known, self.older = {}, self.known
+        split = [t.encode("utf-8", "surrogatepass").translate(_LOWER).split() for t in texts]
+        known, older, extra = self.known, self.older, {}
+        new = set().union(*split).difference(known)
+        used = new.intersection(older)
+        known.update(zip(used, map(older.__getitem__, used)))
+        new -= used
         # full stops and commas after a letter or digit are pieces of their own
-        tails = {c: c.rstrip(".,") for c in new if c[-1:] in (".", ",")}
-        tails = {c: word for c, word in tails.items() if word[-1:].isascii() and word[-1:].isalnum()}
-        whole = list((new - tails.keys()) | ({x for c, w in tails.items() for x in (w, c[len(w):])} - known.keys()))
-        for at in range(0, len(whole), 4096):
-            part = whole[at:at + 4096]
-            for chunk, found in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                (known if len(chunk) <= CACHED_CHARS else extra)[chunk] = array("I", found.ids).tobytes()
+        tails = {c: word for c in new if (word := c.rstrip(b".,")) != c and word[-1:].isalnum()}
+        whole = (new - tails.keys()) | ({x for c, w in tails.items() for x in (w, c[len(w):])} - known.keys())
+        for chunk, ids in self.encode_chunks(list(whole)):
+            (known if len(chunk) <= CACHED_BYTES else extra)[chunk] = ids
         for c, word in tails.items():
             both = [known[x] if x in known else extra[x] for x in (word, c[len(word):])]
-            (known if len(c) <= CACHED_CHARS else extra)[c] = b"".join(both)
+            (known if len(c) <= CACHED_BYTES else extra)[c] = b"".join(both)
         if extra:
             return [b"".join([extra[c] if c in extra else known[c] for c in s]) for s in split]
         return [b"".join(map(known.__getitem__, s)) for s in split]
 
+    def encode_chunks(self, chunks: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Each chunk's ids. Chunks of letters only are one piece each for the library,
+        so many go in one call, parted by spaces, and its piece numbers part the ids."""
+        texts = [c.decode("utf-8", "surrogatepass") for c in chunks]
+        plain = [k for k, t in enumerate(texts) if t.isalpha()]
+        rest = [k for k, t in enumerate(texts) if not t.isalpha()]
+        for at in range(0, len(plain), 2_048):
+            part = plain[at:at + 2_048]
+            found = self.library.encode_batch_fast([" ".join([texts[k] for k in part])], add_special_tokens=False)[0]
+            piece = np.array(found.word_ids)
+            cuts = [0, *(np.flatnonzero(piece[1:] != piece[:-1]) + 1).tolist(), len(piece)]
+            if len(cuts) - 1 != len(part):  # a letter whose lower case is no letter
+                rest += part
+                continue
+            ids = np.array(found.ids, dtype="<u4").tobytes()
+            for k, a, b in zip(part, cuts[:-1], cuts[1:]):
+                yield chunks[k], ids[4 * a:4 * b]
+        for at in range(0, len(rest), 4_096):
+            part = rest[at:at + 4_096]
+            for k, found in zip(part, self.library.encode_batch_fast([texts[k] for k in part], add_special_tokens=False)):
+                yield chunks[k], array("I", found.ids).tobytes()
+
 
 @functools.lru_cache(maxsize=2)
 def chunk_encoder(path: str) -> ChunkEncoder:
