@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 CUE = r"(?i)licen[sc]|copyright|permission|warrant|redistribut|as is|public domain|spdx|liable|endorse|derivative|all rights reserved"
 #: Sentences end at a stop before white space, at a blank line, and where a line ends
 #: and the next starts with a capital, a digit or a bullet (wrapped lines go on).
-BREAK = r"[.;!?][\"')\]]*\s+|\n\s*\n|\s*\n[\s*#/>-]*(?=[A-Z0-9])"
+BREAK = r"[.\x3B!?][\"')\]]*\s+|\n\s*\n|\s*\n[\s*#/>-]*(?=[A-Z0-9])"
 
 # Known sentences, as patterns over normalised sentences, first match
 # counts. Written for Java's and RE2's common syntax.
@@ -159,7 +159,7 @@ def _sql() -> str:
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 m AS (SELECT rid, CASE WHEN regexp_matches(text, {q(CUE)}) THEN string_split(regexp_replace(regexp_replace(text,
-        '\\s*\\n[\\s*#/>-]*([A-Z0-9])', chr(1) || '\\1', 'g'), '[.;!?]["'')\\]]*(\\s+|' || chr(1) || ')|\\n\\s*\\n', chr(1), 'g'), chr(1)) ELSE [] END AS parts FROM d),
+        '\\s*\\n[\\s*#/>-]*([A-Z0-9])', chr(1) || '\\1', 'g'), '[.\\x3B!?]["'')\\]]*(\\s+|' || chr(1) || ')|\\n\\s*\\n', chr(1), 'g'), chr(1)) ELSE [] END AS parts FROM d),
 n AS (SELECT rid, list_filter(list_transform(parts, lambda s: trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))),
                               lambda s: regexp_matches(s, {q(CUE)})) AS ss FROM m),
 i AS (SELECT rid, list_transform(ss, lambda s: CASE {cases} END) AS ids FROM n),
