@@ -56,9 +56,15 @@ def with_sequence_number(df: DataFrame, order: list[str | Column], out: str = "r
 
 
 def with_batch_ids(df: DataFrame, order: list[str | Column], batch_size: int = BATCH_SIZE,
-                   id_start: int = SESSION_COUNTER_START) -> DataFrame:
-    """S4 + P20: ``batch_id`` = position div batch_size; ``session_id`` = SESS-%05d."""
-    idx = with_sequence_number(df, order, out="_idx")
-    return (idx.withColumn("batch_id", F.floor(F.col("_idx") / F.lit(batch_size)).cast("bigint"))
+                   id_start: int = SESSION_COUNTER_START,
+                   order_cols=("session", "seg", "closed", "first_seq", "last_seq")) -> DataFrame:
+    """S4 + P20: ``batch_id`` = position div batch_size; ``session_id`` = SESS-%05d.
+
+    Only ``order_cols``, the columns that ``order`` uses, are sorted and written; the
+    first two name a row, and the number is joined back by them."""
+    key = list(order_cols[:2])
+    numbers = with_sequence_number(df.select(*order_cols), order, out="_idx").select(*key, "_idx")
+    return (df.join(numbers, key)
+            .withColumn("batch_id", F.floor(F.col("_idx") / F.lit(batch_size)).cast("bigint"))
             .withColumn("session_id", session_id_text(F.col("_idx") + F.lit(id_start)))
             .drop("_idx"))

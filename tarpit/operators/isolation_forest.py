@@ -1,16 +1,16 @@
 """Isolation forest (M6) — not in Spark ML, built from Spark primitives.
 
-Fit: a seeded pool of at most ``n_trees * max_samples`` rows (top-n by a
-hashed key, bounded per task) is broadcast; the tree ids are spread over
-tasks (``mapInPandas``) and every tree draws its ``psi = min(max_samples,
-pool)`` rows from the pool with its own seeded generator.
-The forest is at most n_trees * (2 psi - 1) nodes, so shipping it to the
-scorers is bounded by the parameters, not by the data.
-
-Score: ``mapInPandas`` walks all trees for a whole Arrow batch at once with
-numpy. ``anomaly_score`` follows the usual convention (higher = more normal,
-i.e. minus the isolation score 2^(-E[h]/c(psi))). Rows strictly below the
-``contamination`` quantile (exact, distributed) are anomalies.
+Fit: every tree draws its own ``psi`` rows from all data: the rows with the
+smallest hashes of (row key, tree). Rows whose hash is far too large for a tree
+are dropped where they are read, so about four times ``psi`` rows a tree are
+shuffled, whatever the input's size; each tree is grown from its rows in a group
+of its own (``applyInPandas``). The forest is at most n_trees * (2 psi - 1) nodes,
+so shipping it to the scorers is bounded by the parameters, not by the data.
+
+Score: a pandas UDF over the feature columns walks all trees for a whole Arrow
+batch at once with numpy. ``anomaly_score`` follows the usual convention (higher =
+more normal, i.e. minus the isolation score 2^(-E[h]/c(psi))). Rows strictly
+below the ``contamination`` quantile (exact, distributed) are anomalies.
 """
 
 from __future__ import annotations
@@ -74,27 +74,19 @@ def _grow(x: np.ndarray, rng: np.random.Generator, max_depth: int) -> list[tuple
     return [tuple(n) for n in nodes]
 
 
-def _forest_builder(pool_bc, psi: int, seed: int):
-    """mapInPandas body: grow the trees whose ids arrive in this task, each
-    from its own psi-row draw (without replacement) of the broadcast pool."""
+def _tree_grower(cols: list[str], psi: int, seed: int):
+    """applyInPandas body: one tree from the psi rows of its group with the least hashes."""
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
 
-    def build(batches):
-        x = pool_bc.value
-        for pdf in batches:
-            frames = []
-            for tree in pdf["id"].astype(int):
-                rng = np.random.default_rng([seed, tree])
-                rows = rng.choice(len(x), size=psi, replace=False)
-                nodes = _grow(x[rows], rng, max_depth)
-                out = pd.DataFrame(nodes, columns=["node", "feature", "threshold", "left", "right", "size", "depth"])
-                out.insert(0, "tree", tree)
-                frames.append(out)
-            if frames:
-                yield pd.concat(frames, ignore_index=True).astype(
-                    {"tree": "int32", "node": "int32", "feature": "int32", "left": "int32", "right": "int32",
-                     "size": "int64", "depth": "int32"})
-    return build
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        tree = int(pdf["tree"].iloc[0])
+        own = pdf.sort_values(["_h", *[c for c in pdf.columns if c.startswith("_key")]]).head(psi)
+        nodes = _grow(own[cols].to_numpy(dtype=float), np.random.default_rng([seed, tree]), max_depth)
+        out = pd.DataFrame(nodes, columns=["node", "feature", "threshold", "left", "right", "size", "depth"])
+        out.insert(0, "tree", tree)
+        return out.astype({"tree": "int32", "node": "int32", "feature": "int32", "left": "int32", "right": "int32",
+                           "size": "int64", "depth": "int32"})
+    return grow
 
 
 class IsolationForestModel:
@@ -141,41 +133,44 @@ class IsolationForestModel:
 
 def fit_isolation_forest(df: DataFrame, cols: list[str], n_trees: int = 100, max_samples: int = 256,
                          seed: int = 42, key_cols=("session", "seg")) -> IsolationForestModel:
-    """Grow the forest on executors from a bounded, seeded sample.
+    """Grow the forest on executors, each tree from its own sample of all rows.
 
-    The pool (top ``n_trees * max_samples`` rows by a seeded hash of the row
-    key; bounded by the parameters, not the data) is broadcast; tree ids are
-    spread over tasks and every tree draws psi rows from it.
+    A tree's sample is the ``max_samples`` rows of least hash, exactly: the
+    bound that drops rows early is four times as high as needed and is
+    lifted if a tree should get too few rows.
     """
-    spark = df.sparkSession
-    h = F.xxhash64(*[F.col(c) for c in key_cols], F.lit(seed))
-    pool = (df.select(*key_cols, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
-            .withColumn("_h", h).orderBy("_h", *key_cols).limit(n_trees * max_samples))
-    x = pool.select(*cols).toPandas().to_numpy(dtype=float)
-    if len(x) == 0:
+    n = df.count()
+    if n == 0:
         raise ValueError("isolation forest needs at least one row")
-    psi = min(max_samples, len(x))
-    pool_bc = spark.sparkContext.broadcast(x)
-    try:
-        parts = max(1, min(n_trees, spark.sparkContext.defaultParallelism))
-        ids = spark.range(n_trees).repartition(parts)
-        nodes = ids.mapInPandas(_forest_builder(pool_bc, psi, seed), NODE_SCHEMA).toPandas()
-    finally:
-        pool_bc.unpersist()
+    psi = min(max_samples, n)
+    keys = [F.col(c).alias(f"_key{i}") for i, c in enumerate(key_cols)]
+    narrow = df.select(*keys, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
+    names = [f"_key{i}" for i in range(len(key_cols))]
+    share = min(1.0, 4 * psi / n)
+    while True:
+        bound = int(-2 ** 63 + share * 2 ** 64) - 1 if share < 1 else 2 ** 63 - 1
+        drawn = F.filter(F.transform(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: F.struct(
+            t.alias("tree"), F.xxhash64(*names, t, F.lit(seed)).alias("h"))), lambda x: x["h"] <= bound)
+        sample = narrow.withColumn("_t", F.explode(drawn)).select("*", F.col("_t.tree").alias("tree"), F.col("_t.h").alias("_h")).drop("_t")
+        sample = materialize(sample, "iforest-sample")
+        least = sample.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("trees"), F.min("n").alias("n")).first()
+        if share >= 1 or least["trees"] == n_trees and least["n"] >= psi:
+            break
+        share = min(1.0, 4 * share)
+    nodes = sample.groupBy("tree").applyInPandas(_tree_grower(list(cols), psi, seed), NODE_SCHEMA).toPandas()
     return IsolationForestModel(nodes, psi, list(cols))
 
 
 def score_isolation_forest(df: DataFrame, model: IsolationForestModel, out: str = "anomaly_score") -> DataFrame:
-    """Add ``out`` (higher = more normal) with a vectorised mapInPandas pass."""
-    cols = model.cols
-    schema = T.StructType(df.schema.fields + [T.StructField(out, T.DoubleType())])
-
-    def run(batches):
-        for pdf in batches:
-            x = pdf[cols].astype(float).fillna(0.0).to_numpy()
-            pdf[out] = model.score(x) if len(pdf) else np.zeros(0)
-            yield pdf
-    return df.mapInPandas(run, schema)
+    """Add ``out`` (higher = more normal); only the feature columns cross to Python."""
+    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by the forest's parameters
+
+    @F.pandas_udf(T.DoubleType())
+    def score(*features: pd.Series) -> pd.Series:
+        x = np.column_stack([f.astype(float).fillna(0.0).to_numpy() for f in features])
+        return pd.Series(shared.value.score(x) if len(x) else np.zeros(0))
+
+    return df.withColumn(out, score(*[F.col(c) for c in model.cols]))
 
 
 def exact_quantile(df: DataFrame, col: str, q: float, tiebreak: list[str], out: str = "q") -> DataFrame:

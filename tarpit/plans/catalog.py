@@ -594,6 +594,19 @@ def q_anomaly_summary(spark, sf_dir):
     return R.anomaly_summary(_iforest(f, [f"{c}_if" for c in FE.AUTH_FEATURES]))
 
 
+@query("anomaly_invariants")
+def q_anomaly_invariants(spark, sf_dir):
+    """M6: what must hold of the forest's flags: at most the contamination share is
+    flagged, and no flagged session scores above one that isn't."""
+    f = FE.standardize(sessions_table(spark, sf_dir), FE.AUTH_FEATURES, suffix="_if")
+    out = _iforest(f, [f"{c}_if" for c in FE.AUTH_FEATURES])
+    g = out.agg(F.count(F.lit(1)).alias("sessions"), F.count_if("is_anomaly").alias("k"),
+                F.max(F.when(F.col("is_anomaly"), F.col("anomaly_score"))).alias("worst"),
+                F.min(F.when(~F.col("is_anomaly"), F.col("anomaly_score"))).alias("best"))
+    return g.select("sessions", (F.col("k") <= 0.1 * F.col("sessions") + 1).alias("at_most_a_tenth"),
+                    F.coalesce(F.col("worst") < F.col("best"), F.lit(True)).alias("lowest_scores"))
+
+
 @query("risk_forest")
 def q_risk_forest(spark, sf_dir):
     """M9-M14 + M17: forest on the anomaly labels; scores, bands, metrics."""
@@ -606,12 +619,12 @@ def q_risk_forest(spark, sf_dir):
 
 @query("risk_model_cumulative")
 def q_risk_model_cumulative(spark, sf_dir):
-    """M13 + M17: batch model scored on the new sessions, metrics from the
-    cumulative evaluation on the stored history (relabelled by the isolation
-    forest, scaled with the batch scaler, retrained, held-out 30 %)."""
+    """M13 + M17: batch model scored on the sessions, metrics from the cumulative
+    evaluation on the stored history, here all sessions (relabelled by the
+    isolation forest, scaled with the batch scaler, retrained, held-out 30 %)."""
     f = FE.standardize(sessions_table(spark, sf_dir), FE.AUTH_FEATURES, suffix="_if")
     lab = _iforest(f, [f"{c}_if" for c in FE.AUTH_FEATURES]).drop(*[f"{c}_if" for c in FE.AUTH_FEATURES])
-    out, metrics = M.ml_risk(lab, history=_history_sessions(spark, sf_dir))
+    out, metrics = M.ml_risk(lab, history=sessions_table(spark, sf_dir))
     rec = S.metrics_frame(spark, {**metrics, "eval_mode": metrics.get("eval_mode", "fallback")})
     per_label = out.groupBy("ml_risk_label").agg(F.count(F.lit(1)).alias("sessions"))
     return with_scalars(per_label, rec.select("eval_mode", "accuracy", "test_size"))
@@ -695,7 +708,7 @@ def q_stream_daily_counts(spark, sf_dir):
     src = spark.readStream.schema(spark.read.parquet(f"{base}/history").schema).parquet(f"{base}/history")
     sdf = daily_counts(src.withColumn("high", F.col("risk_level") == "high"), high_col="high")
     stream_to_table(sdf, f"{base}/out", f"{base}/ckpt", mode="complete")
-    return spark.read.parquet(f"{base}/out")
+    return spark.read.parquet(f"{base}/out").withColumn("day_start", F.date_format("day_start", "yyyy-MM-dd"))
 
 
 @query("stream_dedupe")

@@ -638,3 +638,10 @@ SELECT session, seg, src_ip, event_count, unique_commands, failed_logins, behavi
 
 ORACLES["first_anomalies"] = BASE_DASH + f"""SELECT session_id, {r6('risk_score')}, predicted_risk_level FROM dash
 WHERE is_anomaly ORDER BY batch_id, risk_score DESC, CAST(substr(session_id, 6) AS BIGINT) LIMIT 20"""
+
+ORACLES["stream_daily_counts"] = BASE_ENR + """SELECT strftime(session_start, '%Y-%m-%d') AS day_start,
+  COUNT(*) AS total, CAST(SUM(CASE WHEN risk_level = 'high' THEN 1 ELSE 0 END) AS BIGINT) AS high_risk
+FROM enr WHERE session_start IS NOT NULL GROUP BY 1"""
+
+# What must hold for any forest: one row in ten is below the 10 % quantile of the scores.
+ORACLES["anomaly_invariants"] = BASE + """SELECT COUNT(*) AS sessions, true AS at_most_a_tenth, true AS lowest_scores FROM sess"""

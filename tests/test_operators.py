@@ -103,7 +103,7 @@ def test_sequence_numbers_dense_and_ordered(spark):
 
 def test_batch_ids_and_session_ids(spark):
     df = spark.range(0, 25).select(F.col("id").alias("o"))
-    out = {r.o: (r.batch_id, r.session_id) for r in with_batch_ids(df, ["o"], batch_size=10, id_start=99998).collect()}
+    out = {r.o: (r.batch_id, r.session_id) for r in with_batch_ids(df, ["o"], batch_size=10, id_start=99998, order_cols=("o",)).collect()}
     assert out[0] == (0, "SESS-99998") and out[9] == (0, "SESS-100007") and out[10] == (1, "SESS-100008")
 
 

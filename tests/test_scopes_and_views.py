@@ -40,10 +40,14 @@ def test_dashboard_ts_formats(spark):
 
 
 def test_first_anomalies_in_stored_order(spark):
-    rows = [(f"SESS-{i:05d}", i % 3 == 0) for i in range(100)]
-    d = spark.createDataFrame(rows, "session_id string, is_anomaly boolean")
+    """By batch, highest risk first, then the id's number (100000 after 99999)."""
+    rows = [(f"SESS-{i:05d}", i % 3 == 0, i % 2, float(i // 30000)) for i in range(99_900, 100_100)]
+    d = spark.createDataFrame(rows, "session_id string, is_anomaly boolean, batch_id long, risk_score double")
     got = [r.session_id for r in R.first_anomalies(d).collect()]
-    assert got == [f"SESS-{i:05d}" for i in range(0, 100, 3)][:20]
+    want = sorted((r for r in rows if r[1]), key=lambda r: (r[2], -r[3], int(r[0][5:])))
+    assert got == [r[0] for r in want][:20]
+    same = d.withColumn("risk_score", F.lit(50.0)).withColumn("predicted_risk_level", F.lit("High Risk"))
+    assert R.top_risk(same.where("session_id >= 'SESS-99999' or session_id < 'SESS-2'"), 2).first().session_id == "SESS-99999"
 
 
 def test_report_bundles_build(spark):
@@ -92,22 +96,24 @@ def test_batch_scoped_enrichment_equals_separate_batches(spark):
                 assert (a == pytest.approx(e)) if isinstance(e, float) else a == e, (c, a, e)
 
 
-def test_enrich_falls_back_like_reference(spark, monkeypatch):
-    """A failing clustering stage gives the reference's fallback values for
-    the whole clustering block; later stages still run."""
+def test_enrich_raises_failures_and_falls_back_without_data(spark, monkeypatch):
+    """A failing job is raised; a table that can't be clustered gets the reference's
+    fallback values for the whole clustering block and later stages still run."""
     from tarpit.operators import clustering as C
     from tarpit.operators.sessionize import sessionize
     from tarpit.plans.enrich import enrich
     from tarpit.sources import fixtures
 
+    sf, info = "/root/testdata/sf0.001", {}
+    s = sessionize(fixtures.raw_events(spark, sf), keep_order_cols=True)
+    one = s.orderBy("session", "seg").limit(1)
+    rows = enrich(one, fixtures.geo_ranges(spark, sf), with_ml=False, with_pca=False, info=info).collect()
+    assert "error" in info["clustering"]
+    assert [(r.behavior_cluster, r.behavior_label, r.is_anomaly, r.dbscan_label, r.cluster_stability, r.attacker_type) for r in rows] == [
+        (0, "Unknown", False, 0, 0.0, "Unclassified")]
+
     def boom(*a, **k):
         raise RuntimeError("forced")
     monkeypatch.setattr(C, "choose_k", boom)
-    sf = "/root/testdata/sf0.001"
-    s = sessionize(fixtures.raw_events(spark, sf), keep_order_cols=True)
-    info = {}
-    e = enrich(s, fixtures.geo_ranges(spark, sf), with_ml=False, with_pca=False, info=info)
-    assert "error" in info["clustering"]
-    rows = e.select("behavior_cluster", "behavior_label", "is_anomaly", "dbscan_label", "cluster_stability",
-                    "attacker_type", "threat_archetype", "confidence_level", "geo_visualization").distinct().collect()
-    assert [tuple(r) for r in rows] == [(0, "Unknown", False, 0, 0.0, "Unclassified", "Unknown", "Low", "disabled")]
+    with pytest.raises(RuntimeError, match="forced"):
+        enrich(s, fixtures.geo_ranges(spark, sf), with_ml=False, with_pca=False)
