@@ -69,6 +69,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_compression_bands, op2_license_sentences, op3_extendible_shards, op4_hash_threshold_mix, op5_nn_descent_links, op6_noisy_channel_toxicity, op7_segment_tree_bpe,
     op8_simhash_ball_hashing, op9_simple8b_files, op10_weak_supervision_pii, pipeline)}
-ORACLES = {"op2_license_sentences": licenses.LICENSE_SQL, "op3_extendible_shards": sharding.SHARD_SQL, "op4_hash_threshold_mix": mixing.MIX_SQL}
+ORACLES = {"op2_license_sentences": licenses.LICENSE_SQL, "op3_extendible_shards": sharding.SHARD_SQL, "op4_hash_threshold_mix": mixing.MIX_SQL,
+           "op5_nn_descent_links": nn_descent.LINKS_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -284,3 +284,20 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
                       (F.col("vec_id") == component).alias("kept"))
+
+
+#: All links by brute force, in DuckDB (small tables only).
+LINKS_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.vec_id <> q.vec_id AND len(p.e) = len(q.e)
+      WHERE list_cosine_similarity(p.e, q.e) >= 0.9),
+r AS (SELECT vec_id, vec_id AS node FROM v UNION SELECT r.vec_id, l.b FROM r JOIN l ON r.node = l.a),
+c AS (SELECT vec_id, min(node) AS component FROM r GROUP BY vec_id),
+n AS (SELECT a, count(*) AS links FROM l GROUP BY a)
+SELECT t.vec_id, coalesce(n.links, 0)::BIGINT AS n_links, coalesce(c.component, t.vec_id) AS component_id,
+       t.vec_id = coalesce(c.component, t.vec_id) AS kept
+FROM embeddings t LEFT JOIN n ON n.a = t.vec_id LEFT JOIN c ON c.vec_id = t.vec_id
+"""

@@ -149,7 +149,7 @@ class ChunkEncoder:
         split = [t.encode("utf-8", "surrogatepass").translate(_LOWER).split() for t in texts]
         known, older, extra = self.known, self.older, {}
         new = set().union(*split).difference(known)
-        used = new.intersection(older)
+        used = {c for c in new if c in older}  # not new.intersection(older), which would walk all of older
         known.update(zip(used, map(older.__getitem__, used)))
         new -= used
         # full stops and commas after a letter or digit are pieces of their own
