@@ -139,6 +139,8 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        self.normalise, self.part = self.library.normalizer.normalize_str, self.library.pre_tokenizer.pre_tokenize_str
+        self.merge = self.library.model.tokenize
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}  # the cache before; what is used of it moves over
 
@@ -155,8 +157,8 @@ class ChunkEncoder:
         # full stops and commas after a letter or digit are pieces of their own
         tails = {c: word for c in new if (word := c.rstrip(b".,")) != c and word[-1:].isalnum()}
         whole = (new - tails.keys()) | ({x for c, w in tails.items() for x in (w, c[len(w):])} - known.keys())
-        for chunk, ids in self.encode_chunks(list(whole)):
-            (known if len(chunk) <= CACHED_BYTES else extra)[chunk] = ids
+        for chunk in whole:
+            (known if len(chunk) <= CACHED_BYTES else extra)[chunk] = self.encode_chunk(chunk)
         for c, word in tails.items():
             both = [known[x] if x in known else extra[x] for x in (word, c[len(word):])]
             (known if len(c) <= CACHED_BYTES else extra)[c] = b"".join(both)
@@ -164,27 +166,14 @@ class ChunkEncoder:
             return [b"".join([extra[c] if c in extra else known[c] for c in s]) for s in split]
         return [b"".join(map(known.__getitem__, s)) for s in split]
 
-    def encode_chunks(self, chunks: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        """Each chunk's ids. Chunks of letters only are one piece each for the library,
-        so many go in one call, parted by spaces, and its piece numbers part the ids."""
-        texts = [c.decode("utf-8", "surrogatepass") for c in chunks]
-        plain = [k for k, t in enumerate(texts) if t.isalpha()]
-        rest = [k for k, t in enumerate(texts) if not t.isalpha()]
-        for at in range(0, len(plain), 2_048):
-            part = plain[at:at + 2_048]
-            found = self.library.encode_batch_fast([" ".join([texts[k] for k in part])], add_special_tokens=False)[0]
-            piece = np.array(found.word_ids)
-            cuts = [0, *(np.flatnonzero(piece[1:] != piece[:-1]) + 1).tolist(), len(piece)]
-            if len(cuts) - 1 != len(part):  # a letter whose lower case is no letter
-                rest += part
-                continue
-            ids = np.array(found.ids, dtype="<u4").tobytes()
-            for k, a, b in zip(part, cuts[:-1], cuts[1:]):
-                yield chunks[k], ids[4 * a:4 * b]
-        for at in range(0, len(rest), 4_096):
-            part = rest[at:at + 4_096]
-            for k, found in zip(part, self.library.encode_batch_fast([texts[k] for k in part], add_special_tokens=False)):
-                yield chunks[k], array("I", found.ids).tobytes()
+    def encode_chunk(self, chunk: bytes) -> bytes:
+        """The library's steps one by one: normalise, part into pieces, merge. For
+        lower-case ASCII letters the first two change nothing."""
+        text = chunk.decode("utf-8", "surrogatepass")
+        if text.isascii() and text.isalpha():
+            return array("I", [t.id for t in self.merge(text)]).tobytes()
+        pieces = self.part(self.normalise(text))
+        return array("I", [t.id for piece, _ in pieces for t in self.merge(piece)]).tobytes()
 
 
 @functools.lru_cache(maxsize=2)
