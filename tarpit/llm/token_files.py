@@ -70,7 +70,7 @@ def pack_runs(ids: np.ndarray, run: int = RUN) -> tuple[list[int], np.ndarray]:
     ends = [k * (run + gap) + min(run, n - k * run) for k in range(runs)]
     step = np.zeros(len(laid), dtype=np.uint8)  # 0: escape
     kind = np.full(len(laid), ESCAPE, dtype=np.uint8)
-    reach, last, fits = bits, 1, {}
+    reach, last = bits, 1
     for selector in range(len(SELECTORS) - 1, -1, -1):  # fewest ids first, so that the fullest wins
         count, width = SELECTORS[selector]
         if count > last:  # most bits of the next ``count`` ids: at most twice as many, two windows cover them

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tarpit.llm import bpe, nn_descent, pii, quality, token_files, toxicity
+from tarpit.llm import bpe, nn_descent, quality, token_files, toxicity
 
 VECTORS = "vec_id long, embedding array<float>, label int"
 
