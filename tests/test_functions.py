@@ -2,7 +2,6 @@
 import hashlib
 import ipaddress
 
-from pyspark.sql import functions as F
 
 from tarpit.functions import ip as I
 from tarpit.functions import keys as K
