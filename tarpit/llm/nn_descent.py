@@ -2,13 +2,17 @@
 
 1. Equal vectors become one node. Each node gets a first neighbour list from a few
    tables of random hyperplanes (signs around the mean name a bucket; inside a
-   bucket all cosines are taken).
+   bucket all cosines are taken). Larger inputs have more bits, and as many more
+   tables as a pair at the threshold then needs to meet.
 2. A round of NN-descent lets the neighbours of every node, in both directions, meet
-   each other: neighbours of neighbours replace worse entries of the lists. One
-   more table of hyperplanes a round brings in strangers.
-3. An audit takes a bounded number of queries against all nodes, in blocks, and
-   compares the links found. Rounds go on until it is satisfied; a recall under
-   ``MIN_RECALL`` at the end is an error.
+   each other: neighbours of neighbours replace worse entries of the lists. New
+   tables of hyperplanes a round bring in strangers.
+3. An audit takes a bounded number of queries a round against all nodes, in blocks,
+   and compares the links found: recall per asked node, averaged over those of about
+   as many links, so a large group doesn't hide missed pairs. Rounds go on (``rounds``
+   at most) while a class of them is under ``GOOD_RECALL``, fewer than ``LINKED`` asked
+   nodes have links or a round merges components; a recall under ``MIN_RECALL`` at the
+   end is an error.
 4. A list whose entries are all links is saturated and may hide more. Links
    therefore aren't read off the lists: every cell also reports a spanning forest of
    its links, components are built from these, and the list of every linked node
@@ -41,6 +45,7 @@ CELL = 256
 BLOCK = 256
 ROUNDS = 6
 AUDIT_QUERIES = 1_024
+LINKED = 100
 GOOD_RECALL = 0.995
 MIN_RECALL = 0.9
 
@@ -179,10 +184,10 @@ def _bars(lists: DataFrame, k: int) -> DataFrame:
         "node", F.when(F.col("n") >= k, F.col("bar")).otherwise(-2.0).alias("bar"))
 
 
-def _audit(nodes: DataFrame, links: DataFrame, threshold: float) -> float:
-    """Share of the true links of at most ``AUDIT_QUERIES`` nodes (those of least hash)
-    whose ends are in one component of the links found."""
-    asked = nodes.select("node", "e", "dim").orderBy(F.xxhash64("node", F.lit(99)), "node").limit(AUDIT_QUERIES).toArrow()
+def _true_links(nodes: DataFrame, step: int, threshold: float) -> DataFrame:
+    """All links (a, b) of the ``AUDIT_QUERIES`` nodes b that are asked in a round: those
+    of least hash that weren't asked before."""
+    asked = nodes.select("node", "e", "dim").orderBy(F.xxhash64("node", F.lit(99)), "node").offset((step - 1) * AUDIT_QUERIES).limit(AUDIT_QUERIES).toArrow()
     dims = asked.column("dim").to_numpy()
     queries = {d: (asked.column("node").to_numpy()[dims == d], unit_rows(asked.filter(pa.array(dims == d)).column("e").combine_chunks()))
                for d in np.unique(dims).tolist()}
@@ -197,12 +202,24 @@ def _audit(nodes: DataFrame, links: DataFrame, threshold: float) -> float:
                     a, c = own.column(0).to_numpy()[i], names[j]
                     yield pa.RecordBatch.from_arrays([pa.array(a[a != c]), pa.array(c[a != c])], names=["a", "b"])
 
-    true = nodes.select("node", "e", "dim").mapInArrow(scan, "a long, b long")
-    part = components(links.select("a", "b"))
+    return materialize(nodes.select("node", "e", "dim").mapInArrow(scan, "a long, b long"), "true")
+
+
+def _audit(true: DataFrame, part: DataFrame) -> list[tuple[int, float]]:
+    """(nodes, recall) by the power of two of a node's links: the asked nodes that have
+    links, and the mean share of a node's true links whose ends are in one component."""
     ends = true.join(part.withColumnsRenamed({"node": "a", "component": "x"}), "a", "left").join(
         part.withColumnsRenamed({"node": "b", "component": "y"}), "b", "left")
-    got = ends.agg(F.count("*").alias("n"), F.sum((F.col("x") == F.col("y")).cast("long")).alias("found")).first()
-    return (got["found"] or 0) / got["n"] if got["n"] else 1.0
+    each = ends.groupBy("b").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.col("x") == F.col("y"), F.lit(False)).cast("long")).alias("found"))
+    classes = each.groupBy(F.floor(F.log2("n")).alias("size")).agg(F.count("*").alias("nodes"), F.avg(F.col("found") / F.col("n")).alias("recall"))
+    return [(r["nodes"], r["recall"]) for r in classes.collect()]  # 64 rows at most
+
+
+def _tables(tables: int, bits: int, threshold: float) -> int:
+    """At least ``tables``, and so many that a pair at the threshold shares a bucket of
+    one of them with a chance of ``GOOD_RECALL`` (for vectors whose mean is near 0)."""
+    same = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** bits
+    return tables if same >= GOOD_RECALL or same <= 0 else max(tables, math.ceil(math.log(1 - GOOD_RECALL) / math.log(1 - same)))
 
 
 def _count_links(nodes: DataFrame, part: DataFrame, threshold: float) -> DataFrame:
@@ -248,32 +265,42 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
         same.alias("least"), F.count("*").alias("copies"), F.first("e").alias("e")).withColumn("dim", F.size("e")), "nodes")
     n = nodes.count()
     bits = max(0, round(math.log2(max(1, n) / BUCKET)))
+    first = _tables(tables, bits, threshold)
+    strangers = max(1, first // max(1, tables))
 
     means = nodes.select("dim", F.posexplode("e").alias("i", "v"), F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, v: a + v.cast("double") * v)).alias("norm"))
     mean: dict[int, np.ndarray] = {}
     for r in means.groupBy("dim", "i").agg(F.avg(F.col("v").cast("double") / F.col("norm")).alias("m")).collect():  # a number a dimension
         mean.setdefault(r["dim"], np.zeros(r["dim"]))[r["i"]] = r["m"] if math.isfinite(r["m"]) else 0.0
 
-    pairs = materialize(_meet(_table_cells(nodes, None, tables, bits, mean, 0), k, threshold), "pairs")
+    pairs = materialize(_meet(_table_cells(nodes, None, first, bits, mean, 0), k, threshold), "pairs")
     links = pairs.filter(F.col("sim") >= threshold).select("a", "b")
     lists = materialize(_lists(pairs, k), "lists")
+    part = materialize(components(links), "parts")
+    below, true, classes = part.filter("node <> component").count(), None, []
     for step in range(1, rounds + 1):
         bars = materialize(_bars(lists, k), "bars")
         around = lists.select(F.col("node").alias("hub"), F.col("other").alias("node")).union(
             lists.select(F.col("other").alias("hub"), "node")).distinct()
         hoods = _with_vectors(_dealt(around, ["hub"], CELL // 4, step).select("cell", "node"), nodes, bars)
         found = materialize(_meet(hoods, k, threshold).union(
-            _meet(_table_cells(nodes, bars, 1, bits, mean, step), k, threshold)), "pairs")
+            _meet(_table_cells(nodes, bars, strangers, bits, mean, step), k, threshold)), "pairs")
         links = materialize(links.union(found.filter(F.col("sim") >= threshold).select("a", "b")).distinct(), "links")
-        recall = _audit(nodes, links, threshold)
-        if recall >= GOOD_RECALL:
+        part = materialize(components(links), "parts")
+        before, below = below, part.filter("node <> component").count()  # grows by one with every merge
+        asked = _true_links(nodes, step, threshold)
+        true = asked if true is None else true.union(asked)
+        classes = _audit(true, part)
+        settled = below == before and sum(c for c, _ in classes) >= LINKED
+        if all(r >= GOOD_RECALL for _, r in classes) and (settled or step * AUDIT_QUERIES >= n):
             break
         lists = materialize(_lists(lists.select(F.col("node").alias("a"), F.col("other").alias("b"), "sim").union(found), k), "lists")
     else:
-        if rounds and recall < MIN_RECALL:
+        linked = sum(c for c, _ in classes)
+        recall = min([sum(c * r for c, r in classes) / max(1, linked), *[r for c, r in classes if c >= LINKED]])
+        if linked and recall < MIN_RECALL:
             raise RuntimeError(f"recall {recall:.3f} of the audit is under {MIN_RECALL}: raise tables or rounds")
 
-    part = materialize(components(links), "parts")
     counts = _count_links(nodes, part, threshold)
     known = nodes.select("node", "least", "copies").join(part, "node", "left").join(counts, "node", "left").withColumn(
         "component", F.coalesce("component", "node"))

@@ -71,6 +71,38 @@ def test_recall_on_given_vectors(spark):
     check_links(spark, rows)
 
 
+def test_pairs_beside_a_large_group(spark, monkeypatch):
+    """A third of the rows is one group, whose many links must not stand for those of pairs."""
+    monkeypatch.setattr(nn_descent, "BUCKET", 4)  # as many bits as 32 times the rows have
+    rng = np.random.default_rng(11)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    group = unit(unit(rng.standard_normal(32)) + rng.standard_normal((600, 32)) * 0.03)
+    x = unit(rng.standard_normal((600, 32)))
+    u = rng.standard_normal(x.shape)
+    u = unit(u - (u * x).sum(axis=1, keepdims=True) * x)
+    vectors = np.concatenate([group, x, 0.902 * x + np.sqrt(1 - 0.902 ** 2) * u]).astype(np.float32)
+    rows = nn_descent.link_vectors(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(vectors)], VECTORS)).collect()
+    by = {r.vec_id: r.component_id for r in rows}
+    assert len(rows) == 1_800 and len({by[i] for i in range(600)}) == 1
+    assert sum(by[i] == by[i + 600] for i in range(600, 1_200)) >= 0.995 * 600
+
+
+def test_rounds_go_on_while_no_asked_node_has_a_link(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((1_000, 32))
+    rows = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)] + [(5_000, (x[7] * 2).tolist(), 0)], VECTORS)
+    rounds, bars = [], nn_descent._bars
+    monkeypatch.setattr(nn_descent, "AUDIT_QUERIES", 8)
+    monkeypatch.setattr(nn_descent, "_bars", lambda lists, k: rounds.append(1) or bars(lists, k))
+    nn_descent.link_vectors(rows, rounds=2)
+    assert len(rounds) == 2
+
+
+def test_tables_grow_with_bits():
+    counts = [nn_descent._tables(nn_descent.TABLES, bits, 0.9) for bits in range(20)]
+    assert counts[0] == nn_descent.TABLES and counts == sorted(counts) and counts[16] > 50
+
+
 def test_noisy_channel_decoding(spark):
     words = "idiot moron loser stupid clown trash house garden little people every other the and of".split()
     docs = spark.createDataFrame([(i, " ".join(words)) for i in range(50)], "doc_id long, text string")
