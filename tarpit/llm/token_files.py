@@ -132,13 +132,14 @@ class ChunkEncoder:
     """The tokenizers library over chunks between white space, with a bounded cache.
 
     The vocabulary's rules lower-case, drop white space and never look across it, so
-    a text's ids are those of its chunks in order, ASCII letters in lower case."""
+    a text's ids are those of its chunks in order, ASCII letters in lower case. Texts
+    that hold an added token (as written, anywhere) go through the library as a whole."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task per core already
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.normalise, self.part = self.library.normalizer.normalize_str, self.library.pre_tokenizer.pre_tokenize_str
         self.merge = self.library.model.tokenize
         self.known: dict[bytes, bytes] = {}
@@ -146,6 +147,14 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
+        whole = {k for k, t in enumerate(texts) if any(a in t for a in self.added)}
+        if whole:
+            plain = iter(self.encode_plain([t for k, t in enumerate(texts) if k not in whole]))
+            return [array("I", self.library.encode(t, add_special_tokens=False).ids).tobytes() if k in whole else next(plain) for k, t in enumerate(texts)]
+        return self.encode_plain(texts)
+
+    def encode_plain(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts without added tokens, chunk by chunk."""
         if len(self.known) > CACHE:
             self.known, self.older = {}, self.known
         split = [t.encode("utf-8", "surrogatepass").translate(_LOWER).split() for t in texts]

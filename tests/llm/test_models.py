@@ -180,6 +180,15 @@ def test_simple8b_round_trip():
     assert len(token_files.pack(np.ones(600, dtype=np.uint64))) == 10  # 60 to a word
 
 
+def test_added_tokens_equal_the_library():
+    path = public_tokenizers.path(token_files.VOCABULARY)
+    library = Tokenizer.from_file(path)
+    texts = ["One text <|endoftext|> another", "no token here.", "x<|startoftext|>y<|endoftext|><|endoftext|>'s É", "<|ENDOFTEXT|> in capitals", "", "<|endoftext|>"]
+    got = [np.frombuffer(ids, dtype="<u4").tolist() for ids in token_files.ChunkEncoder(path).encode(texts)]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 49_407 in got[0] and 49_406 in got[2] and 49_407 not in got[3]
+
+
 def test_token_files_equal_the_library(spark, small, odd, none, scratch):
     library = Tokenizer.from_file(public_tokenizers.path(token_files.VOCABULARY))
     library.encode_special_tokens = True
