@@ -16,9 +16,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 #: A text without one of these words has no licence sentence.
 CUE = r"(?i)licen[sc]|copyright|permission|warrant|redistribut|as is|public domain|spdx|liable|endorse|derivative|all rights reserved"
-#: Sentences end at a stop before white space, at a blank line, and where a line ends
-#: and the next starts with a capital, a digit or a bullet (wrapped lines go on).
-BREAK = r"[.\x3B!?][\"')\]]*\s+|\n\s*\n|\s*\n[\s*#/>-]*(?=[A-Z0-9])"
+#: Sentences end at a stop before white space (not after "v."; a semicolon before "either"
+#: or "without even" goes on), at a blank line, after a line with an SPDX identifier, a
+#: copyright or the MIT licence's name, and before a line that starts a known sentence.
+#: Other lines are wrapped and go on, whatever they start with.
+_GAP = r"[\s*#/>-]*"
+BREAK = (r"(?i)(?:(?<!\bv)[.!?]|\x3B(?!" + _GAP + r"(?:either|without\s" + _GAP + r"even)\b))[\"')\]]*\s+|\n[ \t*#/>\r-]*\n"
+         r"|(?<=copyright (?:\(c\)|©|\d)[^\n]{0,120}|spdx-license-identifier[^\n]{0,80}|\bmit licen[sc]e|all rights reserved)[ \t\r]*\n"
+         r"|\s*\n" + _GAP + r"(?=copyright (?:\(c\)|©|\d)|spdx-|permission (?:is hereby|to use)|the above copyright notice and|(?:licensed|released) under"
+         r"|redistributions? (?:and use|of source|in binary)|neither the name|th(?:e|is) software is provided|in no event|all rights reserved|(?:the )?mit licen[sc]e[ \t\r]*(?:\n|$))")
 
 # Known sentences, as patterns over normalised sentences, first match
 # counts. Written for Java's and RE2's common syntax.

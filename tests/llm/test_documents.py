@@ -57,6 +57,24 @@ def test_license_sequences_and_rules(spark, odd, none):
     assert licenses.license_report(none).count() == 0
 
 
+def test_license_headers_wrapped_as_published(spark):
+    gpl = ("    This program is free software; you can redistribute it and/or modify\n    it under the terms of the GNU General Public License as published by\n"
+           "    the Free Software Foundation; either version 2 of the License, or\n    (at your option) any later version.\n\n"
+           "    This program is distributed in the hope that it will be useful,\n    but WITHOUT ANY WARRANTY; without even the implied warranty of\n"
+           "    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\n    GNU General Public License for more details.\n")
+    lgpl = (" * This library is free software; you can redistribute it and/or\n * modify it under the terms of the GNU Lesser General Public\n"
+            " * License as published by the Free Software Foundation; either\n * version 2.1 of the License, or (at your option) any later version.\n *\n"
+            " * This library is distributed in the hope that it will be useful,\n * but WITHOUT ANY WARRANTY; without even the implied warranty of\n"
+            " * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU\n * Lesser General Public License for more details.\n")
+    mpl = ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\n"
+           "file, You can obtain one at https://mozilla.org/MPL/2.0/.")
+    lines = "The MIT License\nCopyright (c) 2020 A B\nThis file is part of C"
+    texts = {1: (gpl, "gpl-or-later,gpl-warranty,gpl-by", "GPL-or-later"), 2: (lgpl, "lgpl-by,gpl-warranty,lgpl-by", "LGPL"), 3: (mpl, "mpl2-by", "MPL-2.0"),
+             4: (lines, "mit-by,copyright", "MIT")}
+    rows = licenses.license_report(spark.createDataFrame([(k, t) for k, (t, _, _) in texts.items()], "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.sentences, r.licenses) for r in rows} == {k: (s, x) for k, (_, s, x) in texts.items()}
+
+
 def shards_by_splitting(rows, limit):
     """Extendible hashing one bit at a time."""
     todo, done = [("", rows)], {}
