@@ -14,8 +14,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: A text without one of these words has no licence sentence.
+#: Cue words of the SQL, which lacks those of Creative Commons notices.
 CUE = r"(?i)licen[sc]|copyright|permission|warrant|redistribut|as is|public domain|spdx|liable|endorse|derivative|all rights reserved"
+#: A text without one of these words has no licence sentence; every pattern of ``SENTENCES`` needs one.
+CUES = CUE + r"|\bas\W+is\b|public\W+domain|all\W+rights\W+reserved|creative\W+commons|\bcc\W+by\b|\bcc0\b|attribution\W+(?:noncommercial|sharealike|noderiv)"
 #: Sentences end at a stop before white space (not after "v."; a semicolon before "either"
 #: or "without even" goes on), at a blank line, after a line with an SPDX identifier, a
 #: copyright or the MIT licence's name, and before a line that starts a known sentence.
@@ -113,7 +115,7 @@ RULES = (
 def sentences(text: Column) -> Column:
     """Normalised sentences that hold a cue word."""
     parts = F.transform(F.split(text, BREAK), lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-    return F.filter(parts, lambda s: s.rlike(CUE))
+    return F.filter(parts, lambda s: s.rlike(CUES))
 
 
 def _identifier(sentence: Column) -> Column:
@@ -142,7 +144,7 @@ def scan(text: Column) -> Column:
         found = F.when(F.size(known) > 0, F.aggregate(rules, start, lambda a, r: apply(a, r).cast(state))["found"]).otherwise(F.array().cast("array<string>"))
         return F.struct(known.alias("sequence"), F.array_distinct(found).alias("licenses"), (F.size(ids) - F.size(known)).cast("long").alias("n_unknown"))
 
-    ids = F.when(text.rlike(CUE), F.transform(sentences(text), _identifier)).otherwise(F.array().cast("array<string>"))
+    ids = F.when(text.rlike(CUES), F.transform(sentences(text), _identifier)).otherwise(F.array().cast("array<string>"))
     return F.element_at(F.transform(F.array(ids), matched), 1)
 
 

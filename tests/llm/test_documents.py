@@ -75,6 +75,14 @@ def test_license_headers_wrapped_as_published(spark):
     assert {r.doc_id: (r.sentences, r.licenses) for r in rows} == {k: (s, x) for k, (_, s, x) in texts.items()}
 
 
+def test_creative_commons_notices_without_the_word_licence(spark):
+    texts = {1: ("Available under CC BY-SA 4.0.", "cc-by-sa", "CC-BY-SA"), 2: ("Creative Commons Attribution 4.0 International", "cc-by", "CC-BY"),
+             3: ("CC0 1.0 Universal", "cc0", "CC0-1.0"), 4: ("Photo: A B, CC-BY-NC 2.0", "cc-by-nc", "CC-BY-NC"),
+             5: ("Attribution-NonCommercial-ShareAlike 4.0", "cc-by-nc-sa", "CC-BY-NC-SA"), 6: ("No cue here.", "", "")}
+    rows = licenses.license_report(spark.createDataFrame([(k, t) for k, (t, _, _) in texts.items()], "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.sentences, r.licenses) for r in rows} == {k: (s, x) for k, (_, s, x) in texts.items()}
+
+
 def shards_by_splitting(rows, limit):
     """Extendible hashing one bit at a time."""
     todo, done = [("", rows)], {}
