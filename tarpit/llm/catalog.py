@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import bpe, licenses, mixing, nn_descent, pii, quality, sharding, simhash, token_files, toxicity
+from . import bpe, licenses, mixing, nn_descent, pii, quality, sharding, simhash, spelling, substrings, token_files, toxicity, word_runs
 from .rows import table
 
 
@@ -61,6 +61,21 @@ def op10_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
 
+def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every document, by block convolution, and what is left without the repeats."""
+    return word_runs.run_report(table(spark, sf_dir, "documents"))
+
+
+def op12_block_anchor_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document without the 20-word windows that start earlier in the table."""
+    return substrings.repeat_report(table(spark, sf_dir, "documents"))
+
+
+def op13_letter_count_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words, form and root of every frequent word of the documents, by k-d trees."""
+    return spelling.spelling_report(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline over ``documents``."""
     return corpus_pipeline.run(spark, sf_dir)
@@ -68,8 +83,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_compression_bands, op2_license_sentences, op3_extendible_shards, op4_hash_threshold_mix, op5_nn_descent_links, op6_noisy_channel_toxicity, op7_segment_tree_bpe,
-    op8_simhash_ball_hashing, op9_simple8b_files, op10_weak_supervision_pii, pipeline)}
+    op8_simhash_ball_hashing, op9_simple8b_files, op10_weak_supervision_pii, op11_word_runs, op12_block_anchor_repeats, op13_letter_count_variants, pipeline)}
 ORACLES = {"op2_license_sentences": licenses.LICENSE_SQL, "op3_extendible_shards": sharding.SHARD_SQL, "op4_hash_threshold_mix": mixing.MIX_SQL,
-           "op5_nn_descent_links": nn_descent.LINKS_SQL}
+           "op5_nn_descent_links": nn_descent.LINKS_SQL, "op11_word_runs": word_runs.RUNS_SQL, "op12_block_anchor_repeats": substrings.REPEATS_SQL,
+           "op13_letter_count_variants": spelling.SPELLING_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

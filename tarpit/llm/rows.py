@@ -48,3 +48,15 @@ def hash60(col: Column) -> Column:
 #: ``hash60`` in DuckDB.
 def hash60_sql(expr: str) -> str:
     return f"('0x' || substr(md5(coalesce(({expr})::VARCHAR, '')), 1, 15))::BIGINT"
+
+
+#: DuckDB table ``crc(t)`` of one row that ``crc32_sql`` needs beside it: the CRC of each byte, by its rule.
+CRC_TABLE_SQL = """crc AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"""
+
+
+def crc32_sql(expr: str) -> str:
+    """Unsigned CRC-32 of a text's UTF-8 bytes in DuckDB, which has no function for it."""
+    return (f"xor(4294967295, list_reduce(list_transform(range(1, 2 * octet_length(encode({expr})), 2), "
+            f"lambda i: ('0x' || substr(hex(encode({expr})), i, 2))::BIGINT), "
+            "lambda c, b: xor(c >> 8, crc.t[(xor(c, b) & 255) + 1]), 4294967295))")
