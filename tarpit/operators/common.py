@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -30,3 +30,20 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     path = shared_path(df.sparkSession, f"tables/{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a written folder that no later step reads; nothing if it isn't there."""
+    store, at = _hadoop(spark, path)
+    store.delete(at, True)
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none if it isn't there."""
+    store, at = _hadoop(spark, path)
+    return sorted(s.getPath().getName() for s in store.listStatus(at)) if store.exists(at) else []

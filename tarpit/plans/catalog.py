@@ -30,7 +30,9 @@ from ..operators.sessionize import emission_order, sessionize
 from ..session import shared_path
 from ..sources import fixtures
 from ..sources.events import read_events, stream_events
-from ..streaming.runner import run_incremental, stream_to_table, write_ndjson
+from ..sources.growing import stream_growing_events
+from ..streaming.batches import BatchQueue
+from ..streaming.runner import run_incremental, stream_to_table, write_growing_log, write_ndjson
 from ..streaming.sessionizer import dedupe_events, stream_sessions
 from ..streaming.windows import daily_counts, gap_sessions
 from ..sources import sinks as S
@@ -685,6 +687,37 @@ def q_stream_sessions(spark, sf_dir):
     return _text_times(spark.read.parquet(f"{base}/out").drop("batch", "first_seq", "last_seq", "closed"))
 
 
+@query("stream_growing_log")
+def q_stream_growing_log(spark, sf_dir):
+    """S2 + S3 + T1-T3 + T7: logs that begin, get lines appended and are rotated with lines
+    unread, one run of the stream after each; what it has found at the end."""
+    events, base = fixtures.raw_events(spark, sf_dir), shared_path(spark, f"stream/{uuid.uuid4().hex}")
+
+    def sink(found: DataFrame, batch: int) -> None:
+        found.write.mode("overwrite").parquet(f"{base}/out/batch={batch}")
+
+    for phase in range(4):
+        write_growing_log(events, f"{base}/log", phase, phases=4)
+        if phase != 2:  # appended lines that are still unread when the log is rotated
+            stream_sessions(stream_growing_events(spark, f"{base}/log", order="path"), f"{base}/ckpt", sink, flush=phase == 3)
+    return _text_times(spark.read.parquet(f"{base}/out").drop("batch", "first_seq", "last_seq", "closed"))
+
+
+@query("stream_batches")
+def q_stream_batches(spark, sf_dir):
+    """S4 + P20 on the stream: upload batches of exactly N finished sessions, whatever the
+    micro-batches; the rest waits, and is a batch of its own at the end."""
+    log = _landed_log(spark, sf_dir)
+    base = shared_path(spark, f"stream/{uuid.uuid4().hex}")
+    queue = BatchQueue(spark, f"{base}/queue", QUERY_BATCH)
+
+    def sink(found: DataFrame, batch: int) -> None:
+        queue.push(found, batch, last=batch % 2 == 0).write.mode("overwrite").parquet(f"{base}/out/push={batch}")
+
+    stream_sessions(stream_events(spark, log, max_files_per_trigger=3), f"{base}/ckpt", sink)
+    return spark.read.parquet(f"{base}/out").select("session", "seg", "batch_id", "session_id")
+
+
 @query("stream_session_window")
 def q_stream_session_window(spark, sf_dir):
     """T4 streaming: gap windows over the log in bounded triggers; complete mode, so

@@ -627,6 +627,8 @@ ORACLES["enriched_rule_batched"] = BASE_ENR_BATCHED + f"SELECT {_enr_select()} F
 # The log round trip and the stream return what the batch does.
 ORACLES["ndjson_sessions"] = ORACLES["sessions_batch"]
 ORACLES["stream_sessions"] = ORACLES["sessions_batch"]
+ORACLES["stream_growing_log"] = ORACLES["sessions_batch"]
+ORACLES["stream_batches"] = ORACLES["batch_ids"]
 ORACLES["stream_session_window"] = ORACLES["session_windows"]
 
 ORACLES["stream_dedupe"] = with_ctes(RAW) + """SELECT eventid, COUNT(*) AS events FROM (

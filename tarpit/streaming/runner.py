@@ -10,6 +10,8 @@ written to the history as its own batch partition, so a retry replaces it.
 
 from __future__ import annotations
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.common import materialize
@@ -35,6 +37,42 @@ def write_ndjson(events: DataFrame, path: str, files: int = 8, rows_per_file: in
         part.coalesce(1).sortWithinPartitions("event_seq").select("value").write.mode("append" if i else "overwrite").text(path)
 
 
+def write_growing_log(events: DataFrame, path: str, phase: int, phases: int = 3, files: int = 8, rows_per_file: int = 1 << 18) -> None:
+    """The raw events as logs that grow: equal ranges of ``event_seq`` arrive in ``phases``
+    steps, each dealt to the files in order. A call makes one step: in step 0 the files
+    begin, in each other step but the last they get lines appended; in the last they are
+    rotated to another name and begin anew.
+
+    A file is written whole and put in place of the shorter one, so a task that runs
+    again does no harm; a task holds one file."""
+    cols = ["session", "src_ip", "eventid", "timestamp", "input", "username"]
+    span = events.agg(F.min("event_seq").alias("lo"), F.max("event_seq").alias("hi")).first()
+    lo, width = span["lo"] or 0, ((span["hi"] or 0) - (span["lo"] or 0)) // phases + 1
+    files = max(files, -(-width // rows_per_file))
+    per_file = -(-width // files)
+    at = F.col("event_seq") - lo
+    lines = events.select(F.floor(at / width).alias("phase"), F.floor((at % width) / per_file).alias("file"), "event_seq",
+                          F.to_json(F.struct(*cols)).alias("value"))
+    fresh = 0 < phase == phases - 1
+    lines = lines.where(F.col("phase") == phase if fresh else F.col("phase") <= phase)
+
+    def land(key: tuple, rows: pa.Table) -> pa.Table:
+        store, base = (fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path))
+        name = f"log-{key[0].as_py():06d}.json"
+        store.create_dir(base)
+        if fresh:  # the log of before goes on under a name that sorts before
+            old = f"{base}/{name}"
+            if store.get_file_info(f"{base}/done-{name}").type == fs.FileType.NotFound and store.get_file_info(old).type == fs.FileType.File:
+                store.move(old, f"{base}/done-{name}")
+        with store.open_output_stream(f"{base}/_{name}") as out:
+            for line in rows.sort_by([("phase", "ascending"), ("event_seq", "ascending")]).column("value").to_pylist():
+                out.write(line.encode() + b"\n")
+        store.move(f"{base}/_{name}", f"{base}/{name}")
+        return pa.table({"file": pa.array([key[0].as_py()], pa.int64())})
+
+    lines.groupBy("file").applyInArrow(land, "file long").count()
+
+
 def stream_to_table(sdf: DataFrame, out_path: str, checkpoint: str, mode: str = "append") -> None:
     """Run a streaming query over everything available (availableNow) into a
     Parquet table. ``append`` adds finished rows; ``complete`` rewrites the

@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.keys import parse_ts
-from ..operators.common import materialize
+from ..operators.common import delete_path, list_names, materialize
 from ..operators.sessionize import aggregate_sessions, keyed_events
 from ..sources.events import with_arrival
 from ..sources.sinks import read_or_none
@@ -52,6 +52,14 @@ class SessionState:
     def save(self, version: int, open_events: DataFrame, next_seg: DataFrame, clock: DataFrame) -> None:
         for name, df in (("open", open_events), ("next_seg", next_seg), ("clock", clock)):
             df.write.mode("overwrite").parquet(self._at(version, name))
+        for old in (version - 3, version - 4):  # no retry reads them any more
+            delete_path(self.spark, f"{self.path}/version={old}")
+
+    def unflushed(self) -> int | None:
+        """The last batch, if what it left open hasn't been flushed."""
+        written = [int(n.split("=")[1]) for n in list_names(self.spark, self.path) if n.startswith("version=")]
+        whole = [v for v in written if read_or_none(self.spark, self._at(v, "clock")) is not None]
+        return (max(whole) - 1) // 2 if whole and max(whole) % 2 else None
 
 
 def _with_base(sessions: DataFrame, next_seg: DataFrame | None) -> DataFrame:
@@ -98,17 +106,20 @@ def session_batch(events: DataFrame, batch_id: int, state: SessionState, gap: st
     return out.drop("_key")
 
 
-def flush_open(state: SessionState, batch_id: int) -> DataFrame:
-    """The sessions still open after batch ``batch_id`` (closed = false), written once;
-    the next batch starts without them and goes on with their segment numbers."""
+def flush_open(state: SessionState, batch_id: int, sink: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
+    """The sessions still open after batch ``batch_id`` (closed = false), written once and
+    given to ``sink``; the next batch starts without them and goes on with their segment
+    numbers. The state is saved after the sink, so a flush that fails is made again."""
     open_events, next_seg, clock = state.load(2 * batch_id + 1)
     keyed = keyed_events(open_events, seq="arrival", chunk="split", keep=EVENT_COLS)
     found = materialize(aggregate_sessions(keyed, keep_key=True), "stream-flush")
-    out = materialize(_with_base(found, next_seg), "stream-out")
+    out = materialize(_with_base(found, next_seg), "stream-out").drop("_key")
+    if sink is not None:
+        sink(out, 2 * batch_id + 2)
     ended = found.groupBy("_key").agg(F.count(F.lit(1)).alias("next_seg"))
     counters = ended.union(next_seg.select("_key", "next_seg")).groupBy("_key").agg(F.sum("next_seg").alias("next_seg"))
     state.save(2 * batch_id + 2, open_events.limit(0), counters, clock)
-    return out.drop("_key")
+    return out
 
 
 def stream_sessions(events: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], gap: str | None = None,
@@ -116,18 +127,18 @@ def stream_sessions(events: DataFrame, checkpoint: str, sink: Callable[[DataFram
     """Run the stream ``events`` over everything available; ``sink(sessions, batch)``
     gets the finished sessions of every micro-batch and, with ``flush``, those open at
     the end. ``batch`` counts 2n + 1 for micro-batch n and 2n + 2 for a flush after it;
-    a retry repeats a number, so a sink that replaces its batch stays exact."""
-    state, last = SessionState(events.sparkSession, f"{checkpoint}/sessions"), []
+    a retry repeats a number, so a sink that replaces its batch stays exact. What a run
+    left open that ended before its flush is flushed by the next one, new events or not."""
+    state = SessionState(events.sparkSession, f"{checkpoint}/sessions")
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         sink(session_batch(batch, batch_id, state, gap), 2 * batch_id + 1)
-        last.append(batch_id)
 
     q = (events.writeStream.foreachBatch(per_batch).option("checkpointLocation", f"{checkpoint}/stream")
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
-    if flush and last:
-        sink(flush_open(state, last[-1]), 2 * last[-1] + 2)
+    if flush and (batch_id := state.unflushed()) is not None:
+        flush_open(state, batch_id, sink)
 
 
 def dedupe_events(events: DataFrame, watermark: str = "10 minutes", keys=None) -> DataFrame:
