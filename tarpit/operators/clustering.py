@@ -183,36 +183,50 @@ def enough_to_cluster(df: DataFrame, cols) -> bool:
     return r["n"] > 1 and any(r[f"v{i}"] for i in range(len(cols)))
 
 
-def choose_k(df: DataFrame, cols, ks=range(2, MAX_K + 1), seed: int = 42) -> tuple[int, list[dict]]:
-    """M3: k with the best silhouette over all rows (default 2).
+def search_kmeans(df: DataFrame, cols, ks=range(2, MAX_K + 1), seed: int = 42) -> tuple[int, list[dict], dict[int, KMeansModel]]:
+    """M3: (best k, [{k, inertia, silhouette}], the best model of each k), k by the silhouette
+    over all rows (default 2).
 
-    Returns (best_k, [{k, inertia, silhouette}]). All-constant features or
-    too few rows give k = 2 without fitting. The fits of the candidates run
-    side by side as Spark jobs over one cached table.
+    All-constant features or too few rows give k = 2 without fitting. All fits, each
+    start of each k, run side by side as Spark jobs over one cached table, then the
+    silhouettes of the winners.
     """
     cols = list(cols)
     n = df.count()
+    none = 2, [{"k": 2, "inertia": 0.0, "silhouette": 0.0}], {}
     if not enough_to_cluster(df, cols):
-        return 2, [{"k": 2, "inertia": 0.0, "silhouette": 0.0}]
+        return none
     vectors = _vectors(df.select(*cols), cols).persist(StorageLevel.MEMORY_AND_DISK)
+    models: dict[int, KMeansModel] = {}
+
+    def fit(job: tuple[int, int]) -> tuple[int, KMeansModel]:
+        return job[0], fit_kmeans(vectors, job[0], seed + job[1], None)
 
     def trial(k: int) -> dict | None:
-        model = best_kmeans(vectors, k, seed)
-        labelled = model.transform(vectors)
+        labelled = models[k].transform(vectors)
         if labelled.select("_raw_cluster").distinct().count() < 2:
             return None
         s = silhouette(labelled, "_raw_cluster", cols).first()["silhouette"]
-        return {"k": k, "inertia": round(model.summary.trainingCost, 4), "silhouette": round(s, 4)}
+        return {"k": k, "inertia": round(models[k].summary.trainingCost, 4), "silhouette": round(s, 4)}
 
     try:
+        vectors.count()  # cached before the fits, which would each compute it
         with ThreadPool(PARALLEL_FITS) as pool:
-            results = [r for r in pool.map(trial, [k for k in ks if k <= n]) if r]
+            for k, model in pool.map(fit, [(k, s) for k in ks if k <= n for s in START_SEEDS]):
+                if k not in models or model.summary.trainingCost < models[k].summary.trainingCost:
+                    models[k] = model
+            results = [r for r in pool.map(trial, list(models)) if r]
     finally:
         vectors.unpersist()
     if not results:
-        return 2, [{"k": 2, "inertia": 0.0, "silhouette": 0.0}]
+        return none
     best = max(results, key=lambda r: (r["silhouette"], -r["k"]))
-    return best["k"], results
+    return best["k"], results, models
+
+
+def choose_k(df: DataFrame, cols, ks=range(2, MAX_K + 1), seed: int = 42) -> tuple[int, list[dict]]:
+    """M3: the first two of ``search_kmeans``."""
+    return search_kmeans(df, cols, ks, seed)[:2]
 
 
 def cluster_stability(df: DataFrame, cols, k: int = 3, seeds=(0, 10, 20)) -> float:
@@ -237,21 +251,43 @@ def cluster_stability(df: DataFrame, cols, k: int = 3, seeds=(0, 10, 20)) -> flo
 
 
 def cluster_sessions(df: DataFrame, k: int, seed: int = 42, cols=CLUSTER_FEATURES,
-                     scaled_suffix: str = "_z") -> DataFrame:
+                     scaled_suffix: str = "_z", models: dict[int, KMeansModel] | None = None) -> DataFrame:
     """M5: final k-means on the standardised features; canonical ids.
 
     ``k`` is capped by the row count; fewer than 2 -> everything in cluster 0.
-    Expects ``<col><scaled_suffix>`` columns (see ``standardize``).
+    Expects ``<col><scaled_suffix>`` columns (see ``standardize``). ``models`` by k, of
+    ``search_kmeans`` over the same rows, save the fit.
     """
     zcols = [f"{c}{scaled_suffix}" for c in cols]
-    k = min(k, df.count())
-    if k < 2:
-        return df.withColumn("behavior_cluster", F.lit(0))
     vectors = _vectors(df, zcols)
-    pred = best_kmeans(vectors, k, seed).transform(vectors).drop("features")
+    model = (models or {}).get(k)
+    if model is None:
+        k = min(k, df.count())
+        if k < 2:
+            return df.withColumn("behavior_cluster", F.lit(0))
+        model = best_kmeans(vectors, k, seed)
+    pred = model.transform(vectors).drop("features")
     return canonical_ids(pred, "_raw_cluster")
 
 
+def cluster_invariants(df: DataFrame, cols, score: str = "behavioral_risk_score") -> DataFrame:
+    """One row about sessions with ``behavior_cluster``: how many there are, whether ids count
+    from 0 in the order of the mean ``score``, and whether the mean of its own cluster is the
+    nearest one for 99 % of the sessions (standardised over all of them)."""
+    stats = df.agg(*[x for c in cols for x in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))])
+    scaled = with_scalars(df, stats).select("behavior_cluster", F.col(score).cast("double").alias("score"), F.array(*[
+        F.coalesce(F.try_divide(F.col(c) - F.col(f"m_{c}"), F.col(f"s_{c}")), F.lit(0.0)) for c in cols]).alias("x"))
+    centres = scaled.groupBy("behavior_cluster").agg(F.avg("score").alias("risk"), F.array(*[F.avg(F.col("x")[i]) for i in range(len(cols))]).alias("at"))
+    packed = centres.agg(F.sort_array(F.collect_list(F.struct("behavior_cluster", "risk", "at"))).alias("centres"))  # k rows
+    far = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda t, v: t + v)
+    rows = with_scalars(scaled, packed).withColumn("d", F.transform("centres", lambda c: far(F.col("x"), c["at"])))
+    near = F.get("d", F.col("behavior_cluster")) <= F.array_min("d") + 1e-9
+    ordered = F.forall(F.sequence(F.lit(1), F.size("centres")), lambda i: (F.get(F.col("centres"), i - 1)["behavior_cluster"] == i - 1) & (
+        (i == 1) | (F.get(F.col("centres"), i - 1)["risk"] >= F.get(F.col("centres"), F.greatest(i - 2, F.lit(0)))["risk"])))
+    return rows.agg(F.count(F.lit(1)).alias("sessions"), F.every(ordered).alias("ids_in_order"),
+                    (F.count_if(near) >= 0.99 * F.count(F.lit(1))).alias("nearest_centre"))
+
+
 def behavioral_clustering(df: DataFrame, seed: int = 42) -> tuple[DataFrame, dict]:
     """Standardise -> choose k -> k-means -> labels -> stability.
 
@@ -269,9 +305,9 @@ def behavioral_clustering(df: DataFrame, seed: int = 42) -> tuple[DataFrame, dic
                .withColumn("is_anomaly", F.lit(False)).withColumn("dbscan_label", F.lit(0)))
         return out, {"k": 1, "error": "fewer than two rows or no feature that varies", "stability": 0.0}
     scaled = standardize(df, cols)
-    best_k, trials = choose_k(scaled, zcols, seed=seed)
+    best_k, trials, models = search_kmeans(scaled, zcols, seed=seed)
     final_k = min(best_k, FINAL_K_CAP)
-    clustered = cluster_sessions(scaled, final_k, seed)
+    clustered = cluster_sessions(scaled, final_k, seed, models=models)
     labels = label_clusters(clustered)
     out = apply_cluster_labels(clustered, labels)
     stability = cluster_stability(scaled, zcols)

@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import labels as L
-from .common import with_scalars
-from .ids import with_sequence_number
+from .common import materialize, with_scalars
+from .select import quantile
 
 CORE_COUNTERS = ("unique_usernames", "failed_logins", "successful_login")
 CLUSTER_FEATURES = ("event_count", "unique_commands", "session_duration", "behavioral_risk_score")
@@ -61,23 +61,13 @@ def behavior_flags(df: DataFrame) -> DataFrame:
             .withColumn("behavioral_risk_score", L.behavioral_risk_score()))
 
 
-def exact_median(df: DataFrame, col: str, tiebreak: list[str], out: str) -> DataFrame:
-    """Exact interpolating median of ``col`` over the whole DataFrame (1 row).
-
-    Distributed: values are range-sorted with a unique tiebreak (so heavy
-    duplicates still spread over partitions), numbered, and the one or two
-    middle rows picked. No task ever holds more than its range partition.
-    """
-    v = df.select(F.col(col).cast("double").alias("_v"), *tiebreak).where(F.col("_v").isNotNull())
-    idx = with_sequence_number(v, ["_v", *tiebreak], "_i")
-    n = v.agg(F.count(F.lit(1)).alias("_n"))
-    lo = F.floor((F.col("_n") - 1) / 2)
-    hi = F.floor(F.col("_n") / 2)
-    picks = with_scalars(idx, n).where((F.col("_i") == lo) | (F.col("_i") == hi))
-    return picks.agg(F.avg("_v").alias(out))
+def exact_median(df: DataFrame, col: str, out: str) -> DataFrame:
+    """Exact interpolating median of ``col`` over the whole DataFrame (1 row, null without
+    values), by refined histograms: no sort, see ``select``."""
+    return df.sparkSession.range(1).select(F.lit(quantile(df, col, 0.5)).cast("double").alias(out))
 
 
-def median_flags(df: DataFrame, scope_cols=None, tiebreak=("session", "seg")) -> DataFrame:
+def median_flags(df: DataFrame, scope_cols=None) -> DataFrame:
     """A2: event_count / session_duration above the (scope) median.
 
     Adds ``median_high_event_activity`` and ``median_long_session`` (the
@@ -90,9 +80,8 @@ def median_flags(df: DataFrame, scope_cols=None, tiebreak=("session", "seg")) ->
         stats = _agg(df, [F.percentile(F.col("event_count").cast("double"), 0.5).alias("_med_e"),
                           F.percentile(F.col("session_duration"), 0.5).alias("_med_d")], scope_cols)
     else:
-        me = exact_median(df, "event_count", list(tiebreak), "_med_e")
-        md = exact_median(df, "session_duration", list(tiebreak), "_med_d")
-        stats = with_scalars(me, md)
+        own = materialize(df.select("event_count", "session_duration"), "median-values")  # read a few times
+        stats = with_scalars(exact_median(own, "event_count", "_med_e"), exact_median(own, "session_duration", "_med_d"))
     out = attach_stats(df, stats, scope_cols)
     return (out.withColumn("median_high_event_activity",
                            F.coalesce(F.col("event_count") > F.col("_med_e"), F.lit(False)))

@@ -1,203 +1,198 @@
-"""Isolation forest (M6) — not in Spark ML, built from Spark primitives.
-
-Fit: every tree draws its own ``psi`` rows from all data: the rows with the
-smallest hashes of (row key, tree). Rows whose hash is far too large for a tree
-are dropped where they are read, so about four times ``psi`` rows a tree are
-shuffled, whatever the input's size; each tree is grown from its rows in a group
-of its own (``applyInPandas``). The forest is at most n_trees * (2 psi - 1) nodes,
-so shipping it to the scorers is bounded by the parameters, not by the data.
-
-Score: a pandas UDF over the feature columns walks all trees for a whole Arrow
-batch at once with numpy. ``anomaly_score`` follows the usual convention (higher =
-more normal, i.e. minus the isolation score 2^(-E[h]/c(psi))). Rows strictly
-below the ``contamination`` quantile (exact, distributed) are anomalies.
+"""Isolation forest (M6) as node tables, grown and walked by DataFrame functions.
+
+* Samples. The rows lie on a ring by one hash of their key; tree t of n takes the
+  ``psi`` rows that follow the point t / n of the ring. A row is read once and hashed
+  once, and only rows that may be among those of a tree are shuffled, about four times
+  ``psi`` a tree, whatever the input's size.
+* Growth. A tree grows inside one row from the array of its ``psi`` samples, level by level:
+  a node parts its samples at a feature and a threshold (between the least and the
+  greatest value) drawn by a hash of tree and node. So a forest depends on nothing but
+  its rows, and any SQL engine can grow it again.
+* Nodes are a table (tree, node, feature, threshold, size): children of node i are 2i and
+  2i + 1. At most n_trees * (2 psi - 1) rows a group.
+* Score. A row walks the trees, arrays of nodes, by array functions; no Python. Rows with
+  the same features have the same score, so each distinct one is scored once. The
+  forest of the whole input is a scalar subquery of bounded size. With
+  ``group_cols`` (upload batches of bounded size) every group has its own forest, and the
+  rows of a group meet it as one array.
+
+``anomaly_score`` follows the usual convention (higher = more normal, i.e. minus the
+isolation score 2^(-E[h]/c(psi))). Rows strictly below the exact ``contamination``
+quantile are anomalies.
 """
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import materialize, with_scalars
-from .ids import with_sequence_number
-
-NODE_SCHEMA = T.StructType([
-    T.StructField("tree", T.IntegerType()),
-    T.StructField("node", T.IntegerType()),
-    T.StructField("feature", T.IntegerType()),
-    T.StructField("threshold", T.DoubleType()),
-    T.StructField("left", T.IntegerType()),
-    T.StructField("right", T.IntegerType()),
-    T.StructField("size", T.LongType()),
-    T.StructField("depth", T.IntegerType()),
-])
+from .common import materialize
+from .select import quantile
 
 EULER_GAMMA = 0.5772156649015329
+#: Path lengths are sums of whole numbers of this unit, the same in any order.
+UNIT = 1_000_000_000
+#: Points of the ring between the starts of two trees.
+STEP = 1 << 32
 
 
-def average_path_length(n):
-    """c(n): expected path length of an unsuccessful BST search over n points."""
-    n = np.asarray(n, dtype=float)
-    out = np.zeros_like(n)
-    out[n == 2] = 1.0
-    big = n > 2
-    out[big] = 2.0 * (np.log(n[big] - 1.0) + EULER_GAMMA) - 2.0 * (n[big] - 1.0) / n[big]
-    return out
-
-
-def _grow(x: np.ndarray, rng: np.random.Generator, max_depth: int) -> list[tuple]:
-    """Grow one isolation tree; returns (node, feature, threshold, left, right, size, depth)."""
-    nodes: list[list] = []
-    stack = [(np.arange(len(x)), 0, -1, 0)]  # rows, depth, parent, side
-    while stack:
-        rows, depth, parent, side = stack.pop()
-        nid = len(nodes)
-        nodes.append([nid, -1, 0.0, -1, -1, len(rows), depth])
-        if parent >= 0:
-            nodes[parent][3 if side == 0 else 4] = nid
-        if depth >= max_depth or len(rows) <= 1:
-            continue
-        sub = x[rows]
-        lo, hi = sub.min(axis=0), sub.max(axis=0)
-        usable = np.flatnonzero(hi > lo)
-        if usable.size == 0:
-            continue
-        f = int(rng.choice(usable))
-        thr = float(rng.uniform(lo[f], hi[f]))
-        go_left = sub[:, f] <= thr
-        nodes[nid][1], nodes[nid][2] = f, thr
-        stack.append((rows[~go_left], depth + 1, nid, 1))
-        stack.append((rows[go_left], depth + 1, nid, 0))
-    return [tuple(n) for n in nodes]
-
-
-def _tree_grower(cols: list[str], psi: int, seed: int):
-    """applyInPandas body: one tree from the psi rows of its group with the least hashes."""
-    max_depth = int(math.ceil(math.log2(max(psi, 2))))
-
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = int(pdf["tree"].iloc[0])
-        own = pdf.sort_values(["_h", *[c for c in pdf.columns if c.startswith("_key")]]).head(psi)
-        nodes = _grow(own[cols].to_numpy(dtype=float), np.random.default_rng([seed, tree]), max_depth)
-        out = pd.DataFrame(nodes, columns=["node", "feature", "threshold", "left", "right", "size", "depth"])
-        out.insert(0, "tree", tree)
-        return out.astype({"tree": "int32", "node": "int32", "feature": "int32", "left": "int32", "right": "int32",
-                           "size": "int64", "depth": "int32"})
-    return grow
-
-
-class IsolationForestModel:
-    """Fitted forest: node arrays plus the sample size used per tree."""
-
-    def __init__(self, nodes: pd.DataFrame, psi: int, cols: list[str]):
-        self.cols = cols
-        self.psi = psi
-        nodes = nodes.sort_values(["tree", "node"])
-        self.n_trees = int(nodes["tree"].nunique())
-        width = int(nodes.groupby("tree")["node"].max().max()) + 1
-        shape = (self.n_trees, width)
-        self.feature = np.full(shape, -1, dtype=np.int32)
-        self.threshold = np.zeros(shape)
-        self.left = np.full(shape, -1, dtype=np.int32)
-        self.right = np.full(shape, -1, dtype=np.int32)
-        self.leaf_len = np.zeros(shape)
-        tree_ix = nodes["tree"].rank(method="dense").astype(int).to_numpy() - 1
-        node_ix = nodes["node"].to_numpy()
-        self.feature[tree_ix, node_ix] = nodes["feature"].to_numpy()
-        self.threshold[tree_ix, node_ix] = nodes["threshold"].to_numpy()
-        self.left[tree_ix, node_ix] = nodes["left"].to_numpy()
-        self.right[tree_ix, node_ix] = nodes["right"].to_numpy()
-        # Path length if a point ends in this node: its depth plus c(size).
-        self.leaf_len[tree_ix, node_ix] = nodes["depth"].to_numpy() + average_path_length(nodes["size"].to_numpy())
-        self.norm = float(average_path_length([psi])[0]) if psi > 1 else 1.0
-
-    def score(self, x: np.ndarray) -> np.ndarray:
-        """Minus the isolation score for each row of x (higher = more normal)."""
-        total = np.zeros(len(x))
-        rows = np.arange(len(x))
-        for t in range(self.n_trees):
-            node = np.zeros(len(x), dtype=np.int32)
-            active = self.feature[t, node] >= 0
-            while active.any():
-                f = self.feature[t, node[active]]
-                go_left = x[rows[active], f] <= self.threshold[t, node[active]]
-                node[active] = np.where(go_left, self.left[t, node[active]], self.right[t, node[active]])
-                active = self.feature[t, node] >= 0
-            total += self.leaf_len[t, node]
-        mean_len = total / max(self.n_trees, 1)
-        return -np.power(2.0, -mean_len / self.norm)
-
-
-def fit_isolation_forest(df: DataFrame, cols: list[str], n_trees: int = 100, max_samples: int = 256,
-                         seed: int = 42, key_cols=("session", "seg")) -> IsolationForestModel:
-    """Grow the forest on executors, each tree from its own sample of all rows.
-
-    A tree's sample is the ``max_samples`` rows of least hash, exactly: the
-    bound that drops rows early is four times as high as needed and is
-    lifted if a tree should get too few rows.
-    """
-    n = df.count()
-    if n == 0:
-        raise ValueError("isolation forest needs at least one row")
-    psi = min(max_samples, n)
-    keys = [F.col(c).alias(f"_key{i}") for i, c in enumerate(key_cols)]
-    narrow = df.select(*keys, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
-    names = [f"_key{i}" for i in range(len(key_cols))]
-    share = min(1.0, 4 * psi / n)
+def average_path_length(n: Column) -> Column:
+    """c(n): expected path length of an unsuccessful search among n points."""
+    return (F.when(n > 2, 2.0 * (F.log(n - 1.0) + F.lit(EULER_GAMMA)) - 2.0 * (n - 1.0) / n)
+            .when(n == 2, F.lit(1.0)).otherwise(F.lit(0.0)))
+
+
+def _hash(*parts) -> Column:
+    """First 60 bits of the MD5 of the parts, joined by a bar."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 15), 16, 10).cast("bigint")
+
+
+def _features(cols) -> Column:
+    return F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols])
+
+
+def draw_samples(df: DataFrame, cols, n_trees: int, max_samples: int, seed: int, key_cols, group: Column) -> DataFrame:
+    """(g, tree, x, psi): the rows of every tree of every group."""
+    keys = [F.col(c).cast("string").alias(f"k{i}") for i, c in enumerate(key_cols)]
+    names = [f"k{i}" for i in range(len(key_cols))]
+    ring = n_trees * STEP
+    rows = df.select(group.alias("g"), *keys, _features(cols).alias("x"))
+    sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.join(sizes, "g").withColumn("psi", F.least(F.lit(max_samples), F.col("n"))).withColumn(
+        "at", F.pmod(_hash(*names, F.lit(str(seed))), F.lit(ring)))
+    widen = 4
     while True:
-        bound = int(-2 ** 63 + share * 2 ** 64) - 1 if share < 1 else 2 ** 63 - 1
-        drawn = F.filter(F.transform(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: F.struct(
-            t.alias("tree"), F.xxhash64(*names, t, F.lit(seed)).alias("h"))), lambda x: x["h"] <= bound)
-        sample = narrow.withColumn("_t", F.explode(drawn)).select("*", F.col("_t.tree").alias("tree"), F.col("_t.h").alias("_h")).drop("_t")
-        sample = materialize(sample, "iforest-sample")
-        least = sample.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("trees"), F.min("n").alias("n")).first()
-        if share >= 1 or least["trees"] == n_trees and least["n"] >= psi:
-            break
-        share = min(1.0, 4 * share)
-    nodes = sample.groupBy("tree").applyInPandas(_tree_grower(list(cols), psi, seed), NODE_SCHEMA).toPandas()
-    return IsolationForestModel(nodes, psi, list(cols))
-
-
-def score_isolation_forest(df: DataFrame, model: IsolationForestModel, out: str = "anomaly_score") -> DataFrame:
-    """Add ``out`` (higher = more normal); only the feature columns cross to Python."""
-    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by the forest's parameters
-
-    @F.pandas_udf(T.DoubleType())
-    def score(*features: pd.Series) -> pd.Series:
-        x = np.column_stack([f.astype(float).fillna(0.0).to_numpy() for f in features])
-        return pd.Series(shared.value.score(x) if len(x) else np.zeros(0))
-
-    return df.withColumn(out, score(*[F.col(c) for c in model.cols]))
-
-
-def exact_quantile(df: DataFrame, col: str, q: float, tiebreak: list[str], out: str = "q") -> DataFrame:
-    """Exact linear-interpolated quantile (numpy 'linear') as one row,
-    computed by a distributed sort; no task holds more than a range slice."""
-    v = df.select(F.col(col).cast("double").alias("_v"), *tiebreak).where(F.col("_v").isNotNull())
-    idx = with_sequence_number(v, ["_v", *tiebreak], "_i")
-    n = v.agg(F.count(F.lit(1)).alias("_n"))
-    pos = F.lit(q) * (F.col("_n") - 1)
-    picked = with_scalars(idx, n).where((F.col("_i") == F.floor(pos)) | (F.col("_i") == F.ceil(pos)))
-    g = picked.agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
-                   F.first(pos - F.floor(pos)).alias("_t"))
-    return g.select((F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_t")).alias(out))
+        # the trees whose start lies at most ``far`` points before the row
+        far = F.least(F.lit(ring - 1), F.floor(F.lit(ring) / F.col("n") * F.col("psi") * widen))
+        last = F.floor(F.col("at") / STEP).cast("bigint")
+        first = F.greatest(F.ceil((F.col("at") - far) / STEP), last - (n_trees - 1)).cast("bigint")
+        near = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+        drawn = rows.withColumn("t", F.explode(near)).withColumn("tree", F.pmod(F.col("t"), F.lit(n_trees)).cast("int")).withColumn(
+            "after", F.pmod(F.col("at") - F.col("tree").cast("bigint") * STEP, F.lit(ring)))
+        place = F.row_number().over(Window.partitionBy("g", "tree").orderBy("after", *names))
+        sample = materialize(drawn.withColumn("place", place).where(F.col("place") <= F.col("psi")).select("g", "tree", "x", "psi"), "iforest-sample")
+        short = sample.groupBy("g", "tree").agg(F.count(F.lit(1)).alias("n"), F.first("psi").alias("psi"))
+        full = short.where("n = psi").count()
+        if full == n_trees * sizes.count() or widen * max_samples >= 1 << 40:
+            return sample
+        widen *= 4  # an empty stretch of the ring
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+_NODES = "array<struct<node:bigint,feature:int,threshold:double,size:bigint>>"
+_OPEN = "array<struct<node:bigint,xs:array<array<double>>>>"
+
+
+def grow_trees(sample: DataFrame, n_features: int, max_samples: int, seed: int) -> DataFrame:
+    """Samples -> (g, tree, node, feature, threshold, size, psi); feature -1 is a leaf."""
+    levels = max(1, math.ceil(math.log2(max(2, max_samples))))
+    state_type = f"struct<nodes:{_NODES},open:{_OPEN}>"
+    trees = sample.groupBy("g", "tree").agg(F.collect_list("x").alias("xs"), F.first("psi").alias("psi"))
+    most = F.ceil(F.log2(F.greatest("psi", F.lit(2))))
+
+    def split(node: Column, level: Column) -> Column:
+        """Feature, threshold and samples on both sides; a leaf has no feature."""
+        at = [F.col("tree"), node["node"], F.lit(str(seed))]
+        bounds = F.array(*[_let(F.transform(node["xs"], lambda x: F.get(x, F.lit(i))), lambda v: F.struct(
+            F.lit(i).alias("feature"), F.array_min(v).alias("lo"), F.array_max(v).alias("hi"))) for i in range(n_features)])
+        usable = F.filter(bounds, lambda s: s["hi"] > s["lo"])
+        chosen = _let(usable, lambda u: F.get(u, F.pmod(_hash(*at, F.lit("feature")), F.greatest(F.size(u), F.lit(1))).cast("int")))
+        share = F.shiftright(_hash(*at, F.lit("threshold")), 8) / F.lit(float(1 << 52))
+        drawn = _let(F.when((F.size(node["xs"]) > 1) & (level < most), chosen), lambda by: F.struct(
+            by["feature"].alias("feature"), (by["lo"] + (by["hi"] - by["lo"]) * share).alias("threshold")))
+        return _let(drawn, lambda d: F.struct(
+            node["node"].alias("node"), F.coalesce(d["feature"], F.lit(-1)).alias("feature"), d["threshold"].alias("threshold"),
+            F.size(node["xs"]).cast("bigint").alias("size"),
+            F.filter(node["xs"], lambda x: F.get(x, d["feature"]) <= d["threshold"]).alias("left"),
+            F.filter(node["xs"], lambda x: F.get(x, d["feature"]) > d["threshold"]).alias("right")))
+
+    def grow(state: Column, level: Column) -> Column:
+        return _let(F.transform(state["open"], lambda n: split(n, level)), lambda parts: F.struct(
+            F.concat(state["nodes"], F.transform(parts, lambda p: F.struct(*[p[c].alias(c) for c in ("node", "feature", "threshold", "size")]))).alias("nodes"),
+            F.flatten(F.transform(F.filter(parts, lambda p: p["feature"] >= 0), lambda p: F.array(
+                F.struct((2 * p["node"]).alias("node"), p["left"].alias("xs")),
+                F.struct((2 * p["node"] + 1).alias("node"), p["right"].alias("xs"))))).alias("open"))).cast(state_type)
+
+    start = F.struct(F.array().cast(_NODES).alias("nodes"), F.array(F.struct(F.lit(1).cast("bigint").alias("node"), F.col("xs").alias("xs"))).alias("open"))
+    grown = trees.select("g", "tree", "psi", F.aggregate(F.sequence(F.lit(0), F.lit(levels)), start.cast(state_type), grow)["nodes"].alias("nodes"))
+    return grown.select("g", "tree", "psi", F.explode("nodes").alias("n")).select("g", "tree", "n.*", "psi")
+
+
+def forests(nodes: DataFrame) -> DataFrame:
+    """Node tables -> (g, psi, trees): per tree arrays over its nodes in the order of their numbers:
+    feature, threshold, place of the left child (the right one follows), path length of a leaf."""
+    in_tree = Window.partitionBy("g", "tree").orderBy("node")
+    depth = F.length(F.bin("node")) - 1
+    length = F.round((depth + average_path_length(F.col("size").cast("double"))) * UNIT).cast("bigint")
+    placed = nodes.withColumn("place", F.row_number().over(in_tree))
+    # siblings come in pairs after the root, so the k-th inner node's children are at 2k and 2k + 1
+    inner = F.sum((F.col("feature") >= 0).cast("int")).over(in_tree)
+    # a leaf leads to itself, whatever the row
+    leaf = F.col("feature") < 0
+    node = F.struct("place", F.greatest("feature", F.lit(0)).alias("feature"), F.when(leaf, F.lit(float("inf"))).otherwise(F.col("threshold")).alias("threshold"),
+                    F.when(leaf, F.col("place") - 1).otherwise(2 * inner - 1).cast("int").alias("left"), length.alias("length"))
+    trees = placed.select("g", "tree", "psi", node.alias("n")).groupBy("g", "tree").agg(
+        F.sort_array(F.collect_list("n")).alias("nodes"), F.first("psi").alias("psi"))
+    columns = F.struct("tree", *[F.col("nodes").getField(c).alias(c) for c in ("feature", "threshold", "left", "length")])
+    return trees.groupBy("g").agg(F.first("psi").alias("psi"), F.sort_array(F.collect_list(columns)).alias("trees"))
+
+
+def row_score(x: Column, forest: Column, levels: int, n_trees: int) -> Column:
+    """Score of a row with features ``x`` under a struct (psi, trees); each is evaluated once."""
+    def walk(tree: Column, x: Column) -> Column:
+        def step(at: Column, _: Column) -> Column:
+            return F.get(tree["left"], at) + (F.get(x, F.get(tree["feature"], at)) > F.get(tree["threshold"], at)).cast("int")
+
+        return F.get(tree["length"], F.aggregate(F.sequence(F.lit(1), F.lit(levels)), F.lit(0), step))
+
+    def score(v: Column) -> Column:
+        psi = v["forest"]["psi"]
+        total = F.aggregate(v["forest"]["trees"], F.lit(0).cast("bigint"), lambda a, t: a + walk(t, v["x"]))
+        norm = F.when(psi > 1, average_path_length(psi.cast("double"))).otherwise(F.lit(1.0))
+        return -F.pow(F.lit(2.0), -(total.cast("double") / F.lit(float(n_trees * UNIT))) / norm)
+
+    return F.element_at(F.transform(F.array(F.struct(x.alias("x"), forest.alias("forest"))), score), 1)
 
 
 def isolation_forest(df: DataFrame, cols: list[str], n_trees: int = 100, contamination: float = 0.10,
-                     seed: int = 42, key_cols=("session", "seg")) -> DataFrame:
+                     seed: int = 42, key_cols=("session", "seg"), max_samples: int = 256, group_cols=None) -> DataFrame:
     """M6: add ``anomaly_score``, ``is_anomaly`` and ``dbscan_label`` (-1/+1).
 
-    ``cols`` should already be standardised (see features.standardize).
+    ``cols`` should already be standardised (see features.standardize). ``key_cols`` name a
+    row. With ``group_cols`` each group, of bounded size, has its own forest and
+    quantile; a null counts as a value. An empty table gives an empty table.
     """
-    model = fit_isolation_forest(df, cols, n_trees=n_trees, seed=seed, key_cols=key_cols)
-    # Scores feed the quantile (several passes) and the flags: write once.
-    scored = materialize(score_isolation_forest(df, model), "iforest")
-    offset = exact_quantile(scored, "anomaly_score", contamination, list(key_cols), "_offset")
-    j = with_scalars(scored, offset)
-    anom = F.coalesce(F.col("anomaly_score") < F.col("_offset"), F.lit(False))
-    return (j.withColumn("is_anomaly", anom)
-            .withColumn("dbscan_label", F.when(anom, F.lit(-1)).otherwise(F.lit(1)).cast("int"))
-            .drop("_offset"))
+    levels = max(1, math.ceil(math.log2(max(2, max_samples))))
+    group = F.struct(*[F.col(c) for c in group_cols]) if group_cols else F.lit(0)
+    grown = grow_trees(draw_samples(df, list(cols), n_trees, max_samples, seed, key_cols, group), len(cols), max_samples, seed)
+    found = materialize(forests(grown), "iforest")
+    names = df.columns
+    if group_cols:
+        rows = df.groupBy(group.alias("g")).agg(F.collect_list(F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(key_cols)], _features(cols).alias("x"))).alias("rows"))
+        keys = [f"k{i}" for i in range(len(key_cols))]
+        scored = rows.join(found, "g").withColumn("rows", F.transform("rows", lambda r: F.struct(
+            *[r[k].alias(k) for k in keys], row_score(r["x"], F.struct("psi", "trees"), levels, n_trees).alias("score"))))
+        order = F.sort_array(F.transform("rows", lambda r: r["score"]))
+        at = F.lit(contamination) * (F.size("rows") - 1)
+        scored = scored.withColumn("order", order).withColumn("low", F.get("order", F.floor(at).cast("int"))).withColumn(
+            "offset", F.col("low") + (F.get("order", F.ceil(at).cast("int")) - F.col("low")) * (at - F.floor(at)))
+        flat = scored.select("offset", F.explode("rows").alias("r")).select(
+            *[F.col(f"r.{k}").alias(f"_{k}") for k in keys], F.col("r.score").alias("anomaly_score"), (F.col("r.score") < F.col("offset")).alias("is_anomaly"))
+        same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(key_cols)]
+        out = df.join(flat, same).select(*[F.col(f"`{c}`") for c in names], "anomaly_score", "is_anomaly")
+    else:
+        forest = found.select(F.struct("psi", "trees").alias("forest")).scalar()
+        xs = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols]
+        vectors = df.groupBy(*[x.alias(f"_x{i}") for i, x in enumerate(xs)]).agg(F.count(F.lit(1)).alias("_rows"))
+        own = F.array(*[F.col(f"_x{i}") for i in range(len(xs))])
+        vectors = vectors.withColumn("_forest", forest).withColumn("anomaly_score", row_score(own, F.col("_forest"), levels, n_trees)).drop("_forest")
+        vectors = materialize(vectors, "iforest-scores")
+        offset = quantile(vectors, "anomaly_score", contamination, "_rows")
+        flagged = vectors.withColumn("is_anomaly", F.coalesce(F.col("anomaly_score") < F.lit(offset), F.lit(False)))
+        out = df.join(flagged, [x == F.col(f"_x{i}") for i, x in enumerate(xs)]).select(*[F.col(f"`{c}`") for c in names], "anomaly_score", "is_anomaly")
+    return out.withColumn("dbscan_label", F.when(F.col("is_anomaly"), F.lit(-1)).otherwise(F.lit(1)).cast("int"))

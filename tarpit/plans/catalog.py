@@ -566,34 +566,53 @@ def q_scatter_points(spark, sf_dir):
 
 @query("kmeans_sessions")
 def q_kmeans_sessions(spark, sf_dir):
-    """M3 + M5 + A4: k chosen by silhouette on a sample, final k-means with
+    """M3 + M5 + A4: k chosen by silhouette over all rows, final k-means with
     canonical ids; cluster sizes and profiles."""
     f = FE.standardize(sessions_table(spark, sf_dir), FE.CLUSTER_FEATURES)
     zc = [f"{c}_z" for c in FE.CLUSTER_FEATURES]
-    k, _ = C.choose_k(f, zc)
-    cl = materialize(C.cluster_sessions(f, min(k, C.FINAL_K_CAP)), "clusters")
+    k, _, models = C.search_kmeans(f, zc)
+    cl = materialize(C.cluster_sessions(f, min(k, C.FINAL_K_CAP), models=models), "clusters")
     prof = C.cluster_profile(cl)
     sizes = cl.groupBy("behavior_cluster").agg(F.count(F.lit(1)).alias("sessions"))
     return prof.join(sizes, "behavior_cluster")
 
 
+@query("kmeans_invariants")
+def q_kmeans_invariants(spark, sf_dir):
+    """M3 + M5: what must hold of the clusters, whatever the seeds: they cover all sessions,
+    ids count from 0 in the order of their mean risk, every session's centre (the mean of
+    its cluster) is the nearest one for at least 99 % of them."""
+    f = FE.standardize(sessions_table(spark, sf_dir), FE.CLUSTER_FEATURES)
+    zc = [f"{c}_z" for c in FE.CLUSTER_FEATURES]
+    k, _, models = C.search_kmeans(f, zc)
+    cl = materialize(C.cluster_sessions(materialize(f, "scaled"), min(k, C.FINAL_K_CAP), models=models), "clusters")
+    return C.cluster_invariants(cl, list(FE.CLUSTER_FEATURES))
+
+
 @query("isolation_forest")
 def q_isolation_forest(spark, sf_dir):
     """M6: isolation forest on standardised auth features, 10 % contamination."""
     f = FE.standardize(sessions_table(spark, sf_dir), FE.AUTH_FEATURES, suffix="_if")
-    out = _iforest(f, [f"{c}_if" for c in FE.AUTH_FEATURES])
-    return out.select("session", "seg", "anomaly_score", "is_anomaly", "dbscan_label")
+    out = isolation_forest(f, [f"{c}_if" for c in FE.AUTH_FEATURES])
+    return out.select("session", "seg", r6("anomaly_score").alias("anomaly_score"), "is_anomaly", "dbscan_label")
 
 
-def _iforest(df, cols):
-    return isolation_forest(df, cols)
+@query("isolation_forest_batched")
+def q_isolation_forest_batched(spark, sf_dir):
+    """M6 in L1: every upload batch has a forest and a quantile of its own, on features
+    standardised within the batch; all of them in one job."""
+    s = materialize(sessions(spark, sf_dir, keep_order_cols=True), "sessions")
+    s = materialize(with_batch_ids(s, emission_order(), batch_size=QUERY_BATCH), "batches")
+    f = FE.standardize(s, FE.AUTH_FEATURES, scope_cols=["batch_id"], suffix="_if")
+    out = isolation_forest(f, [f"{c}_if" for c in FE.AUTH_FEATURES], group_cols=["batch_id"])
+    return out.select("session", "seg", "batch_id", r6("anomaly_score").alias("anomaly_score"), "is_anomaly", "dbscan_label")
 
 
 @query("anomaly_summary")
 def q_anomaly_summary(spark, sf_dir):
     """Anomaly count and rate of the isolation forest."""
     f = FE.standardize(sessions_table(spark, sf_dir), FE.AUTH_FEATURES, suffix="_if")
-    return R.anomaly_summary(_iforest(f, [f"{c}_if" for c in FE.AUTH_FEATURES]))
+    return R.anomaly_summary(isolation_forest(f, [f"{c}_if" for c in FE.AUTH_FEATURES]))
 
 
 @query("anomaly_invariants")
@@ -601,7 +620,7 @@ def q_anomaly_invariants(spark, sf_dir):
     """M6: what must hold of the forest's flags: at most the contamination share is
     flagged, and no flagged session scores above one that isn't."""
     f = FE.standardize(sessions_table(spark, sf_dir), FE.AUTH_FEATURES, suffix="_if")
-    out = _iforest(f, [f"{c}_if" for c in FE.AUTH_FEATURES])
+    out = isolation_forest(f, [f"{c}_if" for c in FE.AUTH_FEATURES])
     g = out.agg(F.count(F.lit(1)).alias("sessions"), F.count_if("is_anomaly").alias("k"),
                 F.max(F.when(F.col("is_anomaly"), F.col("anomaly_score"))).alias("worst"),
                 F.min(F.when(~F.col("is_anomaly"), F.col("anomaly_score"))).alias("best"))
@@ -613,7 +632,7 @@ def q_anomaly_invariants(spark, sf_dir):
 def q_risk_forest(spark, sf_dir):
     """M9-M14 + M17: forest on the anomaly labels; scores, bands, metrics."""
     f = FE.standardize(sessions_table(spark, sf_dir), FE.AUTH_FEATURES, suffix="_if")
-    lab = _iforest(f, [f"{c}_if" for c in FE.AUTH_FEATURES]).drop(*[f"{c}_if" for c in FE.AUTH_FEATURES])
+    lab = isolation_forest(f, [f"{c}_if" for c in FE.AUTH_FEATURES]).drop(*[f"{c}_if" for c in FE.AUTH_FEATURES])
     out, _ = M.ml_risk(lab, model_path=shared_path(spark, f"models/{uuid.uuid4().hex}"))
     return out.select("session", "seg", "is_anomaly", "ml_risk_score", "ml_risk_label", "ml_accuracy",
                       "ml_precision", "ml_recall")
@@ -625,7 +644,7 @@ def q_risk_model_cumulative(spark, sf_dir):
     evaluation on the stored history, here all sessions (relabelled by the
     isolation forest, scaled with the batch scaler, retrained, held-out 30 %)."""
     f = FE.standardize(sessions_table(spark, sf_dir), FE.AUTH_FEATURES, suffix="_if")
-    lab = _iforest(f, [f"{c}_if" for c in FE.AUTH_FEATURES]).drop(*[f"{c}_if" for c in FE.AUTH_FEATURES])
+    lab = isolation_forest(f, [f"{c}_if" for c in FE.AUTH_FEATURES]).drop(*[f"{c}_if" for c in FE.AUTH_FEATURES])
     out, metrics = M.ml_risk(lab, history=sessions_table(spark, sf_dir))
     rec = S.metrics_frame(spark, {**metrics, "eval_mode": metrics.get("eval_mode", "fallback")})
     per_label = out.groupBy("ml_risk_label").agg(F.count(F.lit(1)).alias("sessions"))

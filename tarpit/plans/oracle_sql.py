@@ -647,3 +647,61 @@ FROM enr WHERE session_start IS NOT NULL GROUP BY 1"""
 
 # What must hold for any forest: one row in ten is below the 10 % quantile of the scores.
 ORACLES["anomaly_invariants"] = BASE + """SELECT COUNT(*) AS sessions, true AS at_most_a_tenth, true AS lowest_scores FROM sess"""
+
+
+def _hash60(*parts: str) -> str:
+    return f"('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 15))::BIGINT"
+
+
+def iforest_sql(base: str, src: str, group: str = "0", features=("failed_logins", "successful_login", "unique_usernames"),
+                trees: int = 100, samples: int = 256, seed: int = 42, levels: int = 8) -> str:
+    """The isolation forest level by level: samples on the ring, the nodes of each level from the
+    rows that reach it, then every row's walk over the node table. On the raw features, as
+    scaling moves values and thresholds alike. Ends in the CTE ``flagged``."""
+    k = range(len(features))
+    step = 1 << 32
+    avg = "CASE WHEN {n} > 2 THEN 2.0 * (ln({n} - 1.0) + 0.5772156649015329) - 2.0 * ({n} - 1.0) / {n} WHEN {n} = 2 THEN 1.0 ELSE 0.0 END"
+    x = ", ".join(f"x{i}" for i in k)
+    ctes = [f"""rows0 AS (SELECT {group} AS g, session, seg, {', '.join(f"COALESCE({c}::DOUBLE, 0.0) AS x{i}" for i, c in enumerate(features))},
+  COUNT(*) OVER (PARTITION BY {group}) AS total FROM {src})""",
+            f"""ring AS (SELECT *, least({samples}, total) AS psi, {_hash60("session", "seg::VARCHAR", f"'{seed}'")} % {trees * step} AS place FROM rows0)""",
+            f"""s0 AS (SELECT g, tree, {x}, psi, 1::BIGINT AS node FROM
+  (SELECT *, (place - tree * {step} + {trees * step}) % {trees * step} AS after FROM ring, (SELECT range AS tree FROM range({trees})))
+  QUALIFY row_number() OVER (PARTITION BY g, tree ORDER BY after, session, seg::VARCHAR) <= psi)"""]
+    for d in range(levels + 1):
+        bounds = ", ".join(f"MIN(x{i}) OVER w AS lo{i}, MAX(x{i}) OVER w AS hi{i}" for i in k)
+        spans = ", ".join(f"{{'f': {i}, 'lo': lo{i}, 'hi': hi{i}}}" for i in k)
+        node = "tree::VARCHAR, node::VARCHAR, '%d'" % seed
+        value = "CASE by_.f " + " ".join(f"WHEN {i} THEN x{i}" for i in k) + " END"
+        ctes += [f"a{d} AS (SELECT *, COUNT(*) OVER w AS n, {bounds} FROM s{d} WINDOW w AS (PARTITION BY g, tree, node))",
+                 f"u{d} AS (SELECT *, list_filter([{spans}], lambda s: s.hi > s.lo) AS u FROM a{d})",
+                 f"""b{d} AS (SELECT *, CASE WHEN n > 1 AND {d} < ceil(log2(greatest(psi, 2))) AND len(u) > 0
+  THEN u[1 + ({_hash60(node, "'feature'")}) % len(u)] END AS by_ FROM u{d})""",
+                 f"""t{d} AS (SELECT *, by_.lo + (by_.hi - by_.lo) * ((({_hash60(node, "'threshold'")}) >> 8) / 4503599627370496.0::DOUBLE) AS thr FROM b{d})""",
+                 f"n{d} AS (SELECT DISTINCT g, tree, node, psi, n, by_.f AS f, thr, {d} AS depth FROM t{d})",
+                 f"s{d + 1} AS (SELECT g, tree, {x}, psi, 2 * node + CASE WHEN {value} > thr THEN 1 ELSE 0 END AS node FROM t{d} WHERE by_ IS NOT NULL)"]
+    length = f"round((depth + {avg.format(n='n::DOUBLE')}) * 1000000000)::BIGINT"
+    ctes += [f"w0 AS (SELECT g, session, seg, {x}, range AS tree, 1::BIGINT AS node, 0::BIGINT AS len FROM rows0, range({trees}))"]
+    for d in range(levels + 1):
+        value = "CASE f " + " ".join(f"WHEN {i} THEN x{i}" for i in k) + " END"
+        ctes.append(f"""w{d + 1} AS (SELECT w.g, session, seg, {x}, w.tree,
+  CASE WHEN f IS NULL THEN NULL ELSE 2 * w.node + CASE WHEN {value} > thr THEN 1 ELSE 0 END END AS node,
+  CASE WHEN w.node IS NOT NULL AND f IS NULL THEN {length} ELSE len END AS len
+  FROM w{d} w LEFT JOIN n{d} t ON w.g = t.g AND w.tree = t.tree AND w.node = t.node)""")
+    norm = avg.format(n="psi::DOUBLE")
+    ctes += [f"walked AS (SELECT session, seg, SUM(len) AS len FROM w{levels + 1} GROUP BY session, seg)",
+             f"scored AS (SELECT g, session, seg, -pow(2.0, -(len::DOUBLE / {float(trees * 10 ** 9)}) / CASE WHEN psi > 1 THEN {norm} ELSE 1.0 END) AS score FROM ring JOIN walked USING (session, seg))",
+             "flagged AS (SELECT *, score < quantile_cont(score, 0.1) OVER (PARTITION BY g) AS is_anomaly FROM scored)"]
+    return base.rstrip() + ",\n" + ",\n".join(ctes) + "\n"
+
+
+_FLAGS = "round(score, 6) AS anomaly_score, is_anomaly, CASE WHEN is_anomaly THEN -1 ELSE 1 END::INTEGER AS dbscan_label FROM flagged"
+ORACLES["isolation_forest"] = iforest_sql(BASE, "sess") + f"SELECT session, seg, {_FLAGS}"
+ORACLES["isolation_forest_batched"] = iforest_sql(with_ctes(RAW, SEGMENTED, SESSIONS, f"""numbered AS (
+  SELECT *, CAST((ROW_NUMBER() OVER (ORDER BY {EMIT_ORDER}) - 1) // 200 AS BIGINT) AS batch_id FROM sess)"""), "numbered", "batch_id") + (
+    f"SELECT session, seg, g AS batch_id, {_FLAGS}")
+ORACLES["anomaly_summary"] = iforest_sql(BASE, "sess") + """SELECT COUNT(*) FILTER (is_anomaly) AS anomalies, COUNT(*) AS sessions,
+  COUNT(*) FILTER (is_anomaly)::DOUBLE / COUNT(*) AS anomaly_rate FROM flagged"""
+
+# What must hold of any k-means: all sessions have a cluster, ids in the order of risk, the own centre is the nearest.
+ORACLES["kmeans_invariants"] = BASE + "SELECT COUNT(*) AS sessions, true AS ids_in_order, true AS nearest_centre FROM sess"

@@ -10,7 +10,7 @@ from tarpit.operators import features as FE
 from tarpit.operators import geo as G
 from tarpit.operators import ml as M
 from tarpit.operators.ids import with_batch_ids, with_sequence_number
-from tarpit.operators.isolation_forest import exact_quantile
+from tarpit.operators.select import order_statistics, quantile
 from tarpit.plans import dashboard as D
 from tarpit.plans import reports as R
 from tarpit.sources import sinks as S
@@ -87,12 +87,30 @@ def test_exact_quantiles(spark):
     vals = [rnd.choice([1, 2, 2, 3, 5, 8]) + rnd.random() * (i % 2) for i in range(501)]
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(vals)], "k long, v double")
     for q in (0.1, 0.5, 0.9):
-        got = exact_quantile(df, "v", q, ["k"]).first().q
+        got = quantile(df, "v", q)
         assert got == pytest.approx(float(np.percentile(vals, q * 100)), abs=1e-12)
-    med = FE.exact_median(df, "v", ["k"], "m").first().m
+    med = FE.exact_median(df, "v", "m").first().m
     assert med == pytest.approx(float(np.median(vals)))
 
 
+def test_order_statistics_by_refined_histograms(spark, monkeypatch):
+    from tarpit.operators import select
+    monkeypatch.setattr(select, "FEW", 3)
+    monkeypatch.setattr(select, "BUCKETS", 4)
+    rnd = random.Random(2)
+    vals = [rnd.choice([-1e308, 1e308, 0.0, -0.0, 5.0]) if rnd.random() < .4 else rnd.random() * 10 ** rnd.randint(-300, 300) for _ in range(300)]
+    df = spark.createDataFrame([(v, rnd.randint(0, 3)) for v in vals] + [(None, 9)], "v double, w int")
+    assert order_statistics(df, "v", [0, 17, 150, 299]) == [sorted(vals)[k] for k in (0, 17, 150, 299)]
+    every = sorted(r.v for r in df.collect() for _ in range(r.w) if r.v is not None)
+    ranks = [0, 100, len(every) - 1]
+    assert order_statistics(df, "v", ranks, "w") == [every[k] for k in ranks]
+    assert quantile(df.where("v is null"), "v", 0.5) is None
+    with pytest.raises(ValueError):
+        order_statistics(df, "v", [300])
+    with pytest.raises(ValueError):
+        order_statistics(spark.createDataFrame([(float("inf"),)], "v double"), "v", [0])
+
+
 def test_sequence_numbers_dense_and_ordered(spark):
     df = spark.range(0, 1000).select((F.col("id") * 7919 % 1009).alias("v"), F.col("id").alias("k"))
     out = with_sequence_number(df, ["v", "k"], "i", start=5, num_partitions=6).collect()
