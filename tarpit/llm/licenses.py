@@ -14,19 +14,36 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Cue words of the SQL, which lacks those of Creative Commons notices.
-CUE = r"(?i)licen[sc]|copyright|permission|warrant|redistribut|as is|public domain|spdx|liable|endorse|derivative|all rights reserved"
-#: A text without one of these words has no licence sentence; every pattern of ``SENTENCES`` needs one.
-CUES = CUE + r"|\bas\W+is\b|public\W+domain|all\W+rights\W+reserved|creative\W+commons|\bcc\W+by\b|\bcc0\b|attribution\W+(?:noncommercial|sharealike|noderiv)"
-#: Sentences end at a stop before white space (not after "v."; a semicolon before "either"
-#: or "without even" goes on), at a blank line, after a line with an SPDX identifier, a
-#: copyright or the MIT licence's name, and before a line that starts a known sentence.
-#: Other lines are wrapped and go on, whatever they start with.
-_GAP = r"[\s*#/>-]*"
-BREAK = (r"(?i)(?:(?<!\bv)[.!?]|\x3B(?!" + _GAP + r"(?:either|without\s" + _GAP + r"even)\b))[\"')\]]*\s+|\n[ \t*#/>\r-]*\n"
-         r"|(?<=copyright (?:\(c\)|©|\d)[^\n]{0,120}|spdx-license-identifier[^\n]{0,80}|\bmit licen[sc]e|all rights reserved)[ \t\r]*\n"
-         r"|\s*\n" + _GAP + r"(?=copyright (?:\(c\)|©|\d)|spdx-|permission (?:is hereby|to use)|the above copyright notice and|(?:licensed|released) under"
-         r"|redistributions? (?:and use|of source|in binary)|neither the name|th(?:e|is) software is provided|in no event|all rights reserved|(?:the )?mit licen[sc]e[ \t\r]*(?:\n|$))")
+#: Cue words over normalised sentences; every pattern of ``SENTENCES`` needs one.
+CUES = (r"licen[sc]|copyright|permission|warrant|redistribut|\bas is\b|public domain|spdx|liable|endorse|derivative|all rights reserved"
+        r"|creative commons|\bcc by\b|\bcc0\b|attribution (?:noncommercial|sharealike|noderiv)")
+#: The same over raw texts: whatever normalising turns into a space may stand between the
+#: words. Only saves work, a text without it has no sentence with a cue.
+RAW_CUES = "(?i)" + CUES.replace(r"|\b", "|(?<![a-z0-9])").replace(r"\b", "(?![a-z0-9])").replace(" ", "[^a-z0-9]+")
+_WHITE = r"\x20\x09\x0B-\x0D"
+_GAP = rf"[{_WHITE}*#/>-]*"
+_START = (r"copyright (?:\(c\)|©|[0-9])|spdx-|permission (?:is hereby|to use)|the above copyright notice and|(?:licensed|released) under"
+          r"|redistributions? (?:and use|of source|in binary)|neither the name|th(?:e|is) software is provided|in no event|all rights reserved")
+#: A lower-cased text becomes one with the character 1 between its sentences, in these steps
+#: (pattern, replacement). Every pattern starts at a line feed, a stop or a fixed word and
+#: takes what it reads, so the time is linear. Written for Java's and RE2's common syntax.
+STEPS = (
+    (r"\x01", " "),
+    # a line that only names the MIT licence, and lines that start a known sentence
+    (rf"\n{_GAP}((?:the )?mit licen[sc]e)[\x20\x09\x0D]*(?:\n|\z)", "\x01$1\x01"),
+    (rf"\n{_GAP}({_START})", "\x01$1"),
+    # the end of a line with a copyright, an identifier or a licence's name
+    (r"((?:copyright (?:\(c\)|©|[0-9])|spdx-license-identifier)[^\n\x01]*)(?:[\n\x01]|\z)", "$1\x01"),
+    (r"((?:^|[^a-z0-9])mit licen[sc]e|all rights reserved)[\x20\x09\x0D]*\n", "$1\x01"),
+    # blank lines; other lines are wrapped and go on, whatever they start with
+    (rf"\n{_GAP}\n", "\x01"),
+    (rf"\n{_GAP}", " "),
+    # no stop: after "v." and at a semicolon before "either" or "without even"
+    (r"(^|[^a-z0-9])v\.", "$1v "),
+    (rf"\x3B[{_WHITE}]+(either|without[{_WHITE}]+even)", " $1"),
+    (rf"""[.!?\x3B]["')\]]*[{_WHITE}]+""", "\x01"),
+)
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # Known sentences, as patterns over normalised sentences, first match
 # counts. Written for Java's and RE2's common syntax.
@@ -114,7 +131,10 @@ RULES = (
 
 def sentences(text: Column) -> Column:
     """Normalised sentences that hold a cue word."""
-    parts = F.transform(F.split(text, BREAK), lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
+    marked = F.translate(text, _UPPER, _LOWER)
+    for pattern, to in STEPS:
+        marked = F.regexp_replace(marked, pattern, to)
+    parts = F.transform(F.split(marked, "\x01"), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
     return F.filter(parts, lambda s: s.rlike(CUES))
 
 
@@ -144,19 +164,24 @@ def scan(text: Column) -> Column:
         found = F.when(F.size(known) > 0, F.aggregate(rules, start, lambda a, r: apply(a, r).cast(state))["found"]).otherwise(F.array().cast("array<string>"))
         return F.struct(known.alias("sequence"), F.array_distinct(found).alias("licenses"), (F.size(ids) - F.size(known)).cast("long").alias("n_unknown"))
 
-    ids = F.when(text.rlike(CUES), F.transform(sentences(text), _identifier)).otherwise(F.array().cast("array<string>"))
+    ids = F.when(text.rlike(RAW_CUES), F.transform(sentences(text), _identifier)).otherwise(F.array().cast("array<string>"))
     return F.element_at(F.transform(F.array(ids), matched), 1)
 
 
 def license_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, sentences and licenses (comma-joined), n_unknown.
-    Null and empty texts have none."""
+
+    Null and empty texts have none. Rows are independent: repeated ids or rows give a row
+    each, null ids stay null, an empty table gives an empty table; other columns are left
+    out. The time is linear in the text, whatever its length and its runs of blanks. Of
+    patterns that match a sentence, and of rules that match a sequence, the first counts.
+    """
     found = docs.select(F.col(id_col).alias("doc_id"), scan(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("s"))
     return found.select("doc_id", F.array_join("s.sequence", ",").alias("sentences"), F.array_join("s.licenses", ",").alias("licenses"), "s.n_unknown")
 
 
 def _sql() -> str:
-    """The scan in DuckDB: RE2 has no lookahead, so line starts are marked first."""
+    """The scan in DuckDB, by the same patterns."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
     cases = " ".join(f"WHEN regexp_matches(s, {q(p)}) THEN {q(n)}" for n, p in SENTENCES)
     steps, last = [], "seq"
@@ -164,12 +189,14 @@ def _sql() -> str:
         steps.append(f"r{k} AS (SELECT * EXCLUDE (rest, found), CASE WHEN regexp_matches(rest, {q(pattern)}) THEN regexp_replace(rest, {q(pattern)}, '/', 'g') ELSE rest END AS rest, "
                      f"CASE WHEN regexp_matches(rest, {q(pattern)}) THEN list_append(found, {q(name)}) ELSE found END AS found FROM {last})")
         last = f"r{k}"
+    marked = f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')"
+    for pattern, to in STEPS:
+        to = " || chr(1) || ".join(f"'{x}'" for x in to.replace("$", "\\").split("\x01"))
+        marked = f"regexp_replace({marked}, {q(pattern)}, {to}, 'g')"
     return f"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
-m AS (SELECT rid, CASE WHEN regexp_matches(text, {q(CUE)}) THEN string_split(regexp_replace(regexp_replace(text,
-        '\\s*\\n[\\s*#/>-]*([A-Z0-9])', chr(1) || '\\1', 'g'), '[.\\x3B!?]["'')\\]]*(\\s+|' || chr(1) || ')|\\n\\s*\\n', chr(1), 'g'), chr(1)) ELSE [] END AS parts FROM d),
-n AS (SELECT rid, list_filter(list_transform(parts, lambda s: trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))),
-                              lambda s: regexp_matches(s, {q(CUE)})) AS ss FROM m),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
+n AS (SELECT rid, list_filter(list_transform(string_split({marked}, chr(1)), lambda s: trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g'))),
+                              lambda s: regexp_matches(s, {q(CUES)})) AS ss FROM d),
 i AS (SELECT rid, list_transform(ss, lambda s: CASE {cases} END) AS ids FROM n),
 k AS (SELECT rid, list_filter(ids, lambda x: x IS NOT NULL) AS known, len(ids) AS cues FROM i),
 seq AS (SELECT rid, known, cues, '/' || array_to_string(known, '/') || '/' AS rest, []::VARCHAR[] AS found FROM k),

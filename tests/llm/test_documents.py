@@ -83,6 +83,30 @@ def test_creative_commons_notices_without_the_word_licence(spark):
     assert {r.doc_id: (r.sentences, r.licenses) for r in rows} == {k: (s, x) for k, (_, s, x) in texts.items()}
 
 
+def test_license_scan_equals_its_sql_on_hostile_texts(spark):
+    import random
+    import duckdb
+    import pandas as pd
+    rng = random.Random(2)
+    parts = ["MIT License", "the MIT Licence ", "Copyright (c) 2020 A. B.", "Permission is hereby granted, free of charge, to any person obtaining a copy", "\n", "\n\n", "\n * ",
+             "\r\n", "; either version 2 of the License, or (at your option) any later version. ", "GNU General Public License", "GNU General Public\n# License", " v. 2.0. ",
+             " Mozilla Public License", ";  ", "All rights reserved\n", "all rights\n reserved", "SPDX-License-Identifier: MIT", "\x01", "CC BY-SA 4.0", "CC0", "was issued",
+             "\u212a licen\u017fe", "é", "cc_by", "as_is ", "İ", "\x0b", "\x85", "\u2028", "Creative Commons Attribution"]
+    rows = [(k, "".join(rng.choice(parts) + rng.choice(["", "\n", " ", ". "]) for _ in range(rng.randint(1, 25)))) for k in range(1_500)] + [(None, None), (9_000, "")]
+    got = sorted((str(r.doc_id), r.sentences, r.licenses, r.n_unknown) for r in licenses.license_report(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    documents = pd.DataFrame(rows, columns=["doc_id", "text"])  # noqa: F841  read by name
+    documents["doc_id"] = documents["doc_id"].astype("Int64")
+    want = sorted(("None" if r[0] is None else str(r[0]), *r[1:]) for r in duckdb.sql(licenses.LICENSE_SQL).fetchall())
+    assert got == want and sum(r[2] != "" for r in got) > 1_000
+
+
+def test_license_scan_is_linear_in_long_texts(spark):
+    n = 1_000_000
+    texts = [" " * n + "license", "license" + " \n" * (n // 2), "copyright (c) " * (n // 14), "license\n" + "-" * n, "license; " * (n // 9), 'license."' + '"' * n]
+    rows = licenses.license_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.sentences for r in rows} == {0: "", 1: "", 2: "copyright", 3: "", 4: "", 5: ""}
+
+
 def shards_by_splitting(rows, limit):
     """Extendible hashing one bit at a time."""
     todo, done = [("", rows)], {}
