@@ -12,7 +12,8 @@ on span features is trained on those probabilities and decides about the loose
 spans.
 
 No pattern matches a line break, none backtracks over a run twice (runs are
-possessive and start where the run starts), so the time is linear in the text.
+possessive and start where the run starts), and what compares spans with each other
+is one pass over them sorted (``running``), so the time is about linear in the text.
 Patterns, labelers and the span classifier run per row in one pass; only vote
 pattern counts, at most 4 * 3 * 3^5 * 6 rows whatever the input, are shuffled.
 """
@@ -46,6 +47,8 @@ LOOSE = {
     "phone": r"(?<![0-9A-Za-z+.,/-])(?:00[1-9][0-9]{0,2}[\x20.-]?)?\(?[0-9]{2,4}\)?[\x20.-]{1,2}[0-9]{3,4}[\x20.-][0-9]{3,5}(?![0-9A-Za-z.-])",
 }
 CONTEXT_CHARS = 32
+#: Masked texts are read in chunks of so many code points.
+CHUNK_CHARS = 1024
 
 # Gazetteers and cue words of the labelers.
 TOP_LEVEL = ("com org net edu gov mil int info biz io co me app dev name eu uk us ca au nz de at ch fr be nl lu es pt it gr "
@@ -76,6 +79,24 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """Running totals of an array of longs by an associative function: in blocks of the square
+    root of their number, as an array grows by a copy of itself."""
+    def total(v: Column) -> Column:
+        return F.aggregate(v, F.array().cast("array<bigint>"), lambda a, x: F.concat(
+            a, F.array(F.coalesce(combine(F.try_element_at(a, F.lit(-1)), x), x))))
+
+    def joined(parts: Column) -> Column:
+        return let(total(F.transform(parts, lambda p: F.element_at(p, -1))), lambda ends: F.flatten(F.transform(
+            parts, lambda p, i: F.when(i == 0, p).otherwise(F.transform(p, lambda x: combine(F.element_at(ends, F.greatest(i, F.lit(1))), x))))))
+
+    def blocks(v: Column) -> Column:
+        return let(F.ceil(F.sqrt(F.size(v))).cast("int"), lambda size: let(F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(v) - 1) / size).cast("int")), lambda b: total(F.slice(v, b * size + 1, size))), joined))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, blocks(v)).otherwise(v))
+
+
 def spans(text: Column, pattern: str) -> Column:
     """Array of struct(start, stop, found, left, right) of the leftmost matches;
     positions in code points, ``left`` and ``right`` the text next to the match as
@@ -84,32 +105,20 @@ def spans(text: Column, pattern: str) -> Column:
     pieces = lambda parts: F.transform(parts, lambda p, i: F.struct(
         F.when(i == 0, F.lit("")).otherwise(F.substring_index(p, CLOSE, 1)).alias("found"),
         F.substring_index(p, CLOSE, -1).alias("rest")))
-    block = 64  # prefix sums by blocks, so that many matches don't cost their square
-
-    def total(numbers: Column) -> Column:
-        return F.aggregate(numbers, F.lit(0), lambda a, b: a + b)
 
     def located(parts: Column) -> Column:
-        lengths = F.transform(parts, lambda p: F.length(p["found"]) + F.length(p["rest"]))
-
-        def with_lengths(n: Column) -> Column:
-            blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(n) - 1) / block).cast("int")),
-                                 lambda b: total(F.slice(n, b * block + 1, F.lit(block))))
-
-            def with_blocks(sums: Column) -> Column:
-                def one(p: Column, i: Column) -> Column:
-                    at = i + 1  # of pieces after the first
-                    full = F.floor(at / block).cast("int")
-                    start = (total(F.slice(sums, F.lit(1), full)) + total(F.slice(n, full * block + 1, at - full * block))).cast("long")
-                    return F.struct(start.alias("start"), (start + F.length(p["found"])).alias("stop"), p["found"].alias("found"),
-                                    F.right(F.element_at(parts, i + 1)["rest"], F.lit(CONTEXT_CHARS)).alias("left"),
-                                    F.left(p["rest"], F.lit(CONTEXT_CHARS)).alias("right"))
+        lengths = F.transform(parts, lambda p: (F.length(p["found"]) + F.length(p["rest"])).cast("long"))
 
-                return F.transform(F.slice(parts, F.lit(2), F.size(parts) - 1), one)
+        def with_ends(ends: Column) -> Column:
+            def one(p: Column, i: Column) -> Column:  # i of the piece before
+                start = F.element_at(ends, i + 1)
+                return F.struct(start.alias("start"), (start + F.length(p["found"])).alias("stop"), p["found"].alias("found"),
+                                F.right(F.element_at(parts, i + 1)["rest"], F.lit(CONTEXT_CHARS)).alias("left"),
+                                F.left(p["rest"], F.lit(CONTEXT_CHARS)).alias("right"))
 
-            return let(blocks, with_blocks)
+            return F.transform(F.slice(parts, F.lit(2), F.size(parts) - 1), one)
 
-        return let(lengths, with_lengths)
+        return let(running(lengths, lambda a, b: a + b), with_ends)
 
     return let(marked, lambda parts: F.when(F.size(parts) > 1, let(pieces(parts), located)))
 
@@ -232,8 +241,20 @@ def candidates(docs: DataFrame, text_col: str) -> DataFrame:
     """``docs`` with ``_base``, ``_failed`` and ``_loose`` (loose spans that touch no
     strict match): arrays of (kind, start, stop, votes, long, glued)."""
     out = docs.withColumn("_clean", clean(F.col(f"`{text_col}`"))).withColumn("_both", found_spans(F.col("_clean")))
-    touches = lambda some, s: F.exists(some, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
-    apart = F.filter("_both.loose", lambda s: ~touches(F.col("_both.strict.base"), s) & ~touches(F.col("_both.strict.failed"), s))
+    fields = ("kind", "start", "stop", "found", "left", "right")
+    one = lambda s: F.struct(*[s[c].alias(c) for c in fields])
+
+    def apart(strict: Column, loose: Column) -> Column:
+        """The loose spans that touch no strict one: of those that start before a span stops,
+        none stops after it starts. One pass over starts of strict and stops of loose spans."""
+        events = F.sort_array(F.concat(
+            F.transform(loose, lambda s: F.struct(s["stop"].alias("at"), F.lit(0).alias("strict"), F.lit(0).cast("long").alias("to"), one(s).alias("span"))),
+            F.transform(strict, lambda s: F.struct(s["start"].alias("at"), F.lit(1).alias("strict"), s["stop"].alias("to"), one(s).alias("span")))))
+        free = lambda e: let(running(F.transform(e, lambda x: x["to"]), F.greatest), lambda reach: F.filter(
+            e, lambda x, i: (x["strict"] == 0) & (F.element_at(reach, i + 1) <= x["span"]["start"])))
+        return F.when((F.size(strict) > 0) & (F.size(loose) > 0), F.transform(let(events, free), lambda x: x["span"])).otherwise(F.transform(loose, one))
+
+    apart = apart(F.concat(F.transform("_both.strict.base", one), F.transform("_both.strict.failed", one)), F.col("_both.loose"))
     return (out.withColumn("_base", F.transform("_both.strict.base", described))
             .withColumn("_failed", F.transform("_both.strict.failed", described))
             .withColumn("_loose", F.transform(apart, described)).drop("_both", "_clean"))
@@ -344,15 +365,16 @@ def accepted(weights: list[float] | None) -> Column:
         cols = _features(s["kind"], lambda k: s["votes"][k], s["long"], s["glued"])
         return reduce(lambda a, b: a + b, [c * w for c, w in zip(cols, weights[1:])], F.lit(weights[0]))
 
-    good = F.filter("_loose", lambda s: chance(s) >= 0)
-    return F.when(F.size("_loose") > 0, F.filter(good, lambda s: ~F.exists(good, lambda o: (
-        F.struct(o["start"], -o["stop"], o["kind"]) < F.struct(s["start"], -s["stop"], s["kind"])) & (o["stop"] > s["start"])))).otherwise(
-        F.col("_loose"))
+    good = F.sort_array(F.transform(F.filter("_loose", lambda s: chance(s) >= 0), lambda s: F.struct(
+        s["start"].alias("start"), (-s["stop"]).alias("less"), s["kind"].alias("kind"), s.alias("span"))))
+    first = let(good, lambda g: let(running(F.transform(g, lambda x: -x["less"]), F.greatest), lambda reach: F.filter(
+        g, lambda x, i: (i == 0) | (F.element_at(reach, F.greatest(i, F.lit(1))) <= x["start"]))))
+    return F.when(F.size("_loose") > 0, F.transform(first, lambda x: x["span"])).otherwise(F.col("_loose"))
 
 
 def _listed(spans_: Column) -> Column:
     """kind:start:stop by kind, then start, comma-joined."""
-    ordered = F.array_sort(F.transform(spans_, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"))))
+    ordered = F.sort_array(F.transform(spans_, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"))))
     name = F.array(*map(F.lit, KINDS))
     return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", F.element_at(name, s["kind"] + 1), s["start"], s["stop"])), ",")
 
@@ -380,17 +402,24 @@ def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
     held = docs.select(F.struct(*own).alias("_row"), F.col(f"`{text_col}`").alias("_text"))
     found = candidates(held, "_text")
     weights = fit(candidates(held.select("_text"), "_text"))
-    ordered = F.array_sort(F.transform(F.concat("_base", accepted(weights)), lambda s: F.struct(
+    ordered = F.sort_array(F.transform(F.concat("_base", accepted(weights)), lambda s: F.struct(
         s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
     found = found.withColumn("_spans", ordered).withColumn("_n", F.size("_spans"))
     # a span that starts before an earlier one stops joins it
-    reach = F.aggregate("_spans", F.array().cast("array<bigint>"), lambda a, s: F.concat(a, F.array(F.greatest(
-        s["stop"], F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0))))))
+    reach = running(F.transform("_spans", lambda s: s["stop"]), F.greatest)
     label = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
-    found = found.withColumn("_reach", F.when(F.col("_n") > 0, reach))
+    # the text in chunks, as a place in a long text is found by reading up to it
+    chunks = F.regexp_extract_all("_text", F.lit(f"(?s).{{1,{CHUNK_CHARS}}}"), F.lit(0))
+    found = found.withColumn("_reach", F.when(F.col("_n") > 0, reach)).withColumn("_chunks", F.when(F.col("_n") > 0, chunks))
+
+    def between(start: Column, stop: Column) -> Column:
+        """The text from one place to another that isn't before it."""
+        first, last = (F.floor(x / CHUNK_CHARS).cast("int") for x in (start, stop))
+        return F.substr(F.array_join(F.slice("_chunks", first + 1, last - first + 1), ""), start - first * CHUNK_CHARS + 1, stop - start)
+
     before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.element_at("_reach", F.greatest(i, F.lit(1)))).cast("int")
     piece = F.transform("_spans", lambda s, i: F.when(s["start"] >= before(i), F.concat(
-        F.substr(F.col("_text"), before(i) + 1, s["start"].cast("int") - before(i)), F.element_at(label, s["kind"] + 1))).otherwise(""))
+        between(before(i), s["start"].cast("int")), F.element_at(label, s["kind"] + 1))).otherwise(""))
     last = F.element_at("_reach", -1).cast("int")
     masked = F.when(F.col("_n") > 0, F.concat(F.array_join(piece, ""), F.substr(F.col("_text"), last + 1, F.length("_text")))).otherwise(
         F.col("_text"))

@@ -274,6 +274,17 @@ def test_pii_mask(odd, none, small):
     assert len(texts) == len(ODD) and sum("<EMAIL>" in (t or "") and "<PHONE>" in t for t in texts) == 1
 
 
+def test_pii_takes_many_spans_in_one_text(spark):
+    n = 40_000
+    unit = "call (437) 555-0689 now "
+    docs = spark.createDataFrame([(1, unit * n), (2, "write to jo@mail.example.com or 1.2.3.4. " * 5_000)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in pii.pii_report(docs).collect()}
+    assert rows[1].spans == ",".join(f"phone:{k * len(unit) + 5}:{k * len(unit) + 19}" for k in range(n))
+    assert rows[2].n_email == rows[2].n_ip == 5_000
+    texts = {r.doc_id: r.text for r in pii.mask(docs).collect()}
+    assert texts == {1: "call <PHONE> now " * n, 2: "write to <EMAIL> or <IP>. " * 5_000}
+
+
 def test_pii_runs_without_python(small):
     plan = pii.pii_report(small)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
