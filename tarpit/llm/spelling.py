@@ -34,7 +34,7 @@ MIN_LETTERS = 6
 MIN_COUNT = 5
 #: A word's form is at least so many times as frequent.
 TIMES = 5
-#: Words that the upper levels of the trees are fitted on, at most.
+#: Words that the upper levels of the trees are fitted on, about.
 SAMPLE = 1 << 16
 #: Words of the sample in a cell of the upper levels, about, and words in a leaf of the lower ones.
 CELL = 1 << 10
@@ -83,8 +83,8 @@ def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def letters(words: list[str]) -> np.ndarray:
     """Words of one length as rows of letter numbers."""
-    codes = np.frombuffer("".join(words).encode("latin-1"), dtype=np.uint8).reshape(len(words), -1).astype(np.int16)
-    return np.where(codes < 0xC0, codes - ord("a"), codes - 0xC0 + 26)
+    codes = np.frombuffer("".join(words).encode("latin-1"), dtype=np.uint8).reshape(len(words), -1)
+    return np.where(codes < 0xC0, codes - np.uint8(ord("a")), codes - np.uint8(0xC0 - 26))
 
 
 def counts_of(codes: np.ndarray) -> np.ndarray:
@@ -154,8 +154,13 @@ def search(root: Node, counts: np.ndarray, radius: int) -> Iterator[tuple[Node,
 
 
 def one_replaced(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Matrix: row of a and row of b (same length) differ at exactly one place."""
-    return (a[:, None, :] != b[None, :, :]).sum(axis=2) == 1
+    """Matrix: row of a and row of b (same length) differ at exactly one place. Eight letters, each
+    under 128, are compared as one number: 127 more carries a byte's top bit unless it is zero."""
+    a, b = (np.pad(x, ((0, 0), (0, -x.shape[1] % 8))).view(np.uint64) for x in (a, b))
+    places = np.zeros((len(a), len(b)), dtype=np.uint8)
+    for x, y in zip(a.T, b.T):
+        places += np.bitwise_count(((x[:, None] ^ y) + np.uint64(0x7F7F7F7F7F7F7F7F)) & np.uint64(0x8080808080808080))
+    return places == 1
 
 
 def one_inserted(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -190,7 +195,10 @@ _NEAR = "word string, n_near long, best_n long, best string"
 
 def _upper_trees(words: DataFrame, sample: int, cell: int) -> dict[int, Node]:
     """A tree of few leaves for each word length, from a sample of bounded size."""
-    some = [r.word for r in words.orderBy(F.xxhash64("word"), "word").select("word").limit(sample).collect()]
+    n = words.count()
+    # by the hash, so that each run takes the same ones; about ``sample`` of more words, all of fewer
+    below = F.lit(min(2**62, 2**62 * sample // max(1, n)))
+    some = [r.word for r in words.filter(F.shiftrightunsigned(F.xxhash64("word"), 2) < below).select("word").collect()] if n else []
     by_length: dict[int, list[str]] = {}
     for w in some:
         by_length.setdefault(len(w), []).append(w)
