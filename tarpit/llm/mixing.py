@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators.common import materialize, with_scalars
-from .rows import WORD, hash60, hash60_sql
+from .rows import WORD, free_name, hash60, hash60_sql
 
 #: Weights of the sources in code-point order, repeating; null comes last.
 WEIGHTS = (3, 1, 2)
@@ -133,11 +133,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     The plan is one row a source, written before: Spark broadcasts it if its size
     on disk is under its threshold and else joins with a skew-safe shuffle.
     """
-    found = plan(sized(docs, id_col, text_col, source_col), **how).select(
-        F.col("source").alias("_mix_source"), F.col("cuts").alias("_mix_cuts"))
+    name, cuts, cut = (free_name(docs, x) for x in ("_mix_source", "_mix_cuts", "_mix_cut"))
+    found = plan(sized(docs, id_col, text_col, source_col), **how).select(F.col("source").alias(name), F.col("cuts").alias(cuts))
     own = [F.col(f"`{c}`") for c in docs.columns]
-    taken = docs.join(found, F.col(source_col).eqNullSafe(F.col("_mix_source")))
-    return (taken.select(*own, F.explode(F.filter("_mix_cuts", lambda t: hash60(F.col(id_col)) < t)).alias("_mix_cut"))
+    taken = docs.join(found, F.col(source_col).eqNullSafe(F.col(name)))
+    return (taken.select(*own, F.explode(F.filter(cuts, lambda t: hash60(F.col(id_col)) < t)).alias(cut))
             .select(*own))
 
 

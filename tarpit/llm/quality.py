@@ -18,7 +18,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .rows import bounded_batches
+from .rows import bounded_batches, free_name
 
 WHITE = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -136,8 +136,6 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def keep_good(docs: DataFrame, text_col: str = "text", **limits) -> DataFrame:
     """The rows of ``docs``, all columns unchanged, that pass; no shuffle."""
     bounded_batches(docs.sparkSession)
-    mark = "_quality"
-    while mark in docs.columns:
-        mark += "_"
+    mark = free_name(docs, "_quality")
     return (docs.withColumn(mark, compression_rules(F.col(text_col), **limits))
             .filter(F.col(mark).getField("kept")).drop(mark))

@@ -34,6 +34,14 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
     return df.mapInArrow(run, schema)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added while a column of ``df`` is called so (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def row_hash(df: DataFrame) -> Column:
     """64-bit hash of all columns, to tell repeated ids with different rows apart."""
     return F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])

@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.common import materialize
-from .rows import hash60, hash60_sql
+from .rows import free_name, hash60, hash60_sql
 
 HASH_BITS = 60
 STEP = 4
@@ -62,9 +62,10 @@ def with_shard(rows: DataFrame, tables: list[tuple[int, DataFrame]], h: Column,
     """``rows`` with the bits that name their shard, as text ('' if there is one shard)."""
     depth = []
     for k, (bits, table) in enumerate(tables):
-        rows = rows.join(table.withColumnsRenamed({"bucket": f"_bucket{k}", "depth": f"_depth{k}"}),
-                         _prefix(h, bits) == F.col(f"_bucket{k}"), "left").drop(f"_bucket{k}")
-        depth.append(f"_depth{k}")
+        bucket = free_name(rows, f"_bucket{k}")
+        depth.append(free_name(rows, f"_depth{k}"))
+        rows = rows.join(table.withColumnsRenamed({"bucket": bucket, "depth": depth[-1]}),
+                         _prefix(h, bits) == F.col(bucket), "left").drop(bucket)
     own = F.coalesce(*depth)
     bits = F.when(own == 0, F.lit("")).otherwise(F.lpad(F.bin(_prefix(h, own)), own, "0"))
     return rows.withColumn(name, bits).drop(*depth)
@@ -78,20 +79,22 @@ def shard_report(docs: DataFrame, limit: int = SHARD_BYTES, id_col: str = "doc_i
                                    hash60(F.col(id_col)).alias("h")), "sizes")
     tables = directory(rows.select("h", F.col("size").alias("bytes")), limit)
     named = materialize(with_shard(rows, tables, F.col("h")), "sharded")
-    # sums by shard are joined back on shard and a part of its rows, so none is hot
+    # a shard is hot only if it cannot split (equal or null ids): AQE splits its rows in the join
     sums = named.groupBy("shard").agg(F.sum("size").alias("shard_bytes"))
     return named.join(sums, "shard").select("doc_id", "size", "shard", F.length("shard").alias("depth"), "shard_bytes",
                                             (F.col("shard_bytes") > limit).alias("oversized"))
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write ``docs``, all columns, as Parquet in one folder a shard (``shard=<bits>``,
-    ``shard=all`` if there is one). A task writes whole shards, which fit the limit."""
+    """Write ``docs``, all columns, as Parquet in one folder a shard (``_shard=b<bits>``,
+    ``_shard=all`` if there is one; the name gets underscores while ``docs`` has a column
+    called so). A task writes whole shards, which fit the limit."""
     rows = docs.select(hash60(F.col(id_col)).alias("h"), F.coalesce(F.octet_length(F.col(f"`{text_col}`")), F.lit(0)).cast("long").alias("bytes"))
     tables = directory(materialize(rows, "sizes"), limit)
-    named = with_shard(docs, tables, hash60(F.col(id_col)), "_shard")
-    out = named.withColumn("_shard", F.when(F.col("_shard") == "", F.lit("all")).otherwise(F.concat(F.lit("b"), "_shard")))
-    out.repartition("_shard").write.partitionBy("_shard").parquet(path)
+    name = free_name(docs, "_shard")
+    named = with_shard(docs, tables, hash60(F.col(id_col)), name)
+    out = named.withColumn(name, F.when(F.col(name) == "", F.lit("all")).otherwise(F.concat(F.lit("b"), name)))
+    out.repartition(name).write.partitionBy(name).parquet(path)
 
 
 #: The sharding in DuckDB: the shallowest prefix that fits, of all prefixes.

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators.common import materialize
 from .components import components
-from .rows import bounded_batches, row_hash
+from .rows import bounded_batches, free_name, row_hash
 
 SHINGLE = 4
 DISTANCE = 4
@@ -257,6 +257,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     found = simhash_classes(docs, id_col, text_col, shingle, distance)
     rank = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("row_key").alias("key"))
     first = found.groupBy("component").agg(F.min(rank).alias("r"))
-    keep = materialize(first.select(F.col("r.id").alias("_keep_id"), F.col("r.key").alias("_keep_key")).distinct(), "keep")
-    stays = docs.join(keep, F.col(f"`{id_col}`").eqNullSafe(F.col("_keep_id")) & (row_hash(docs) == F.col("_keep_key")))
-    return stays.dropDuplicates(["_keep_id", "_keep_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    name, key = free_name(docs, "_keep_id"), free_name(docs, "_keep_key")
+    keep = materialize(first.select(F.col("r.id").alias(name), F.col("r.key").alias(key)).distinct(), "keep")
+    stays = docs.join(keep, F.col(f"`{id_col}`").eqNullSafe(F.col(name)) & (row_hash(docs) == F.col(key)))
+    return stays.dropDuplicates([name, key]).select(*[F.col(f"`{c}`") for c in docs.columns])

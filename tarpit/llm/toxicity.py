@@ -3,7 +3,8 @@
 People write around word filters: ``1d10t``, ``s t u p i d``, ``looooser``. A
 suspicious token is a lattice: every character may stand for itself or for the
 letters it resembles, separators inside may be dropped and a run of one letter may
-be one or two. Viterbi decoding finds the likeliest letters under a character
+be one or two. Punctuation that resembles letters (``!``, ``|``, ``(``) is read both ways
+at the edges of a token: cut off, and as a part of it. Viterbi decoding finds the likeliest letters under a character
 trigram model times the channel's costs; the model is counted over all documents.
 
 The score is a logistic regression on words and character 4- to 6-grams of the plain
@@ -53,6 +54,8 @@ for _k, _c in enumerate(ALPHABET):
 INDEX = {c: k + 1 for k, c in enumerate(ALPHABET)}
 
 _EDGE = ".,;:!?\"'()[]{}|%&#*"
+#: Punctuation at an edge that is never a letter.
+_BARE_EDGE = "".join(c for c in _EDGE if c not in LOOKS)
 _PLAIN = re.compile(r"[^\W\d_]+")
 _RUN = re.compile(r"([^\W\d_])\1\1")
 _SPACED = re.compile(r"(?<!\S)(?:\S[ .*_-]{1,2}){2,}\S(?![^\s.,;:!?])")
@@ -136,9 +139,11 @@ class Reader:
         if len(self.known) > CACHE:
             self.known.clear()
         lower, known = text.lower(), self.known
-        out = {t.strip(_EDGE) for t in lower.split()}
+        tokens = set(lower.split())
+        out = {t.strip(_EDGE) for t in tokens}
         runs = _RUN.search(lower) is not None
         odd = [w for w in out if not w.isalpha() or runs and _RUN.search(w)]
+        odd += {x for t in tokens if not t.isalnum() for x in self.with_edges(t)} - out
         for core in odd:
             if (found := known.get(core)) is None:
                 found = self.read(core)
@@ -152,13 +157,26 @@ class Reader:
             out.update((joined, *self.read(joined)))
         return out
 
+    @staticmethod
+    def with_edges(token: str) -> set[str]:
+        """A token with the signs at its ends that may be letters, an opening bracket
+        read both ways; ``!`` after a plain word ends a sentence."""
+        core = token.strip(_BARE_EDGE)
+        if core.strip(_EDGE).isalpha():
+            core = core.rstrip(_BARE_EDGE + "!")
+        return {core, core.lstrip("(")}
+
     def read(self, core: str) -> tuple[str, ...]:
         """What a token that isn't just letters, or has a run of one, may stand for."""
         core = re.sub(r"\${3,}$", "", core)
         if core.isalpha():
             return (core, self.model.decode(core)) if _RUN.search(core) else (core,)
         parts = _PLAIN.findall(core)
-        if not any(c in INDEX for c in core) or not any(c in LOOKS or c in DROPPED for c in core):
+        if any(c in INDEX for c in core):
+            hidden = any(c in LOOKS or c in DROPPED for c in core)
+        else:  # no plain letter: not numbers and amounts, but signs of two kinds
+            hidden = len({c for c in core if c in LOOKS and not c.isdigit()}) > 1
+        if not hidden:
             return tuple(parts)
         # plain words joined by punctuation are words; look-alikes inside are read as letters
         return (*parts, *filter(None, (self.model.decode(core),)))

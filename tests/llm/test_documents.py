@@ -1,5 +1,7 @@
 """Quality, licences, sharding, mixing, SimHash and personal data against brute force and on odd input."""
 
+from collections import Counter
+
 import brute
 import pytest
 from odd_rows import ODD
@@ -288,3 +290,19 @@ def test_pii_takes_many_spans_in_one_text(spark):
 def test_pii_runs_without_python(small):
     plan = pii.pii_report(small)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_columns_named_as_an_operator_names_its_own(spark, odd, scratch):
+    names = ["_keep_id", "_KEEP_KEY", "_mix_source", "_mix_cuts", "_mix_cut", "_shard", "_bucket0", "_depth0", "_quality"]
+    rows = odd.withColumns({n: F.concat(F.lit(n), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for n in names})
+    kept = simhash.keep_one(rows)
+    assert kept.columns == rows.columns and kept.count() == simhash.keep_one(odd).count()
+    mixed = mixing.mix(rows)
+    assert mixed.columns == rows.columns
+    assert Counter(r.doc_id for r in mixed.collect()) == Counter(r.doc_id for r in mixing.mix(odd).collect())
+    assert quality.keep_good(rows).columns == rows.columns
+    sharding.write_shards(rows, f"{scratch}/named", 5_000)
+    back = spark.read.parquet(f"{scratch}/named")
+    assert set(back.columns) == {*rows.columns, "_shard_"}
+    key = lambda r: tuple(str(r[c]) for c in rows.columns)
+    assert sorted(map(key, back.collect())) == sorted(map(key, rows.collect()))

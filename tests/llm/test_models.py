@@ -1,6 +1,8 @@
 """Vectors, toxicity, tokenizers, token files and the pipeline."""
 
 import hashlib
+import itertools
+import random
 import zlib
 
 import brute
@@ -112,6 +114,49 @@ def test_noisy_channel_decoding(spark):
     reader = toxicity.Reader(model)
     assert "moron" in reader.words("you m o r o n there") and reader.words("little house, garden!") == {"little", "house", "garden"}
     assert reader.words("") == set()
+    assert "idiot" in reader.words("an !diot") and "loser" in reader.words('a "|oser".') and "idiot" in reader.words("(!diot)")
+    assert "little" in reader.words("(little") and "cunt" in reader.words("(unt")
+    assert "idiot" in reader.words("!d!0t") and "tr@sh" not in reader.words("tr@sh!") and "stupid!" not in reader.words("stupid!!") and reader.read("$#!7") and reader.words("2024 $500 !!! (*)") <= {"", "2024", "$500", "c"}
+
+
+def readings(token):
+    """All letters a token may stand for with the cost of the channel, by its rules one
+    run after another: as it is; a look-alike; a separator left out; a run shortened."""
+    runs = [(c, len(list(g))) for c, g in itertools.groupby(token)]
+    ways = []
+    for c, n in runs:
+        own = [(c * n, 0.0)] if c in toxicity.ALPHABET else []
+        short = [(c * k, toxicity.RUN_COST) for k in (1, 2) if k < n] if own else []
+        if n < 3:
+            looks = [(x * n, n * toxicity.LOOK_COST) for x in toxicity.LOOKS.get(c, "")]
+        else:
+            looks = [(x, 2 * toxicity.LOOK_COST) for x in toxicity.LOOKS.get(c, "")]
+        ways.append(own + short + looks + [("", toxicity.DROP_COST)] * (c in toxicity.DROPPED))
+    for choice in itertools.product(*ways):
+        yield "".join(x for x, _ in choice), sum(x for _, x in choice)
+
+
+def test_viterbi_equals_all_readings(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = toxicity.CharModel(toxicity.trigram_counts(docs))
+    of = {c: k + 1 for k, c in enumerate(toxicity.ALPHABET)}
+
+    def value(letters, cost):
+        seq = [0, 0, *[of[c] for c in letters], 0]
+        return sum(model.log[a, b, c] for a, b, c in zip(seq, seq[1:], seq[2:])) - cost
+
+    rnd = random.Random(11)
+    signs = "aeilostz" + "".join(toxicity.LOOKS) + ".-_*" + "%"
+    for _ in range(400):
+        token = "".join(rnd.choice(signs) * rnd.choice((1, 1, 1, 2, 3)) for _ in range(rnd.randrange(1, 7)))
+        all_of = {}
+        for letters, cost in readings(token):
+            all_of[letters] = max(all_of.get(letters, -1e9), value(letters, cost))
+        got = model.decode(token)
+        if not all_of:
+            assert got == ""
+        else:
+            assert all_of[got] == pytest.approx(max(all_of.values()), abs=1e-9), token
 
 
 def test_toxicity_held_out_accuracy(spark, odd, none):
