@@ -17,7 +17,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import labels as L
-from .common import with_scalars
+from .common import materialize, with_scalars
 from .features import CLUSTER_FEATURES, standardize
 
 MAX_K = 5
@@ -95,8 +95,9 @@ def cluster_threat_map(df: DataFrame, cluster: str = "behavior_cluster") -> Data
 
 def sample_n(df: DataFrame, n: int, seed: int, key_cols=("session", "seg")) -> DataFrame:
     """M2: at most n rows without replacement, deterministic under any
-    partitioning (order by a seeded hash of the row key; top-n per task)."""
-    h = F.xxhash64(*[F.col(c) for c in key_cols], F.lit(seed))
+    partitioning (order by a seeded hash of the row key that any SQL engine has;
+    top-n per task)."""
+    h = F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in key_cols], F.lit(str(seed))))
     return df.withColumn("_h", h).orderBy("_h", *key_cols).limit(n).drop("_h")
 
 
@@ -141,6 +142,33 @@ def silhouette(df: DataFrame, label: str, cols) -> DataFrame:
     return j.select(F.coalesce(s, F.lit(0.0)).alias("_s")).agg(F.avg("_s").alias("silhouette"))
 
 
+#: Rows of the sample that ``silhouette_euclidean`` compares, at most (fixed by the reference).
+SILHOUETTE_ROWS = 2_000
+
+
+def silhouette_euclidean(df: DataFrame, label: str, cols, n: int = SILHOUETTE_ROWS, seed: int = 42,
+                         key_cols=("session", "seg")) -> DataFrame:
+    """M4 + J8: mean silhouette with Euclidean distances of a sample of at most ``n`` rows
+    (M2), every row of the sample against every other. One row ``silhouette``.
+
+    The sample travels as one scalar of ``n`` points; a row's distances are summed by
+    cluster before anything is shuffled. Points alone in their cluster, or with one
+    cluster in the sample, count 0.
+    """
+    point = F.array(*[F.col(c).cast("double") for c in cols])
+    chosen = sample_n(df, n, seed, key_cols).select(F.col(label).alias("c"), point.alias("x"))
+    pts = materialize(chosen.withColumn("id", F.monotonically_increasing_id()), "silhouette")
+    rows = with_scalars(pts.repartition("id"), pts.agg(F.collect_list(F.struct("c", "x")).alias("all")))
+    pairs = rows.select("id", "c", "x", F.explode("all").alias("o"))
+    gaps = F.sqrt(reduce(lambda a, b: a + b, [(F.col("x")[i] - F.col("o.x")[i]) * (F.col("x")[i] - F.col("o.x")[i]) for i in range(len(cols))]))
+    per = pairs.groupBy("id", "c", F.col("o.c").alias("other")).agg(F.sum(gaps).alias("d"), F.count(F.lit(1)).alias("m"))
+    own = F.col("c").eqNullSafe(F.col("other"))
+    ab = per.groupBy("id").agg(F.max(F.when(own & (F.col("m") > 1), F.col("d") / (F.col("m") - 1))).alias("a"),
+                               F.min(F.when(~own, F.col("d") / F.col("m"))).alias("b"))
+    s = F.when(F.col("a").isNull() | F.col("b").isNull(), F.lit(0.0)).otherwise(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")))
+    return ab.select(F.coalesce(s, F.lit(0.0)).alias("s")).agg(F.avg("s").alias("silhouette"))
+
+
 def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     """M8: adjusted Rand index of two labelings (one row ``ari``).
 
@@ -183,9 +211,9 @@ def enough_to_cluster(df: DataFrame, cols) -> bool:
     return r["n"] > 1 and any(r[f"v{i}"] for i in range(len(cols)))
 
 
-def search_kmeans(df: DataFrame, cols, ks=range(2, MAX_K + 1), seed: int = 42) -> tuple[int, list[dict], dict[int, KMeansModel]]:
+def search_kmeans(df: DataFrame, cols, ks=range(2, MAX_K + 1), seed: int = 42, euclidean: bool = False) -> tuple[int, list[dict], dict[int, KMeansModel]]:
     """M3: (best k, [{k, inertia, silhouette}], the best model of each k), k by the silhouette
-    over all rows (default 2).
+    over all rows (default 2), or by ``silhouette_euclidean`` of a sample.
 
     All-constant features or too few rows give k = 2 without fitting. All fits, each
     start of each k, run side by side as Spark jobs over one cached table, then the
@@ -206,7 +234,8 @@ def search_kmeans(df: DataFrame, cols, ks=range(2, MAX_K + 1), seed: int = 42) -
         labelled = models[k].transform(vectors)
         if labelled.select("_raw_cluster").distinct().count() < 2:
             return None
-        s = silhouette(labelled, "_raw_cluster", cols).first()["silhouette"]
+        s = (silhouette_euclidean(labelled, "_raw_cluster", cols, key_cols=cols) if euclidean
+             else silhouette(labelled, "_raw_cluster", cols)).first()["silhouette"]
         return {"k": k, "inertia": round(models[k].summary.trainingCost, 4), "silhouette": round(s, 4)}
 
     try:
@@ -224,9 +253,9 @@ def search_kmeans(df: DataFrame, cols, ks=range(2, MAX_K + 1), seed: int = 42) -
     return best["k"], results, models
 
 
-def choose_k(df: DataFrame, cols, ks=range(2, MAX_K + 1), seed: int = 42) -> tuple[int, list[dict]]:
+def choose_k(df: DataFrame, cols, ks=range(2, MAX_K + 1), seed: int = 42, euclidean: bool = False) -> tuple[int, list[dict]]:
     """M3: the first two of ``search_kmeans``."""
-    return search_kmeans(df, cols, ks, seed)[:2]
+    return search_kmeans(df, cols, ks, seed, euclidean)[:2]
 
 
 def cluster_stability(df: DataFrame, cols, k: int = 3, seeds=(0, 10, 20)) -> float:

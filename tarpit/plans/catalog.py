@@ -26,6 +26,7 @@ from ..operators import ml as M
 from ..operators.common import materialize, with_scalars
 from ..operators.ids import with_batch_ids
 from ..operators.isolation_forest import isolation_forest
+from ..operators.ranges import lookup_by_sweep
 from ..operators.sessionize import emission_order, sessionize
 from ..session import shared_path
 from ..sources import fixtures
@@ -224,6 +225,14 @@ def q_geo_range_join(spark, sf_dir):
     return g.select("session", "seg", "src_ip", "ip_scope", *G.GEO_COLS)
 
 
+@query("geo_nested_ranges")
+def q_geo_nested_ranges(spark, sf_dir):
+    """J4 over ranges that nest and overlap: the covering range that starts last, by
+    disjoint intervals and a sweep."""
+    ips = sessions(spark, sf_dir).select("src_ip")
+    return lookup_by_sweep(ips, fixtures.nested_ranges(spark, sf_dir), "src_ip")
+
+
 def _geo_flagged(spark, sf_dir):
     s = G.with_ip_scope(flagged(spark, sf_dir))
     return G.geo_enrich(s, fixtures.geo_ranges(spark, sf_dir))
@@ -501,6 +510,14 @@ def q_silhouette(spark, sf_dir):
         r6("silhouette").alias("silhouette"))
 
 
+@query("silhouette_euclidean")
+def q_silhouette_euclidean(spark, sf_dir):
+    """M2 + M4 + J8: Euclidean silhouette of the rule clusters on a sample of 2,000 sessions."""
+    f = fixtures.rule_clusters(FE.standardize(flagged(spark, sf_dir), FE.CLUSTER_FEATURES))
+    return C.silhouette_euclidean(f, "behavior_cluster", [f"{c}_z" for c in FE.CLUSTER_FEATURES]).select(
+        r6("silhouette").alias("silhouette"))
+
+
 @query("stratified_split")
 def q_stratified_split(spark, sf_dir):
     """M9: per class the row count and the 30 % test share."""

@@ -338,6 +338,15 @@ FROM (SELECT *, {RULE_CLUSTER}, {ip_scope_sql('src_ip')} AS ip_scope FROM flg)""
 ORACLES["geo_range_join"] = BASE_GEO + """SELECT session, seg, src_ip, ip_scope, country, country_iso, city,
   latitude, longitude, asn, asn_org FROM gj"""
 
+ORACLES["geo_nested_ranges"] = BASE + f""", {GEO},
+nested AS (SELECT ip_start, ip_end, as_text FROM geo UNION ALL
+  SELECT s, s + 256 * CAST(pow(2, k % 14) AS BIGINT) - 1, 'customer ' || k FROM (
+    SELECT c_custkey AS k, (20 + c_custkey % 150) * 16777216 + (c_custkey * 2027264::BIGINT) % 16777216 AS s FROM customer)),
+ipl AS (SELECT DISTINCT src_ip, {ipv4_long_sql('src_ip')} AS ip_long FROM sess),
+hit AS (SELECT src_ip, as_text, ROW_NUMBER() OVER (PARTITION BY src_ip ORDER BY ip_start DESC, ip_end, as_text) AS nr
+  FROM ipl JOIN nested ON ip_long BETWEEN ip_start AND ip_end)
+SELECT src_ip, as_text FROM hit WHERE nr = 1"""
+
 ORACLES["campaigns"] = BASE_GEO.rstrip("\n") + ",\n" + campaign_ctes("gj") + f"""
 SELECT campaign_key, campaign_total_sessions, {r6('campaign_avg_event_count')}, {r6('campaign_avg_unique_cmds')},
   campaign_high_activity, campaign_command_heavy, campaign_severity FROM campsev"""
@@ -553,6 +562,17 @@ per AS (SELECT rid, MAX(CASE WHEN c = own THEN (CASE WHEN n > 1 THEN d * n / (n
 SELECT round(AVG(COALESCE(CASE WHEN n_own <= 1 OR b IS NULL THEN 0.0 ELSE (b - a) / GREATEST(a, b) END, 0.0)), 6)
   AS silhouette FROM per"""
 
+ORACLES["silhouette_euclidean"] = BASE_FLAGS.rstrip("\n") + f""",
+pts AS (SELECT session, seg, {RULE_CLUSTER}, {_zs} FROM flg),
+sam AS (SELECT behavior_cluster AS c, {", ".join(f"{c}_z AS x{i}" for i, c in enumerate(_SIL_COLS))}, ROW_NUMBER() OVER () AS id
+  FROM (SELECT * FROM pts ORDER BY md5(concat_ws(':', session, CAST(seg AS VARCHAR), '42')), session, seg LIMIT 2000)),
+per AS (SELECT p.id, p.c, o.c AS other, COUNT(*) AS m,
+    SUM(sqrt({" + ".join(f"(p.x{i} - o.x{i}) * (p.x{i} - o.x{i})" for i in range(len(_SIL_COLS)))})) AS d
+  FROM sam p, sam o GROUP BY p.id, p.c, o.c),
+ab AS (SELECT id, MAX(CASE WHEN c = other AND m > 1 THEN d / (m - 1) END) AS a, MIN(CASE WHEN c <> other THEN d / m END) AS b
+  FROM per GROUP BY id)
+SELECT round(AVG(CASE WHEN a IS NULL OR b IS NULL OR GREATEST(a, b) = 0 THEN 0.0 ELSE (b - a) / GREATEST(a, b) END), 6) AS silhouette FROM ab"""
+
 ORACLES["stratified_split"] = BASE_SCORED + """SELECT y, COUNT(*) AS rows,
   CAST(CEIL(CAST(COUNT(*) AS DOUBLE) * CAST(0.3 AS DOUBLE)) AS BIGINT) AS test_rows FROM sc0 GROUP BY y"""
 

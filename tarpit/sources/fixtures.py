@@ -76,6 +76,17 @@ def geo_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def nested_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges that nest and overlap: those of ``geo_ranges`` and one a customer, of
+    256 to 2 million addresses within the same first octets."""
+    k = F.col("c_custkey")
+    start = (20 + k % 150) * 16777216 + (k * 2027264) % 16777216
+    wide = geo_ranges(spark, sf_dir).select("ip_start", "ip_end", "as_text")
+    return wide.union(table(spark, sf_dir, "customer").select(
+        start.cast("bigint"), (start + F.call_function("shiftleft", F.lit(256).cast("bigint"), (k % 14).cast("int")) - 1).cast("bigint"),
+        F.concat(F.lit("customer "), k.cast("string"))))
+
+
 def history_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw events of a previously stored run: all events of users with user_id % 3 = 0."""
     ev = raw_events(spark, sf_dir)

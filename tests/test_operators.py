@@ -10,6 +10,7 @@ from tarpit.operators import features as FE
 from tarpit.operators import geo as G
 from tarpit.operators import ml as M
 from tarpit.operators.ids import with_batch_ids, with_sequence_number
+from tarpit.operators.ranges import cut_points, disjoint_intervals, lookup_by_sweep
 from tarpit.operators.select import order_statistics, quantile
 from tarpit.plans import dashboard as D
 from tarpit.plans import reports as R
@@ -145,6 +146,66 @@ def test_range_lookup_narrowest_and_miss(spark):
     assert got == {"10.1.2.3": "B", "10.9.9.9": "A"}
 
 
+def test_sweep_lookup_equals_every_range_tried(spark):
+    rnd = random.Random(19)
+    text = lambda v: ".".join(str(v >> s & 255) for s in (24, 16, 8, 0))
+    base = 50 << 24
+    ranges = []
+    for k in range(400):
+        lo = base + rnd.randrange(3_000)
+        ranges.append((lo, lo + rnd.choice((0, 3, 50, 700, 5_000)), f"r{k % 350}"))
+    ranges += [(base, base + 9_000, "wide"), (base + 5, base + 1, "turned"), (None, base, "open"), ranges[0], (0, 4294967295, "all")]
+    asked = [base + rnd.randrange(9_500) for _ in range(300)] + [0, 4294967295]
+    ips = spark.createDataFrame([(text(v),) for v in asked] + [("no address",), (None,)], "ip string")
+    want = {}
+    for v in asked:
+        over = [(-a, b, n) for a, b, n in ranges if a is not None and a <= v <= b]
+        want[text(v)] = min(over)[2]
+    for table, parts in ((ranges, 1), (ranges, 7), (ranges, 60)):
+        df = spark.createDataFrame(table, "ip_start long, ip_end long, name string")
+        rows = lookup_by_sweep(ips, df, "ip", parts).collect()
+        assert len(rows) == len(want) and {r.ip: r.name for r in rows} == want
+    few = spark.createDataFrame([r for r in ranges if r[2] not in ("all", "wide")], "ip_start long, ip_end long, name string")
+    got = {r.ip for r in lookup_by_sweep(ips, few, "ip", 5).collect()}
+    assert got == {text(v) for v in asked if any(a is not None and a <= v <= b for a, b, n in ranges if n not in ("all", "wide"))}
+    none = spark.createDataFrame([], "ip_start long, ip_end long, name string")
+    assert lookup_by_sweep(ips, none).count() == 0 and lookup_by_sweep(ips.limit(0), few).count() == 0
+
+
+def test_deeply_nested_ranges_fill_no_part(spark):
+    n, parts = 200_000, 16
+    ranges = spark.range(n).select(F.col("id").alias("ip_start"), (F.lit(3 * n) - F.col("id")).alias("ip_end"))
+    ends = ranges.select(F.explode(F.array("ip_start", F.col("ip_end") + 1)).alias("at"))
+    cuts = cut_points(ends, "at", parts)
+    got = disjoint_intervals(ranges, cuts)
+    size = got.groupBy("part").count().collect()
+    assert max(r["count"] for r in size) < 4 * 2 * n / parts
+    seen = got.agg(F.sum(F.col("stop") - F.col("start") + 1).alias("n"), F.min("start").alias("lo"), F.max("stop").alias("hi")).first()
+    assert (seen.n, seen.lo, seen.hi) == (3 * n + 1, 0, 3 * n)
+    # before the middle the range that starts there wins, after it the one that ends there
+    assert got.where((F.col("start") < n - 1) & (F.col("ip_start") != F.col("start"))).count() == 0
+    assert got.where((F.col("stop") > 2 * n + 1) & (F.col("ip_end") != F.col("stop"))).count() == 0
+
+
+def test_euclidean_silhouette_by_definition(spark):
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.normal(0, 1, (20, 2)), rng.normal(4, 1, (15, 2)), rng.normal(-4, 1, (1, 2))])
+    lab = [0] * 20 + [1] * 15 + [2]
+    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1))
+    s = []
+    for i in range(len(x)):
+        own = [j for j in range(len(x)) if lab[j] == lab[i] and j != i]
+        a = d[i, own].mean() if own else 0.0
+        b = min(d[i, [j for j in range(len(x)) if lab[j] == c]].mean() for c in set(lab) if c != lab[i])
+        s.append((b - a) / max(a, b) if own else 0.0)
+    df = spark.createDataFrame([(i, int(c), *map(float, r)) for i, (c, r) in enumerate(zip(lab, x))], "id int, c int, x0 double, x1 double")
+    euclid = lambda rows, **how: C.silhouette_euclidean(rows, "c", ["x0", "x1"], key_cols=["id"], **how).first().silhouette
+    assert euclid(df) == pytest.approx(float(np.mean(s)), abs=1e-9)
+    assert euclid(df.where("c = 0")) == 0.0 and euclid(df.limit(0)) is None
+    assert euclid(df, n=10) == euclid(df.repartition(5), n=10)
+    assert C.sample_n(df, 7, 1, ["id"]).count() == 7
+
+
 def test_histogram_and_shares(spark):
     vals = [0.0, 4.99, 5.0, 50.0, 99.99, 100.0, 100.0]
     d = spark.createDataFrame([(v,) for v in vals], "risk_score double")
