@@ -668,11 +668,30 @@ def q_risk_model_cumulative(spark, sf_dir):
     return with_scalars(per_label, rec.select("eval_mode", "accuracy", "test_size"))
 
 
+@query("risk_model_reloaded")
+def q_risk_model_reloaded(spark, sf_dir):
+    """S12 + M14 + P21: the saved model, loaded again, gives every session the score of
+    the run that fitted it; scores lie in 0..1 and bands follow from them."""
+    f = FE.standardize(sessions_table(spark, sf_dir), FE.AUTH_FEATURES, suffix="_if")
+    lab = isolation_forest(f, [f"{c}_if" for c in FE.AUTH_FEATURES]).drop(*[f"{c}_if" for c in FE.AUTH_FEATURES])
+    lab = materialize(lab, "labelled")
+    path = shared_path(spark, f"models/{uuid.uuid4().hex}")
+    out, metrics = M.ml_risk(lab, model_path=path)
+    again = M.score_with_saved(lab, path).select("session", "seg", F.col("ml_risk_score").alias("again"))
+    both = out.join(again, ["session", "seg"], "full")
+    s = F.col("ml_risk_score")
+    g = both.agg(F.count(F.lit(1)).alias("sessions"), F.count_if(s == F.col("again")).alias("same"),
+                 F.count_if((s >= 0) & (s <= 1)).alias("within"), F.count_if(F.col("ml_risk_label") == L.ml_risk_band(s)).alias("band"),
+                 F.count_if(F.col("ml_accuracy").between(0, 1)).alias("rated"))
+    return g.select("sessions", *[(F.col(c) == F.col("sessions")).alias(n) for c, n in (
+        ("same", "same_scores"), ("within", "scores_in_range"), ("band", "bands_follow"), ("rated", "accuracy_in_range"))])
+
+
 @query("pca2")
 def q_pca2(spark, sf_dir):
     """Two principal components of the standardised clustering features."""
     p = M.pca2(sessions_table(spark, sf_dir))
-    return p.select("session", "seg", "pca_x", "pca_y")
+    return p.select("session", "seg", r6("pca_x").alias("pca_x"), r6("pca_y").alias("pca_y"))
 
 
 @query("enriched_full")

@@ -573,6 +573,35 @@ ab AS (SELECT id, MAX(CASE WHEN c = other AND m > 1 THEN d / (m - 1) END) AS a,
   FROM per GROUP BY id)
 SELECT round(AVG(CASE WHEN a IS NULL OR b IS NULL OR GREATEST(a, b) = 0 THEN 0.0 ELSE (b - a) / GREATEST(a, b) END), 6) AS silhouette FROM ab"""
 
+_D = len(_SIL_COLS)
+_squares = " + ".join(f"m[{i + 1}] * m[{i + 1}]" for i in range(_D * _D))
+_squared = ", ".join(f"({' + '.join(f'm[{i * _D + k + 1}] * m[{k * _D + j + 1}]' for k in range(_D))}) / ({_squares})"
+                     for i in range(_D) for j in range(_D))
+
+
+def _component(cov: str, name: str) -> str:
+    """The first component of a covariance matrix (row by row in a list): its square,
+    squared 45 times, scaled to trace 1, is the projector on it; the loading of
+    largest size is positive."""
+    return f"""{name}_p(n, m) AS (SELECT 0, m FROM {cov} UNION ALL SELECT n + 1, [{_squared}] FROM {name}_p WHERE n < 45 AND {_squares} > 0),
+{name}_m AS (SELECT m, list_position([{", ".join(f"m[{i * _D + i + 1}]" for i in range(_D))}],
+    greatest({", ".join(f"m[{i * _D + i + 1}]" for i in range(_D))})) AS j FROM {name}_p WHERE n = 45),
+{name} AS (SELECT [{", ".join(f"m[{i * _D} + j] / sqrt(m[(j - 1) * {_D} + j])" for i in range(_D))}] AS v FROM {name}_m)"""
+
+
+_lambda = " + ".join(f"v[{i + 1}] * m[{i * _D + j + 1}] * v[{j + 1}]" for i in range(_D) for j in range(_D))
+ORACLES["pca2"] = (BASE_FLAGS.rstrip("\n") + f""",
+pts AS (SELECT session, seg, {_zs} FROM flg),
+cov AS (SELECT [{", ".join(f"SUM({a}_z * {b}_z) / (COUNT(*) - 1)" for a in _SIL_COLS for b in _SIL_COLS)}] AS m FROM pts),
+{_component("cov", "one")},
+rest AS (SELECT [{", ".join(f"m[{i * _D + j + 1}] - ({_lambda}) * v[{i + 1}] * v[{j + 1}]" for i in range(_D) for j in range(_D))}] AS m FROM cov, one),
+{_component("rest", "two")}
+SELECT session, seg, {", ".join("round(" + " + ".join(f"{c}_z * {t}.v[{i + 1}]" for i, c in enumerate(_SIL_COLS)) + f", 6) AS {o}"
+                                for t, o in (("one", "pca_x"), ("two", "pca_y")))} FROM pts, one, two""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+ORACLES["risk_model_reloaded"] = BASE + """SELECT COUNT(*) AS sessions, true AS same_scores, true AS scores_in_range,
+  true AS bands_follow, true AS accuracy_in_range FROM sess"""
+
 ORACLES["stratified_split"] = BASE_SCORED + """SELECT y, COUNT(*) AS rows,
   CAST(CEIL(CAST(COUNT(*) AS DOUBLE) * CAST(0.3 AS DOUBLE)) AS BIGINT) AS test_rows FROM sc0 GROUP BY y"""
 
