@@ -56,6 +56,7 @@ INDEX = {c: k + 1 for k, c in enumerate(ALPHABET)}
 _EDGE = ".,;:!?\"'()[]{}|%&#*"
 #: Punctuation at an edge that is never a letter.
 _BARE_EDGE = "".join(c for c in _EDGE if c not in LOOKS)
+_SIGNS = [c for c in _EDGE if c in LOOKS]
 _PLAIN = re.compile(r"[^\W\d_]+")
 _RUN = re.compile(r"([^\W\d_])\1\1")
 _SPACED = re.compile(r"(?<!\S)(?:\S[ .*_-]{1,2}){2,}\S(?![^\s.,;:!?])")
@@ -143,7 +144,8 @@ class Reader:
         out = {t.strip(_EDGE) for t in tokens}
         runs = _RUN.search(lower) is not None
         odd = [w for w in out if not w.isalpha() or runs and _RUN.search(w)]
-        odd += {x for t in tokens if not t.isalnum() for x in self.with_edges(t)} - out
+        signed = {t for c in _SIGNS if c in lower for t in tokens if c in t}
+        odd += {x for t in signed for x in self.with_edges(t)} - out
         for core in odd:
             if (found := known.get(core)) is None:
                 found = self.read(core)
