@@ -39,7 +39,7 @@ from ..streaming.windows import daily_counts, gap_sessions
 from ..sources import sinks as S
 from . import dashboard as D
 from . import reports as R
-from .enrich import enrich
+from .enrich import enrich, models_per_batch
 
 #: Sessions per upload batch in the queries, so that the test tables fill several.
 QUERY_BATCH = 200
@@ -285,6 +285,18 @@ def q_enriched_rule_batched(spark, sf_dir):
     return e.select(*[r6(c).alias(c) if c in dbl else F.col(c) for c in e.columns])
 
 
+@query("enriched_per_batch")
+def q_enriched_per_batch(spark, sf_dir):
+    """L1 + M3-M7 + M16, the reference's run: every upload batch has its own k-means (k by the
+    silhouette), stability, isolation forest, z-scores, labels, weights and campaigns."""
+    s = sessions(spark, sf_dir, keep_order_cols=True)
+    df = enrich(s, fixtures.geo_ranges(spark, sf_dir), clusterer=models_per_batch, with_ml=False, with_pca=False,
+                scope_cols=["batch_id"], batch_size=QUERY_BATCH, materialize_output=False)
+    return df.select("session_id", "session", "seg", "batch_id", "behavior_cluster", "behavior_label", "is_anomaly", "dbscan_label",
+                     r6("cluster_stability").alias("cluster_stability"), r6("risk_score").alias("risk_score"), "risk_level",
+                     "campaign_severity", "attacker_type")
+
+
 @query("dashboard_view")
 def q_dashboard_view(spark, sf_dir):
     """L2: renames, coercions, 0-100 risk, predicted level/score, fallbacks."""

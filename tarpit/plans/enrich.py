@@ -9,7 +9,8 @@ supervised risk model (M17) -> PCA (M15) -> conform (S14).
 ``scope_cols=["batch_id"]`` reproduces the reference's per-upload-batch
 statistics (z-scores, auth-feature scaling, cluster labels and weights,
 campaigns); the default computes them over the whole input. Model fits
-(k-means, forests, PCA) are always whole-input.
+(k-means, forests, PCA) are whole-input, unless ``clusterer=models_per_batch``
+gives every upload batch a k-means and an isolation forest of its own.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from ..functions import labels as L
 from ..operators import clustering as C
 from ..operators import geo as G
 from ..operators.common import materialize
-from ..operators.features import AUTH_FEATURES, behavior_flags, standardize, zscore
+from ..operators.features import AUTH_FEATURES, CLUSTER_FEATURES, behavior_flags, standardize, zscore
+from ..operators.grouped_kmeans import cluster_by_group
 from ..operators.ids import BATCH_SIZE, SESSION_COUNTER_START, with_batch_ids
 from ..operators.isolation_forest import isolation_forest
 from ..operators.ml import ml_risk, pca2
@@ -32,6 +34,18 @@ from ..schemas import ENRICHED, conform
 EXTRA_COLS = ("seg", "batch_id")
 
 
+def models_per_batch(df: DataFrame, scope_cols=("batch_id",), seed: int = 42) -> DataFrame:
+    """M16 + M6 with models of their own for every batch (``clusterer`` of ``enrich``, with the
+    same ``scope_cols``): clusters, their stability and anomalies, all batches in the same jobs."""
+    scope = list(scope_cols)
+    scaled = standardize(materialize(df, "features"), CLUSTER_FEATURES, scope_cols=scope, suffix="_kz")
+    zcols = [f"{c}_kz" for c in CLUSTER_FEATURES]
+    clustered = materialize(cluster_by_group(scaled, scope, zcols, most=C.FINAL_K_CAP).drop(*zcols), "clusters")
+    auth = [f"{c}_if" for c in AUTH_FEATURES]
+    forest = isolation_forest(standardize(clustered, AUTH_FEATURES, scope_cols=scope, suffix="_if"), auth, seed=seed, group_cols=scope)
+    return forest.drop(*auth, "anomaly_score")
+
+
 def enrich(sessions: DataFrame, ranges: DataFrame, clusterer: Callable[[DataFrame], DataFrame] | None = None,
            with_ml: bool = True, with_pca: bool = True, scope_cols=None, seed: int = 42,
            batch_size: int = BATCH_SIZE, id_start: int = SESSION_COUNTER_START,

@@ -754,3 +754,75 @@ ORACLES["anomaly_summary"] = iforest_sql(BASE, "sess") + """SELECT COUNT(*) FILT
 
 # What must hold of any k-means: all sessions have a cluster, ids in the order of risk, the own centre is the nearest.
 ORACLES["kmeans_invariants"] = BASE + "SELECT COUNT(*) AS sessions, true AS ids_in_order, true AS nearest_centre FROM sess"
+
+
+def kmeans_sql(base: str, src: str, features=("event_count", "unique_commands", "session_duration", "behavioral_risk_score"),
+               score: str = "behavioral_risk_score", ks=(2, 3, 4, 5), most: int = 4, steps: int = 20) -> str:
+    """K-means of its own for every ``batch_id`` of ``src``, step by step as CTEs: starts on the ring,
+    farthest vectors, Lloyd's steps, the cheapest start of each k, k by silhouette, ids by risk,
+    stability of k = 3. Ends in ``grouped``: session, seg, behavior_cluster, cluster_stability."""
+    dims = range(1, len(features) + 1)
+    search, pairs = (0, 1, 2), ((0, 1), (10, 11), (20, 21))
+    starts = sorted({*search, *(s for p in pairs for s in p)})
+    ring = 1 << 60
+
+    def z(c: str) -> str:
+        x, w = f"COALESCE(CAST({c} AS DOUBLE), 0.0)", "OVER (PARTITION BY batch_id)"
+        return f"round(({x} - AVG({x}) {w}) / CASE WHEN STDDEV_POP({x}) {w} > 0 THEN STDDEV_POP({x}) {w} ELSE 1.0 END, 9)"
+
+    gap = " + ".join(f"(x[{i}] - m[{i}]) * (x[{i}] - m[{i}])" for i in dims)
+    gaps = lambda cs="cs": f"list_transform({cs}, lambda m: round({gap}, 9))"
+    near = lambda cs="cs": f"list_position({gaps(cs)}, list_min({gaps(cs)}))"
+    after = f"({_hash60('session', 'seg::VARCHAR')} - start * {ring // 32} + {ring}) % {ring}"
+    ctes = [f"""krows AS MATERIALIZED (SELECT batch_id AS g, session, seg, [{", ".join(map(z, features))}] AS x, CAST({score} AS DOUBLE) AS sc FROM {src})""",
+            "pts AS MATERIALIZED (SELECT g, x, COUNT(*) AS w, SUM(sc) AS sc FROM krows GROUP BY g, x)",
+            f"""f1 AS (SELECT g, start, [arg_min(x, {after})] AS cs FROM krows, (SELECT unnest([{", ".join(map(str, starts))}]) AS start) GROUP BY g, start)"""]
+    for i in range(2, max(ks) + 1):
+        ctes.append(f"""f{i} AS MATERIALIZED (SELECT g, start, CASE WHEN d > 0 THEN list_append(cs, x) ELSE cs END AS cs
+  FROM (SELECT *, list_min({gaps()}) AS d FROM pts JOIN f{i - 1} USING (g)) QUALIFY row_number() OVER (PARTITION BY g, start ORDER BY d DESC, x DESC) = 1)""")
+    ctes.append(f"""l0 AS (SELECT g, start, k, cs[1:k] AS cs FROM f{max(ks)}, (SELECT unnest([{", ".join(map(str, ks))}]) AS k)
+  WHERE len(cs) >= k AND (start IN {search} OR k = 3))""")
+    for t in range(steps):
+        mean = ", ".join(f"round(SUM(x[{i}] * w) / SUM(w), 9)" for i in dims)
+        ctes += [f"e{t} AS (SELECT g, start, k, c, [{mean}] AS mean FROM (SELECT *, {near()} AS c FROM pts JOIN l{t} USING (g)) GROUP BY g, start, k, c)",
+                 f"""l{t + 1} AS MATERIALIZED (SELECT g, start, k, list(COALESCE(mean, old) ORDER BY c) AS cs
+  FROM (SELECT g, start, k, unnest(cs) AS old, unnest(range(1, k + 1)) AS c FROM l{t}) LEFT JOIN e{t} USING (g, start, k, c) GROUP BY g, start, k)"""]
+    sq = " + ".join(f"x[{i}] * x[{i}]" for i in dims)
+    dot = " + ".join(f"x[{i}] * o.s[{i}]" for i in dims)
+    ctes += [f"""kbest AS MATERIALIZED (SELECT g, k, any_value(cs) AS cs, round(SUM(w * list_min({gaps()})), 6) AS cost, start FROM pts JOIN l{steps} USING (g)
+  WHERE start IN {search} GROUP BY g, k, start QUALIFY row_number() OVER (PARTITION BY g, k ORDER BY cost, start) = 1)""",
+             f"kown AS MATERIALIZED (SELECT g, k, x, w, sc, {sq} AS sq, {near()} AS c FROM pts JOIN kbest USING (g))",
+             f"ksum AS (SELECT g, k, c, SUM(w)::DOUBLE AS n, SUM(w * sq) AS q, [{', '.join(f'SUM(x[{i}] * w)' for i in dims)}] AS s FROM kown GROUP BY g, k, c)",
+             f"""kpair AS (SELECT g, k, x, w, MAX(CASE WHEN o.c = p.c THEN o.n END) AS n, MAX(CASE WHEN o.c = p.c THEN far END) AS own,
+  MIN(CASE WHEN o.c <> p.c THEN far END) AS b FROM (SELECT p.*, o.c, o.n, (o.n * p.sq - 2 * ({dot}) + o.q) / o.n AS far, p, o
+    FROM kown p JOIN ksum o USING (g, k)) GROUP BY g, k, x, w)""",
+             """ksil AS (SELECT g, k, round(SUM(w * CASE WHEN n > 1 THEN COALESCE((b - a) / NULLIF(greatest(a, b), 0), 0) ELSE 0 END) / SUM(w), 4) AS sil
+  FROM (SELECT *, own * n / (n - 1) AS a FROM kpair WHERE b IS NOT NULL) GROUP BY g, k)""",
+             f"""kpick AS (SELECT ksil.g, least(ksil.k, {most}) AS k FROM ksil QUALIFY row_number() OVER (PARTITION BY g ORDER BY sil DESC, k) = 1)""",
+             """kids AS (SELECT g, c, row_number() OVER (PARTITION BY g ORDER BY risk, centre, c) - 1 AS id FROM (
+  SELECT g, c, round(SUM(kown.sc) / SUM(w), 9) AS risk, any_value(cs[c]) AS centre FROM kown JOIN kpick USING (g, k) JOIN kbest USING (g, k) GROUP BY g, c))"""]
+    for a, b in pairs:
+        ctes.append(f"""kt{a} AS (SELECT g, a, b, SUM(w)::DOUBLE AS n FROM (SELECT g, w, {near('one')} AS a, {near('two')} AS b FROM pts
+  JOIN (SELECT g, cs AS one FROM l{steps} WHERE k = 3 AND start = {a}) USING (g) JOIN (SELECT g, cs AS two FROM l{steps} WHERE k = 3 AND start = {b}) USING (g)) GROUP BY g, a, b)""")
+    c2 = lambda n: f"({n} * ({n} - 1) / 2.0)"
+    aris = " UNION ALL ".join(f"""SELECT g, CASE WHEN abs((sa + sb) / 2.0 - ex) < 1e-12 THEN 1.0 ELSE (idx - ex) / ((sa + sb) / 2.0 - ex) END AS ari
+  FROM (SELECT *, COALESCE(sa * sb / NULLIF({c2('n')}, 0), 0.0) AS ex FROM (SELECT g, SUM({c2('n')}) AS idx, SUM(n) AS n FROM kt{a} GROUP BY g)
+    JOIN (SELECT g, SUM({c2('n')}) AS sa FROM (SELECT g, SUM(n) AS n FROM kt{a} GROUP BY g, a) GROUP BY g) USING (g)
+    JOIN (SELECT g, SUM({c2('n')}) AS sb FROM (SELECT g, SUM(n) AS n FROM kt{a} GROUP BY g, b) GROUP BY g) USING (g))""" for a, _ in pairs)
+    ctes += [f"kari AS (SELECT g, round(AVG(ari), 4) AS stability FROM ({aris}) GROUP BY g)",
+             f"""grouped AS MATERIALIZED (SELECT session, seg, CAST(COALESCE(id, 0) AS INTEGER) AS behavior_cluster, COALESCE(stability, 0.0) AS cluster_stability
+  FROM (SELECT r.g, session, seg, {near()} AS c FROM krows r LEFT JOIN (SELECT g, cs FROM kbest JOIN kpick USING (g, k)) USING (g))
+  LEFT JOIN kids USING (g, c) LEFT JOIN kari USING (g))"""]
+    return base.rstrip() + ",\n" + ",\n".join(ctes) + "\n"
+
+
+# L1 with models of their own for every batch: clusters and anomalies found again by DuckDB.
+_PB = iforest_sql(kmeans_sql(with_ctes(RAW, SEGMENTED, SESSIONS, FLAGS, _B_IDS, _B_ZS), "bids"), "bids", "batch_id")
+_PB_TL = TL.replace("event_count % 7 = 0", "COALESCE(anomaly, false)")
+ORACLES["enriched_per_batch"] = _PB.rstrip() + ",\n" + ",\n".join([
+    """brc AS (SELECT bzs.*, behavior_cluster, cluster_stability, is_anomaly AS anomaly FROM bzs JOIN grouped USING (session, seg)
+  JOIN flagged USING (session, seg))""", _B_LAB, _B_RL, SC, GEO, geo_join_cte("sc"), _PB_TL,
+    _campaign_ctes_batched("tl"), _B_TM]) + f"""
+SELECT session_id, session, seg, batch_id, behavior_cluster, behavior_label, anomaly AS is_anomaly,
+  CAST(CASE WHEN anomaly THEN -1 ELSE 1 END AS INTEGER) AS dbscan_label, {r6('cluster_stability')}, {r6('risk_score')}, risk_level,
+  campaign_severity, attacker_type FROM btm"""
