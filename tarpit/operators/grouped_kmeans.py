@@ -16,6 +16,7 @@ neither the number of groups nor the size of one is bounded by a task.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -73,18 +74,24 @@ def _first_centres(vectors: DataFrame, group_cols, starts, most: int, dims: int)
     return state
 
 
-def _step(vectors: DataFrame, models: DataFrame, group_cols, dims: int, most: int) -> DataFrame:
-    """One step of Lloyd's iteration; a centre without rows stays where it is. The sums of all
-    (at most ``most``) clusters of a model are columns of one aggregate: one exchange a step."""
-    near = vectors.join(models.drop("moved"), group_cols).withColumn("c", _nearest(dims))
-    of = [F.col("c") == j for j in range(most)]
-    sums = [F.sum(F.when(own, F.col("w"))).alias(f"n{j}") for j, own in enumerate(of)]
-    sums += [F.sum(F.when(own, F.col("x")[i] * F.col("w"))).alias(f"s{j}_{i}") for j, own in enumerate(of) for i in range(dims)]
-    per = near.groupBy(*group_cols, "start", "k").agg(F.first("centres").alias("old"), *sums)
-    mean = [F.array(*[F.round(F.col(f"s{j}_{i}") / F.col(f"n{j}"), DIGITS) for i in range(dims)]) for j in range(most)]
-    every = F.array(*[F.when(F.col(f"n{j}").isNotNull(), mean[j]).otherwise(F.get("old", F.lit(j))) for j in range(most)])
-    new = per.select(*group_cols, "start", "k", "old", F.slice(every, 1, F.col("k")).alias("centres"))
-    return new.select(*group_cols, "start", "k", "centres", (F.col("centres") != F.col("old")).alias("moved"))
+def _stepper(vectors: DataFrame, group_cols, dims: int) -> Callable[[DataFrame], DataFrame]:
+    """One step of Lloyd's iteration as a function of the models; a centre without rows stays
+    where it is. The columns are built once, as building them takes longer than a small step."""
+    name = [*group_cols, "start", "k"]
+    nearest = _nearest(dims)
+    mean = F.array(*[F.round(F.sum(F.col("x")[i] * F.col("w")) / F.sum("w"), DIGITS) for i in range(dims)]).alias("mean")
+    kept, old = F.first("centres").alias("centres"), F.first("centres").alias("old")
+    at = F.map_from_entries(F.collect_list(F.struct("c", "mean"))).alias("at")  # k entries
+    centres = F.transform("old", lambda c, i: F.coalesce(F.try_element_at("at", i), c)).alias("centres")
+    moved = (F.col("centres") != F.col("old")).alias("moved")
+    row = [F.col(c) for c in vectors.columns if c in (*group_cols, "x", "w")] + [F.col(c) for c in ("start", "k", "centres")] + [nearest.alias("c")]
+
+    def step(models: DataFrame) -> DataFrame:
+        means = vectors.join(models, group_cols).select(*row).groupBy(*name, "c").agg(kept, mean)
+        new = means.groupBy(*name).agg(old, at).select(*name, "old", centres)
+        return new.select(*name, "centres", moved)
+
+    return step
 
 
 def fit_by_group(vectors: DataFrame, group_cols, ks, dims: int, starts=SEARCH_STARTS, extra_starts=(), extra_k: int = STABILITY_K) -> DataFrame:
@@ -97,9 +104,10 @@ def fit_by_group(vectors: DataFrame, group_cols, ks, dims: int, starts=SEARCH_ST
     models = first.withColumn("a", F.explode(F.array(*asked))).where((F.col("a.s") == F.col("start")) & (F.size("centres") >= F.col("a.k")))
     models = models.select(*group_cols, "start", F.col("a.k").alias("k"), F.slice("centres", 1, F.col("a.k")).alias("centres"), F.lit(True).alias("moved"))
     models = materialize(models, "group-centres")
+    step = _stepper(vectors, group_cols, dims)
     for _ in range(STEPS // STEPS_A_JOB):
         for _ in range(STEPS_A_JOB):
-            models = _step(vectors, models, group_cols, dims, most)
+            models = step(models)
         models = materialize(models, "group-centres")
         if models.where("moved").isEmpty():
             break
