@@ -51,6 +51,14 @@ def by_risk(df: DataFrame) -> DataFrame:
     return df.sortWithinPartitions(F.col("risk_score").desc_nulls_last())
 
 
+def batches_together(df: DataFrame) -> DataFrame:
+    """The rows of a batch in one task, those of a very large one in a few, so that a batch is
+    one file and not one a task; in a file highest risk first (O1). The writer sorts by
+    batch unless the rows already are, and would lose the order within."""
+    risk = [F.col("risk_score").desc_nulls_last()] if "risk_score" in df.columns else []
+    return df.hint("rebalance", "batch_id").sortWithinPartitions("batch_id", *risk)
+
+
 def write_sessions(df: DataFrame, path: str, mode: str = "append", csv_path: str | None = None) -> None:
     """Write enriched sessions partitioned by batch; optional CSV export.
 
@@ -60,7 +68,7 @@ def write_sessions(df: DataFrame, path: str, mode: str = "append", csv_path: str
     """
     spark = df.sparkSession
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    w = by_risk(df).write.partitionBy("batch_id")
+    w = batches_together(df).write.partitionBy("batch_id")
     (w.mode("overwrite") if mode == "overwrite_batches" else w.mode(mode)).parquet(path)
     if csv_path:
         export_csv(df, csv_path)
@@ -77,7 +85,7 @@ def archive_batch(new_rows: DataFrame, path: str) -> None:
     """The new rows of a batch to the archive, replacing that batch's partition
     (the reference re-appends the whole history every batch once it is large)."""
     new_rows.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    new_rows.write.mode("overwrite").partitionBy("batch_id").parquet(path)
+    batches_together(new_rows).write.mode("overwrite").partitionBy("batch_id").parquet(path)
 
 
 def merge_new_sessions(new: DataFrame, history: DataFrame, key: str = "session",
