@@ -43,14 +43,6 @@ def load_dashboard(spark: SparkSession, path: str, schema=None) -> DataFrame:
     return (r.schema(schema) if schema is not None else r).csv(path)
 
 
-def by_risk(df: DataFrame) -> DataFrame:
-    """O1: highest risk first, applied only at the sink (within partitions;
-    a global order is a range-partitioned sort only for single-file exports)."""
-    if "risk_score" not in df.columns:
-        return df
-    return df.sortWithinPartitions(F.col("risk_score").desc_nulls_last())
-
-
 def batches_together(df: DataFrame) -> DataFrame:
     """The rows of a batch in one task, those of a very large one in a few, so that a batch is
     one file and not one a task; in a file highest risk first (O1). The writer sorts by
