@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import uuid
 import zlib
 from array import array
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -39,9 +41,9 @@ ESCAPE = len(SELECTORS)
 RUN = 4_096
 #: A block is closed when it holds this many ids; a document is never split.
 BLOCK_IDS = 1 << 18
-#: Chunks of text between white space that a worker keeps (twice, see ChunkEncoder), and the longest kept.
+#: Chunks of text between white space that a worker keeps (twice, see ChunkEncoder), and the most characters of one kept.
 CACHE = 500_000
-CACHED_BYTES = 48
+CACHED = 48
 BLOCK_SCHEMA = ("part int, block int, doc_ids array<bigint>, counts array<int>, n_ids long, run_words array<int>, words binary")
 
 
@@ -125,15 +127,21 @@ def unpack_runs(offsets: list[int], words: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate(parts or [np.empty(0, dtype=np.uint64)])
 
 
-_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+#: Lower-case letters that normalising leaves as they are and that are parts of words, whatever stands beside them.
+_LETTERS = "a-z\u00df-\u00f6\u00f8-\u00ff"
+#: Chunks that normalising leaves as they are, and the vocabulary's pieces of such chunks.
+_SETTLED = re.compile(f"[!-@[-~{_LETTERS}]+")
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^0-9{_LETTERS}]+")
 
 
 class ChunkEncoder:
     """The tokenizers library over chunks between white space, with a bounded cache.
 
     The vocabulary's rules lower-case, drop white space and never look across it, so
-    a text's ids are those of its chunks in order, ASCII letters in lower case. Texts
-    that hold an added token (as written, anywhere) go through the library as a whole."""
+    a text's ids are those of its chunks in order, ASCII letters in lower case. Arrow
+    splits the texts of a batch and numbers their chunks, so each distinct chunk is looked
+    up once a batch. Texts that hold an added token (as written, anywhere) go through
+    the library as a whole."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task per core already
@@ -142,46 +150,74 @@ class ChunkEncoder:
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.normalise, self.part = self.library.normalizer.normalize_str, self.library.pre_tokenizer.pre_tokenize_str
         self.merge = self.library.model.tokenize
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}  # the cache before; what is used of it moves over
+        # the library writes the bytes of other letters as characters of its own
+        self.written = str.maketrans({c: self.part(c)[0][0] for c in map(chr, range(0xDF, 0x100)) if c != "\u00f7"})
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # the cache before; what is used of it moves over
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        whole = {k for k, t in enumerate(texts) if any(a in t for a in self.added)}
-        if whole:
-            plain = iter(self.encode_plain([t for k, t in enumerate(texts) if k not in whole]))
-            return [array("I", self.library.encode(t, add_special_tokens=False).ids).tobytes() if k in whole else next(plain) for k, t in enumerate(texts)]
-        return self.encode_plain(texts)
-
-    def encode_plain(self, texts: list[str]) -> list[bytes]:
-        """Ids of texts without added tokens, chunk by chunk."""
+        ids, counts = self.encode_column(pa.array(texts, pa.string()))
+        return [part.tobytes() for part in np.split(ids, np.cumsum(counts)[:-1])] if len(counts) else []
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (null: empty) one after another, and how many each text has."""
+        texts = pc.fill_null(texts, "")
+        mixed = functools.reduce(pc.or_, [pc.match_substring(texts, a) for a in self.added], pa.repeat(False, len(texts)))
+        if not pc.any(mixed).as_py():
+            return self.encode_plain(texts)
+        ids, counts = self.encode_plain(pc.if_else(mixed, "", texts))
+        whole = [np.array(self.library.encode(t, add_special_tokens=False).ids, dtype="<u4") for t in texts.filter(mixed).to_pylist()]
+        at = np.flatnonzero(mixed.to_numpy(zero_copy_only=False))
+        places = np.repeat(np.cumsum(counts)[at], [len(w) for w in whole])
+        counts[at] = [len(w) for w in whole]
+        return np.insert(ids, places, np.concatenate(whole)), counts
+
+    def encode_plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """``encode_column`` of texts without nulls and added tokens, chunk by chunk."""
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        chunks = split.flatten().dictionary_encode()
+        found = self.lookup(chunks.dictionary.to_pylist())
+        flat, size = np.frombuffer(b"".join(found), dtype="<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        chosen = chunks.indices.to_numpy()
+        sizes = size[chosen]
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        # from the place of each id among all ids to its place in ``flat``
+        shift = (np.cumsum(size) - size)[chosen] - ends[:-1]
+        ids = flat[np.repeat(shift, sizes) + np.arange(ends[-1])]
+        per_text = np.concatenate(([0], np.cumsum(pc.list_value_length(split).to_numpy())))
+        return ids, np.diff(ends[per_text])
+
+    def lookup(self, chunks: list[str]) -> list[bytes]:
+        """Ids of distinct chunks."""
         if len(self.known) > CACHE:
             self.known, self.older = {}, self.known
-        split = [t.encode("utf-8", "surrogatepass").translate(_LOWER).split() for t in texts]
-        known, older, extra = self.known, self.older, {}
-        new = set().union(*split).difference(known)
-        used = {c for c in new if c in older}  # not new.intersection(older), which would walk all of older
-        known.update(zip(used, map(older.__getitem__, used)))
-        new -= used
-        # full stops and commas after a letter or digit are pieces of their own
-        tails = {c: word for c in new if (word := c.rstrip(b".,")) != c and word[-1:].isalnum()}
-        whole = (new - tails.keys()) | ({x for c, w in tails.items() for x in (w, c[len(w):])} - known.keys())
-        for chunk in whole:
-            (known if len(chunk) <= CACHED_BYTES else extra)[chunk] = self.encode_chunk(chunk)
-        for c, word in tails.items():
-            both = [known[x] if x in known else extra[x] for x in (word, c[len(word):])]
-            (known if len(c) <= CACHED_BYTES else extra)[c] = b"".join(both)
-        if extra:
-            return [b"".join([extra[c] if c in extra else known[c] for c in s]) for s in split]
-        return [b"".join(map(known.__getitem__, s)) for s in split]
-
-    def encode_chunk(self, chunk: bytes) -> bytes:
-        """The library's steps one by one: normalise, part into pieces, merge. For
-        lower-case ASCII letters the first two change nothing."""
-        text = chunk.decode("utf-8", "surrogatepass")
-        if text.isascii() and text.isalpha():
-            return array("I", [t.id for t in self.merge(text)]).tobytes()
-        pieces = self.part(self.normalise(text))
+        found = list(map(self.known.get, chunks))
+        for k, ids in enumerate(found):
+            if ids is None:
+                found[k] = self.chunk_ids(chunks[k])
+        return found
+
+    def chunk_ids(self, chunk: str) -> bytes:
+        """Ids of a chunk by the caches, else by the library's steps."""
+        ids = self.known.get(chunk)
+        if ids is None:
+            ids = self.older.get(chunk)
+            if ids is None:
+                ids = self.encode_chunk(chunk)
+            if len(chunk) <= CACHED:
+                self.known[chunk] = ids
+        return ids
+
+    def encode_chunk(self, chunk: str) -> bytes:
+        """The library's steps one by one: normalise, part into pieces, merge. Where the first
+        changes nothing, a piece has the ids of the chunk that consists of it."""
+        if _SETTLED.fullmatch(chunk):
+            pieces = _PIECES.findall(chunk)
+            if len(pieces) > 1:
+                return b"".join(map(self.chunk_ids, pieces))
+            return array("I", [t.id for t in self.merge(chunk if chunk.isascii() else chunk.translate(self.written))]).tobytes()
+        pieces = self.part(self.normalise(chunk))
         return array("I", [t.id for piece, _ in pieces for t in self.merge(piece)]).tobytes()
 
 
@@ -202,7 +238,6 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("tie", F.xxhash64("text"))
     ordered = rows.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = chunk_encoder(vocabulary or public_tokenizers.path(VOCABULARY))
@@ -210,22 +245,24 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         names, counts, held = [], [], []
 
         def close() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(held), dtype="<u4")
+            ids = np.concatenate(held)
             offsets, words = pack_runs(ids)
             return pa.RecordBatch.from_pylist([{"part": part, "block": block, "doc_ids": names, "counts": counts, "n_ids": len(ids),
                                                 "run_words": offsets, "words": words.astype("<u8").tobytes()}], schema=schema)
 
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                some = b.slice(at, 256)
-                for name, ids in zip(some.column(0).to_pylist(), coder.encode([t or "" for t in some.column(1).to_pylist()])):
-                    names.append(name)
-                    held.append(ids + end)
-                    counts.append(len(ids) // 4 + 1)
-                    size += counts[-1]
-                    if size >= BLOCK_IDS:
-                        yield close()
-                        names, counts, held, block, size = [], [], [], block + 1, 0
+            ids, sizes = coder.encode_column(b.column(1))
+            ends = np.cumsum(sizes)
+            ids, ends = np.insert(ids, ends, end_id), ends + np.arange(1, len(ends) + 1)
+            at = 0
+            for name, to in zip(b.column(0).to_pylist(), ends.tolist()):
+                names.append(name)
+                held.append(ids[at:to])
+                counts.append(to - at)
+                size, at = size + to - at, to
+                if size >= BLOCK_IDS:
+                    yield close()
+                    names, counts, held, block, size = [], [], [], block + 1, 0
         if names:
             yield close()
 

@@ -8,6 +8,7 @@ import zlib
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from odd_rows import ODD
@@ -234,6 +235,21 @@ def test_added_tokens_equal_the_library():
     assert 49_407 in got[0] and 49_406 in got[2] and 49_407 not in got[3]
 
 
+def test_a_batch_is_encoded_by_its_distinct_chunks(monkeypatch):
+    path = public_tokenizers.path(token_files.VOCABULARY)
+    coder, library, asked = token_files.ChunkEncoder(path), Tokenizer.from_file(path), []
+    real = coder.lookup
+    monkeypatch.setattr(coder, "lookup", lambda chunks: asked.append(list(chunks)) or real(chunks))
+    draw = random.Random(4)
+    signs = ["abzSLT ", "\u00df\u00e9\u00c0\u00ff\u00f7\u00d7\u00aa'.,!09 \t\n\x0b\x0c\x1c\x85\xa0", "\u0301\u200d\u3000\u6f22\u0130\u017f\u212a\x00\x7f\u0663", "it's 'S x''ll a.,b. "]
+    texts = ["".join(draw.choice(draw.choice(signs)) for _ in range(draw.randrange(50))) for _ in range(500)]
+    texts += [None, "", "the The  THE\nthe", "the <|endoftext|> the", *["the cat, the dog."] * 200]
+    ids, counts = coder.encode_column(pa.array(texts))
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert ids.tolist() == sum(want, []) and counts.tolist() == [len(w) for w in want]
+    assert len(asked) == 1 and len(asked[0]) == len(set(asked[0])) and {"the", "cat,", "dog."} <= set(asked[0])
+
+
 def test_token_files_equal_the_library(spark, small, odd, none, scratch):
     library = Tokenizer.from_file(public_tokenizers.path(token_files.VOCABULARY))
     library.encode_special_tokens = True
