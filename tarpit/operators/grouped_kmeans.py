@@ -1,9 +1,12 @@
 """K-means of its own for every group, all groups in the same jobs (M3, M5, M7 per upload batch).
 
 Rows are first counted per (group, distinct vector); everything below works on these
-weighted vectors. A model is a row: group, start, k and its centres, and a step of
-Lloyd's iteration joins vectors and models on the group and sums per cluster, so
-neither the number of groups nor the size of one is bounded by a task.
+weighted vectors. A group of up to ``WHOLE`` of them (an upload batch) is shuffled once, to
+one array, and numpy takes the steps of all its models (``fit_whole``). A larger group is
+split over tasks: there a model is a row (group, start, k and its centres), and a step of
+Lloyd's iteration joins vectors and models on the group and sums per cluster. So neither
+the number of groups nor the size of one is bounded by a task, and both ways follow the
+same rules:
 
 * Starts. Rows lie on a ring by one hash of their key; start ``s`` takes the vector of
   the first row after the point s / 32, then again and again the vector farthest from
@@ -16,10 +19,12 @@ neither the number of groups nor the size of one is bounded by a task.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .common import materialize
 
@@ -29,6 +34,8 @@ SEARCH_STARTS = (0, 1, 2)
 STABILITY_K, STABILITY_PAIRS = 3, ((0, 1), (10, 11), (20, 21))
 STEPS, STEPS_A_JOB = 20, 4
 DIGITS = 9
+#: Distinct vectors of a group up to which one task fits its models; larger groups are split over tasks.
+WHOLE = 20_000
 
 
 def _sum(parts) -> Column:
@@ -184,6 +191,143 @@ def models_by_group(vectors: DataFrame, group_cols, dims: int, ks, most: int) ->
     return materialize(ranked.select(*group_cols, "k", "silhouette", "centres", ids.alias("ids")).join(stable, group_cols, "left"), "group-models")
 
 
+def _rounded(v: np.ndarray, digits: int = DIGITS) -> np.ndarray:
+    """``v`` to so many decimals, halves away from zero."""
+    scaled = np.asarray(v) * 10.0 ** digits
+    out = np.trunc(scaled + np.copysign(0.5, scaled)) / 10.0 ** digits
+    return np.where(np.isfinite(out), out, v)
+
+
+def _gaps(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """(model, vector, centre): squared distances; a model's centres may end in NaN, which is far from all."""
+    parts = [x[None, :, None, j] - centres[:, None, :, j] for j in range(x.shape[1])]
+    d = _rounded(reduce(lambda a, b: a + b, [v * v for v in parts]))
+    return np.where(np.isnan(d), np.inf, d)
+
+
+def _whole_firsts(x: np.ndarray, after: np.ndarray, most: int) -> list[np.ndarray]:
+    """``_first_centres`` of a group: per start the places in ``x`` (ascending) of up to ``most`` vectors."""
+    m = len(x)
+    taken = [[int(i)] for i in after.argmin(axis=0)]
+    near = np.full((len(taken), m), np.inf)
+    for _ in range(most - 1):
+        near = np.minimum(near, _gaps(x, x[[t[-1] for t in taken]][:, None])[:, :, 0])
+        for t, d, i in zip(taken, near, m - 1 - near[:, ::-1].argmax(axis=1)):
+            if d[i] > 0:
+                t.append(int(i))
+    return [np.array(t) for t in taken]
+
+
+def _whole_steps(x: np.ndarray, w: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Lloyd's steps of all models of a group at once; models that have settled are left out."""
+    moving, most = np.arange(len(centres)), centres.shape[1]
+    for _ in range(STEPS):
+        old = centres[moving]
+        at = (_gaps(x, old).argmin(axis=2) + most * np.arange(len(moving))[:, None]).ravel()
+        size = len(moving) * most
+        rows = np.bincount(at, np.tile(w, len(moving)), size)
+        sums = np.stack([np.bincount(at, np.tile(x[:, j] * w, len(moving)), size) for j in range(x.shape[1])], axis=1)
+        means = _rounded(sums / rows[:, None]).reshape(old.shape)
+        new = np.where(rows.reshape(old.shape[:2])[:, :, None] > 0, means, old)
+        centres[moving] = new
+        moving = moving[((new != old) & ~(np.isnan(new) & np.isnan(old))).any(axis=(1, 2))]
+        if not len(moving):
+            break
+    return centres
+
+
+def _whole_silhouette(x: np.ndarray, w: np.ndarray, label: np.ndarray, k: int) -> float | None:
+    """``silhouette_by_group`` of one k of a group."""
+    n = np.bincount(label, w, k)
+    held = np.flatnonzero(n > 0)
+    if len(held) < 2:
+        return None
+    sq = reduce(lambda a, b: a + b, [v * v for v in x.T])
+    q = np.bincount(label, sq * w, k)
+    sums = [np.bincount(label, v * w, k) for v in x.T]
+    dot = reduce(lambda a, b: a + b, [v[:, None] * s[None, held] for v, s in zip(x.T, sums)])
+    far = (n[held] * sq[:, None] - 2 * dot + q[held]) / n[held]
+    own = held[None, :] == label[:, None]
+    rows = n[label]
+    a = np.where(own, far, 0.0).sum(axis=1) * rows / (rows - 1)
+    b = np.where(own, np.inf, far).min(axis=1)
+    top = np.maximum(a, b)
+    s = np.where((rows > 1) & (top != 0), (b - a) / top, 0.0)
+    return float(_rounded((s * w).sum() / w.sum(), 4))
+
+
+def _whole_ari(w: np.ndarray, a: np.ndarray, b: np.ndarray, k: int) -> float:
+    """Adjusted Rand index of two labels of a group's vectors."""
+    table = np.bincount(a * k + b, w, k * k).reshape(k, k)
+    c2 = lambda n: float((n * (n - 1) / 2.0).sum())
+    one, two, everything = c2(table.sum(axis=1)), c2(table.sum(axis=0)), c2(table.sum())
+    expected = one * two / everything if everything else 0.0
+    top = (one + two) / 2.0
+    return 1.0 if abs(top - expected) < 1e-12 else (c2(table) - expected) / (top - expected)
+
+
+def fit_whole(x: np.ndarray, w: np.ndarray, score: np.ndarray, after: np.ndarray, starts, ks, most: int) -> dict | None:
+    """``models_by_group`` of one group of weighted vectors, in ascending order; ``after`` has a
+    column a start, a missing score is NaN. None if there are no two clusters."""
+    pairs = [p for pair in STABILITY_PAIRS for p in pair]
+    models = [(s, k, first) for s, first in zip(starts, _whole_firsts(x, after, max(*ks, STABILITY_K)))
+              for k in sorted({*(ks if s in SEARCH_STARTS else ()), *((STABILITY_K,) if s in pairs else ())}) if len(first) >= k]
+    if not models:
+        return None
+    centres = np.full((len(models), max(k for _, k, _ in models), x.shape[1]), np.nan)
+    for at, (_, k, first) in enumerate(models):
+        centres[at, :k] = x[first[:k]]
+    centres = _whole_steps(x, w, centres)
+    d = _gaps(x, centres)
+    label = d.argmin(axis=2)
+    cost = _rounded((d.min(axis=2) * w).sum(axis=1), 6)
+    place = {(s, k): at for at, (s, k, _) in enumerate(models)}
+    best = {k: min((cost[place[s, k]], s, place[s, k]) for s in SEARCH_STARTS if (s, k) in place)[2] for k in ks if any((s, k) in place for s in SEARCH_STARTS)}
+    found = [(v, -k) for k, at in best.items() if (v := _whole_silhouette(x, w, label[at], k)) is not None]
+    if not found:
+        return None
+    silhouette, k = max(found)
+    k = min(-k, most)
+    if k not in best:
+        return None
+    own, at = label[best[k]], centres[best[k], :k]
+    held, known = np.bincount(own, w, k), np.bincount(own, ~np.isnan(score), k)
+    with np.errstate(all="ignore"):
+        risk = _rounded(np.bincount(own, np.nan_to_num(score), k) / held)
+    order = sorted(np.flatnonzero(held > 0).tolist(), key=lambda c: (bool(known[c]), risk[c] if known[c] else 0.0, at[c].tolist(), c))
+    aris = [_whole_ari(w, label[place[a, STABILITY_K]], label[place[b, STABILITY_K]], STABILITY_K)
+            for a, b in STABILITY_PAIRS if (a, STABILITY_K) in place and (b, STABILITY_K) in place]
+    return {"k": k, "silhouette": silhouette, "centres": at.tolist(), "ids": [order.index(c) if c in order else -1 for c in range(k)],
+            "cluster_stability": float(_rounded(sum(aris) / len(aris), 4)) if aris else None}
+
+
+def models_of_whole_groups(vectors: DataFrame, group_cols, dims: int, starts, ks, most: int) -> DataFrame:
+    """``models_by_group`` of groups that fit a task each: a group is shuffled once, to arrays."""
+    spark, ks = vectors.sparkSession, list(ks)
+    # a number of partitions of its own: few bytes of much work are not to be put together by size
+    rows = vectors.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *group_cols)
+    after = F.array(*[f"after{s}" for s in starts])
+    packed = rows.groupBy(*group_cols).agg(F.sort_array(F.collect_list(F.struct("x", "w", "score", after.alias("after")))).alias("v"))
+    part = lambda c: F.transform("v", lambda v: v[c])
+    packed = packed.select(F.struct(*group_cols).alias("g"), F.flatten(part("x")).alias("x"), part("w").alias("w"), part("score").alias("score"),
+                           F.flatten(part("after")).alias("after"))
+    model = T._parse_datatype_string("struct<k:int,silhouette:double,centres:array<array<double>>,ids:array<int>,cluster_stability:double>")
+    arrow = pa.struct([("k", pa.int32()), ("silhouette", pa.float64()), ("centres", pa.list_(pa.list_(pa.float64()))), ("ids", pa.list_(pa.int32())),
+                       ("cluster_stability", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(all="ignore"):
+            for b in batches:
+                fits = []
+                for x, w, score, after in zip(*b.columns[1:]):
+                    x, w, score, after = (v.values.to_numpy(zero_copy_only=False) for v in (x, w, score, after))
+                    fits.append(fit_whole(x.reshape(-1, dims), w, score.astype(float), after.reshape(-1, len(starts)), starts, ks, most))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fits, arrow)], names=["g", "m"])
+
+    schema = T.StructType([packed.schema["g"], T.StructField("m", model)])
+    return materialize(packed.mapInArrow(run, schema).where("m IS NOT NULL").select("g.*", "m.*"), "group-models")
+
+
 def cluster_by_group(df: DataFrame, group_cols, cols, score: str = "behavioral_risk_score", key_cols=("session", "seg"),
                      ks=range(2, 6), most: int = 4) -> DataFrame:
     """``df`` with ``behavior_cluster`` and ``cluster_stability``, a k-means per group over ``cols``
@@ -191,8 +335,17 @@ def cluster_by_group(df: DataFrame, group_cols, cols, score: str = "behavioral_r
     distinct vectors, or without a group, are cluster 0 of stability 0."""
     group_cols, cols = list(group_cols), list(cols)
     starts = sorted({*SEARCH_STARTS, *(s for pair in STABILITY_PAIRS for s in pair)})
-    vectors = materialize(weighted_vectors(df, group_cols, cols, score, key_cols, starts), "group-vectors")
-    models = models_by_group(vectors, group_cols, len(cols), list(ks), most).select(
+    named = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in group_cols])
+    vectors = materialize(weighted_vectors(df.where(named), group_cols, cols, score, key_cols, starts), "group-vectors")
+    large = vectors.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > WHOLE).drop("n")
+    if large.isEmpty():
+        models = models_of_whole_groups(vectors, group_cols, len(cols), starts, ks, most)
+    else:
+        large = materialize(large, "large-groups")
+        split = materialize(vectors.join(large, group_cols, "left_semi"), "group-vectors")
+        models = models_of_whole_groups(vectors.join(large, group_cols, "left_anti"), group_cols, len(cols), starts, ks, most).unionByName(
+            models_by_group(split, group_cols, len(cols), list(ks), most))
+    models = models.select(
         *group_cols, F.struct("centres", "ids", "cluster_stability").alias("_model"))
     x = F.array(*[F.round(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), DIGITS) for c in cols])
     rows = df.withColumn("_x", x).join(models, group_cols, "left").withColumn("_c", _closest(len(cols), "_model.centres", "_x")["c"])

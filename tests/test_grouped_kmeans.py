@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from tarpit.operators import grouped_kmeans as GK
 from tarpit.operators.grouped_kmeans import cluster_by_group
 
 SCHEMA = "session string, seg long, batch long, a double, b double, behavioral_risk_score int"
@@ -57,3 +58,26 @@ def test_every_row_has_the_nearest_mean(spark):
     for batch, cluster, *x in found:
         assert far(x, means[batch, cluster]) <= min(far(x, m) for (g, _), m in means.items() if g == batch) + 1e-6
     assert out.where(F.col("cluster_stability").between(-1, 1)).count() == len(rows)
+
+
+def test_groups_that_fit_a_task_are_not_joined_step_by_step(spark, monkeypatch):
+    """Whole groups and groups split over tasks follow the same rules; only the latter join
+    vectors and models."""
+    draw = random.Random(3)
+    rows = [(f"{g}-{i}", 0, g, draw.gauss(0, 1), draw.choice((0.0, 1.0, 2.5, None)), draw.choice((0, 1, 2, 3, None)))
+            for g, n in {1: 60, 2: 25, 3: 3, 4: 2, 5: 1, None: 7}.items() for i in range(n)]
+    rows += [(f"same-{i}", 0, 6, 1.0, 1.0, 1) for i in range(4)] + [(f"few-{i}", 0, 7, float(i % 3), 0.0, None) for i in range(12)]
+    split = GK.models_by_group
+    monkeypatch.setattr(GK, "WHOLE", 24)  # groups 1 and 2 are split
+    mixed = clusters(spark, rows)
+
+    def boom(*a, **k):
+        raise AssertionError("vectors and models joined")
+    monkeypatch.setattr(GK, "models_by_group", boom)
+    monkeypatch.setattr(GK, "WHOLE", 60)
+    whole = clusters(spark, rows)
+    assert len(whole) == len(rows)
+    assert whole == mixed
+    monkeypatch.setattr(GK, "models_by_group", split)
+    monkeypatch.setattr(GK, "WHOLE", 1)
+    assert clusters(spark, rows) == whole
