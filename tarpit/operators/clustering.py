@@ -253,9 +253,13 @@ def search_kmeans(df: DataFrame, cols, ks=range(2, MAX_K + 1), seed: int = 42, e
     return best["k"], results, models
 
 
-def choose_k(df: DataFrame, cols, ks=range(2, MAX_K + 1), seed: int = 42, euclidean: bool = False) -> tuple[int, list[dict]]:
-    """M3: the first two of ``search_kmeans``."""
-    return search_kmeans(df, cols, ks, seed, euclidean)[:2]
+def choose_k(df: DataFrame, cols, ks=range(2, MAX_K + 1), seed: int = 42, euclidean: bool = False,
+             models: dict[int, KMeansModel] | None = None) -> tuple[int, list[dict]]:
+    """M3: the first two of ``search_kmeans``; its models are added to ``models``."""
+    k, trials, found = search_kmeans(df, cols, ks, seed, euclidean)
+    if models is not None:
+        models.update(found)
+    return k, trials
 
 
 def cluster_stability(df: DataFrame, cols, k: int = 3, seeds=(0, 10, 20)) -> float:
@@ -334,7 +338,8 @@ def behavioral_clustering(df: DataFrame, seed: int = 42) -> tuple[DataFrame, dic
                .withColumn("is_anomaly", F.lit(False)).withColumn("dbscan_label", F.lit(0)))
         return out, {"k": 1, "error": "fewer than two rows or no feature that varies", "stability": 0.0}
     scaled = standardize(df, cols)
-    best_k, trials, models = search_kmeans(scaled, zcols, seed=seed)
+    models: dict[int, KMeansModel] = {}
+    best_k, trials = choose_k(scaled, zcols, seed=seed, models=models)
     final_k = min(best_k, FINAL_K_CAP)
     clustered = cluster_sessions(scaled, final_k, seed, models=models)
     labels = label_clusters(clustered)
